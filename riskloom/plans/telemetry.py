@@ -1,0 +1,19 @@
+"""Event histograms over observations."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from riskloom.sources.views import OBS_SQL, observations
+
+
+def _histogram(seconds: int):
+    def query(spark, sf_dir):
+        obs = observations(spark, sf_dir).where(F.lower("status").isin("success", "error", "failed", "critical"))
+        return obs.groupBy(F.window("ts", f"{seconds} seconds")["start"].alias("bucket")).agg(F.count_distinct("event_id").alias("events"))
+
+    return query
+
+
+QUERIES = {"hist_2h": _histogram(7200)}
+SQL = {"hist_2h": f"with {OBS_SQL} select time_bucket(interval '7200 seconds', ts, timestamp '1970-01-01') as bucket, count(distinct event_id) as events from obs group by 1"}
