@@ -51,6 +51,18 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, fp long")
 
 
+def _marked(docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows of ``docs`` with the fingerprint of their text as ``__fp``."""
+
+    def task(batches):
+        for b in batches:
+            fps = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
+            yield b.append_column("__fp", pa.array(fps))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(task, f"{fields}, __fp long")
+
+
 def _segment(fp, i: int):
     i %= len(WIDTHS)
     return F.shiftrightunsigned(fp, SHIFTS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
@@ -139,14 +151,16 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     kept = found.where((F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull()))
     ids = kept.where("doc_id is not null").select("doc_id").distinct()
     rows = docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")
-    lone = docs.where("doc_id is null") if kept.where("doc_id is null").limit(1).count() else None
-    names = docs.columns
+    names, lone = docs.columns, None
+    if kept.where("doc_id is null").limit(1).count():
+        alone = kept.where("doc_id is null").select(F.col("fp").alias("__fp")).distinct()
+        lone = _marked(docs.where("doc_id is null"), shingle).join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names)
     once = rows.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
     if once.limit(1).count():  # repeated doc_ids: the row with the smallest hash of all its columns
         mark = F.xxhash64(*names)
         best = rows.groupBy("doc_id").agg(F.min(mark).alias("__m"))
         rows = rows.withColumn("__m", mark).join(best, ["doc_id", "__m"], "left_semi").dropDuplicates(["doc_id"]).select(*names)
-    return rows if lone is None else rows.unionByName(lone.dropDuplicates(["text"]))
+    return rows if lone is None else rows.unionByName(lone)
 
 
 def op10_simhash(spark, sf_dir):
