@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The collector that each event type stands for.
 COLLECTORS = {"view": "file", "click": "http", "signup": "logon", "purchase": "device", "error": "process"}
+#: What the queries take as now, and as the day that nightly jobs run for.
+AS_OF, AS_OF_DAY = datetime(2024, 1, 30, 12), "2024-01-30"
+AS_OF_SQL = f"timestamp '{AS_OF}'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def now():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each collector observation, four to a snapshot."""
     e = table(spark, sf_dir, "events")
@@ -30,11 +39,97 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each snapshot: who sent it, when it came, its size and its state in the outbox."""
+    obs = observations(spark, sf_dir)
+    first = lambda c: F.min_by(c, "event_id").alias(c)
+    return obs.groupBy("payload_id").agg(
+        first("agent_id"), first("hostname"), first("username"), F.min("ts").alias("collected_at"), F.max("ts").alias("received_at"), (F.sum("k") + 200).alias("bytes"),
+        F.when(F.col("payload_id") % 5 < 2, "pending").when(F.col("payload_id") % 5 == 2, "leased").otherwise("done").alias("outbox"), (F.col("payload_id") % 4).alias("attempts"),
+    )
+
+
+def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One scored event for each snapshot, and a second one, a minute later, for every ninth."""
+    obs = observations(spark, sf_dir)
+    first = lambda c: F.min_by(c, "event_id").alias(c)
+    one = obs.groupBy("payload_id").agg(first("agent_id"), first("hostname"), first("username"), (F.sum("k") % 101).cast("double").alias("risk_score"), F.max("ts").alias("created_at"))
+    kind = F.when(F.col("payload_id") % 17 == 0, "synthetic_test").otherwise("endpoint")
+    one = one.withColumn("signals", F.to_json(F.struct(kind.alias("source_kind"), F.col("hostname"))))
+    again = one.where("payload_id % 9 = 0").withColumns({"risk_score": (F.col("risk_score") * 7) % 101, "created_at": F.col("created_at") + F.expr("interval 1 minute"), "risk_id": F.col("payload_id") * 2 + 1})
+    return one.withColumn("risk_id", F.col("payload_id") * 2).unionByName(again)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of flat detector features for each snapshot, from its four observations."""
+    obs = observations(spark, sf_dir)
+    k, p = F.col("k"), F.col("payload_id")
+    of = lambda name, c=k: F.sum(F.when(F.col("collector") == name, c).otherwise(0))
+    first = lambda c: F.min_by(c, "event_id").alias(c)
+    s = obs.groupBy("payload_id").agg(
+        first("agent_id"), first("username"), first("role"), F.max("ts").alias("ts"), of("file").alias("kf"), of("http").alias("kh"), of("logon").alias("kl"), of("device").alias("kd"), of("process").alias("kp"),
+        F.sum(F.when(F.col("status") == "failed", 1).otherwise(0)).alias("nf"), F.sum(F.when(F.col("status") == "critical", 1).otherwise(0)).alias("nc"),
+    )
+    d = lambda x: F.expr(x).cast("double")
+    return s.select("payload_id", "agent_id", "username", "role", "ts", *(d(x).alias(n) for n, x in FEATURES.items()), *(F.expr(x).alias(n) for n, x in FLAGS.items()), *(F.expr(x).alias(n) for n, x in TEXTS.items()))
+
+
+#: The features as expressions over the sums of a snapshot, in the part of SQL that both engines share.
+FEATURES = {
+    "successful_logons": "kl % 12", "after_hours_logon": "kl % 4", "daily_after_hours_logon_ratio": "(kl % 10) / 10.0", "daily_unique_pc_count": "kl % 5",
+    "failed_logons": "nf * 4 + kl % 6", "edr_failed_auth_ratio_window": "(kp % 12) / 10.0", "edr_auth_events_per_minute_window": "(kl % 8) / 1.0", "edr_failed_auth_event_count_window": "nf * 3 + kp % 7",
+    "edr_failed_auth_events_per_minute_window": "(kp % 3) / 1.0", "unique_workstations_300s": "kl % 6", "off_hours_auth_count": "kl % 3", "file_access_count": "kf * 7", "daily_unique_filename_count": "kf * 2",
+    "daily_new_filename_count": "kf % 60", "file_delete_count": "kf % 25", "sensitive_file_access": "case when kf % 11 = 1 then 1 else 0 end", "daily_files_to_removable_count": "case when kd % 13 = 1 then kd else 0 end",
+    "usb_file_transfer_count": "case when kd % 7 = 2 then 3 else 0 end", "usb_connect_count": "kd % 3", "file_sharing_site_visits": "kh % 4", "cloud_storage_uploads": "case when kh % 5 = 1 then kh else 0 end",
+    "unbacked_executable_regions": "case when kp % 31 = 5 then 2 else 0 end", "tunneling_process_count": "case when kp % 29 = 3 then 1 else 0 end", "service_modification_count": "case when kp % 23 = 7 then 1 else 0 end",
+}
+FLAGS = {
+    "credential_dumping_suspected": "kp % 97 = 11", "threat_triggered": "kp % 89 = 13", "modifications_detected": "kp % 19 = 4", "tunneling_detected": "kp % 37 = 6", "unauthorized_usb_detected": "kd % 3 = 0 and kd > 0",
+}
+TEXTS = {
+    "system_profile": "case role when 0 then 'DEVELOPER' when 1 then 'SYSADMIN' else 'UNLISTED' end",
+    "process_name": "case when payload_id % 6 = 0 then 'git.exe' else 'explorer.exe' end",
+    "target_path": "case when payload_id % 10 = 3 then 'C:/work/node_modules/a.js' else 'C:/Users/doc.txt' end",
+}
+
 _CASE = " ".join(f"when '{k}' then '{v}'" for k, v in COLLECTORS.items())
-#: The same projection; queries' SQL begins with it.
-OBS_SQL = f"""obs as (
+_SQL = {
+    "obs": f"""
   select event_id, event_id // 4 as payload_id, 'AGENT-' || (user_id % 25) as agent_id, 'HOST-' || (user_id % 25) as hostname,
     'user-' || user_id as username, user_id % 3 as role, case event_type {_CASE} end as collector,
     case when event_type = 'error' and k % 3 = 0 then 'critical' when event_type = 'error' and k % 3 = 1 then 'failed' else 'success' end as status,
     ts, value, props as payload, k
-  from (select *, (props->>'$.k')::bigint as k from events))"""
+  from (select *, (props->>'$.k')::bigint as k from events)""",
+    "payloads": """
+  select payload_id, arg_min(agent_id, event_id) as agent_id, arg_min(hostname, event_id) as hostname, arg_min(username, event_id) as username,
+    min(ts) as collected_at, max(ts) as received_at, (sum(k) + 200)::bigint as bytes,
+    case when payload_id % 5 < 2 then 'pending' when payload_id % 5 = 2 then 'leased' else 'done' end as outbox, payload_id % 4 as attempts
+  from obs group by payload_id""",
+    "risk_one": """
+  select payload_id, arg_min(agent_id, event_id) as agent_id, arg_min(hostname, event_id) as hostname, arg_min(username, event_id) as username,
+    (sum(k) % 101)::double as risk_score, max(ts) as created_at from obs group by payload_id""",
+    "risk": """
+  select *, '{"source_kind":"' || case when payload_id % 17 = 0 then 'synthetic_test' else 'endpoint' end || '","hostname":"' || hostname || '"}' as signals from (
+    select *, payload_id * 2 as risk_id from risk_one
+    union all select payload_id, agent_id, hostname, username, (risk_score * 7) % 101, created_at + interval 1 minute, payload_id * 2 + 1 from risk_one where payload_id % 9 = 0)""",
+    "sums": """
+  select payload_id, arg_min(agent_id, event_id) as agent_id, arg_min(username, event_id) as username, arg_min(role, event_id) as role, max(ts) as ts,
+    """ + ", ".join(f"coalesce(sum(k) filter (collector = '{c}'), 0)::bigint as {n}" for n, c in (("kf", "file"), ("kh", "http"), ("kl", "logon"), ("kd", "device"), ("kp", "process"))) + """,
+    count(*) filter (status = 'failed') as nf, count(*) filter (status = 'critical') as nc from obs group by payload_id""",
+    "feats": "select payload_id, agent_id, username, role, ts, " + ", ".join([f"({x})::double as {n}" for n, x in FEATURES.items()] + [f"({x}) as {n}" for n, x in (FLAGS | TEXTS).items()]) + " from sums",
+}
+_NEEDS = {"payloads": ("obs",), "risk_one": ("obs",), "risk": ("risk_one",), "sums": ("obs",), "feats": ("sums",)}
+
+
+def with_sql(*names: str) -> str:
+    """``with`` and the views named, after those that they need; queries' SQL begins with it."""
+    done: dict[str, str] = {}
+
+    def add(name):
+        for n in _NEEDS.get(name, ()):
+            add(n)
+        done.setdefault(name, f"{name} as ({_SQL[name]})")
+
+    for n in names:
+        add(n)
+    return "with recursive " + ", ".join(done.values()) + " "
