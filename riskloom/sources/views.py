@@ -133,3 +133,31 @@ def with_sql(*names: str) -> str:
     for n in names:
         add(n)
     return "with recursive " + ", ".join(done.values()) + " "
+
+#: A collector's body as JSON, spelled so that both engines read it.
+_BODY = """case collector
+  when 'process' then '{"process_name":' || case when k % 5 = 0 then 'null' else '"p' || (k % 7) || '.exe"' end || ',"pid":' || k || ',"command_line":"run --password=s' || k || ' x","ppid":4}'
+  when 'http' then '{"method":' || case when k % 3 = 0 then 'null' else '"GET"' end || ',"host":"h' || (k % 9) || '.example","port":' || (k % 4) || ',"upload_count":' || (k % 6) || '}'
+  when 'file' then '{"path":' || case when k % 4 = 0 then '""' else '"/d/' || k || '"' end || ',"flag":' || case when k % 2 = 0 then 'true' else 'false' end || ',"file_access_count":' || k || ',"nest":{"a":' || (k % 5) || ',"b":[1,2]}}'
+  when 'logon' then '{"user":"u' || (k % 11) || '","logon_type":' || case when k % 2 = 0 then 'null' else '"remote"' end || ',"logon_count":' || (k % 8) || '}'
+  else '{"token":"t","bytes_written":' || k || ',"label":"d' || (k % 3) || '","empty":null,"slots":[' || (k % 2) || ',7]}' end"""
+
+
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with a body of their collector's kind."""
+    return observations(spark, sf_dir).withColumn("body", F.expr(_BODY))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested snapshots of four results each; some break a rule."""
+    b, p = bodies(spark, sf_dir), F.col("payload_id")
+    ok, failed = F.col("status") == "success", F.col("status") == "failed"
+    one = F.struct("event_id", "collector", F.col("ts").alias("collected_at"), "hostname", "status", F.when(ok & (F.col("event_id") % 97 != 0), F.col("body")).alias("payload"), F.when(failed & (F.col("event_id") % 7 != 0), F.lit("timeout")).alias("error"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    s = b.groupBy("payload_id").agg(F.min_by("agent_id", "event_id").alias("agent_id"), F.min_by("username", "event_id").alias("username"), F.sort_array(F.collect_list(one)).alias("collectors"), F.max("ts").alias("received_at"),
+        F.struct((F.count("*") + F.when(p % 41 == 0, 1).otherwise(0)).alias("collector_count"), count(ok).alias("success_count"), count(failed | (F.col("status") == "critical")).alias("failed_count")).alias("summary"))
+    return s.withColumn("agent_id", F.when(p % 53 == 0, "").otherwise(F.col("agent_id")))
+
+
+_SQL["bodies"] = f"select *, {_BODY} as body from obs"
+_NEEDS["bodies"] = ("obs",)
