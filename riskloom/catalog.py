@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("explorer", "ingest")
+MODULES = ("explorer", "ingest", "detection")
 
 
 def _gather(what: str) -> dict:

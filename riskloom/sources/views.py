@@ -77,8 +77,8 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The features as expressions over the sums of a snapshot, in the part of SQL that both engines share.
 FEATURES = {
     "successful_logons": "kl % 12", "after_hours_logon": "kl % 4", "daily_after_hours_logon_ratio": "(kl % 10) / 10.0", "daily_unique_pc_count": "kl % 5",
-    "failed_logons": "nf * 4 + kl % 6", "edr_failed_auth_ratio_window": "(kp % 12) / 10.0", "edr_auth_events_per_minute_window": "(kl % 8) / 1.0", "edr_failed_auth_event_count_window": "nf * 3 + kp % 7",
-    "edr_failed_auth_events_per_minute_window": "(kp % 3) / 1.0", "unique_workstations_300s": "kl % 6", "off_hours_auth_count": "kl % 3", "file_access_count": "kf * 7", "daily_unique_filename_count": "kf * 2",
+    "failed_logons": "nf * 4 + kl % 6", "edr_failed_auth_ratio_window": "(kp % 12) / 10.0", "edr_auth_events_per_minute_window": "(kl % 8) / 1.0", "edr_failed_auth_event_count_window": "case when kp % 5 <> 0 then nf * 3 + kp % 7 end",
+    "edr_failed_auth_events_per_minute_window": "case when kp % 3 <> 0 then (kp % 3) / 1.0 end", "unique_workstations_300s": "kl % 6", "off_hours_auth_count": "kl % 3", "file_access_count": "kf * 7", "daily_unique_filename_count": "kf * 2",
     "daily_new_filename_count": "kf % 60", "file_delete_count": "kf % 25", "sensitive_file_access": "case when kf % 11 = 1 then 1 else 0 end", "daily_files_to_removable_count": "case when kd % 13 = 1 then kd else 0 end",
     "usb_file_transfer_count": "case when kd % 7 = 2 then 3 else 0 end", "usb_connect_count": "kd % 3", "file_sharing_site_visits": "kh % 4", "cloud_storage_uploads": "case when kh % 5 = 1 then kh else 0 end",
     "unbacked_executable_regions": "case when kp % 31 = 5 then 2 else 0 end", "tunneling_process_count": "case when kp % 29 = 3 then 1 else 0 end", "service_modification_count": "case when kp % 23 = 7 then 1 else 0 end",
