@@ -110,6 +110,11 @@ def blocks(docs: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids): the token ids of each whole text."""
+    return _encoded(docs, path, lambda made: made, "doc_id long, ids array<int>")
+
+
+def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFrame:
+    """What ``finish`` makes of the (doc_id, ids) of each block, in the task that put them together."""
     path = path or public_tokenizers.path(VOCABULARY)
     n = shards(docs.sparkSession)
     cut = materialize(blocks(docs, n), "bpe-blocks")
@@ -160,43 +165,64 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         docs_end = np.concatenate([[0], np.cumsum(sizes)])
         offsets = np.concatenate([[0], ends])[docs_end].astype(np.int32)
         ids = pa.array([None if z else i for i, z in zip(doc_ids.tolist(), null.tolist())], pa.int64())
-        return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))})
+        return finish(pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))}))
+
+    return cut.where("shard < 0").unionByName(answers).groupBy("block").applyInArrow(assemble, schema)
+
+
+_words: dict[str, np.ndarray] = {}
 
-    return cut.where("shard < 0").unionByName(answers).groupBy("block").applyInArrow(assemble, "doc_id long, ids array<int>")
+
+def token_bytes(path: str) -> np.ndarray:
+    """The bytes of each id, the vocabulary's own table of fixed size."""
+    if path not in _words:
+        table_ = np.full(max(ranks(path).values()) + 1, None, object)
+        for word, i in ranks(path).items():
+            table_[i] = word
+        _words[path] = table_
+    return _words[path]
+
+
+def _lists(column: pa.ListArray):
+    """The lists of an Arrow column as NumPy arrays, one after the other, none of them copied."""
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    for i in range(len(column)):
+        yield flat[ends[i] : ends[i + 1]]
 
 
 def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
-    """``tokens`` with ``bytes``: each id joined with its bytes in the vocabulary (a table of fixed size)."""
+    """``tokens`` with ``bytes``: each id joined with its bytes in the vocabulary."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def task(batches):
-        table_ = {v: k for k, v in ranks(path).items()}
+        table_ = token_bytes(path)
         for b in batches:
-            out = [b"".join(map(table_.__getitem__, ids)) for ids in b.column("ids").to_pylist()]
+            out = [b"".join(table_[ids].tolist()) for ids in _lists(b.column("ids"))]
             yield b.append_column("bytes", pa.array(out, pa.binary()))
 
     return tokens.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", bytes binary")
 
 
-def digests(tokens: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of ``tokens(doc_id, ids)``, and the ids themselves if asked for."""
+def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text encoded and decoded again, and its ids if asked for."""
     path = path or public_tokenizers.path(VOCABULARY)
 
-    def task(batches):
-        name = {i: str(i).encode() for i in ranks(path).values()}
-        for b in batches:
-            every = b.column("ids").to_pylist()
-            ids_sha = [hashlib.sha256(b" ".join(map(name.__getitem__, ids))).hexdigest() for ids in every]
-            text_sha = [hashlib.sha256(raw).hexdigest() for raw in b.column("bytes").to_pylist()]
-            cols = [b.column("doc_id"), pa.array(map(len, every), pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays([*cols, b.column("ids")] if keep_ids else cols, [*names, "ids"] if keep_ids else names)
+    def finish(made: pa.Table) -> pa.Table:
+        table_ = token_bytes(path)
+        names = np.array([str(i).encode() for i in range(len(table_))], object)
+        count, ids_sha, text_sha = [], [], []
+        for ids in (x for chunk in made.column("ids").chunks for x in _lists(chunk)):
+            count.append(len(ids))
+            ids_sha.append(hashlib.sha256(b" ".join(names[ids].tolist())).hexdigest())
+            text_sha.append(hashlib.sha256(b"".join(table_[ids].tolist())).hexdigest())
+        out = {"doc_id": made.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        return pa.table(out | ({"ids": made.column("ids")} if keep_ids else {}))
 
-    return decode(tokens, path).mapInArrow(task, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return _encoded(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
 
 
 def op8_bpe(spark, sf_dir):
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return digests(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op8_bpe": op8_bpe}
