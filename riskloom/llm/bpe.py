@@ -4,7 +4,7 @@ Tasks cut texts into pre-tokens and number them by place; a block of texts keeps
 number of its word in the block (most frequent first). The words of a block, each once, go to shards
 by hash; a shard meets the words of all blocks, encodes each distinct one once, and sends the ids back
 to the blocks in the order in which they asked. A block then puts the ids of its words at their
-places. Words and ids travel packed, a row for each block and shard, so a word that makes up a third of
+places, which wait for them in a file of the shared folder. Words and ids travel packed, a row for each block and shard, so a word that makes up a third of
 all text costs one entry a block. Decoding joins ids with the table of token bytes.
 
 Null texts are empty and have no tokens. Text of any length is one entry of one block. Repeated rows
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import materialize, pack, shard_of, shards, table, unpack
+from riskloom.llm.shared import materialize, new_folder, pack, read_file, shard_of, shards, table, unpack, write_file
 
-VOCABULARY, BLOCK = "byte_bpe_50k.tiktoken", 6 << 20
+VOCABULARY, BLOCK = "byte_bpe_50k.tiktoken", 12 << 20
 _ranks: dict[str, dict[bytes, int]] = {}
 _coders: dict[str, tiktoken.Encoding] = {}
 
@@ -62,8 +63,8 @@ class _Local(dict):
         return n
 
 
-def blocks(docs: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
-    """(block, shard, data): for shard -1 the places of the block's words, for the others words to be encoded."""
+def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK) -> DataFrame:
+    """(block, shard, data): for shard -1 the file of the places of the block's words, for the others words to be encoded."""
     find = regex.compile(public_tokenizers.PATTERN).findall
 
     def task(batches):
@@ -81,7 +82,9 @@ def blocks(docs: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
             shard = shard_of(np.array([xxh64_intdigest(w) for w in raw], np.uint64), n).astype(np.int64)
             null = np.array([i is None for i in ids], np.uint64)
             head = [pack(np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)), pack(null), pack(sizes), pack(shard), pack(place[every])]
-            rows = [(-1, b"".join(len(h).to_bytes(8, "little") + h for h in head))]
+            path = f"{folder}/{uuid.uuid4().hex}"
+            write_file(path, b"".join(len(h).to_bytes(8, "little") + h for h in head))
+            rows = [(-1, path.encode())]  # only this row leads to the file: what an ended attempt has left is never read
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n + 1))
             for s in np.flatnonzero(np.diff(cuts)):
@@ -117,7 +120,7 @@ def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFram
     """What ``finish`` makes of the (doc_id, ids) of each block, in the task that put them together."""
     path = path or public_tokenizers.path(VOCABULARY)
     n = shards(docs.sparkSession)
-    cut = materialize(blocks(docs, n), "bpe-blocks")
+    cut = materialize(blocks(docs, n, new_folder(docs.sparkSession, "bpe-places")), "bpe-blocks")
 
     def answer(rows: pa.Table) -> pa.Table:
         one, known = coder(path)._core_bpe.encode_single_piece, {}
@@ -142,7 +145,7 @@ def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFram
 
     def assemble(rows: pa.Table) -> pa.Table:
         got = dict(zip(rows.column("shard").to_pylist(), rows.column("data").to_pylist()))
-        head, parts = got[-1], []
+        head, parts = read_file(got[-1].decode()), []
         while head:
             size = int.from_bytes(head[:8], "little")
             parts.append(head[8 : 8 + size])
