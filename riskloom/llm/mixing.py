@@ -11,7 +11,7 @@ row is dropped or repeated.
 Weights are whole-number shares; fractions are brought to ``RESOLUTION`` parts. A source without a
 weight has the smallest one given. Null sources are the source ''. The order inside a source is by
 MD5 of doc_id, then by doc_id and text: fixed, and free of any order in the table; repeated rows stand
-side by side. Columns of the table are kept. An empty table gives an empty one.
+side by side. Columns of the table are kept, but for any named block or position, which are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -105,11 +105,12 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataF
     # at most 4096 rows a source, at most MAX_SOURCES sources: 40 million short rows; joined by key, broadcast if small
     placed = numbered.join(offsets, (F.col("__source") == F.col("__os")) & (F.col("__piece") == F.col("__op")))
     number = F.col("__before") + F.col("__rank")
-    placed = placed.withColumns({"block": F.floor(number / block), "__in": number % block})
-    met = placed.join(F.broadcast(schedule), (F.col("__source") == F.col("__ps")) & (F.col("block") >= F.col("__first")) & (F.col("block") < F.col("__end")))
-    k = F.col("block") - F.col("__first")
+    placed = placed.withColumns({"__block": F.floor(number / block), "__in": number % block})
+    met = placed.join(F.broadcast(schedule), (F.col("__source") == F.col("__ps")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
+    k = F.col("__block") - F.col("__first")
     slot = F.col("__at") + F.floor(k / F.col("__share")) * F.col("__q") + F.element_at("__places", (k % F.col("__share") + 1).cast("int"))
-    return met.withColumn("position", slot * block + F.col("__in")).select(*docs.columns, F.col("block").cast("long"), F.col("position").cast("long"))
+    kept = [c for c in docs.columns if c not in ("block", "position")]
+    return met.select(*kept, F.col("__block").cast("long").alias("block"), (slot * block + F.col("__in")).cast("long").alias("position"))
 
 
 def target_weights() -> dict[str, float]:

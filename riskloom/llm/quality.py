@@ -160,8 +160,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     return {"posterior": posterior, "prior": prior, "chance": chance, "weights": fit_linear(rows, posterior, prior)}
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """The rows of ``docs`` with votes, posterior and score (both: of being good)."""
+def score(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("votes", "posterior", "score")) -> DataFrame:
+    """The rows of ``docs`` with votes, posterior and score (both: of being good), under ``names`` that ``docs`` doesn't have."""
     weights, posterior, prior = model["weights"].astype(np.float32), model["posterior"], model["prior"]
 
     def task(batches):
@@ -173,15 +173,15 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 votes.append("".join(map(str, v)))
                 post.append(posterior.get(votes[-1], prior))
                 scores.append(float(1 / (1 + np.exp(-np.clip(weights[index] @ value + weights[-1], -50, 50)))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(votes, pa.string()), pa.array(post, pa.float64()), pa.array(scores, pa.float64())], [*b.schema.names, "votes", "posterior", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(votes, pa.string()), pa.array(post, pa.float64()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(task, f"{fields}, votes string, posterior double, score double")
+    return docs.mapInArrow(task, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} double")
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores at least ``threshold``, as they are."""
-    return score(docs, fit(docs)).where(F.col("score") >= threshold).select(*docs.columns)
+    return score(docs, fit(docs), ("__votes", "__posterior", "__score")).where(F.col("__score") >= threshold).select(*docs.columns)
 
 
 def op2_quality(spark, sf_dir):

@@ -28,7 +28,7 @@ def test_frames_stay_within_one_block():
 def test_mix_loses_nothing_and_follows_weights(spark):
     rows = [(i, "hot" if i % 3 else f"s{i % 4}", "x") for i in range(3000)] + [(None, None, "y"), (5, "hot", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, source string, block string")
-    got = mixing.mix(docs.selectExpr("doc_id", "source"), {"hot": 2, "s0": 1}, block=8).collect()
+    got = mixing.mix(docs, {"hot": 2, "s0": 1}, block=8).collect()
     assert sorted((r.doc_id or -1, r.source or "") for r in got) == sorted((a or -1, b or "") for a, b, _ in rows)
     at = sorted(r.position for r in got)
     assert len(set(at)) == len(at)
