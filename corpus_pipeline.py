@@ -1,8 +1,8 @@
 """A corpus from raw documents: five stages, each written to the shared folder and read by the next.
 
 Documents that the quality classifier rejects go; of near copies one stays; personal data is masked;
-sources are interleaved to target weights (no row is dropped, rows leave in the order of the mixture);
-the last stage returns the tokens of each text.
+sources are interleaved to target weights (no row is dropped; ``position`` is a row's place in the mixture
+and goes with it to the end, since files and shuffles keep no order); the last stage returns the tokens of each text.
 """
 
 from __future__ import annotations
@@ -27,12 +27,13 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs, mixing.target_weights()).orderBy("position").select(*docs.columns)
+    """The same rows with ``position``, their place in the mixture."""
+    return mixing.mix(docs, mixing.target_weights()).orderBy("position").select(*(c for c in docs.columns if c != "position"), "position")
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids (the tokens of the text), n_tokens, and the digests of ids and of the text decoded from them."""
-    return bpe.digests(docs, keep_ids=True)
+    """doc_id, position, ids (the tokens of the text), n_tokens, and the digests of ids and of the text decoded from them."""
+    return bpe.digests(docs, keep_ids=True, carry="position")
 
 
 STAGES = [

@@ -63,15 +63,18 @@ class _Local(dict):
         return n
 
 
-def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK) -> DataFrame:
-    """(block, shard, data): for shard -1 the file of the places of the block's words, for the others words to be encoded."""
+def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK, carry: str | None = None) -> DataFrame:
+    """(block, shard, data): for shard -1 the file of the places of the block's words, for the others words to be encoded.
+
+    ``carry`` names a column of whole numbers, none null, that goes with each document.
+    """
     find = regex.compile(public_tokenizers.PATTERN).findall
 
     def task(batches):
         context = TaskContext.get()
         first, count = (context.partitionId() if context else 0) << 32, 0
 
-        def out(ids, parts, local):
+        def out(ids, carried, parts, local):
             sizes = np.array([len(p) for p in parts], np.int64)
             every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
             rank = np.argsort(-np.bincount(every, minlength=len(local)), kind="stable")
@@ -81,7 +84,7 @@ def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK) -> DataFrame
             raw = [w.encode() for w in words]
             shard = shard_of(np.array([xxh64_intdigest(w) for w in raw], np.uint64), n).astype(np.int64)
             null = np.array([i is None for i in ids], np.uint64)
-            head = [pack(np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)), pack(null), pack(sizes), pack(shard), pack(place[every])]
+            head = [pack(np.array([0 if i is None else i for i in ids], np.int64).view(np.uint64)), pack(null), pack(sizes), pack(shard), pack(place[every]), pack(np.array(carried, np.int64).view(np.uint64))]
             path = f"{folder}/{uuid.uuid4().hex}"
             write_file(path, b"".join(len(h).to_bytes(8, "little") + h for h in head))
             rows = [(-1, path.encode())]  # only this row leads to the file: what an ended attempt has left is never read
@@ -94,21 +97,24 @@ def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK) -> DataFrame
             block = first + count
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "shard", "data"])
 
-        ids, parts, local, held = [], [], _Local(), 0
+        ids, carried, parts, local, held = [], [], [], _Local(), 0
         for b in batches:
-            for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+            extra = b.column(carry).to_pylist() if carry else [0] * len(b)
+            for i, text, c in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), extra):
                 found = find(text or "")
                 ids.append(i)
+                carried.append(c)
                 parts.append(np.fromiter(map(local.__getitem__, found), np.int64, len(found)))
                 held += len(text or "")
                 if held >= size:
-                    yield out(ids, parts, local)
+                    yield out(ids, carried, parts, local)
                     count += 1
-                    ids, parts, local, held = [], [], _Local(), 0
+                    ids, carried, parts, local, held = [], [], [], _Local(), 0
         if ids:
-            yield out(ids, parts, local)
+            yield out(ids, carried, parts, local)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "block long, shard int, data binary")
+    extra = [F.col(carry).cast("long")] if carry else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *extra).mapInArrow(task, "block long, shard int, data binary")
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -116,11 +122,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
     return _encoded(docs, path, lambda made: made, "doc_id long, ids array<int>")
 
 
-def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFrame:
-    """What ``finish`` makes of the (doc_id, ids) of each block, in the task that put them together."""
+def _encoded(docs: DataFrame, path: str | None, finish, schema: str, carry: str | None = None) -> DataFrame:
+    """What ``finish`` makes of the (doc_id, ids, and the column to carry) of each block, in the task that put them together."""
     path = path or public_tokenizers.path(VOCABULARY)
     n = shards(docs.sparkSession)
-    cut = materialize(blocks(docs, n, new_folder(docs.sparkSession, "bpe-places")), "bpe-blocks")
+    cut = materialize(blocks(docs, n, new_folder(docs.sparkSession, "bpe-places"), carry=carry), "bpe-blocks")
 
     def answer(rows: pa.Table) -> pa.Table:
         one, known = coder(path)._core_bpe.encode_single_piece, {}
@@ -150,7 +156,7 @@ def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFram
             size = int.from_bytes(head[:8], "little")
             parts.append(head[8 : 8 + size])
             head = head[8 + size :]
-        doc_ids, null, sizes, shard, places = (unpack(p).view(np.int64) for p in parts)
+        doc_ids, null, sizes, shard, places, carried = (unpack(p).view(np.int64) for p in parts)
         count, flat, start = np.zeros(len(shard), np.int64), [], np.zeros(len(shard), np.int64)
         base_ = 0
         for s in sorted(k for k in got if k >= 0):
@@ -168,7 +174,8 @@ def _encoded(docs: DataFrame, path: str | None, finish, schema: str) -> DataFram
         docs_end = np.concatenate([[0], np.cumsum(sizes)])
         offsets = np.concatenate([[0], ends])[docs_end].astype(np.int32)
         ids = pa.array([None if z else i for i, z in zip(doc_ids.tolist(), null.tolist())], pa.int64())
-        return finish(pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))}))
+        extra = {carry: pa.array(carried)} if carry else {}
+        return finish(pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(tokens))} | extra))
 
     return cut.where("shard < 0").unionByName(answers).groupBy("block").applyInArrow(assemble, schema)
 
@@ -206,8 +213,8 @@ def decode(tokens: DataFrame, path: str | None = None) -> DataFrame:
     return tokens.mapInArrow(task, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema) + ", bytes binary")
 
 
-def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text encoded and decoded again, and its ids if asked for."""
+def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False, carry: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each text encoded and decoded again, and its ids and the column ``carry`` if asked for."""
     path = path or public_tokenizers.path(VOCABULARY)
 
     def finish(made: pa.Table) -> pa.Table:
@@ -219,9 +226,9 @@ def digests(docs: DataFrame, path: str | None = None, keep_ids: bool = False) ->
             ids_sha.append(hashlib.sha256(b" ".join(names[ids].tolist())).hexdigest())
             text_sha.append(hashlib.sha256(b"".join(table_[ids].tolist())).hexdigest())
         out = {"doc_id": made.column("doc_id"), "n_tokens": pa.array(count, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
-        return pa.table(out | ({"ids": made.column("ids")} if keep_ids else {}))
+        return pa.table(out | ({"ids": made.column("ids")} if keep_ids else {}) | ({carry: made.column(carry)} if carry else {}))
 
-    return _encoded(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids)
+    return _encoded(docs, path, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids + (f", {carry} long" if carry else ""), carry)
 
 
 def op8_bpe(spark, sf_dir):
