@@ -10,6 +10,14 @@ distance decides. Equal fingerprints are one node, so copies are never paired.
 Null and empty texts have fingerprint zero and link like any other. A null doc_id has a fingerprint
 and a component, but never names one (the smallest doc_id that is not null does; null if there is none).
 Repeated rows give repeated results. Other columns are ignored.
+
+``keep_one``, the pipeline's stage, promises more: of documents whose sets of five-word shingles have a
+Jaccard similarity of 0.8 or more, one stays. No number of differing bits promises that (such pairs were
+seen to differ in up to 14 of 64), so it does not use fingerprints: ``similar`` finds all those pairs by
+prefixes. In any one order of all shingles, two sets that similar share their first k common ones among the
+first n - ceil(0.8 n) + k of each; k grows with the set, so that few other pairs share as many. The order is by how often a shingle occurs in a sample of the texts, rare ones
+first: the sample decides what the join costs, never what it finds. Shingles stand for themselves by
+their 64-bit hash.
 """
 
 from __future__ import annotations
@@ -20,10 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import materialize, table, texts
+from riskloom.llm.shared import map_arrays, materialize, new_folder, table, texts, write_arrays
 
 DISTANCE, WIDTHS = 3, (10, 9, 9, 9, 9, 9, 9)
 SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
+#: Similarity as a fraction, the shingles whose frequency is held, one text in so many that is looked at for them; one shingle in so many that a candidate shares early.
+SIMILAR, COMMON, SAMPLE, SHARE = (4, 5), 500_000, 16, 16
 BUDGETS = tuple(DISTANCE * n // len(WIDTHS) for n in range(1, len(WIDTHS) + 1))
 
 
@@ -51,18 +61,118 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, fp long")
 
 
+def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; a text of fewer words is one shingle, no words none."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    grams = zip(*(words[i:] for i in range(shingle))) if len(words) >= shingle else (words,)
+    return np.unique(np.fromiter((xxh64_intdigest(b" ".join(g), 42) for g in grams), np.uint64))
+
+
+def _node(hashes: np.ndarray) -> int:
+    """The name of a set of shingles."""
+    return int(np.array([xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)], np.uint64).view(np.int64)[0])
+
+
 def _marked(docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows of ``docs`` with the fingerprint of their text as ``__fp``."""
+    """The rows of ``docs`` with the node of their text as ``__fp``."""
 
     def task(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
-            yield b.append_column("__fp", pa.array(fps))
+            yield b.append_column("__fp", pa.array([_node(shingles(t, shingle)) for t in texts(b)], pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(task, f"{fields}, __fp long")
 
 
+def _common(docs: DataFrame, shingle: int) -> str:
+    """A file of the shingles that several different texts of a sample have, with the number of texts."""
+
+    def task(batches):
+        for b in batches:
+            for t in texts(b):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle).view(np.int64))], ["h"])
+
+    sampled = docs.select(F.col("text").cast("string")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct()
+    counted = sampled.mapInArrow(task, "h long").groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    found = counted.orderBy(F.desc("n"), "h").limit(COMMON).toArrow()
+    h, n = (found.column(c).to_numpy() for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    path = new_folder(docs.sparkSession, "common-shingles")
+    write_arrays(path, {"h": h.view(np.uint64)[order], "n": n[order].astype(np.int64)})
+    return path
+
+
+def need(n: int) -> int:
+    """How many shingles of its prefix a set of n must share (the smaller of two sets' numbers holds for a pair)."""
+    return 1 + n // SHARE
+
+
+def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the shingles by (count, hash), ``need`` of which every set as similar has among its own."""
+    n, (up, down) = len(hashes), SIMILAR
+    count = np.zeros(n, np.int64)
+    if len(known) and n:
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        count = np.where(known[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((hashes, count))][: n - -(-up * n // down) + need(n) if n else 0]
+
+
+def sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, fp (the name of the text's set of shingles), n (its size) and prefix."""
+    path = _common(docs, shingle)
+
+    def task(batches):
+        held = map_arrays(path)
+        for b in batches:
+            fp, n, first = [], [], []
+            for t in texts(b):
+                h = shingles(t, shingle)
+                fp.append(_node(h))
+                n.append(len(h))
+                first.append(prefix(h, held["h"], held["n"]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "prefix"])
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, fp long, n long, prefix array<long>")
+
+
+def _whole(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(fp, hashes): the sets that ``asked(fp)`` names, made again from the texts rather than kept on disk for all."""
+    path = new_folder(docs.sparkSession, "asked")
+    write_arrays(path, {"fp": np.sort(asked.toArrow().column("fp").to_numpy())})
+
+    def task(batches):
+        names, seen = map_arrays(path)["fp"], set()
+        for b in batches:
+            for t in texts(b) if len(names) else ():
+                h = shingles(t, shingle)
+                fp = _node(h)
+                if fp not in seen and names[min(np.searchsorted(names, fp), len(names) - 1)] == fp:
+                    seen.add(fp)
+                    yield pa.RecordBatch.from_arrays([pa.array([fp]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], ["fp", "hashes"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(task, "fp long, hashes array<long>").dropDuplicates(["fp"])
+
+
+def similar(docs: DataFrame, found: DataFrame, shingle: int = 5) -> DataFrame:
+    """(a, b), a < b: the distinct sets of ``found`` (as of ``sets(docs)``) with a Jaccard similarity of 0.8 or more, all of them."""
+    up, down = SIMILAR
+    nodes = found.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"])
+    keyed = nodes.select("fp", F.col("n").cast("int"), F.explode("prefix").alias("key"))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    sizes = (F.col("a.n") * up <= F.col("b.n") * down) & (F.col("b.n") * up <= F.col("a.n") * down)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & sizes)
+    least = F.least("a.n", "b.n")
+    shared = met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("shared"), F.first(least).alias("n"))
+    pairs = materialize(shared.where(F.col("shared") >= F.expr(f"1 + n div {SHARE}")).select("a", "b"), "candidates")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
+    whole = materialize(_whole(docs, asked, shingle), "candidate-sets")
+    x, y = (whole.select(F.col("fp").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))  # i / (m + n - i) >= up / down, in whole numbers
+    return pairs.join(x, "a").join(y, "b").where(both * (up + down) >= (F.size("ha") + F.size("hb")) * up).select("a", "b")
+
+
 def _segment(fp, i: int):
     i %= len(WIDTHS)
     return F.shiftrightunsigned(fp, SHIFTS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
@@ -134,7 +244,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp, component_id (the smallest doc_id reachable by links of at most three bits)."""
     marked = materialize(fingerprints(docs, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    linked = materialize(components(links(nodes)), "components")
+    return _classes(marked, nodes, links(nodes))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
+    found = materialize(sets(docs, shingle), "sets")
+    marked = found.select("doc_id", "fp")
+    return _classes(marked, marked.groupBy("fp").agg(F.min("doc_id").alias("first")), similar(docs, found, shingle))
+
+
+def _classes(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``marked(doc_id, fp)`` with the component of its fp, one of ``nodes(fp, first)``, under ``edges``."""
+    linked = materialize(components(edges), "components")
     rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = rooted.join(lowest, "root").select("fp", "component_id")
@@ -142,12 +264,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Rows of ``docs`` with one document of each component: the one with the smallest doc_id.
+    """Rows of ``docs`` with one document of each component of similar ones: the one with the smallest doc_id.
 
     Rows that repeat that doc_id are one row, by the first fingerprint; rows without doc_id stay
     only where no document of their component has one, one for each fingerprint.
     """
-    found = near_duplicates(docs, shingle)
+    found = similar_groups(docs, shingle)
     kept = found.where((F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull()))
     ids = kept.where("doc_id is not null").select("doc_id").distinct()
     rows = docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")

@@ -1,10 +1,13 @@
 """The stages of the pipeline on small fixtures."""
 
+import itertools
 from collections import Counter
 
 import corpus_pipeline
-from riskloom.llm import mixing
-from riskloom.llm.shared import materialize
+from riskloom.llm import mixing, simhash
+from riskloom.llm.shared import materialize, table
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_position_follows_the_weights_to_the_end(spark):
@@ -18,3 +21,31 @@ def test_position_follows_the_weights_to_the_end(spark):
     for n, r in enumerate(sorted(out, key=lambda r: r.position), 1):
         seen[source[r.doc_id]] += 1
         assert all(abs(seen[s] - n * sizes[s] / total) < mixing.BLOCK for s in sizes)
+
+
+def grams(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+
+def test_dedup_finds_every_pair_of_similarity_four_fifths(spark):
+    words = [f"w{i}" for i in range(94)]  # 90 shingles; k changed words at the end leave 90 - k of 90 + k
+    near = [(10_000 + k, " ".join(words[: 94 - k] + [f"x{k}y{i}" for i in range(k)]), "en", "s") for k in (0, 9, 10, 11)]
+    docs = table(spark, SF, "documents").select("doc_id", "text", "lang", "source").unionByName(spark.createDataFrame(near, "doc_id long, text string, lang string, source string"))
+    rows = {r.doc_id: grams(r.text) for r in docs.collect()}
+    root = {i: i for i in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sorted(rows), 2):
+        a, b = rows[i], rows[j]
+        if (not a and not b) or 5 * len(a & b) >= 4 * len(a | b) > 0:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    assert find(10_010) == 10_000 and find(10_011) == 10_011  # 80 / 100 is near, 79 / 101 is not
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == {i: find(i) for i in rows}
+    assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == sorted({find(i) for i in rows})
