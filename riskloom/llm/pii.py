@@ -33,7 +33,12 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: Length of each country's IBAN (ISO 13616): tried first where a proposal runs on into the words after it.
+_LENGTHS = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 "
+    "HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 "
+    "RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _SECRET = re.compile(r"(?<![A-Za-z0-9_+/=-])[A-Za-z0-9_+/=-]{20,}")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -67,6 +72,25 @@ def _emails(text: str):
         at = text.find("@", max(at + 1, low))
 
 
+def _ibans(text: str):
+    """Where mod-97 holds: from each possible start the end at the country's length, else the last end of a word that passes."""
+    m = _IBAN.search(text)
+    while m:
+        start, usual, at = m.start(), _LENGTHS.get(m[0][:2]), m.start() + 2
+        ends = {}
+        for e in range(start + 15, m.end() + 1):
+            if text[e - 1] != " " and not (text[e : e + 1].isascii() and text[e : e + 1].isalnum()):
+                size = e - start - text.count(" ", start, e)
+                if size >= 15:
+                    ends[size] = e
+        for size in sorted(ends, key=lambda n: (n != usual, -n)):
+            if mod97(text[start : ends[size]]):
+                at = ends[size]
+                yield start, at
+                break
+        m = _IBAN.search(text, at)
+
+
 def _proposals(text: str, lower: str):
     """(kind, start, end, checked): checked is None where the kind has no checksum."""
     for s, e in _emails(text):
@@ -81,8 +105,8 @@ def _proposals(text: str, lower: str):
     for m in _PHONE.finditer(text):
         if 9 <= len(_NOT_DIGIT.sub("", m[0])) <= 15:
             yield "phone", *m.span(), None
-    for m in _IBAN.finditer(text):
-        yield "iban", *m.span(), mod97(m[0])
+    for s, e in _ibans(text):
+        yield "iban", s, e, True
     if any(w in lower for w in CONTEXT["ssn"]):  # without context such a span never reaches the threshold
         for m in _SSN.finditer(text):
             yield "ssn", *m.span(), None

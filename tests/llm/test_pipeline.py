@@ -3,8 +3,10 @@
 import itertools
 from collections import Counter
 
+import pytest
+
 import corpus_pipeline
-from riskloom.llm import mixing, simhash
+from riskloom.llm import mixing, pii, simhash
 from riskloom.llm.shared import materialize, table
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +51,20 @@ def test_dedup_finds_every_pair_of_similarity_four_fifths(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
     assert got == {i: find(i) for i in rows}
     assert sorted(r.doc_id for r in corpus_pipeline.dedup_stage(spark, docs, "").collect()) == sorted({find(i) for i in rows})
+
+
+IBANS = [
+    "iban DE89 3704 0044 0532 0130 00 BIC X and more", "iban DE89370400440532013000 EUR 250", "DE89 3704 0044 0532 0130 00 2024-01-01", "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX OF THE BANK",
+    "KD12 DE89 3704 0044 0532 0130 00", "DE89 3704 0044 0532 0130 00", "iban GB82 WEST 1234 5698 7654 32 NO 7", "iban NO9386011117947 AB", "DE89 3704 0044 0532 0130 00 Bank",
+]
+
+
+@pytest.mark.parametrize("text", IBANS)
+def test_iban_before_capitals_and_numbers(text):
+    found = [text[s:e] for kind, s, e, _ in pii.spans(text) if kind == "iban"]
+    assert [x.replace(" ", "") for x in found] == ["GB82WEST12345698765432" if "GB82" in text else "NO9386011117947" if "NO93" in text else "DE89370400440532013000"]
+
+
+def test_no_iban_where_the_checksum_fails():
+    for text in ("iban DE88 3704 0044 0532 0130 00 BIC X", "iban DE89370400440532013000EUR", "iban xDE89370400440532013000", "AB12 " * 2000):
+        assert not [x for x in pii.spans(text) if x[0] == "iban"]
