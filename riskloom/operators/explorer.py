@@ -121,9 +121,10 @@ def page(df: DataFrame, limit: int, offset: int = 0, order: tuple[str, ...] = ("
 
 
 def merged(stores: list[DataFrame], limit: int, key: str = "event_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The newest rows of several stores, each id once: every store first gives its own top rows."""
-    tops = [s.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(limit + 1) for s in stores]
-    every = reduce(lambda a, b: a.unionByName(b), tops).dropDuplicates([key])
+    """The newest rows of several stores, each id once by its newest row: every store first gives the top of its ids."""
+    names = stores[0].columns
+    tops = [latest(s, [key], list(order)).orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(limit + 1) for s in stores]
+    every = latest(reduce(lambda a, b: a.unionByName(b), tops), [key], list(order)).select(*names)
     return every.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(limit)
 
 
