@@ -199,8 +199,19 @@ def enriched_page(spark, sf_dir):
 @R.query("event_detail_window", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from (select * from obs where event_id % 500 = 7) o
   join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
 def event_detail_window(spark, sf_dir):
+    """The rows of ``event_detail_window_all`` for a slice of the events, which this query's SQL fixes."""
+    return _detail_window(spark, sf_dir, observations(spark, sf_dir).where("event_id % 500 = 7"))
+
+
+@R.query("event_detail_window_all", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from obs o
+  join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
+def event_detail_window_all(spark, sf_dir):
+    return _detail_window(spark, sf_dir, observations(spark, sf_dir))
+
+
+def _detail_window(spark, sf_dir, obs):
     """Risk events of the same agent within two days of an event, met by agent and day, then by time."""
-    events = observations(spark, sf_dir).where("event_id % 500 = 7").select("event_id", "agent_id", "ts")
+    events = obs.select("event_id", "agent_id", "ts")
     days = events.withColumn("day", F.explode(F.sequence(F.to_date(F.col("ts") - F.expr("interval 2 days")), F.to_date(F.col("ts") + F.expr("interval 2 days")))))
     risk = risk_events(spark, sf_dir).select("agent_id", "risk_id", "created_at", "risk_score", F.to_date("created_at").alias("day"))
     met = days.join(risk, ["agent_id", "day"]).where(F.col("created_at").between(F.col("ts") - F.expr("interval 2 days"), F.col("ts") + F.expr("interval 2 days")))
@@ -254,7 +265,16 @@ def stats_collector_status(spark, sf_dir):
 
 @R.query("rollup_minute", f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs where ts < timestamp '2024-01-04' group by 1, 2, 3, 4")
 def rollup_minute(spark, sf_dir):
-    obs = observations(spark, sf_dir).where(X.within(F.col("ts"), end=datetime(2024, 1, 4), half_open=True))
+    """The rows of ``rollup_minute_all`` for three days, which this query's SQL fixes."""
+    return _by_minute(observations(spark, sf_dir).where(X.within(F.col("ts"), end=datetime(2024, 1, 4), half_open=True)))
+
+
+@R.query("rollup_minute_all", f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs group by 1, 2, 3, 4")
+def rollup_minute_all(spark, sf_dir):
+    return _by_minute(observations(spark, sf_dir))
+
+
+def _by_minute(obs):
     return X.minute_rollup(obs, ["collector", "status", "agent_id"]).groupBy("minute", "collector", "status", "agent_id").agg(F.count("event_id").alias("events"))
 
 

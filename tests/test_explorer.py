@@ -1,7 +1,10 @@
 """Explorer operators over repeated rows, and queries over whole tables."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from riskloom.operators import explorer
 
 
@@ -16,3 +19,22 @@ def test_an_id_counts_by_its_newest_row(spark):
     old = spark.createDataFrame([(1, 1), (2, 5)], "event_id long, ts long")
     new = spark.createDataFrame([(1, 9), (3, None)], "event_id long, ts long")
     assert [(r.event_id, r.ts) for r in explorer.merged([old, new], 3).collect()] == [(1, 9), (2, 5), (3, None)]
+
+
+@pytest.mark.parametrize("name", ["event_detail_window", "rollup_minute"])
+def test_whole_table_against_sql_and_the_slice(spark, name):
+    con, sql = duckdb.connect(), __spark_entry__.oracle_sql()
+    con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
+    df = __spark_entry__.queries()[f"{name}_all"](spark, "/root/testdata/sf0.001")
+    names = ", ".join(df.columns)
+    whole = sorted(map(repr, con.execute(f"select {names} from ({sql[f'{name}_all']})").fetchall()))
+    assert sorted(repr(tuple(r)) for r in df.collect()) == whole
+    assert set(map(repr, con.execute(f"select {names} from ({sql[name]})").fetchall())) < set(whole)
+
+
+def test_whole_table_leaves_no_event_out(spark):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+    every = __spark_entry__.queries()
+    assert every["rollup_minute_all"](spark, "/root/testdata/sf0.001").agg(F.sum("events")).first()[0] == events
+    # an event is within two days of its own agent's risk row unless its snapshot is named after another agent
+    assert every["event_detail_window_all"](spark, "/root/testdata/sf0.001").select("event_id").distinct().count() > events * 0.9
