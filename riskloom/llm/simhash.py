@@ -9,22 +9,27 @@ distance decides. Equal fingerprints are one node, so copies are never paired.
 
 Null and empty texts have fingerprint zero and link like any other. A null doc_id has a fingerprint
 and a component, but never names one (the smallest doc_id that is not null does; null if there is none).
-Repeated rows give repeated results. Other columns are ignored.
+Repeated rows give repeated results. Other columns are ignored. An empty table gives an empty one.
 
 ``keep_one``, the pipeline's stage, promises more: of documents whose sets of five-word shingles have a
 Jaccard similarity of 0.8 or more, one stays. No number of differing bits promises that (such pairs were
-seen to differ in up to 14 of 64), so it does not use fingerprints: ``similar`` finds all those pairs by
-prefixes. In any one order of all shingles, two sets that similar share their first k common ones among the
-first n - ceil(0.8 n) + k of each; k grows with the set, so that few other pairs share as many. The order is by how often a shingle occurs in a sample of the texts, rare ones
-first: the sample decides what the join costs, never what it finds. Shingles stand for themselves by
-their 64-bit hash.
+seen to differ in up to 14 of 64, and segments for 14 would have four bits), so links of three bits only
+propose, and what they leave is found by prefixes. In any one order of all shingles, two sets that similar
+share their first k common ones among the first n - ceil(0.8 n) + k of each; k grows with the set, so that
+few other pairs share as many. The order is by how often a shingle occurs in a sample of the texts, rare
+ones first: the sample decides what the join costs, never what it finds. Shingles stand for themselves by
+their 64-bit hash. Every link is confirmed by the two whole sets.
+
+Only components are asked for, so pairs inside a cloud of near copies are not listed. First each set is
+tried with a few leaders, which the members of a prefix key have in common; then pairs are sought only
+between sets that are still in different components, by the keys that such sets share.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -34,6 +39,10 @@ DISTANCE, WIDTHS = 3, (10, 9, 9, 9, 9, 9, 9)
 SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
 #: Similarity as a fraction, the shingles whose frequency is held, one text in so many that is looked at for them; one shingle in so many that a candidate shares early.
 SIMILAR, COMMON, SAMPLE, SHARE = (4, 5), 500_000, 16, 16
+#: Orders of the sets, each by the exclusive or of its number with the name: a key's leaders are the first in each.
+LEADERS = tuple(i << 61 if i < 4 else (i << 61) - (1 << 64) for i in range(8))
+#: So many names are broadcast at most (8 MB); more are joined by a shuffle.
+NAMES = 1 << 20
 BUDGETS = tuple(DISTANCE * n // len(WIDTHS) for n in range(1, len(WIDTHS) + 1))
 
 
@@ -43,7 +52,10 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if not words:
         return 0
     grams = [b" ".join(x) for x in zip(*(words[i:] for i in range(shingle)))] or [b" ".join(words)]
-    hashes = np.array([xxh64_intdigest(g, 42) for g in grams], "<u8")
+    return _majority(np.array([xxh64_intdigest(g, 42) for g in grams], "<u8"))
+
+
+def _majority(hashes: np.ndarray) -> int:
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):  # bits of a long text by parts
         ones += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -120,64 +132,108 @@ def prefix(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndar
 
 
 def sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, fp (the name of the text's set of shingles), n (its size) and prefix."""
+    """doc_id, fp (the name of the text's set of shingles), sim (the set's SimHash), n (its size) and prefix."""
     path = _common(docs, shingle)
 
     def task(batches):
         held = map_arrays(path)
         for b in batches:
-            fp, n, first = [], [], []
+            rows = []
             for t in texts(b):
                 h = shingles(t, shingle)
-                fp.append(_node(h))
-                n.append(len(h))
-                first.append(prefix(h, held["h"], held["n"]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp, pa.int64()), pa.array(n, pa.int64()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "fp", "n", "prefix"])
+                sim = int(np.array([_majority(h) if len(h) else 0], np.uint64).view(np.int64)[0])
+                rows.append((_node(h), sim, len(h), prefix(h, held["h"], held["n"]).view(np.int64)))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], ["doc_id", "fp", "sim", "n", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, fp long, n long, prefix array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(task, "doc_id long, fp long, sim long, n long, prefix array<long>")
 
 
-def _whole(docs: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """(fp, hashes): the sets that ``asked(fp)`` names, made again from the texts rather than kept on disk for all."""
-    path = new_folder(docs.sparkSession, "asked")
-    write_arrays(path, {"fp": np.sort(asked.toArrow().column("fp").to_numpy())})
+def _whole(docs: DataFrame, found: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(fp, hashes): the sets that ``asked(fp)`` names, made again from one text each rather than kept on disk for all."""
+    ids = materialize(found.join(asked, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("id")), "asked")
+    few = ids.count() <= NAMES
+    bounded = lambda df: F.broadcast(df) if few else df
+    chosen = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string"))
+    chosen = chosen.join(bounded(ids.select("id").distinct()), F.col("d").eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def task(batches):
-        names, seen = map_arrays(path)["fp"], set()
         for b in batches:
-            for t in texts(b) if len(names) else ():
-                h = shingles(t, shingle)
-                fp = _node(h)
-                if fp not in seen and names[min(np.searchsorted(names, fp), len(names) - 1)] == fp:
-                    seen.add(fp)
-                    yield pa.RecordBatch.from_arrays([pa.array([fp]), pa.array([h.view(np.int64)], pa.list_(pa.int64()))], ["fp", "hashes"])
+            got = [shingles(t, shingle) for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in got], pa.int64()), pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64()))], ["fp", "hashes"])
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(task, "fp long, hashes array<long>").dropDuplicates(["fp"])
+    made = chosen.mapInArrow(task, "fp long, hashes array<long>")
+    return made.join(bounded(ids.select("fp")), "fp", "left_semi").dropDuplicates(["fp"])  # a repeated doc_id has other texts too
 
 
-def similar(docs: DataFrame, found: DataFrame, shingle: int = 5) -> DataFrame:
-    """(a, b), a < b: the distinct sets of ``found`` (as of ``sets(docs)``) with a Jaccard similarity of 0.8 or more, all of them."""
+def confirmed(docs: DataFrame, found: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
+    """The pairs (a, b) of sets whose Jaccard similarity is 0.8 or more."""
     up, down = SIMILAR
-    nodes = found.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"])
-    keyed = nodes.select("fp", F.col("n").cast("int"), F.explode("prefix").alias("key"))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    sizes = (F.col("a.n") * up <= F.col("b.n") * down) & (F.col("b.n") * up <= F.col("a.n") * down)
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & sizes)
-    least = F.least("a.n", "b.n")
-    shared = met.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("shared"), F.first(least).alias("n"))
-    pairs = materialize(shared.where(F.col("shared") >= F.expr(f"1 + n div {SHARE}")).select("a", "b"), "candidates")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct()
-    whole = materialize(_whole(docs, asked, shingle), "candidate-sets")
+    pairs = materialize(pairs, "candidates")
+    whole = materialize(_whole(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), shingle), "candidate-sets")
     x, y = (whole.select(F.col("fp").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb"))  # i / (m + n - i) >= up / down, in whole numbers
     return pairs.join(x, "a").join(y, "b").where(both * (up + down) >= (F.size("ha") + F.size("hb")) * up).select("a", "b")
 
 
+def _ordered(a, b) -> list:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def _bit_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): for each SimHash its sets with the first of them, and the firsts of the SimHashes that are linked."""
+    first = nodes.groupBy("sim").agg(F.min("fp").alias("first"))
+    same = nodes.join(first, "sim").where("fp != first").select(*_ordered("fp", "first"))
+    x, y = (first.select(F.col("sim").alias(c), F.col("first").alias(f"f{c}")) for c in "ab")
+    near = links(first.select(F.col("sim").alias("fp"))).join(x, "a").join(y, "b")
+    return same.unionByName(near.select(*_ordered("fa", "fb")))
+
+
+def similar(docs: DataFrame, found: DataFrame, shingle: int = 5) -> DataFrame:
+    """(a, b): pairs of sets of ``found`` (as of ``sets(docs)``) of similarity 0.8 or more, which reach whatever all such pairs reach."""
+    up, down = SIMILAR
+    nodes = found.where("n > 0").select("fp", "sim", "n", "prefix").dropDuplicates(["fp"])
+    keyed = nodes.select("fp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
+    heads = [F.min(F.col("fp").bitwiseXOR(F.lit(c))).alias(f"l{i}") for i, c in enumerate(LEADERS)]
+    led = keyed.groupBy("key").agg(F.count("*").alias("members"), *heads).where("members > 1").drop("members")
+    keyed = materialize(keyed.join(led, "key"), "shared-keys")
+
+    tried = F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(LEADERS)]))
+    met = keyed.select("fp", F.explode(tried).alias("leader")).where("fp != leader").groupBy("fp", "leader").agg(F.count("*").alias("shared"))
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("shared"), "leader"))).where(F.col("rank") <= len(LEADERS))
+    proposed = best.select(*_ordered("fp", "leader")).unionByName(_bit_links(nodes.select("fp", "sim"))).distinct()
+    near = materialize(confirmed(docs, found, proposed, shingle), "near")
+
+    linked = materialize(components(near), "near-components")
+    rooted = keyed.select("key", "fp", "n").join(linked, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
+    rooted = materialize(rooted, "rooted-keys")
+    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
+    rooted = materialize(rooted.join(open_, "key", "left_semi"), "open-keys")
+    a, b = rooted.alias("a"), rooted.alias("b")
+    sizes = (F.col("a.n") * up <= F.col("b.n") * down) & (F.col("b.n") * up <= F.col("a.n") * down)
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & sizes)
+    shared = pairs.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("a.n", "b.n")).alias("n"))
+    rest = confirmed(docs, found, shared.where(F.col("shared") >= F.expr(f"1 + n div {SHARE}")).select("a", "b"), shingle)
+    return near.unionByName(rest)
+
+
 def _segment(fp, i: int):
     i %= len(WIDTHS)
     return F.shiftrightunsigned(fp, SHIFTS[i]).bitwiseAND((1 << WIDTHS[i]) - 1)
 
 
+def ring(x, start):
+    """Whether every chain of segments from ``start`` has no more differing bits (set in ``x``) than its budget."""
+    fits = F.lit(False)
+    for first in range(len(WIDTHS)):
+        total, chain = F.lit(0), F.lit(True)
+        for n, budget in enumerate(BUDGETS):
+            total = total + F.bit_count(_segment(x, first + n))
+            chain = chain & (total <= budget)
+        fits = F.when(start == first, chain).otherwise(fits)
+    return fits
+
+
 def links(nodes: DataFrame) -> DataFrame:
     """(a, b), a < b: the distinct fingerprints of ``nodes(fp)`` that differ in at most three bits."""
     fp, entries = F.col("fp"), []
@@ -189,18 +245,7 @@ def links(nodes: DataFrame) -> DataFrame:
     keyed = nodes.select("fp", F.explode(F.array(*entries)).alias("e")).select("fp", "e.start", "e.key")
     a, b = keyed.alias("a"), keyed.alias("b")
     x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    chain = []
-    for start in range(len(WIDTHS)):
-        total, fits = F.lit(0), F.lit(True)
-        for n, budget in enumerate(BUDGETS):
-            total = total + F.bit_count(_segment(x, start + n))
-            fits = fits & (total <= budget)
-        chain.append((F.col("a.start") == start) & fits)
-    ring = chain[0]
-    for c in chain[1:]:
-        ring = ring | c
-    near = F.bit_count(x) <= DISTANCE
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & near & ring)
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & ring(x, F.col("a.start")) & (F.bit_count(x) <= DISTANCE))
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
@@ -248,41 +293,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
+    """doc_id, fp, root, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
     found = materialize(sets(docs, shingle), "sets")
     marked = found.select("doc_id", "fp")
-    return _classes(marked, marked.groupBy("fp").agg(F.min("doc_id").alias("first")), similar(docs, found, shingle))
+    return _classes(marked, marked.groupBy("fp").agg(F.min("doc_id").alias("first")), similar(docs, found, shingle), "root")
 
 
-def _classes(marked: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _classes(marked: DataFrame, nodes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:
     """``marked(doc_id, fp)`` with the component of its fp, one of ``nodes(fp, first)``, under ``edges``."""
     linked = materialize(components(edges), "components")
     rooted = nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = rooted.join(lowest, "root").select("fp", "component_id")
-    return marked.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = rooted.join(lowest, "root").select("fp", "root", "component_id")
+    return marked.join(classes, "fp").select("doc_id", "fp", *more, "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """Rows of ``docs`` with one document of each component of similar ones: the one with the smallest doc_id.
+    """Rows of ``docs`` with one of each component of similar texts: the one with the smallest doc_id (null is the largest).
 
-    Rows that repeat that doc_id are one row, by the first fingerprint; rows without doc_id stay
-    only where no document of their component has one, one for each fingerprint.
+    Among rows that share that doc_id, the first set of the component decides, then the smallest hash of
+    all columns; a row of another component stays, whatever its doc_id.
     """
-    found = similar_groups(docs, shingle)
-    kept = found.where((F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull()))
-    ids = kept.where("doc_id is not null").select("doc_id").distinct()
-    rows = docs.join(ids, docs["doc_id"].cast("long") == ids["doc_id"], "left_semi")
-    names, lone = docs.columns, None
-    if kept.where("doc_id is null").limit(1).count():
-        alone = kept.where("doc_id is null").select(F.col("fp").alias("__fp")).distinct()
-        lone = _marked(docs.where("doc_id is null"), shingle).join(alone, "__fp", "left_semi").dropDuplicates(["__fp"]).select(*names)
-    once = rows.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1")
-    if once.limit(1).count():  # repeated doc_ids: the row with the smallest hash of all its columns
-        mark = F.xxhash64(*names)
-        best = rows.groupBy("doc_id").agg(F.min(mark).alias("__m"))
-        rows = rows.withColumn("__m", mark).join(best, ["doc_id", "__m"], "left_semi").dropDuplicates(["doc_id"]).select(*names)
-    return rows if lone is None else rows.unionByName(lone)
+    found = materialize(similar_groups(docs, shingle), "groups")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
+    kept = materialize(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.fp").alias("__of")), "kept")
+    often = found.groupBy("doc_id").agg(F.count("*").alias("__n")).where("__n > 1").select(F.col("doc_id").alias("__o"))
+    same, names = F.col("__id").eqNullSafe(F.col("__o")), docs.columns
+    own = lambda df, on: df.join(on, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    rows, several = own(docs, kept.join(often, same, "left_anti").select("__id")), kept.join(often, same, "left_semi")
+    if several.limit(1).count():  # doc_ids of several rows: the row is told by its set
+        found = _marked(own(docs, several.select("__id").distinct()), shingle).withColumn("__m", F.xxhash64(*names))
+        found = found.join(several, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__of")), "left_semi")
+        best = found.groupBy(F.col("doc_id").alias("__d"), F.col("__fp").alias("__f")).agg(F.min("__m").alias("__least"))
+        found = found.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f")) & (F.col("__m") == F.col("__least")), "left_semi")
+        rows = rows.unionByName(found.dropDuplicates(["doc_id", "__fp"]).select(*names))
+    return rows
 
 
 def op10_simhash(spark, sf_dir):

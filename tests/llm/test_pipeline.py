@@ -68,3 +68,30 @@ def test_iban_before_capitals_and_numbers(text):
 def test_no_iban_where_the_checksum_fails():
     for text in ("iban DE88 3704 0044 0532 0130 00 BIC X", "iban DE89370400440532013000EUR", "iban xDE89370400440532013000", "AB12 " * 2000):
         assert not [x for x in pii.spans(text) if x[0] == "iban"]
+
+
+def test_dedup_keeps_other_texts_of_a_repeated_doc_id(spark):
+    rows = [(1, "one two three four five six", "a"), (1, "quite another text with other words", "a"), (2, "a third text that is like no other", "a"), (2, "a third text that is like no other", "b"), (None, "lone row without any name", "a"), (None, "one two three four five six", "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `__n` string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == sorted([(1, rows[0][1]), (1, rows[1][1]), (2, rows[2][1]), (0, rows[4][1])])
+
+
+def test_dedup_of_a_cloud_of_near_copies(spark):
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(x if (j * 7 + i * 13) % 97 else f"v{i}" for j, x in enumerate(base))) for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets_ = {i: grams(t) for i, t in rows}
+    root = {i: i for i in sets_}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, j in itertools.combinations(sets_, 2):
+        if 5 * len(sets_[i] & sets_[j]) >= 4 * len(sets_[i] | sets_[j]):
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {i: find(i) for i in sets_}

@@ -159,3 +159,13 @@ def test_quality_against_labels(spark):
 def test_quality_edge_rows(spark):
     assert quality.keep_good(odd(spark)).columns == odd(spark).columns
     assert quality.keep_good(empty(spark)).count() == 0
+
+
+def test_pigeonring_chain_prunes_what_a_key_brings_together(spark):
+    from pyspark.sql import functions as F
+
+    spread = sum(1 << s for s in simhash.SHIFTS[2:5])  # three bits, one in each of three segments after two equal ones
+    close = 0b111 << simhash.SHIFTS[2]  # three bits in the third segment: over its budget of one
+    df = spark.createDataFrame([(spread,), (close,), (0,)], "x long")
+    got = {r.x: [r[f"s{i}"] for i in range(7)] for r in df.select("x", *(simhash.ring(F.col("x"), F.lit(i)).alias(f"s{i}") for i in range(7))).collect()}
+    assert got[0] == [True] * 7 and not got[close][0] and any(got[close]) and any(got[spread])
