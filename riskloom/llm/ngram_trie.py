@@ -12,8 +12,8 @@ Probabilities are interpolated: p(w | u v) = c(u v w) / (c(u v) + M) + M / (c(u
 the same way down to p(w) = (c(w) + 1) / (N + V + 1), which leaves 1 / (N + V + 1) for words not seen.
 
 Texts are lower-cased (A-Z), cut at blanks and end with one end mark that counts as a token. The trie
-is split by the hash of pairs into as many files as the session has shuffle partitions; a context's
-triples are in the file of its pair. Files lie in the shared folder and are memory-mapped by the tasks
+is split by the hash of pairs into files of about ``SHARD`` bytes of training text (no fewer than the
+session has shuffle partitions); a context's triples are in the file of its pair, and a task makes a file. Files lie in the shared folder and are memory-mapped by the tasks
 that score. Counts travel packed and summed up, so a frequent pair costs one entry a task and flush.
 
 Null and empty texts are the end mark alone. A null doc_id is trained on. Repeated rows count each.
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import map_arrays, mix, new_folder, pack, shard_of, shards, starts_of, table, texts, unpack, write_arrays
+from riskloom.llm.shared import by_shard, map_arrays, mix, new_folder, pack, shard_of, shards_for, starts_of, table, texts, unpack, write_arrays
 
 END = b""  # no word is empty
 FLUSH, WEIGHT2, WEIGHT3 = 1 << 20, 8.0, 4.0
 STEP = 0.04  # of log10 for each code
 ONE = np.uint64(1)
+#: Bytes of text to a shard; entries that a shard holds before it adds up equal ones; words of a block that fit three to a number.
+SHARD, HELD, LOCAL = 24 << 20, 4 << 20, 1 << 21
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -171,11 +173,50 @@ def _split(data: bytes) -> list[bytes]:
 _ROW = [("shard", pa.int32()), ("data", pa.binary())]
 
 
+def triples_of(seq: np.ndarray, real: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct runs of three numbers below ``size`` in ``seq`` in ascending order, and how often each stands at a ``real`` place."""
+    size = np.uint64(size)
+    if size <= LOCAL:
+        key, count = np.unique(((seq[:-2] * size + seq[1:-1]) * size + seq[2:])[real], return_counts=True)
+        pair, last = key // size, key % size
+    else:  # the block of a text with more words than fit: the pairs are numbered first
+        pairs, place = np.unique((seq[:-2] * size + seq[1:-1])[real], return_inverse=True)
+        key, count = np.unique(place.astype(np.uint64) * size + seq[2:][real], return_counts=True)
+        pair, last = pairs[(key // size).astype(np.int64)], key % size
+    return pair // size, pair % size, last, count
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Columns of keys (the first is the highest) and, last, counts: ascending, equal keys added up."""
+    *keys, count = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort(keys[::-1])
+    keys, count = [k[order] for k in keys], count[order]
+    new = np.zeros(len(count), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    return (*(k[at] for k in keys), np.add.reduceat(count, at) if len(at) else count)
+
+
+def _gathered(batches, read) -> tuple[np.ndarray, ...]:
+    """All that the packed rows of a shard hold, added up whenever much has come in."""
+    parts, held = [], 0
+    for b in batches:
+        for data in b.column("data").to_pylist():
+            parts.append(read(_split(data)))
+            held += len(parts[-1][0])
+            if held > 2 * HELD:
+                parts = [summed(parts)]
+                held = max(len(parts[0][0]), HELD)
+    return summed(parts)
+
+
 def train(docs: DataFrame) -> dict:
     """Write the model of ``docs(text)`` to the shared folder; what is returned is its place and a few totals."""
     spark = docs.sparkSession
-    n, folder = shards(spark), new_folder(spark, "trie")
     rows = docs.select(F.col("text").cast("string"))
+    n, folder = shards_for(rows, SHARD), new_folder(spark, "trie")
 
     def words(batches):
         for _, parts, local in _flushes(batches):
@@ -183,19 +224,14 @@ def train(docs: DataFrame) -> dict:
             order = np.argsort(keys)
             keys, count = keys[order], count[order]
             cuts = np.searchsorted(shard_of(keys, n), np.arange(n + 1))
-            yield _batch([(s, _join([pack(keys[cuts[s] : cuts[s + 1]], True), pack(count[cuts[s] : cuts[s + 1]])])) for s in range(n) if cuts[s] < cuts[s + 1]], _ROW)
-
-    def vocabulary(rows: pa.Table) -> pa.Table:
-        s, parts = rows.column("shard")[0].as_py(), [_split(d) for d in rows.column("data").to_pylist()]
-        keys, count = np.concatenate([unpack(p[0], True) for p in parts]), np.concatenate([unpack(p[1]) for p in parts])
-        order = np.argsort(keys)
-        keys, count = keys[order], count[order]
-        at = starts_of(keys)
-        count = np.add.reduceat(count, at)
-        write_arrays(f"{folder}/words-{s:05d}", {"keys": keys[at], "counts": count})
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(at)], pa.int64()), "total": pa.array([int(count.sum())], pa.int64())})
-
-    made = rows.mapInArrow(words, "shard int, data binary").groupBy("shard").applyInArrow(vocabulary, "shard int, n long, total long").collect()  # a row a shard
+            yield _batch([(s, _join([pack(keys[cuts[s] : cuts[s + 1]], True), pack(count[cuts[s] : cuts[s + 1]])])) for s in np.flatnonzero(np.diff(cuts)).tolist()], _ROW)
+
+    def vocabulary(s, batches):
+        keys, count = _gathered(batches, lambda p: (unpack(p[0], True), unpack(p[1]).astype(np.int64)))
+        write_arrays(f"{folder}/words-{s:05d}", {"keys": keys, "counts": count.astype(np.uint32 if count.max() < 1 << 32 else np.int64)})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "total": pa.array([int(count.sum())], pa.int64())})
+
+    made = by_shard(rows.mapInArrow(words, "shard int, data binary"), n, vocabulary, "shard int, n long, total long").collect()  # a row a shard
     sizes = np.zeros(n + 1, np.int64)
     for r in made:
         sizes[r["shard"] + 1] = r["n"]
@@ -218,14 +254,11 @@ def train(docs: DataFrame) -> dict:
             start, after = rank[-2], rank[-1]
             seq = np.concatenate([np.concatenate([[start, start], rank[p], [after]]) for p in parts]).astype(np.uint64)
             ends = np.cumsum([len(p) + 3 for p in parts])
-            key = (seq[:-2] << np.uint64(42)) | (seq[1:-1] << np.uint64(21)) | seq[2:]
-            real = np.ones(len(key), bool)
+            real = np.ones(len(seq) - 2, bool)
             for back in (1, 2):
                 real[ends[:-1] - back] = False
-            key, count = np.unique(key[real], return_counts=True)
-            low21 = np.uint64((1 << 21) - 1)
-            pair = both[(key >> np.uint64(42)).astype(np.int64)] * universe + both[((key >> np.uint64(21)) & low21).astype(np.int64)]
-            word = both[(key & low21).astype(np.int64)]
+            a, b, c, count = triples_of(seq, real, len(both))
+            pair, word = both[a.astype(np.int64)] * universe + both[b.astype(np.int64)], both[c.astype(np.int64)]
             shard = shard_of(mix(pair), n).astype(np.int32)
             order = np.argsort(shard, kind="stable")
             cuts = np.searchsorted(shard[order], np.arange(n + 1))
@@ -235,16 +268,8 @@ def train(docs: DataFrame) -> dict:
                 out.append((s, _join([pack(pair[at], True), pack(word[at]), pack(count[at])])))
             yield _batch(out, _ROW)
 
-    def trie(rows: pa.Table) -> pa.Table:
-        s, parts = rows.column("shard")[0].as_py(), [_split(d) for d in rows.column("data").to_pylist()]
-        pair = np.concatenate([unpack(p[0], True) for p in parts])
-        word = np.concatenate([unpack(p[1]) for p in parts])
-        count = np.concatenate([unpack(p[2]) for p in parts]).astype(np.int64)
-        del parts
-        order = np.lexsort((word, pair))
-        pair, word, count = pair[order], word[order], count[order]
-        at = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])]))
-        pair, word, count = pair[at], word[at], np.add.reduceat(count, at)
+    def trie(s, batches):
+        pair, word, count = _gathered(batches, lambda p: (unpack(p[0], True), unpack(p[1]), unpack(p[2]).astype(np.int64)))
         of = starts_of(pair)
         number = np.repeat(np.arange(len(of)), np.diff(np.append(of, len(pair))))
         total = np.add.reduceat(count, of)  # of a pair: the times it is followed by anything, so all its times
@@ -254,9 +279,9 @@ def train(docs: DataFrame) -> dict:
         arrays = elias_fano(pair[of], int(universe) ** 2, "two") | elias_fano(number.astype(np.uint64) * universe + word, len(of) * int(universe), "three")
         arrays |= {"share2": codes(share2), "weight3": codes(WEIGHT3 / (total + WEIGHT3)), "share3": codes(count / (total[number] + WEIGHT3))}
         write_arrays(f"{folder}/trie-{s:05d}", arrays)
-        return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(word)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([s], pa.int32()), "n": pa.array([len(word)], pa.int64())})
 
-    made = rows.mapInArrow(triples, "shard int, data binary").groupBy("shard").applyInArrow(trie, "shard int, n long").collect()  # a row a shard
+    made = by_shard(rows.mapInArrow(triples, "shard int, data binary"), n, trie, "shard int, n long").collect()  # a row a shard
     return model | {"trie": frozenset(r["shard"] for r in made)}
 
 

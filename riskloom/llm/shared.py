@@ -11,6 +11,7 @@ import json
 import os
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where none is set (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.conf.get("riskloom.shared.dir", None)
+    """The folder that the cluster names, with the scheme of its file system, so that tasks and Spark mean the same place.
+
+    One of our own only where none is set and all tasks run in this machine (tests).
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("riskloom.shared.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("riskloom.shared.dir", found)
-    return found.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_folder(spark: SparkSession, tag: str) -> str:
@@ -52,6 +57,23 @@ def shards(spark: SparkSession) -> int:
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def shards_for(docs: DataFrame, size: int, column: str = "text") -> int:
+    """Shards of a model whose parts grow with the texts: enough that each has about ``size`` bytes of text or less."""
+    total = docs.agg(F.sum(F.octet_length(F.col(column).cast("string")))).first()[0] or 0
+    return max(shards(docs.sparkSession), -(-total // size))
+
+
+def by_shard(rows: DataFrame, n: int, make, schema: str) -> DataFrame:
+    """What ``make(shard, batches)`` yields for each shard of ``rows(shard int, ...)``: a task to a shard, its rows as a stream."""
+
+    def task(batches):
+        for b in batches:
+            if b.num_rows:
+                yield from make(b.column("shard")[0].as_py(), chain([b], batches))
+
+    return rows.repartitionById(n, F.col("shard")).mapInArrow(task, schema)
+
+
 def words(column):
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column, null as no words."""
     return F.filter(F.split(F.coalesce(column, F.lit("")), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
@@ -82,6 +104,9 @@ def read_file(path: str) -> bytes:
 
 
 _maps: dict[str, dict[str, np.ndarray]] = {}
+#: Bytes of files held whole by a Python worker where the store is not mounted, before it lets them go.
+HELD = 256 << 20
+_held = [0]
 
 
 def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
@@ -101,10 +126,13 @@ def write_arrays(path: str, arrays: dict[str, np.ndarray]) -> None:
 def map_arrays(path: str) -> dict[str, np.ndarray]:
     """The arrays of a file, memory-mapped where the store is a mounted folder; once per Python worker."""
     if path not in _maps:
-        if len(_maps) > 4096:
-            _maps.clear()
         fs, at = _filesystem(path)
-        raw = np.memmap(at, np.uint8, "r") if isinstance(fs, pafs.LocalFileSystem) else np.frombuffer(read_file(path), np.uint8)
+        local = isinstance(fs, pafs.LocalFileSystem)
+        if len(_maps) > 4096 or (not local and _held[0] > HELD):
+            _maps.clear()
+            _held[0] = 0
+        raw = np.memmap(at, np.uint8, "r") if local else np.frombuffer(read_file(path), np.uint8)
+        _held[0] += 0 if local else len(raw)
         size = int(raw[:8].view(np.uint64)[0])
         head = json.loads(raw[8 : 8 + size].tobytes())
         start = 8 + size

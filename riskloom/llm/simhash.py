@@ -21,8 +21,11 @@ ones first: the sample decides what the join costs, never what it finds. Shingle
 their 64-bit hash. Every link is confirmed by the two whole sets.
 
 Only components are asked for, so pairs inside a cloud of near copies are not listed. First each set is
-tried with a few leaders, which the members of a prefix key have in common; then pairs are sought only
-between sets that are still in different components, by the keys that such sets share.
+tried with a few leaders, the members of its prefix keys that share most; then pairs are sought only
+between sets that are still in different components. Two sets whose overlap is o share at least
+o - ceil(0.8 n) + k prefix keys (n of either, the lesser result), so a set that has fewer keys in common
+with any others looks only at those sizes where that suffices; edited copies that are near to nothing then
+meet next to none of their cloud.
 """
 
 from __future__ import annotations
@@ -39,8 +42,8 @@ DISTANCE, WIDTHS = 3, (10, 9, 9, 9, 9, 9, 9)
 SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
 #: Similarity as a fraction, the shingles whose frequency is held, one text in so many that is looked at for them; one shingle in so many that a candidate shares early.
 SIMILAR, COMMON, SAMPLE, SHARE = (4, 5), 500_000, 16, 16
-#: Orders of the sets, each by the exclusive or of its number with the name: a key's leaders are the first in each.
-LEADERS = tuple(i << 61 if i < 4 else (i << 61) - (1 << 64) for i in range(8))
+#: Leaders of a key, one from each part of the sets; steps of size in an octave, by which sets are sought.
+LEADERS, STEPS = 4, 12
 #: So many names are broadcast at most (8 MB); more are joined by a shuffle.
 NAMES = 1 << 20
 BUDGETS = tuple(DISTANCE * n // len(WIDTHS) for n in range(1, len(WIDTHS) + 1))
@@ -189,32 +192,65 @@ def _bit_links(nodes: DataFrame) -> DataFrame:
     return same.unionByName(near.select(*_ordered("fa", "fb")))
 
 
+def _least(n, m):
+    """How many prefix keys two sets of n and m shingles share at the least if they are similar."""
+    up, down = SIMILAR
+    overlap = F.ceil((n + m) * up / (up + down))
+    return F.least(*(overlap - F.ceil(x * up / down) + F.floor(x / SHARE) + 1 for x in (n, m)))
+
+
+def _may_be(n, c, m, d):
+    """Whether sets of n and m shingles, c and d of their prefix keys shared with any others, can be similar."""
+    up, down = SIMILAR
+    return (n * up <= m * down) & (m * up <= n * down) & (F.least(c, d) >= _least(n, m))
+
+
+def _by_leaders(keyed: DataFrame) -> DataFrame:
+    """(a, b): each set with the leaders with which it shares most keys."""
+    leader = F.struct("weight", "fp", "n", "c")
+    heads = [F.max(F.when(F.pmod("fp", F.lit(LEADERS)) == i, leader)).alias(f"l{i}") for i in range(LEADERS)]
+    met = keyed.join(keyed.groupBy("key").agg(*heads), "key").select("fp", "n", "c", F.explode(F.array(*(f"l{i}" for i in range(LEADERS)))).alias("l"))
+    met = met.where((F.col("fp") != F.col("l.fp")) & _may_be(F.col("n"), F.col("c"), F.col("l.n"), F.col("l.c")))
+    met = met.groupBy("fp", F.col("l.fp").alias("leader")).agg(F.count("*").alias("shared"))
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("shared"), "leader"))).where(F.col("rank") <= LEADERS)
+    return best.select(*_ordered("fp", "leader"))
+
+
+def _between(rooted: DataFrame) -> DataFrame:
+    """(a, b): the sets of ``rooted(key, fp, n, c, root)`` with different roots that can be similar.
+
+    At each key the component with most members is only looked at; the others look, at the sizes that can be.
+    """
+    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key")
+    parts = parts.agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"))
+    step = lambda n: F.floor(F.log2(n) * STEPS + 1e-9)
+    open_ = materialize(rooted.join(parts, "key").withColumn("step", step(F.col("n"))), "open-keys")
+    up, down = SIMILAR
+    low, high = F.ceil(F.col("n") * up / down), F.floor(F.col("n") * down / up)
+    looks = open_.where("root != main").select("key", "fp", "n", "c", "root", low.alias("low"), high.alias("high"), F.explode(F.sequence(step(low), step(high))).alias("step"))
+    # ``_least`` rises and then falls with the size, but for roundings of less than three: over a range it is least at an end
+    ends = [F.greatest("low", F.floor(F.pow(F.lit(2.0), F.col("step") / STEPS))), F.least("high", F.ceil(F.pow(F.lit(2.0), (F.col("step") + 1) / STEPS)))]
+    looks = looks.where(F.least(*(_least(F.col("n"), e) for e in ends)) - 3 <= F.col("c"))
+    a, b = looks.alias("a"), open_.alias("b")
+    may = _may_be(F.col("a.n"), F.col("a.c"), F.col("b.n"), F.col("b.c"))
+    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))  # where both look, the key counts for one of them
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.root") != F.col("b.root")) & once & may)
+    sizes = F.first(_least(F.col("a.n"), F.col("b.n"))).alias("least")
+    return met.groupBy(*_ordered("a.fp", "b.fp")).agg(F.count("*").alias("shared"), sizes).where("shared >= least").select("a", "b")
+
+
 def similar(docs: DataFrame, found: DataFrame, shingle: int = 5) -> DataFrame:
     """(a, b): pairs of sets of ``found`` (as of ``sets(docs)``) of similarity 0.8 or more, which reach whatever all such pairs reach."""
-    up, down = SIMILAR
     nodes = found.where("n > 0").select("fp", "sim", "n", "prefix").dropDuplicates(["fp"])
-    keyed = nodes.select("fp", F.col("n").cast("int").alias("n"), F.explode("prefix").alias("key"))
-    heads = [F.min(F.col("fp").bitwiseXOR(F.lit(c))).alias(f"l{i}") for i, c in enumerate(LEADERS)]
-    led = keyed.groupBy("key").agg(F.count("*").alias("members"), *heads).where("members > 1").drop("members")
-    keyed = materialize(keyed.join(led, "key"), "shared-keys")
-
-    tried = F.array_distinct(F.array(*[F.col(f"l{i}").bitwiseXOR(F.lit(c)) for i, c in enumerate(LEADERS)]))
-    met = keyed.select("fp", F.explode(tried).alias("leader")).where("fp != leader").groupBy("fp", "leader").agg(F.count("*").alias("shared"))
-    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("fp").orderBy(F.desc("shared"), "leader"))).where(F.col("rank") <= len(LEADERS))
-    proposed = best.select(*_ordered("fp", "leader")).unionByName(_bit_links(nodes.select("fp", "sim"))).distinct()
+    keyed = nodes.select("fp", "n", F.explode("prefix").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
+    keyed = materialize(keyed.join(shared, "key"), "shared-keys")
+    keyed = materialize(keyed.join(keyed.groupBy("fp").agg(F.count("*").alias("c"), F.sum("members").alias("weight")), "fp").select("key", "fp", "n", "c", "weight"), "weighed-keys")
+    proposed = _by_leaders(keyed).unionByName(_bit_links(nodes.select("fp", "sim"))).distinct()
     near = materialize(confirmed(docs, found, proposed, shingle), "near")
-
     linked = materialize(components(near), "near-components")
-    rooted = keyed.select("key", "fp", "n").join(linked, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    rooted = materialize(rooted, "rooted-keys")
-    open_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-    rooted = materialize(rooted.join(open_, "key", "left_semi"), "open-keys")
-    a, b = rooted.alias("a"), rooted.alias("b")
-    sizes = (F.col("a.n") * up <= F.col("b.n") * down) & (F.col("b.n") * up <= F.col("a.n") * down)
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.fp") < F.col("b.fp")) & (F.col("a.root") != F.col("b.root")) & sizes)
-    shared = pairs.groupBy(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).agg(F.count("*").alias("shared"), F.first(F.least("a.n", "b.n")).alias("n"))
-    rest = confirmed(docs, found, shared.where(F.col("shared") >= F.expr(f"1 + n div {SHARE}")).select("a", "b"), shingle)
-    return near.unionByName(rest)
+    rooted = keyed.join(linked, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "c", F.coalesce("root", "fp").alias("root"))
+    return near.unionByName(confirmed(docs, found, _between(rooted), shingle))
 
 
 def _segment(fp, i: int):

@@ -106,3 +106,61 @@ def test_ngram_probabilities_sum_to_one(spark):
     number, count = ngram_trie._numbers(model, np.array([xxh64_intdigest(w) for w in words], np.uint64))
     total = sum(10 ** ngram_trie.log10_probabilities(model, [np.array([0, 1, w])], number, count)[2] for w in range(5))
     assert abs(total - 1) < 0.08  # quantised
+
+
+def test_ngram_scores_by_brute_force(spark):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in table(spark, SF, "documents").collect()]
+    trained = [ngram_trie.tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    one, two, three, start = Counter(), Counter(), Counter(), object()
+    for words in trained:
+        seq = [start, start, *words, None]
+        one.update(words)
+        two.update(zip(seq, seq[1:-1]))
+        three.update(zip(seq, seq[1:], seq[2:]))
+    n, v, w2, w3 = sum(one.values()), len(one), ngram_trie.WEIGHT2, ngram_trie.WEIGHT3
+    coded = lambda x: ngram_trie.VALUE[min(255, max(0, round(-math.log10(x) / ngram_trie.STEP)))]
+    counted = Counter()
+    for (a, b, _), c in three.items():
+        counted[a, b] += c
+
+    def log10(a, b, c):
+        before = len(trained) if b is start else one[b]
+        p = (one[c] + 1) / (n + v + 1) * w2 / (before + w2) + (coded(min(1, counted[b, c] / (before + w2))) if counted[b, c] else 0)
+        p *= coded(w3 / (counted[a, b] + w3)) if counted[a, b] else 1
+        return math.log10(min(1, p + (coded(three[a, b, c] / (counted[a, b] + w3)) if three[a, b, c] else 0)))
+
+    got = {r.doc_id: r.score for r in ngram_trie.op6_ngram_trie(spark, SF).collect()}
+    for i, t in rows:
+        seq = [start, start, *ngram_trie.tokens(t)]
+        assert math.isclose(got[i], sum(map(log10, seq, seq[1:], seq[2:])), rel_tol=1e-9), i
+
+
+def test_ngram_triples_of_any_number_of_words():
+    rng = np.random.default_rng(3)
+    seq = rng.integers(0, 50, 4000).astype(np.uint64)
+    real = rng.random(3998) < 0.9
+    want = Counter(t for t, ok in zip(zip(seq.tolist(), seq[1:].tolist(), seq[2:].tolist()), real) if ok)
+    for size in (50, ngram_trie.LOCAL + 5, (1 << 32) - 1):
+        a, b, c, count = ngram_trie.triples_of(seq, real, size)
+        assert dict(zip(zip(a.tolist(), b.tolist(), c.tolist()), count.tolist())) == want
+
+
+def test_ngram_text_of_2_300_000_distinct_words(spark):
+    size = 2_300_000
+    docs = spark.range(1).selectExpr("1L as doc_id", "false as held_out", f"array_join(transform(sequence(1, {size}), x -> conv(x, 10, 36)), ' ') as text")
+    r = ngram_trie.score(docs, ngram_trie.train(docs)).first()
+    n = v = size + 1
+    coded = lambda x: ngram_trie.VALUE[round(-math.log10(x) / ngram_trie.STEP)]
+    p = coded(1 / 5) + coded(4 / 5) * (coded(1 / 9) + 8 / 9 * 2 / (n + v + 1))
+    assert (r.n_tokens, r.n_known, r.train_tokens) == (n, n, n) and math.isclose(r.score / n, math.log10(p), rel_tol=1e-5)
+
+
+def test_ngram_edge_rows(spark):
+    schema = "doc_id long, text string, held_out boolean, score int, shard int"
+    empty = spark.createDataFrame([], schema)
+    assert ngram_trie.score(empty, ngram_trie.train(empty)).count() == 0
+    docs = spark.createDataFrame([(None, "a b", True, 1, 2), (1, None, True, 1, 2), (1, "", True, 1, 2), (2, "a " * 100_000, True, 1, 2)], schema)
+    got = ngram_trie.score(docs, ngram_trie.train(docs.where("false"))).collect()  # all held out
+    assert len(got) == 4 and all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 for r in got) and sorted(r.n_tokens for r in got) == [1, 1, 3, 100_001]
+    both = ngram_trie.score(docs, ngram_trie.train(docs)).collect()
+    assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in both)
