@@ -9,7 +9,7 @@ hashes with a value each, in ranges of the hash, and memory-mapped by the scorin
 A document is rejected where its log-perplexity for a character or for a word lies outside the band of
 its language: the median of the language, less or plus ``WIDTH`` times the spread of its middle half
 (as standard deviations). Bands come from all documents that pass the base rules, by exact counts of
-hundredths of a bit. A language whose documents are all alike has a band of at least ``FLOOR`` bits.
+bits to three digits. A language whose documents are all alike has a band of at least ``FLOOR`` bits.
 
 Null and empty texts have no words and fail the base rule. A null language is the language ''.
 Repeated rows count each. An empty table gives an empty one. Other columns are ignored.
@@ -17,17 +17,19 @@ Repeated rows count each. An empty table gives an empty one. Other columns are i
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import map_arrays, materialize, mix, new_folder, shard_of, shards, starts_of, table, texts, write_arrays
+from riskloom.llm.shared import by_shard, map_arrays, materialize, mix, new_folder, shard_of, shards, starts_of, table, texts, write_arrays
 
 ORDER, START, FLUSH = 4, 2, 1 << 21
 WIDTH, FLOOR = 5.0, 0.05
+#: Characters with a code in a task at a time, runs that it keeps, languages that it keeps, and languages whose figures are broadcast.
+CODES, ROOM, LANGUAGES, FEW = 65_000, 3_000_000, 16, 100_000
+SHARD = 1_000_000  # 4-grams to a file of the model
 UNSEEN = 1 / 4096  # share of a character that the corpus doesn't have, at order 0
 
 
@@ -52,30 +54,48 @@ def lang_hash(lang: str) -> np.uint64:
 
 
 class _Counts:
-    """4-gram counts of one language in one task: characters as 16-bit codes, runs as 64-bit numbers."""
+    """4-gram counts of one language in one task: characters as 16-bit codes, runs as 64-bit numbers.
+
+    ``fold`` and ``rows`` yield (grams, counts) that must go out: where codes or room are used up, both begin anew.
+    """
 
     def __init__(self):
-        self.code, self.char, self.held, self.size = np.zeros(0x110000, np.uint16), [], [], 0
-        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.code, self.held, self.size = np.zeros(0x110000, np.uint16), [], 0
+        self._empty()
 
-    def add(self, chars: np.ndarray):
+    def _empty(self):
+        self.code[:] = 0
+        self.char, self.keys, self.counts = [], np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, chars: np.ndarray) -> bool:
         self.held.append(chars)
         self.size += len(chars)
         return self.size >= FLUSH
 
     def fold(self):
-        """Bring what is held into the counts; True if the codes or the counts are used up and must be emptied."""
         got, self.held, self.size = self.held, [], 0
-        if not got:
-            return False
+        if got and not self._count(got):
+            for chars in got:  # pieces too short to have more characters than there are codes, each with the start of the next
+                for i in range(0, len(chars) - ORDER + 1, CODES - ORDER):
+                    piece = [chars[i : i + CODES - 1]]
+                    if not self._count(piece):
+                        yield self.rows()
+                        self._empty()
+                        self._count(piece)
+        if len(self.keys) > ROOM:
+            yield self.rows()
+            self._empty()
+
+    def _count(self, got: list[np.ndarray]) -> bool:
+        """Count the runs of ``got``; False, and nothing is counted, if their characters need more codes than are left."""
         every = np.concatenate(got)
         there = np.zeros(0x110000, bool)
         there[every] = True
         new = np.flatnonzero(there & (self.code == 0))
-        new, over = np.split(new, [65_000 - len(self.char)])  # characters beyond 65,000 in one task count as U+FFFD
+        if len(self.char) + len(new) > CODES:
+            return False
         self.code[new] = np.arange(len(self.char) + 1, len(self.char) + len(new) + 1)
         self.char.extend(new.tolist())
-        self.code[over] = 65_535
         c = self.code[every].astype(np.uint64)
         key = (c[:-3] << np.uint64(48)) | (c[1:-2] << np.uint64(32)) | (c[2:-1] << np.uint64(16)) | c[3:]
         real = np.ones(len(key), bool)  # no run reaches from one document into the next
@@ -88,10 +108,10 @@ class _Counts:
         keys, counts = keys[order], counts[order]
         at = starts_of(keys)
         self.keys, self.counts = keys[at], np.add.reduceat(counts, at) if len(at) else counts
-        return len(self.keys) > 3_000_000
+        return True
 
     def rows(self):
-        char = np.full(65_536, 0xFFFD, np.uint32)
+        char = np.zeros(CODES + 1, np.uint32)
         char[1 : len(self.char) + 1] = self.char
         codes = np.stack([(self.keys >> np.uint64(s)) & np.uint64(0xFFFF) for s in (48, 32, 16, 0)], 1).astype(np.int64)
         text = char[codes].astype("<u4").tobytes().decode("utf-32-le", "replace")
@@ -99,37 +119,48 @@ class _Counts:
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
-    """(lang, gram, n) of all texts: summed up in each task, then by Spark."""
+    """(lang, gram, n) of all texts: summed up in each task, then by Spark. A task keeps the counts of few languages at a time."""
 
     def task(batches):
         kinds: dict[str, _Counts] = {}
 
-        def out(lang):
-            grams, counts = kinds.pop(lang).rows()
-            for i in range(0, len(grams), 100_000):
-                part = grams[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(counts[i : i + 100_000], pa.int64())], ["lang", "gram", "n"])
+        def out(lang, made):
+            for grams, counts in made:
+                for i in range(0, len(grams), 100_000):
+                    part = grams[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), pa.array(part, pa.string()), pa.array(counts[i : i + 100_000], pa.int64())], ["lang", "gram", "n"])
+
+        def end():
+            for lang, one in kinds.items():
+                yield from out(lang, one.fold())
+                yield from out(lang, [one.rows()])
+            kinds.clear()
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), texts(b)):
+                if lang not in kinds and len(kinds) >= LANGUAGES:
+                    yield from end()
                 one = kinds.setdefault(lang, _Counts())
-                if one.add(stream(text)[0]) and one.fold():
-                    yield from out(lang)
-        for lang in list(kinds):
-            kinds[lang].fold()
-            yield from out(lang)
+                if one.add(stream(text)[0]):
+                    yield from out(lang, one.fold())
+        yield from end()
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.col("text").cast("string"))
     return rows.mapInArrow(task, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
+def _bounded(df: DataFrame, languages: int) -> DataFrame:
+    """A table with a row for each language: broadcast up to ``FEW`` of them, joined by a shuffle beyond."""
+    return F.broadcast(df) if languages <= FEW else df
+
+
 def kneser_ney(grams: DataFrame) -> DataFrame:
     """(lang, gram, kind, value): kind 'p' has log2 of a probability, 'b' log2 of the weight of the order below.
 
     Interpolated modified Kneser-Ney: three discounts for each order and language from the numbers of
     n-grams with counts 1 to 4; the lowest order is interpolated with ``UNSEEN``.
     """
-    counts = {ORDER: grams}
+    counts, languages = {ORDER: grams}, grams.select("lang").distinct().count()
     for n in range(ORDER - 1, 0, -1):
         counts[n] = counts[n + 1].groupBy("lang", F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("n"))
     lower, out = None, []
@@ -142,7 +173,7 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
             d = k - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
             return F.greatest(F.lit(0.1), F.least(F.coalesce(d, F.lit(k - 0.5)), F.lit(k - 0.05))).alias(f"d{k}")
 
-        d = F.broadcast(g.groupBy("lang").agg(*of).withColumn("n1", F.greatest("n1", F.lit(1.0))).select("lang", *(discount(k, y) for k in (1, 2, 3))))
+        d = _bounded(g.groupBy("lang").agg(*of).withColumn("n1", F.greatest("n1", F.lit(1.0))).select("lang", *(discount(k, y) for k in (1, 2, 3))), languages)
         g = g.join(d, "lang").withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
         sums = g.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("kept_back"))
         g = g.join(sums, ["lang", "context"])
@@ -161,9 +192,9 @@ def kneser_ney(grams: DataFrame) -> DataFrame:
     return model
 
 
-def write_model(model: DataFrame, folder: str) -> tuple[str, int, frozenset]:
+def write_model(model: DataFrame, folder: str, n: int | None = None) -> tuple[str, int, frozenset]:
     """Sorted hash arrays in the shared folder, a file for each range of hashes."""
-    n = shards(model.sparkSession)
+    n = n or shards(model.sparkSession)
 
     def keyed(batches):
         for b in batches:
@@ -183,15 +214,14 @@ def write_model(model: DataFrame, folder: str) -> tuple[str, int, frozenset]:
             cols = [pa.array(shard_of(keys, n).astype(np.int32)), pa.array(keys.view(np.int64)), b.column("value")]
             yield pa.RecordBatch.from_arrays(cols, ["shard", "key", "value"])
 
-    def write(rows: pa.Table) -> pa.Table:
-        shard = rows.column("shard")[0].as_py()
-        keys = rows.column("key").to_numpy().view(np.uint64)
-        values = rows.column("value").to_numpy().astype(np.float32)
+    def write(shard, batches):
+        parts = [(b.column("key").to_numpy(), b.column("value").to_numpy()) for b in batches]
+        keys, values = np.concatenate([p[0] for p in parts]).view(np.uint64), np.concatenate([p[1] for p in parts]).astype(np.float32)
         order = np.argsort(keys)
         write_arrays(f"{folder}/{shard:05d}.grams", {"keys": keys[order], "values": values[order]})
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "n": pa.array([len(keys)], pa.int64())})
 
-    found = model.mapInArrow(keyed, "shard int, key long, value double").groupBy("shard").applyInArrow(write, "shard int, n long")
+    found = by_shard(model.mapInArrow(keyed, "shard int, key long, value double"), n, write, "shard int, n long")
     there = {r["shard"] for r in found.collect()}  # a row for each shard
     return folder, n, frozenset(there)
 
@@ -337,12 +367,14 @@ def bands(facts: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataF
     """(lang, char_low, char_high, word_low, word_high): a row for each language."""
     sides = []
     for name in ("char", "word"):
-        binned = facts.where(f"{name}_bits is not null and not base_failed").groupBy("lang", F.round(F.col(f"{name}_bits") * 100).alias("bin")).agg(F.count("*").alias("n"))
+        bits = F.greatest(F.col(f"{name}_bits"), F.lit(0.001))
+        unit = F.pow(F.lit(10.0), F.floor(F.log10(bits)) - 2)  # three digits: at most 900 bins to a power of ten, however many documents
+        binned = facts.where(f"{name}_bits is not null and not base_failed").groupBy("lang", F.round(F.round(bits / unit) * unit, 6).alias("bin")).agg(F.count("*").alias("n"))
         w = Window.partitionBy("lang")
         ranked = binned.select("lang", "bin", F.sum("n").over(w.orderBy("bin")).alias("upto"), F.sum("n").over(w).alias("all"))
 
         def at(part):
-            return F.min(F.when(F.col("upto") >= F.col("all") * part, F.col("bin"))) / 100
+            return F.min(F.when(F.col("upto") >= F.col("all") * part, F.col("bin")))
 
         q = ranked.groupBy("lang").agg(at(0.25).alias("q1"), at(0.5).alias("q2"), at(0.75).alias("q3"))
         half = F.greatest((F.col("q3") - F.col("q1")) / 1.349 * width, F.lit(floor))
@@ -353,7 +385,9 @@ def bands(facts: DataFrame, width: float = WIDTH, floor: float = FLOOR) -> DataF
 def judge(docs: DataFrame) -> DataFrame:
     """The facts of each document with ``kept``."""
     spark = docs.sparkSession
-    model = write_model(kneser_ney(materialize(count_grams(docs), "grams")), new_folder(spark, "kneser-ney"))
+    grams = materialize(count_grams(docs), "grams")
+    parts = max(shards(spark), grams.count() // SHARD)
+    model = write_model(kneser_ney(grams), new_folder(spark, "kneser-ney"), parts)
     facts = materialize(score(docs, model), "facts")
     limits = bands(facts).select(F.col("lang").alias("of"), "char_low", "char_high", "word_low", "word_high")
     met = facts.join(limits, facts["lang"] == limits["of"], "left")
