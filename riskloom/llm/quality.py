@@ -4,11 +4,11 @@ Eight labellers look at a whole text and vote good, junk or nothing. Expectation
 estimates from the counts of vote patterns (at most 3^8, whatever the input) how often each labeller
 votes what for either class, and with that the posterior of every pattern. A logistic scorer over
 hashed word shapes then learns the posteriors, so that documents on which the labellers are silent
-are judged by what they look like. It is fitted on at most about ``SAMPLE`` documents, chosen by the
-hash of doc_id; votes, patterns and scores cover all documents.
+are judged by what they look like. It is fitted on at most twice ``SAMPLE`` documents (about ``SAMPLE``), chosen by the
+hash of doc_id and text, equal rows once; votes, patterns and scores cover all documents.
 
-Null and empty texts have no votes and score as the prior; they are kept. Repeated rows give repeated
-results. An empty table gives an empty one. Other columns are kept by ``keep_good``.
+Null and empty texts have no votes and score as the prior: they are kept where most documents are good
+(a prior of at least ``THRESHOLD``). Repeated rows give repeated results. An empty table gives an empty one. Other columns are kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -146,17 +146,19 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
     """The labellers' accuracies from all documents and the scorer from a bounded sample of them."""
     counts = {r["votes"]: r["count"] for r in _votes(docs).groupBy("votes").count().collect()}  # at most 3^8 rows
     posterior, prior, chance = expectation_maximisation(counts)
-    part = min(1.0, sample / max(1, sum(counts.values())))
-    chosen = docs.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    # of equal rows one is a candidate; hashes below 2^62 reach any number of documents
+    mark = F.xxhash64(F.lit("fit"), F.col("doc_id").cast("string"), F.col("text").cast("string"))
+    chosen = docs.select(F.col("text").cast("string").alias("text"), mark.alias("mark"))
+    chosen = chosen.where(F.pmod("mark", F.lit(1 << 62)) < min(1 << 62, (sample << 62) // max(1, sum(counts.values()))))
 
     def task(batches):
         cache = _Words()
         for b in batches:
             seen = [look(t, cache) for t in texts(b)]
             cols = [["".join(map(str, s[0])) for s in seen], [s[1].astype(np.uint16).tobytes() for s in seen], [s[2].astype(np.float32).tobytes() for s in seen]]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["votes", "index", "value"])
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), b.column("mark")], ["votes", "index", "value", "mark"])
 
-    rows = chosen.select(F.col("text").cast("string")).mapInArrow(task, "votes string, index binary, value binary").limit(2 * sample).collect()
+    rows = chosen.mapInArrow(task, "votes string, index binary, value binary, mark long").dropDuplicates(["mark"]).orderBy(F.pmod("mark", F.lit(1 << 62)), "mark").limit(2 * sample).collect()
     return {"posterior": posterior, "prior": prior, "chance": chance, "weights": fit_linear(rows, posterior, prior)}
 
 
@@ -172,7 +174,7 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("votes",
                 v, index, value = look(t, cache)
                 votes.append("".join(map(str, v)))
                 post.append(posterior.get(votes[-1], prior))
-                scores.append(float(1 / (1 + np.exp(-np.clip(weights[index] @ value + weights[-1], -50, 50)))))
+                scores.append(float(1 / (1 + np.exp(-np.clip(weights[index] @ value + weights[-1], -50, 50)))) if len(index) else prior)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(votes, pa.string()), pa.array(post, pa.float64()), pa.array(scores, pa.float64())], [*b.schema.names, *names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
