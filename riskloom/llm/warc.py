@@ -3,7 +3,8 @@
 Pages are dealt to archives; each archive trains its dictionary on its own records, holds it in a
 leading skippable frame (magic 0x184D2A5D), and compresses every record as a frame of its own. Of the
 pages with equal payloads of at least ``LEAST`` bytes, the one with the largest page_id is a response
-and the others are revisits that name it; smaller payloads are all responses.
+and the others are revisits that name it; smaller payloads are all responses. ``write_archives`` tells the
+size of each archive's dictionary.
 
 Null html is an empty payload, a null url an empty URI. A null page_id is smaller than all others.
 Rows that repeat a page_id and its payload are all responses if that page_id is the largest. An empty
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.shared import materialize, new_folder, read_file, table, write_file
 
-LEAST, ARCHIVE, DICTIONARY, LEVEL = 1000, 24 << 20, 64 << 10, 3
+LEAST, ARCHIVE, DICTIONARY, PIECE, LEVEL = 1000, 24 << 20, 64 << 10, 16 << 10, 3
+#: Parts of a group of equal payloads, so that a large one is not one task's.
+SALTS = 16
 MAGIC, DATE = 0x184D2A5D, "2024-01-01T00:00:00Z"
-INDEX = "archive string, records long, bytes long"
+INDEX = "archive string, records long, bytes long, dictionary_bytes long"
 READ = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string"
 
 
@@ -54,15 +57,23 @@ def record(page, url: str, digest: str, refers, payload: bytes) -> bytes:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def archive(records: list[bytes]) -> bytes:
-    """Dictionary frame and record frames; without a dictionary where the records are too few to train one."""
-    size, samples = min(DICTIONARY, sum(map(len, records)) // 20), [r[:65536] for r in records]
+def dictionary(records: list[bytes]) -> bytes:
+    """A Zstandard dictionary from pieces of all the records, whole ones of long records too.
+
+    Where the trainer finds too little in them, the records' own beginnings are the dictionary, as raw content.
+    """
+    total = sum(map(len, records))
+    size, piece = min(DICTIONARY, max(256, total // 20)), max(64, min(PIECE, total // 100))
     try:
-        trained = zstandard.train_dictionary(size, samples, level=LEVEL) if size > 1024 and len(samples) > 16 else None
+        return zstandard.train_dictionary(size, [r[i : i + piece] for r in records for i in range(0, len(r), piece)], level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        trained = None
-    raw = trained.as_bytes() if trained else b""
-    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
+        return b"".join(r[: max(16, size // len(records))] for r in records)[:size]
+
+
+def archive(records: list[bytes]) -> bytes:
+    """The dictionary in a skippable frame, then a frame for each record."""
+    raw = dictionary(records)
+    press = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw), write_content_size=True)
     return b"".join([struct.pack("<II", MAGIC, len(raw)), raw, *map(press.compress, records)])
 
 
@@ -72,7 +83,7 @@ def read_archive(data: bytes):
     if magic != MAGIC:
         raise ValueError("no dictionary frame leads the archive")
     raw = data[8 : 8 + size]
-    opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw) if raw else None)
+    opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
     rest = memoryview(data)[8 + size :]
     while rest:
         one = opener.decompressobj()
@@ -91,7 +102,7 @@ def write_archives(pages: DataFrame, folder: str, size: int = ARCHIVE) -> DataFr
             path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
             data = archive(records)
             write_file(path, data)
-            return pa.RecordBatch.from_pydict({"archive": [path], "records": [len(records)], "bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict({"archive": [path], "records": [len(records)], "bytes": [len(data)], "dictionary_bytes": [struct.unpack_from("<I", data, 4)[0]]})
 
         held, total = [], 0
         for b in batches:
@@ -127,17 +138,20 @@ def read_archives(index: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    return index.repartition("archive").mapInArrow(task, READ)
+    tasks = min(4 * index.count(), 4096)  # an archive to a task while there are not thousands of them
+    return index.repartition(max(1, tasks), "archive").mapInArrow(task, READ)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id, url, html, digest, refers_to. Only payloads that occur twice or more are joined."""
+    """page_id, url, html, digest, refers_to. Payloads are equal by SHA-1, xxHash64 and length; only those that occur twice or more are joined."""
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha1(html).alias("digest"))
-    large = rows.where(F.octet_length("html") >= least).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
-    shared = large.where("n > 1").select(F.col("digest").alias("of"), "first")
-    same = rows.join(shared, F.col("digest") == F.col("of"), "left")
-    return same.select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first")).alias("refers_to"))
+    rows = rows.withColumn("same", F.when(F.octet_length("html") >= least, F.concat_ws(":", "digest", F.hex(F.xxhash64("html")), F.octet_length("html"))))
+    large = rows.where("same is not null").groupBy("same").agg(F.count("*").alias("n"), F.max("page_id").alias("first"))
+    shared = large.where("n > 1").select(F.col("same").alias("of"), "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    part = F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))
+    met = rows.join(shared, (F.col("same") == F.col("of")) & (part == F.col("salt")), "left")
+    return met.select("page_id", "url", "html", "digest", F.when(F.col("page_id").isNull() | (F.col("page_id") < F.col("first")), F.col("first")).alias("refers_to"))
 
 
 def op4_warc(spark, sf_dir):
