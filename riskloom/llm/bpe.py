@@ -2,8 +2,9 @@
 
 Tasks cut texts into pre-tokens and number them by place; a block of texts keeps, for every place, the
 number of its word in the block (most frequent first). The words of a block, each once, go to shards
-by hash; a shard meets the words of all blocks, encodes each distinct one once, and sends the ids back
-to the blocks in the order in which they asked. A block then puts the ids of its words at their
+by hash; a shard meets the words of all blocks one block after the other, encodes each distinct one once
+(of a shard with more than ``KNOWN`` words a word again after others), and sends the ids back to the
+blocks in the order in which they asked. A block then puts the ids of its words at their
 places, which wait for them in a file of the shared folder. Words and ids travel packed, a row for each block and shard, so a word that makes up a third of
 all text costs one entry a block. Decoding joins ids with the table of token bytes.
 
@@ -29,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import materialize, new_folder, pack, read_file, shard_of, shards, table, unpack, write_file
+from riskloom.llm.shared import by_shard, materialize, new_folder, pack, read_file, shard_of, shards, table, unpack, write_file
 
 VOCABULARY, BLOCK = "byte_bpe_50k.tiktoken", 12 << 20
+KNOWN = 500_000
 _ranks: dict[str, dict[bytes, int]] = {}
 _coders: dict[str, tiktoken.Encoding] = {}
 
@@ -44,8 +46,9 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 def coder(path: str) -> tiktoken.Encoding:
+    """Encodes one pre-token: its pattern takes any text whole."""
     if path not in _coders:
-        _coders[path] = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
+        _coders[path] = tiktoken.Encoding("word", pat_str="(?s:.+)", mergeable_ranks=ranks(path), special_tokens={})
     return _coders[path]
 
 
@@ -128,26 +131,27 @@ def _encoded(docs: DataFrame, path: str | None, finish, schema: str, carry: str
     n = shards(docs.sparkSession)
     cut = materialize(blocks(docs, n, new_folder(docs.sparkSession, "bpe-places"), carry=carry), "bpe-blocks")
 
-    def answer(rows: pa.Table) -> pa.Table:
-        one, known = coder(path)._core_bpe.encode_single_piece, {}
-        out = []
-        for data in rows.column("data").to_pylist():
-            size = int.from_bytes(data[:8], "little")
-            ends = np.cumsum(unpack(data[8 : 8 + size]).astype(np.int64)).tolist()
-            text, at, got = _spread(data[8 + size :]), 0, []
-            for e in ends:
-                w = text[at:e]
-                at = e
-                ids = known.get(w)
-                if ids is None:
-                    ids = known[w] = one(w)
-                got.append(ids)
-            flat = np.array([i for g in got for i in g], np.uint64)
-            sizes = pack(np.array([len(g) for g in got]))
-            out.append(len(sizes).to_bytes(8, "little") + sizes + pack(flat))
-        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"), "data": pa.array(out, pa.binary())})
-
-    answers = cut.where("shard >= 0").groupBy("shard").applyInArrow(answer, "block long, shard int, data binary")
+    def answer(shard, batches):
+        one, known = coder(path).encode_ordinary, {}
+        for b in batches:
+            for block, data in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
+                size = int.from_bytes(data[:8], "little")
+                ends = np.cumsum(unpack(data[8 : 8 + size]).astype(np.int64)).tolist()
+                text, at, got = _spread(data[8 + size :]), 0, []
+                for e in ends:
+                    w = text[at:e]
+                    at = e
+                    ids = known.get(w)
+                    if ids is None:
+                        if len(known) >= KNOWN:
+                            known.clear()
+                        ids = known[w] = one(w.decode())
+                    got.append(ids)
+                flat = np.array([i for g in got for i in g], np.uint64)
+                sizes = pack(np.array([len(g) for g in got]))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "shard": pa.array([shard], pa.int32()), "data": pa.array([len(sizes).to_bytes(8, "little") + sizes + pack(flat)], pa.binary())})
+
+    answers = by_shard(cut.where("shard >= 0").select("shard", "block", "data"), n, answer, "block long, shard int, data binary")
 
     def assemble(rows: pa.Table) -> pa.Table:
         got = dict(zip(rows.column("shard").to_pylist(), rows.column("data").to_pylist()))
