@@ -53,6 +53,21 @@ def test_warc_archive_has_dictionary_frame_and_own_frames():
     data = warc.archive(records)
     assert int.from_bytes(data[:4], "little") == warc.MAGIC and int.from_bytes(data[4:8], "little") > 0
     assert len(list(warc.read_archive(data))) == 200
+    for some in (records[:1], [warc.record(1, "", "d", None, b"")], [warc.record(1, "u", "d", None, (b"long %d " * 400_000) % ((7,) * 400_000))], [warc.record(i, "u", "d", None, bytes([97 + i]) * 5) for i in range(3)]):
+        data = warc.archive(some)
+        assert int.from_bytes(data[4:8], "little") > 0 and len(list(warc.read_archive(data))) == len(some)
+
+
+def test_warc_archives_are_read_by_several_tasks(spark, tmp_path):
+    pages = spark.range(4000).selectExpr("id as page_id", "'u' as url", "concat('<p>', repeat(cast(id as string), 300)) as html")
+    index = warc.write_archives(warc.with_revisits(pages).repartition(4), str(tmp_path), 1 << 18)
+    from riskloom.llm.shared import materialize
+    from pyspark.sql import functions as F
+
+    index = materialize(index, "index")
+    assert index.count() > 8 and index.where("dictionary_bytes = 0").count() == 0
+    got = warc.read_archives(index).select("page_id", F.spark_partition_id().alias("t")).collect()
+    assert sorted(r.page_id for r in got) == list(range(4000)) and len({r.t for r in got}) > 4
 
 
 def test_chat_round_trip_of_control_strings(spark):

@@ -169,3 +169,88 @@ def test_pigeonring_chain_prunes_what_a_key_brings_together(spark):
     df = spark.createDataFrame([(spread,), (close,), (0,)], "x long")
     got = {r.x: [r[f"s{i}"] for i in range(7)] for r in df.select("x", *(simhash.ring(F.col("x"), F.lit(i)).alias(f"s{i}") for i in range(7))).collect()}
     assert got[0] == [True] * 7 and not got[close][0] and any(got[close]) and any(got[spread])
+
+
+def test_gram_counts_of_any_number_of_characters(spark):
+    from collections import Counter
+
+    many = "".join(chr(c) for c in range(0x4E00, 0x4E00 + 20_000)) + "".join(chr(c) for c in range(0x20000, 0x20000 + 50_000))
+    rows = [("zh", many), ("zh", "ab ab " + many[60_000:60_010]), ("en", "ab ab"), (None, None)] + [(f"l{i}", "one two") for i in range(20)]
+    got = {(r.lang, r.gram): r.n for r in perplexity.count_grams(spark.createDataFrame(rows, "lang string, text string").coalesce(1)).collect()}
+    want = Counter()
+    for lang, text in rows:
+        chars = "\x02" * 3 + "".join(w + " " for w in (text or "").split())
+        want.update((lang or "", chars[i : i + 4]) for i in range(len(chars) - 3))
+    assert got == want
+
+
+def brute_base(text):
+    words = [w for w in __import__("re").split("[\\x20\\x09-\\x0D]+", text or "") if w]
+    lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    twice = {i + j for i, w in enumerate(windows) if windows.count(w) > 1 for j in range(3)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(twice)
+
+
+def test_perplexity_query_base_columns_by_brute_force(spark):
+    got = {r.doc_id: r for r in perplexity.op7_perplexity(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    assert set(got) == set(texts)
+    for i, text in texts.items():
+        if len(text or "") < 8000:  # the brute force is quadratic
+            r, b = got[i], brute_base(text)
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == b
+            assert r.base_failed == (b[0] < 50 or 100 * b[4] > 50 * b[0]) and not (r.kept and r.base_failed)
+
+
+def test_perplexity_edge_rows(spark):
+    got = perplexity.judge(odd(spark).withColumn("lang", __import__("pyspark.sql.functions", fromlist=["lit"]).lit(None).cast("string"))).collect()
+    assert len(got) == len(ODD) and all(r.lang == "" for r in got) and perplexity.judge(empty(spark)).count() == 0
+
+
+def test_quality_fit_is_whole_and_steady(spark):
+    rows = [(1 if i % 3 else i, f"The word {i} of the text is here and it was there for that with a line {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, two = quality.fit(docs.repartition(3), 100), quality.fit(docs.repartition(7), 100)
+    assert (one["weights"] == two["weights"]).all() and one["posterior"] == two["posterior"] and one["weights"].any()
+    votes = {v: 0 for v in one["posterior"]}
+    for _, t in rows:
+        votes["".join(map(str, quality.look(t.encode(), quality._Words())[0]))] += 1
+    assert sum(votes.values()) == 900
+
+
+def test_quality_query_by_its_own_parts(spark):
+    docs = table(spark, SF, "documents").select("doc_id", "text")
+    model, cache = quality.fit(docs), quality._Words()
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in quality.op2_quality(spark, SF).collect():
+        votes, index, value = quality.look(texts[r.doc_id], cache)
+        votes = "".join(map(str, votes))
+        z = sum(float(model["weights"][i]) * float(v) for i, v in zip(index, value)) + float(model["weights"][-1])
+        score = 1 / (1 + 2.718281828459045**-z) if len(index) else model["prior"]
+        assert r.votes == votes and abs(r.posterior - model["posterior"][votes]) < 1e-5 and abs(r.score - score) < 1e-4 and r.kept == (r.score >= quality.THRESHOLD or abs(r.score - 0.5) < 1e-5)
+
+
+def test_pii_query_base_spans_by_brute_force(spark):
+    import re
+
+    shapes = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+
+    def right(kind, x):
+        d = re.sub("[^0-9]", "", x)
+        if kind == "ip":
+            return all(int(p) <= 255 for p in x.split("."))
+        if kind == "card":
+            return 12 <= len(d) <= 19 and sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+        return kind == "email" or 9 <= len(d) <= 15
+
+    texts = {r.doc_id: r.text or "" for r in table(spark, SF, "documents").collect()}
+    for r in pii.op9_pii(spark, SF).collect():
+        found = [(m.start(), k, m.end()) for k, p in shapes.items() for m in re.finditer(p, texts[r.doc_id]) if right(k, m[0])]
+        found.sort(key=lambda x: (x[0], list(shapes).index(x[1])))
+        joined = ",".join(f"{k}:{s}:{e}" for s, k, e in found)
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r.spans.split(","))
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in found) for k in shapes]
