@@ -8,10 +8,12 @@ so one frame of Q slots is the schedule: the frame is small, and every document
 by arithmetic. When a source ends, a new frame of the remaining sources begins with their shares; no
 row is dropped or repeated.
 
-Weights are whole-number shares; fractions are brought to ``RESOLUTION`` parts. A source without a
-weight has the smallest one given. Null sources are the source ''. The order inside a source is by
-MD5 of doc_id, then by doc_id and text: fixed, and free of any order in the table; repeated rows stand
-side by side. Columns of the table are kept, but for any named block or position, which are replaced. An empty table gives an empty one.
+Weights are shares in whole numbers or fractions, exact where the frame they need has at most ``FRAME``
+slots; beyond that they are rounded to so many parts, and an error says so if that alters one by more than
+``TOLERANCE``. A source without a weight has the smallest one given. Null sources are the source ''. The
+order inside a source is by MD5 of doc_id and text, then by doc_id and text: fixed, and free of any order
+in the table; repeated rows stand side by side. Columns of the table are kept, but for any named block or
+position in any case, which are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -19,28 +21,36 @@ from __future__ import annotations
 from bisect import bisect_left
 from fractions import Fraction
 from heapq import heappop, heappush
-from math import gcd
+from math import gcd, lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.shared import table
 
-BLOCK, RESOLUTION, MAX_SOURCES = 32, 1000, 10_000
+BLOCK, FRAME, TOLERANCE = 32, 1 << 20, 0.01
+#: Sources are named on the driver and a schedule's row is a source and a stretch, so both are bounded; so many rows and slots are broadcast.
+MAX_SOURCES, BROADCAST = 2000, 1 << 20
 
 
 def shares(sources: list[str], weights: dict[str, float]) -> dict[str, int]:
-    """Whole-number shares of the sources, exact for whole weights and RESOLUTION parts of the largest sum otherwise."""
+    """Whole-number shares of the sources in lowest terms."""
     known = {s: Fraction(str(weights[s])) for s in sources if s in weights}
     if any(w <= 0 for w in known.values()):
         raise ValueError("weights must be positive")
     least = min(known.values(), default=Fraction(1))
-    all_ = {s: known.get(s, least) for s in sources}
-    if any(w.denominator > 1 for w in all_.values()):
-        total = sum(all_.values())
-        all_ = {s: max(1, round(w * RESOLUTION / total)) for s, w in all_.items()}
-    common = gcd(*(int(w) for w in all_.values())) or 1
-    return {s: int(w) // common for s, w in all_.items()}
+    wanted = {s: known.get(s, least) for s in sources}
+    unit = lcm(*(w.denominator for w in wanted.values()))
+    common = gcd(*(int(w * unit) for w in wanted.values())) or 1
+    exact = {s: int(w * unit) // common for s, w in wanted.items()}
+    total = sum(exact.values())
+    if total <= FRAME:
+        return exact
+    near = {s: max(1, round(Fraction(w * FRAME, total))) for s, w in exact.items()}
+    for s, w in near.items():
+        if abs(Fraction(w, sum(near.values())) * total / exact[s] - 1) > TOLERANCE:
+            raise ValueError(f"a frame of {FRAME} slots has no share near enough to the weight of {s!r}")
+    return near
 
 
 def frame(share: dict[str, int]) -> list[str]:
@@ -85,7 +95,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataF
     """The rows of ``docs`` with ``block`` (of its source, from 0) and ``position`` (from 0, in blocks' order)."""
     spark = docs.sparkSession
     text = [F.xxhash64("text")] if "text" in docs.columns else []
-    order = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), *(t.cast("string") for t in text)))
     source = F.coalesce(F.col("source"), F.lit(""))
     # 4096 pieces of each source by the first digits of its order: a source of any size is numbered by many tasks
     keyed = docs.withColumns({"__source": source, "__order": order, "__piece": F.substring(order, 1, 3)})
@@ -102,14 +112,15 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataF
 
     inside = Window.partitionBy("__source", "__piece").orderBy("__order", "doc_id", *text)
     numbered = keyed.withColumn("__rank", F.row_number().over(inside) - 1)
-    # at most 4096 rows a source, at most MAX_SOURCES sources: 40 million short rows; joined by key, broadcast if small
+    # at most 4096 short rows a source: joined by key, broadcast if small
     placed = numbered.join(offsets, (F.col("__source") == F.col("__os")) & (F.col("__piece") == F.col("__op")))
     number = F.col("__before") + F.col("__rank")
     placed = placed.withColumns({"__block": F.floor(number / block), "__in": number % block})
-    met = placed.join(F.broadcast(schedule), (F.col("__source") == F.col("__ps")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
+    small = sum(len(r[6]) + 8 for r in rows) <= BROADCAST
+    met = placed.join(F.broadcast(schedule) if small else schedule, (F.col("__source") == F.col("__ps")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
     k = F.col("__block") - F.col("__first")
     slot = F.col("__at") + F.floor(k / F.col("__share")) * F.col("__q") + F.element_at("__places", (k % F.col("__share") + 1).cast("int"))
-    kept = [c for c in docs.columns if c not in ("block", "position")]
+    kept = [c for c in docs.columns if c.lower() not in ("block", "position")]
     return met.select(*kept, F.col("__block").cast("long").alias("block"), (slot * block + F.col("__in")).cast("long").alias("position"))
 
 
