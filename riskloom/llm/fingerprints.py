@@ -7,8 +7,8 @@ summed up before the shuffle, so a bucket of a third of all rows costs one row a
 differ inside a bucket get an ordinal after the hash, so a collision never merges two texts.
 
 Null texts count as empty; empty texts are all equal. Repeated rows give repeated results. Other
-columns are ignored. The next document is the one with the next smaller doc_id (null last, then by
-text); the first follows the last; a single document follows itself.
+columns are ignored. The next document is the one with the next smaller doc_id (null last; of equal
+doc_ids by xxHash64 of the text); the first follows the last; a single document follows itself.
 """
 
 from __future__ import annotations
@@ -95,28 +95,52 @@ def _piece(marks: list[int]):
     return F.aggregate(F.array(*[F.lit(1 << i) for i in reversed(range(steps))]), F.lit(0), step)
 
 
-def with_next(docs: DataFrame, *more) -> DataFrame:
-    """doc_id, text (null: empty), the columns ``more``, and ``following``: the same of the next document.
+def _pieces(docs: DataFrame, pieces: int):
+    """The columns (piece, part) of a row: ranges of doc_id of about equal size, in order, and parts of a doc_id that fills ranges of its own.
+
+    Rows of one doc_id (and those without one) are in the order of their texts' hashes, and parts are ranges of these.
+    """
+    few = [i / pieces for i in range(1, pieces)]
+    facts = docs.agg(F.percentile_approx("doc_id", few, 100 * pieces).alias("m"), F.count("*").alias("n"), F.count_if(F.col("doc_id").isNull()).alias("none")).first()
+    marks = facts["m"] or []
+    parts = {m: marks.count(m) for m in set(marks) if marks.count(m) > 1}
+    # a doc_id that fills ranges ends one, and what lies below it begins another
+    ends = sorted({m - 1 for m in parts} | set(marks))
+    parts[None] = max(1, facts["none"] * pieces // max(1, facts["n"]))
+    share = F.shiftrightunsigned(F.col("mark").bitwiseXOR(F.lit(-(1 << 63))), 33)  # the hash as a number below 2^31, in the order of hashes
+    part = F.lit(0)
+    for doc_id, count in parts.items():
+        part = F.when(F.col("doc_id").eqNullSafe(F.lit(doc_id).cast("long")), F.shiftright(share * count, 31).cast("int")).otherwise(part)
+    return F.when(F.col("doc_id").isNull(), -1).otherwise(_piece(ends)), part
+
+
+def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
+    """doc_id, text (null: empty), a column for each of ``more`` (name: function of the text), and ``following``: the same of the next document.
 
     Rows are dealt to ranges of doc_id of about equal size; each range is read in order, and its last
     row takes the first row of the next range, of which there is one for each range.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    docs = docs.select("doc_id", "text", *more)
-    pieces = 4 * shards(docs.sparkSession)
-    marks = docs.agg(F.percentile_approx("doc_id", [i / pieces for i in range(1, pieces)], 100 * pieces)).first()[0] or []
-    dealt = docs.withColumn("piece", _piece(sorted(set(marks))))
-    row = F.struct(*docs.columns)
-    w = Window.partitionBy("piece").orderBy(F.col("doc_id").desc_nulls_last(), F.col("text"))
-    placed = dealt.withColumn("following", F.lead(row).over(w))
-    tops = dealt.groupBy("piece").agg(F.max("doc_id").alias("top"))
-    heads = dealt.join(F.broadcast(tops.select("top").distinct()), F.col("doc_id").eqNullSafe(F.col("top")), "left_semi")
-    heads = heads.groupBy("piece").agg(F.min_by(row, "text").alias("head"))  # one row for each of the pieces
-    ring = Window.orderBy(F.col("piece").desc())
-    after = heads.select("piece", F.coalesce(F.lead("piece").over(ring), F.first("piece").over(ring)).alias("from"))
-    first = F.broadcast(after.join(heads.withColumnRenamed("piece", "from"), "from").select("piece", "head"))
-    ended = placed.join(first, "piece", "left")
-    return ended.select(*docs.columns, F.coalesce("following", "head").alias("following"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    docs = docs.select(F.col("doc_id").cast("long"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    made = {"doc_id": F.col("doc_id"), "text": F.col("text")} | {k: f(F.col("text")) for k, f in (more or {}).items()}
+    piece, part = _pieces(docs, 4 * shards(docs.sparkSession))
+    dealt = docs.withColumns({"piece": piece, "part": part})
+    row = F.struct(*(c.alias(k) for k, c in made.items()))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("mark"), F.col("text")]
+    placed = dealt.select("piece", "part", "mark", *(c.alias(k) for k, c in made.items()))
+    placed = placed.withColumn("following", F.lead(F.struct(*made)).over(Window.partitionBy("piece", "part").orderBy(*order)))
+    # the first row of each range: found by its numbers alone, and only its text is looked at
+    top = F.min(F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), F.col("mark"))).alias("top")
+    tops = dealt.groupBy("piece", "part").agg(top).select(F.col("piece").alias("p"), F.col("part").alias("q"), (-F.col("top.col2")).alias("d"), F.col("top.mark").alias("m"))
+    first = (F.col("piece") == F.col("p")) & (F.col("part") == F.col("q")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    heads = dealt.join(F.broadcast(tops), first, "left_semi").groupBy("piece", "part").agg(F.min(F.struct("text", "doc_id")).alias("h"))
+    heads = heads.select("piece", "part", F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")).select("piece", "part", row.alias("head"))
+    ring = Window.orderBy(F.col("piece").desc(), "part")  # a row for each range
+    here = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(ring))
+    after = heads.select("piece", "part", here("piece").alias("p"), here("part").alias("q"))
+    nexts = after.join(heads.select(F.col("piece").alias("p"), F.col("part").alias("q"), "head"), ["p", "q"]).select("piece", "part", "head")
+    ended = placed.join(F.broadcast(nexts), ["piece", "part"], "left")
+    return ended.select(*made, F.coalesce("following", "head").alias("following"))
 
 
 def edited(text, other):
@@ -128,7 +152,7 @@ def edited(text, other):
 def op3_fingerprints(spark, sf_dir):
     """One pass deals out whole texts once; a second one moves only texts whose hashes are shared."""
     source = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = with_next(source, wide(canonical(F.col("text"))).alias("h"))
+    rows = with_next(source, {"h": lambda text: wide(canonical(text))})
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("following.text")))
     facts = rows.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), "h",
