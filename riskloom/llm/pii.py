@@ -179,7 +179,8 @@ def op9_pii(spark, sf_dir):
         return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     count = [of(k) for k in base]
-    return found.select("doc_id", *count, F.sha2(joined(first), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    scores = F.array_join(F.transform("spans", lambda x: F.round(x["score"], 2).cast("string")), ",").alias("scores")
+    return found.select("doc_id", *count, F.sha2(joined(first), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), scores)
 
 
 QUERIES = {"op9_pii": op9_pii}
