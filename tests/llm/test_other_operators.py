@@ -33,6 +33,55 @@ def test_mix_loses_nothing_and_follows_weights(spark):
     at = sorted(r.position for r in got)
     assert len(set(at)) == len(at)
     assert mixing.mix(docs.selectExpr("doc_id", "source").where("false"), {"hot": 1}).count() == 0
+    clash = mixing.mix(docs.selectExpr("doc_id", "source", "1 as Block", "2 as POSITION"), {"hot": 2})
+    assert [c.lower() for c in clash.columns] == ["doc_id", "source", "block", "position"]
+
+
+def by_deadlines(blocks, share):
+    """The order of all blocks: slot after slot, of those released the one due first; anew when a source has ended."""
+    left, used, out = dict(blocks), dict.fromkeys(blocks, 0), []
+    while any(left.values()):
+        live = [s for s in sorted(left) if left[s]]
+        q, done, slot = sum(share[s] for s in live), dict.fromkeys(live, 0), 0
+        while all(left[s] for s in live):
+            ready = [(-(-(done[s] + 1) * q // share[s]), s) for s in live if done[s] * q // share[s] <= slot]
+            s = min(ready)[1]
+            out.append((s, used[s]))
+            done[s] += 1
+            used[s] += 1
+            left[s] -= 1
+            slot += 1
+    return out
+
+
+def test_mix_query_by_brute_force(spark):
+    got = mixing.op1_mix(spark, "/root/testdata/sf0.01").collect()
+    sources, want = {}, {}
+    for r in table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "source").collect():
+        sources.setdefault(r.source or "", []).append(r.doc_id)
+    for s, ids in sources.items():
+        ids.sort(key=lambda i: (hashlib.md5(str(i).encode()).hexdigest(), i))
+    order = by_deadlines({s: -(-len(v) // mixing.BLOCK) for s, v in sources.items()}, mixing.shares(sorted(sources), mixing.target_weights()))
+    for slot, (s, b) in enumerate(order):
+        for i, doc in enumerate(sources[s][b * mixing.BLOCK : (b + 1) * mixing.BLOCK]):
+            want[doc] = (b, slot * mixing.BLOCK + i)
+    assert {r.doc_id: (r.block, r.position) for r in got} == want
+
+
+def test_mix_shares_are_exact_or_refused():
+    assert mixing.shares(["a", "b", "c"], {"a": 0.9, "b": 0.0001, "c": 0.00001}) == {"a": 90_000, "b": 10, "c": 1}
+    near = mixing.shares(["a", "b"], {"a": 3_000_001, "b": 1_000_003})
+    assert sum(near.values()) <= mixing.FRAME + 1 and abs(near["a"] / near["b"] - 3_000_001 / 1_000_003) < 1e-4
+    with pytest.raises(ValueError):
+        mixing.shares(["a", "b"], {"a": 1, "b": 1e-9})
+
+
+def test_mix_many_sources_and_a_schedule_beyond_broadcast(spark, monkeypatch):
+    rows = [(i, f"s{i % 120}") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    one = mixing.mix(docs, {"s0": 3}, block=4).collect()
+    monkeypatch.setattr(mixing, "BROADCAST", 0)
+    assert sorted(mixing.mix(docs, {"s0": 3}, block=4).collect()) == sorted(one) and len({r.position for r in one}) == 3000
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -179,3 +228,10 @@ def test_ngram_edge_rows(spark):
     assert len(got) == 4 and all(r.n_known == 0 and r.train_tokens == 0 and r.score == 0 for r in got) and sorted(r.n_tokens for r in got) == [1, 1, 3, 100_001]
     both = ngram_trie.score(docs, ngram_trie.train(docs)).collect()
     assert all(r.n_known == r.n_tokens and math.isfinite(r.score) for r in both)
+
+
+def test_chat_ties_repeats_and_more_columns(spark):
+    rows = [(1, 0, "user", "b", 9), (1, 0, "user", "a", 9), (1, 0, "user", "a", 9), (1, None, "system", "s", 9), (2, 0, None, None, 9)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, n int").selectExpr("*", "1 as parts")
+    got = {r.conv_id: [(t["role"], t["text"]) for t in r.back] for r in chat.format_conversations(turns).withColumn("back", chat.read_back("formatted")).collect()}
+    assert got == {1: [("system", "s"), ("user", "a"), ("user", "a"), ("user", "b")], 2: [("", "")]}

@@ -254,3 +254,16 @@ def test_pii_query_base_spans_by_brute_force(spark):
         joined = ",".join(f"{k}:{s}:{e}" for s, k, e in found)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest() and set(joined.split(",")) - {""} <= set(r.spans.split(","))
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for _, x, _ in found) for k in shapes]
+
+
+def test_next_documents_of_ties_nulls_and_one_row(spark):
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    mark = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
+    ties = [(7, f"same id {i}") for i in range(400)] + [(i, f"text {i}") for i in range(100)] + [(None, f"none {i}") for i in range(300)] + [(5, None), (5, "twice"), (5, "twice")]
+    for rows in (ties, ties[:1], [(None, None)], ties[400:410], [(3, "x")] * 50):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as h", "2 as piece", "3 as mark").repartition(5)
+        order = sorted(((i, t or "") for i, t in rows), key=lambda x: (x[0] is None, -(x[0] or 0), mark(x[1]), x[1]))
+        want = sorted(((a, b) for a, b in zip(order, order[1:] + order[:1])), key=str)
+        got = sorted((((r.doc_id, r.text), (r.following.doc_id, r.following.text)) for r in fingerprints.with_next(docs).collect()), key=str)
+        assert got == want
+    assert fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
