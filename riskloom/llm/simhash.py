@@ -23,9 +23,9 @@ their 64-bit hash. Every link is confirmed by the two whole sets.
 Only components are asked for, so pairs inside a cloud of near copies are not listed. First each set is
 tried with a few leaders, the members of its prefix keys that share most; then pairs are sought only
 between sets that are still in different components. Two sets whose overlap is o share at least
-o - ceil(0.8 n) + k prefix keys (n of either, the lesser result), so a set that has fewer keys in common
-with any others looks only at those sizes where that suffices; edited copies that are near to nothing then
-meet next to none of their cloud.
+t = o - ceil(0.8 n) + k prefix keys (n of either, the lesser result), so a set that has c keys in common with
+any sets of other components finds the similar ones by c - t + 1 of them, and takes those with the fewest
+members: an edited copy that is near to nothing looks by its edits, not by what its whole cloud shares.
 """
 
 from __future__ import annotations
@@ -85,6 +85,13 @@ def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(g), 42) for g in grams), np.uint64))
 
 
+def _slices(batches, rows: int = 500):
+    """Batches of few rows: what is made of a text is larger than the text."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _node(hashes: np.ndarray) -> int:
     """The name of a set of shingles."""
     return int(np.array([xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)], np.uint64).view(np.int64)[0])
@@ -140,7 +147,7 @@ def sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def task(batches):
         held = map_arrays(path)
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for t in texts(b):
                 h = shingles(t, shingle)
@@ -161,7 +168,7 @@ def _whole(docs: DataFrame, found: DataFrame, asked: DataFrame, shingle: int) ->
     chosen = chosen.join(bounded(ids.select("id").distinct()), F.col("d").eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def task(batches):
-        for b in batches:
+        for b in _slices(batches):
             got = [shingles(t, shingle) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in got], pa.int64()), pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64()))], ["fp", "hashes"])
 
@@ -205,6 +212,15 @@ def _may_be(n, c, m, d):
     return (n * up <= m * down) & (m * up <= n * down) & (F.least(c, d) >= _least(n, m))
 
 
+def _in_place(n, i, m, j):
+    """Whether similar sets of n and m shingles can share the one at place i (from 0) of the first and j of the second.
+
+    In the one order of all shingles, no more than least(i, j) common ones lie before it and no more than the shorter rest after it.
+    """
+    up, down = SIMILAR
+    return F.least(i, j) + 1 + F.least(n - i, m - j) - 1 >= F.ceil((n + m) * up / (up + down))
+
+
 def _by_leaders(keyed: DataFrame) -> DataFrame:
     """(a, b): each set with the leaders with which it shares most keys."""
     leader = F.struct("weight", "fp", "n", "c")
@@ -216,41 +232,45 @@ def _by_leaders(keyed: DataFrame) -> DataFrame:
     return best.select(*_ordered("fp", "leader"))
 
 
-def _between(rooted: DataFrame) -> DataFrame:
-    """(a, b): the sets of ``rooted(key, fp, n, c, root)`` with different roots that can be similar.
+def _between(keyed: DataFrame, linked: DataFrame) -> DataFrame:
+    """(a, b): the sets of ``keyed(key, fp, n, place)`` that are in different components (``linked(node, root)``) and can be similar.
 
-    At each key the component with most members is only looked at; the others look, at the sizes that can be.
+    The set of the smaller component looks for the other. Of the keys at which it looks it needs only so many,
+    those with the fewest members, that the others are fewer than what two similar sets share.
     """
-    parts = rooted.groupBy("key", "root").agg(F.count("*").alias("m")).groupBy("key")
-    parts = parts.agg(F.max(F.struct("m", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", F.col("main.root").alias("main"))
-    step = lambda n: F.floor(F.log2(n) * STEPS + 1e-9)
-    open_ = materialize(rooted.join(parts, "key").withColumn("step", step(F.col("n"))), "open-keys")
     up, down = SIMILAR
+    sizes = linked.groupBy("root").agg(F.count("*").alias("size"))
+    own = linked.join(sizes, "root").select("node", F.struct("size", "root").alias("of"))
+    rooted = keyed.join(own, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "place", F.coalesce("of", F.struct(F.lit(1).cast("long").alias("size"), F.col("fp").alias("root"))).alias("of"))
+    keys = rooted.groupBy("key").agg(F.max("of").alias("main"), F.min("of").alias("least"), F.count("*").alias("members")).where("main != least").drop("least")
+    step = lambda n: F.floor(F.log2(n) * STEPS + 1e-9)
+    open_ = materialize(rooted.join(keys, "key").withColumn("step", step(F.col("n"))), "open-keys")
+    mine = Window.partitionBy("fp")
+    looks = open_.where("of != main").withColumns({"c": F.count("*").over(mine), "rank": F.row_number().over(mine.orderBy("members", "key"))})
     low, high = F.ceil(F.col("n") * up / down), F.floor(F.col("n") * down / up)
-    looks = open_.where("root != main").select("key", "fp", "n", "c", "root", low.alias("low"), high.alias("high"), F.explode(F.sequence(step(low), step(high))).alias("step"))
+    looks = looks.select("key", "fp", "n", "place", "of", "c", "rank", low.alias("low"), high.alias("high"), F.explode(F.sequence(step(low), step(high))).alias("step"))
     # ``_least`` rises and then falls with the size, but for roundings of less than three: over a range it is least at an end
     ends = [F.greatest("low", F.floor(F.pow(F.lit(2.0), F.col("step") / STEPS))), F.least("high", F.ceil(F.pow(F.lit(2.0), (F.col("step") + 1) / STEPS)))]
-    looks = looks.where(F.least(*(_least(F.col("n"), e) for e in ends)) - 3 <= F.col("c"))
+    least = F.when(ends[1] - ends[0] > 40, F.least(*(_least(F.col("n"), e) for e in ends)) - 3)
+    least = F.greatest(F.lit(1), F.coalesce(least, F.array_min(F.transform(F.sequence(ends[0], F.greatest(*ends)), lambda m: _least(F.col("n"), m)))))
+    looks = looks.where(F.col("rank") <= F.col("c") - least + 1)
     a, b = looks.alias("a"), open_.alias("b")
-    may = _may_be(F.col("a.n"), F.col("a.c"), F.col("b.n"), F.col("b.c"))
-    once = (F.col("b.root") == F.col("b.main")) | (F.col("a.fp") < F.col("b.fp"))  # where both look, the key counts for one of them
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.root") != F.col("b.root")) & once & may)
-    sizes = F.first(_least(F.col("a.n"), F.col("b.n"))).alias("least")
-    return met.groupBy(*_ordered("a.fp", "b.fp")).agg(F.count("*").alias("shared"), sizes).where("shared >= least").select("a", "b")
+    may = _may_be(F.col("a.n"), F.col("a.c"), F.col("b.n"), F.col("a.c")) & _in_place(F.col("a.n"), F.col("a.place"), F.col("b.n"), F.col("b.place"))
+    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.step") == F.col("b.step")) & (F.col("a.of") < F.col("b.of")) & may)
+    return met.select(*_ordered("a.fp", "b.fp")).distinct()
 
 
 def similar(docs: DataFrame, found: DataFrame, shingle: int = 5) -> DataFrame:
     """(a, b): pairs of sets of ``found`` (as of ``sets(docs)``) of similarity 0.8 or more, which reach whatever all such pairs reach."""
     nodes = found.where("n > 0").select("fp", "sim", "n", "prefix").dropDuplicates(["fp"])
-    keyed = nodes.select("fp", "n", F.explode("prefix").alias("key"))
+    keyed = nodes.select("fp", "n", F.posexplode("prefix").alias("place", "key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     keyed = materialize(keyed.join(shared, "key"), "shared-keys")
-    keyed = materialize(keyed.join(keyed.groupBy("fp").agg(F.count("*").alias("c"), F.sum("members").alias("weight")), "fp").select("key", "fp", "n", "c", "weight"), "weighed-keys")
+    keyed = materialize(keyed.join(keyed.groupBy("fp").agg(F.count("*").alias("c"), F.sum("members").alias("weight")), "fp").select("key", "fp", "n", "place", "c", "weight"), "weighed-keys")
     proposed = _by_leaders(keyed).unionByName(_bit_links(nodes.select("fp", "sim"))).distinct()
     near = materialize(confirmed(docs, found, proposed, shingle), "near")
     linked = materialize(components(near), "near-components")
-    rooted = keyed.join(linked, F.col("fp") == F.col("node"), "left").select("key", "fp", "n", "c", F.coalesce("root", "fp").alias("root"))
-    return near.unionByName(confirmed(docs, found, _between(rooted), shingle))
+    return near.unionByName(confirmed(docs, found, _between(keyed, linked), shingle))
 
 
 def _segment(fp, i: int):
