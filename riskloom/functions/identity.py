@@ -39,11 +39,10 @@ def effective_agent(agent: Column, host: Column) -> Column:
 
 
 def role_of(user: Column, role: Column) -> Column:
-    """A role as given, or inferred from the user's name."""
-    given = F.regexp_replace(F.lower(F.trim(role)), "[ -]+", "_")
-    name = F.lower(user)
-    admin = F.contains(name, F.lit("admin")) | F.contains(name, F.lit("sys")) | F.contains(name, F.lit("root"))
-    return F.when(F.coalesce(given, F.lit("")) != "", given).when(F.coalesce(admin, F.lit(False)), "administrator").otherwise("standard_user")
+    """The role given, in lower case with underscores for blanks; without one, by the user's name."""
+    given = F.trim(F.coalesce(role, F.lit("")))
+    by_name = F.when(F.lower(user).rlike("admin|sys|root"), "administrator").otherwise("standard_user")
+    return F.when(given != "", F.replace(F.lower(given), F.lit(" "), F.lit("_"))).otherwise(by_name)
 
 
 def _valid(c: Column) -> Column:

@@ -44,13 +44,6 @@ USER_PRIORS = {
 }
 
 
-def infer_role(user: Column, role: Column) -> Column:
-    """The role given, in lower case with underscores; without one, by the user's name."""
-    given = F.trim(F.coalesce(role, F.lit("")))
-    by_name = F.when(F.lower(user).rlike("admin|sys|root"), "administrator").otherwise("standard_user")
-    return F.when(given != "", F.replace(F.lower(given), F.lit(" "), F.lit("_"))).otherwise(by_name)
-
-
 def confidence(samples: Column) -> Column:
     return F.when(samples > 0, F.least(samples / DAYS, F.lit(1.0))).otherwise(0.1)
 

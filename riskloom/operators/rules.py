@@ -21,8 +21,13 @@ PROFILES = {
     "OFFICE_WORKER": (1.0, 1.0, 1.0, 1.0), "DEVELOPER": (0.35, 0.6, 0.7, 0.8), "SYSADMIN": (0.6, 0.7, 0.3, 0.7), "DATA_ENGINEER": (0.4, 0.3, 0.6, 0.7),
     "MEDIA_CREATOR": (0.4, 0.5, 0.8, 0.3), "DEFAULT": (0.8, 0.8, 0.8, 0.8),
 }
-BUILD_TOOLS = "git.exe cargo.exe rustc.exe msbuild.exe cl.exe javac.exe npm.cmd node.exe yarn.cmd pnpm.cmd docker.exe dockerd.exe mvn.cmd gradlew.bat python.exe pytest.exe go.exe code.exe".split()
-QUIET_PATHS = "(?i)[\\\\/](node_modules|\\.git|target|build|dist|\\.m2|\\.cargo|\\.cache|AppData[\\\\/]Local[\\\\/]Temp)[\\\\/]"
+#: Names of build tools' processes, and folders whose files are not looked at as strictly.
+BUILD_TOOLS = (
+    "git.exe", "cargo.exe", "rustc.exe", "msbuild.exe", "cl.exe", "javac.exe", "npm.cmd", "node.exe", "yarn.cmd", "pnpm.cmd",
+    "docker.exe", "dockerd.exe", "mvn.cmd", "gradlew.bat", "python.exe", "pytest.exe", "go.exe", "code.exe",
+)
+QUIET_FOLDERS = ("node_modules", "\\.git", "target", "build", "dist", "\\.m2", "\\.cargo", "\\.cache", "AppData[\\\\/]Local[\\\\/]Temp")
+QUIET_PATHS = "(?i)[\\\\/](" + "|".join(QUIET_FOLDERS) + ")[\\\\/]"
 #: Which detections weaken each other as one group; any other is a group of its own.
 GROUPS = {
     "FILE_EXFIL_GROUP": ("Bulk File Collection", "Broad File Collection", "Sensitive File Collection"),
@@ -33,8 +38,9 @@ GROUPS = {
 }
 #: Words that place a detection in a domain; the first that is found decides, FILE where none is.
 DOMAIN_WORDS = (
-    ("DECEPTION", "honeytoken decoy"), ("CREDENTIAL", "lsass mimikatz credential_dump"), ("EXECUTION", "memory injection executable_region"),
-    ("HTTP", "http cloud domain network browsing sharing upload"), ("FILE", "file credential"), ("DEVICE", "usb device"), ("LOGON", "logon session pc account auth"),
+    ("DECEPTION", ("honeytoken", "decoy")), ("CREDENTIAL", ("lsass", "mimikatz", "credential dump")), ("EXECUTION", ("memory", "injection", "executable region")),
+    ("HTTP", ("http", "cloud", "domain", "network", "browsing", "sharing", "upload")), ("FILE", ("file", "credential")), ("DEVICE", ("usb", "device")),
+    ("LOGON", ("logon", "session", "pc", "account", "auth")),
 )
 TRANSFERS = ("daily_files_to_removable_count", "external_drive_file_copy", "usb_file_transfer_count")
 UPLOADS = ("cloud_storage_uploads", "large_uploads", "upload_bytes", "cloud_upload_bytes", "large_upload_bytes")
@@ -43,7 +49,7 @@ CHANGES = ("service_modification_count", "privilege_change_count", "persistence_
 
 def domain_of(scenario: str) -> str:
     name = scenario.lower()
-    return next((d for d, words in DOMAIN_WORDS if any(w.replace("_", " ") in name for w in words.split())), "FILE")
+    return next((d for d, words in DOMAIN_WORDS if any(w in name for w in words)), "FILE")
 
 
 def group_of(scenario: str) -> str:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.identity import role_of
 from riskloom.operators import baseline as B
 from riskloom.plans.registry import Registry
 from riskloom.sources.views import AS_OF_DAY, features, with_sql
@@ -17,7 +18,7 @@ HOST = ["off_hours_auth_count", "daily_unique_pc_count", "edr_failed_auth_ratio_
 def _seen(spark, sf_dir):
     """Snapshots with the role that their sender states or that their name tells."""
     stated = F.when(F.col("role") == 0, " Data Engineer").when(F.col("role") == 1, "").otherwise(F.lit(None))
-    return features(spark, sf_dir).withColumn("role_name", B.infer_role(F.col("username"), stated))
+    return features(spark, sf_dir).withColumn("role_name", role_of(F.col("username"), stated))
 
 
 def _before(df):

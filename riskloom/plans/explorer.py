@@ -196,16 +196,13 @@ def enriched_page(spark, sf_dir):
     return top.join(newest, "payload_id", "left").select("event_id", "payload_id", "collector", "ts", "risk_id", "risk_score")
 
 
-@R.query("event_detail_window", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from (select * from obs where event_id % 500 = 7) o
-  join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
-def event_detail_window(spark, sf_dir):
-    """The rows of ``event_detail_window_all`` for a slice of the events, which this query's SQL fixes."""
-    return _detail_window(spark, sf_dir, observations(spark, sf_dir).where("event_id % 500 = 7"))
+_DETAIL = f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from obs o
+  join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day"""
 
 
-@R.query("event_detail_window_all", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from obs o
-  join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
-def event_detail_window_all(spark, sf_dir):
+@R.query("event_detail_window", _DETAIL)
+@R.query("event_detail_window_all", _DETAIL)
+def event_detail_window(spark, sf_dir):
     return _detail_window(spark, sf_dir, observations(spark, sf_dir))
 
 
@@ -263,14 +260,12 @@ def stats_collector_status(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("collector", "status").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("rows_seen"), F.max("ts").alias("last_seen"))
 
 
-@R.query("rollup_minute", f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs where ts < timestamp '2024-01-04' group by 1, 2, 3, 4")
-def rollup_minute(spark, sf_dir):
-    """The rows of ``rollup_minute_all`` for three days, which this query's SQL fixes."""
-    return _by_minute(observations(spark, sf_dir).where(X.within(F.col("ts"), end=datetime(2024, 1, 4), half_open=True)))
+_MINUTES = f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs group by 1, 2, 3, 4"
 
 
-@R.query("rollup_minute_all", f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs group by 1, 2, 3, 4")
-def rollup_minute_all(spark, sf_dir):
+@R.query("rollup_minute", _MINUTES)
+@R.query("rollup_minute_all", _MINUTES)
+def rollup_minute(spark, sf_dir):
     return _by_minute(observations(spark, sf_dir))
 
 
