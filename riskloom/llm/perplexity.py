@@ -389,8 +389,8 @@ def judge(docs: DataFrame) -> DataFrame:
     parts = max(shards(spark), grams.count() // SHARD)
     model = write_model(kneser_ney(grams), new_folder(spark, "kneser-ney"), parts)
     facts = materialize(score(docs, model), "facts")
-    limits = bands(facts).select(F.col("lang").alias("of"), "char_low", "char_high", "word_low", "word_high")
-    met = facts.join(limits, facts["lang"] == limits["of"], "left")
+    limits = materialize(bands(facts).select(F.col("lang").alias("of"), "char_low", "char_high", "word_low", "word_high"), "bands")
+    met = facts.join(_bounded(limits, limits.count()), F.col("lang") == F.col("of"), "left")
     inside = F.col("char_bits").between(F.col("char_low"), F.col("char_high")) & F.col("word_bits").between(F.col("word_low"), F.col("word_high"))
     return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
