@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.functions.identity import role_of as infer_role  # noqa: F401  the one inference of roles, under its name here
+
 #: Days that the moving average stands for.
 DAYS = 14
 #: Merged days from which on a baseline is trusted, and observations from which on values are bounded.
