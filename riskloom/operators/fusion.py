@@ -44,9 +44,11 @@ def ensemble(df: DataFrame) -> DataFrame:
         boost = F.when(s >= 40, 1.0 + 2.0 * ((s - 40.0) / 60.0) * ((s - 40.0) / 60.0) * c).otherwise(1.0)
         return F.when(c > 0, WEIGHTS[name] * boost).otherwise(0.0)
 
-    total = reduce(add, (weight(n) for n in parts))
-    value = reduce(add, (parts[n][0] * weight(n) for n in parts))
-    return df.withColumn("raw_score", F.greatest(F.when(total > 0, value / total).otherwise(0.0), F.col("rule_score")))
+    weighed = df.withColumns({f"__w_{n}": weight(n) for n in parts})
+    total = reduce(add, (F.col(f"__w_{n}") for n in parts))
+    value = reduce(add, (parts[n][0] * F.col(f"__w_{n}") for n in parts))
+    score = F.greatest(F.when(total > 0, value / total).otherwise(0.0), F.col("rule_score"))
+    return weighed.withColumn("raw_score", score).drop(*(f"__w_{n}" for n in parts))
 
 
 def over_history(what: str, keys: str = "username, agent_id", ts: str = "ts") -> Column:
@@ -137,9 +139,11 @@ def fuse(df: DataFrame) -> DataFrame:
     """``risk_score`` and ``risk_level`` from a frame that rules, signals and ``ml`` have been added to."""
     df = kill_chain(stages(scenarios(smoothed(ensemble(df)))))
     floor = F.coalesce(F.array_max(F.transform("cert", lambda c: F.when(c["severity"] == "CRITICAL", 90.0).when(c["severity"] == "HIGH", 70.0).when(c["severity"] == "MEDIUM", 40.0).otherwise(0.0))), F.lit(0.0))
-    score = F.greatest("smooth_score", floor, "chain_floor")
-    guarded = (score >= 70) & ~corroborated()
-    final = F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(guarded, F.least(score, F.lit(10.0))).otherwise(score))), 9)
+    df = df.withColumn("__score", F.greatest("smooth_score", floor, "chain_floor"))
+    score = F.col("__score")
+    df = df.withColumn("guarded", (score >= 70) & ~corroborated())
+    df = df.withColumn("risk_score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.when(F.col("guarded"), F.least(score, F.lit(10.0))).otherwise(score))), 9))
+    final = F.col("risk_score")
     level = F.when(final >= 90, "critical").when(final >= 70, "high").when(final >= 40, "medium").otherwise("low")
     said = F.concat_ws(" | ", F.when(F.size("detections") > 0, F.concat(F.lit("Heuristics: "), F.array_join(F.transform("detections", lambda d: d["scenario"]), " | "))), F.array_join(F.transform("cert", lambda c: c["id"]), " | "))
-    return df.withColumns({"guarded": guarded, "risk_score": final, "risk_level": level, "summary": F.when(said == "", "Normal behavior.").otherwise(said)})
+    return df.withColumns({"risk_level": level, "summary": F.when(said == "", "Normal behavior.").otherwise(said)}).drop("__score")

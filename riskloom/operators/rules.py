@@ -128,10 +128,7 @@ def rule_table(f: Features) -> list[tuple[str, str, str, object, str, Column]]:
     ]
 
 
-def _sensitivity(profile: Column, domain: str) -> Column:
-    place = {"FILE": 0, "HTTP": 1, "LOGON": 2, "DEVICE": 3}.get(domain)
-    if place is None:
-        return F.lit(1.0)
+def _sensitivity(profile: Column, place: int) -> Column:
     out = F.lit(PROFILES["DEFAULT"][place])
     for name, values in PROFILES.items():
         out = F.when(profile == name, values[place]).otherwise(out)
@@ -139,22 +136,28 @@ def _sensitivity(profile: Column, domain: str) -> Column:
 
 
 def detections(df: DataFrame) -> DataFrame:
-    """``df`` with ``detections``: what fired, each with its effective score after profile, tool and path."""
+    """``df`` with ``detections``: what fired, each with its effective score after profile, tool and path.
+
+    What many rules share is a column of its own, so that the plan holds it once.
+    """
     f = Features(df)
     profile, tool = F.upper(f.text("system_profile", "user_role")), F.lower(f.text("process_name", "active_process")).isin(*BUILD_TOOLS)
     quiet = F.when(f.text("target_path", "file_path").rlike(QUIET_PATHS), 0.25).otherwise(1.0)
+    places = {d: F.col(f"__of_{d}") for d in ("FILE", "HTTP", "LOGON", "DEVICE")}
+    shared = df.withColumns({"__profile": profile, "__tool": tool, "__quiet": quiet}).withColumns({f"__of_{d}": _sensitivity(F.col("__profile"), i) for i, d in enumerate(places)})
     found = []
     for pos, (scenario, sid, severity, score, confidence, fires) in enumerate(rule_table(f)):
         domain, group = domain_of(scenario), group_of(scenario)
         trust = 0.2 if domain == "FILE" else 0.5 if domain == "HTTP" and "HTTP_EXFIL" in group else 1.0
         as_col = lambda x: x if isinstance(x, Column) else F.lit(x)
-        effective = as_col(score).cast("double") * (F.when(tool, trust).otherwise(1.0) * quiet) * _sensitivity(profile, domain)
+        effective = as_col(score).cast("double") * (F.when(F.col("__tool"), trust).otherwise(1.0) * F.col("__quiet")) * places.get(domain, F.lit(1.0))
         one = F.struct(
             F.lit(pos).alias("pos"), F.lit(scenario).alias("scenario"), F.lit(sid).alias("scenario_id"), as_col(severity).alias("severity"), F.lit(domain).alias("domain"),
-            F.lit(group).alias("group_id"), effective.alias("effective"), (effective * CONFIDENCE[confidence]).alias("weighed"),
+            F.lit(group).alias("group_id"), effective.alias("effective"), F.lit(CONFIDENCE[confidence]).alias("certainty"),
         )
         found.append(F.when(fires, one))
-    return df.withColumn("detections", F.array_compact(F.array(*found)))
+    weighed = F.transform(F.array_compact(F.array(*found)), lambda x: x.withField("weighed", x["effective"] * x["certainty"]).dropFields("certainty"))
+    return shared.withColumn("detections", weighed).drop("__profile", "__tool", "__quiet", *(f"__of_{d}" for d in places))
 
 
 def grouped(df: DataFrame) -> DataFrame:
@@ -173,23 +176,22 @@ def grouped(df: DataFrame) -> DataFrame:
 
 def superposed(df: DataFrame) -> DataFrame:
     """``rule_score``, ``rule_level``, ``domains``: domains' peaks weighed together, with floors for the surest signs."""
-    peaks = {dom: F.array_max(F.transform(_of_domain(dom), lambda g: g["score"])) for dom in DOMAINS}
+    top = lambda d: F.array_max(F.transform(F.filter("groups", lambda g: g["domain"] == d), lambda g: g["score"]))
+    peaks = {d: F.col(f"__of_{d}") for d in DOMAINS}
     weight = reduce(add, (F.when(p.isNotNull(), DOMAINS[d]).otherwise(0.0) for d, p in peaks.items()))
     value = reduce(add, (F.coalesce(p * DOMAINS[d], F.lit(0.0)) for d, p in peaks.items()))
-    k = reduce(add, (p.isNotNull().cast("int") for p in peaks.values()))
-    base = value / F.greatest(F.lit(0.01), weight)
+    k, base = F.col("__k"), F.col("__base")
     bonus = F.when((k >= 3) & (base >= 35), F.least(F.lit(10.0), (k - 2) * 5.0)).otherwise(0.0)
-    only = F.coalesce(*peaks.values())
-    score = F.when(k == 0, 0.0).when(k == 1, only * 0.8).otherwise(F.least(F.lit(100.0), base + bonus))
+    score = F.when(k == 0, 0.0).when(k == 1, F.coalesce(*peaks.values()) * 0.8).otherwise(F.least(F.lit(100.0), base + bonus))
     has = lambda sid: F.exists("detections", lambda x: x["scenario_id"] == sid)
     score = F.when(has("HONEYTOKEN"), 100.0).otherwise(F.greatest(F.when(has("S1_CRED_DUMP"), 95.0).otherwise(0.0), F.least(F.lit(100.0), score)))
-    level = F.when(score >= 90, "CRITICAL").when(score >= 70, "HIGH").when(score >= 40, "MEDIUM").otherwise("LOW")
+    s = F.col("__score")
+    level = F.when(s >= 90, "CRITICAL").when(s >= 70, "HIGH").when(s >= 40, "MEDIUM").otherwise("LOW")
     active = F.array_compact(F.array(*(F.when(p.isNotNull(), F.lit(d)) for d, p in peaks.items())))
-    return df.withColumns({"rule_score": F.round(score, 9), "rule_level": level, "domains": active, "peaks": F.struct(*(p.alias(d) for d, p in peaks.items()))})
-
-
-def _of_domain(domain: str) -> Column:
-    return F.filter("groups", lambda g: g["domain"] == domain)
+    df = df.withColumns({f"__of_{d}": top(d) for d in DOMAINS})
+    df = df.withColumns({"__k": reduce(add, (p.isNotNull().cast("int") for p in peaks.values())), "__base": value / F.greatest(F.lit(0.01), weight)}).withColumn("__score", score)
+    df = df.withColumns({"rule_score": F.round(s, 9), "rule_level": level, "domains": active, "peaks": F.struct(*(p.alias(d) for d, p in peaks.items()))})
+    return df.drop("__k", "__base", "__score", *(f"__of_{d}" for d in DOMAINS))
 
 
 def ranked_detections() -> Column:
