@@ -143,3 +143,42 @@ def deviations(df: DataFrame, users: DataFrame, roles: DataFrame, features: list
     spread = F.greatest("base.std", std_floor(F.col("feature"), F.col("base.mean"), FLOOR_USER))
     z = F.when(F.col("base").isNull(), 0.0).otherwise((F.col("value") - F.col("base.mean")) / spread)
     return rows.select("payload_id", "username", "feature", z.alias("z"), tier.alias("tier"))
+
+
+#: The features that a user's and a host's baseline are made of.
+USER_FEATURES = (
+    "daily_unique_filename_count", "daily_new_filename_count", "file_access_count", "file_sharing_site_visits", "daily_http_request_count", "daily_external_domain_ratio",
+    "daily_device_connect_count", "bytes_sent",
+)
+HOST_FEATURES = (
+    "unique_workstations_300s", "auth_rate_300s", "edr_auth_events_per_minute_window", "edr_auth_event_count_window", "off_hours_auth_count", "daily_unique_pc_count", "daily_device_connect_count",
+)
+#: Fixed value: the risk from which on a snapshot teaches no baseline.
+ALERTING = 40.0
+
+
+def selected(df: DataFrame, keep: list[str], features: tuple[str, ...]) -> DataFrame:
+    """(keep, feature, value): the features of a baseline that each row has; what is no number is left out."""
+    there = [f for f in features if f in df.columns]
+    read = df.select(*keep, *(F.nanvl(F.col(f).try_cast("double"), F.lit(None).cast("double")).alias(f) for f in there))
+    return tall(read, keep, there)
+
+
+def teaches_user(risk: Column) -> Column:
+    return risk < ALERTING
+
+
+def teaches_host(risk: Column, auth_anomaly: Column, flags: list[Column]) -> Column:
+    """No alert, no burst of logons, none of the surest signs: so an intruder does not teach the host's baseline."""
+    calm = (risk < ALERTING) & ~auth_anomaly
+    for flag in flags:
+        calm = calm & ~flag
+    return calm
+
+
+def rolling_view(state: DataFrame, taken: DataFrame, entity: str, features: list[str]) -> DataFrame:
+    """(entity, samples): each entity's features in the order of names with mean, std, samples and how often they were missing on closed days."""
+    days = _closed_days(taken, entity).groupBy(entity).agg(*(F.count_if(F.col(f).isNull()).alias(f) for f in features))
+    missing = days.select(entity, F.inline(F.array(*(F.struct(F.lit(f).alias("feature"), F.col(f).alias("missing")) for f in features))))
+    row = F.struct("feature", "mean", "std", "samples", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
+    return state.join(missing, [entity, "feature"], "left").groupBy(entity).agg(F.sort_array(F.collect_list(row)).alias("samples"))

@@ -70,3 +70,52 @@ def metrics(rows: DataFrame) -> DataFrame:
     core = ["mean_dwell_time_ms", "mean_flight_time_ms", "typing_speed_cpm"]
     there = rows.dropna(how="all", subset=core)
     return there.groupBy("agent_id", *core).agg(F.min("timestamp").alias("timestamp"))
+
+
+def verification(made: DataFrame, length: int = LENGTH, step: int = STEP, seed: int = 42) -> DataFrame:
+    """(identity, kind, nth, source, start, dwell, flight): windows to enroll by, genuine probes, and as many impostors' probes.
+
+    A stream is cut into its first six tenths and the rest before it is cut into windows, so no key is on both sides.
+    An identity takes part if it has ``2 length + 4 step`` pairs and three windows on each side. Its impostors' probes are drawn
+    by hash of seed, identity and number from the others' probes: the other by its place among the identities (a row an identity),
+    the probe by its number, so a draw is a join on keys and the same wherever it runs.
+    """
+    n, cut = F.size("dwell"), F.floor(F.size("dwell") * 0.60).cast("int")
+    part = lambda a, size: F.struct(*(F.slice(c, a, size).alias(c) for c in ("dwell", "flight")))
+    whole = made.where(n >= 2 * length + 4 * step).select("identity", F.explode(F.array(
+        F.struct(F.lit("enroll").alias("kind"), part(F.lit(1), cut).alias("s")), F.struct(F.lit("genuine").alias("kind"), part(cut + 1, n - cut).alias("s")))).alias("p"))
+    rows = whole.select("identity", "p.kind", "p.s.dwell", "p.s.flight").withColumn("count", F.floor((F.size("dwell") - length) / step) + 1)
+    fits = F.min("count").over(Window.partitionBy("identity")) >= 3
+    rows = rows.withColumn("fits", fits).where("fits").drop("fits")
+    cuts = rows.select("identity", "kind", "count", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))).alias("nth"), "dwell", "flight").withColumn("start", F.col("nth") * step)
+    cuts = cuts.select("identity", "kind", "nth", F.col("identity").alias("source"), "start", *(F.slice(c, F.col("start") + 1, length).alias(c) for c in ("dwell", "flight")))
+    probes = rows.where("kind = 'genuine'").select("identity", "count")
+    of = probes.withColumn("place", F.row_number().over(Window.orderBy("identity")).cast("long") - 1)
+    total = probes.agg(F.count("*").alias("total"))
+    draw = lambda what: F.abs(F.xxhash64(F.lit(seed), F.lit(what), "identity", "nth"))
+    wanted = of.join(F.broadcast(total)).where("total > 1").select("identity", "place", "total", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))).alias("nth"))
+    other = F.expr("pmod(place + 1 + pmod(other, total - 1), total)")
+    wanted = wanted.withColumn("other", draw("who")).select("identity", "nth", other.alias("place"), draw("which").alias("which"))
+    drawn = wanted.join(of.select("place", F.col("identity").alias("source"), "count"), "place").select("identity", "nth", "source", F.expr("cast(pmod(which, count) as int)").alias("probe"))
+    genuine = cuts.where("kind = 'genuine'").select("source", F.col("nth").alias("probe"), "start", "dwell", "flight")
+    impostors = drawn.join(genuine, ["source", "probe"]).select("identity", F.lit("impostor").alias("kind"), "nth", "source", "start", "dwell", "flight")
+    return cuts.unionByName(impostors)
+
+
+def protocol(made: DataFrame, least: int = 4, length: int = LENGTH, seed: int = 42) -> DataFrame:
+    """(identity, protocol, side, dwell, flight): what trains and what the verification is held out on.
+
+    Of ``least`` identities or more, three tenths (two at least, two always left) in the order of a seeded hash are held out whole: open-set.
+    Of fewer, each stream's first half trains and the rest is held out: temporal; halves shorter than a window go.
+    """
+    ranked = made.select("identity").withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "identity"), "identity")))
+    n = F.count("*").over(Window.partitionBy())
+    ranked = ranked.withColumn("n", n).withColumn("held", F.least(F.greatest(F.lit(2), F.floor(F.col("n") * 0.30)), F.col("n") - 2))
+    rows = made.join(ranked, "identity")
+    wide, half = F.col("n") >= least, F.floor(F.size("dwell") / 2).cast("int")
+    side = F.when(F.col("place") > F.col("n") - F.col("held"), "bench").otherwise("train")
+    piece = lambda name, a, size: F.struct(F.lit("temporal").alias("protocol"), name.alias("side"), *(F.slice(c, a, size).alias(c) for c in ("dwell", "flight")))
+    whole = F.array(F.struct(F.lit("open-set").alias("protocol"), side.alias("side"), "dwell", "flight"))
+    parts = F.array(piece(F.lit("train"), F.lit(1), half), piece(F.lit("bench"), half + 1, F.size("dwell") - half))
+    out = rows.select("identity", "n", F.inline(F.when(wide, whole).otherwise(parts)))
+    return out.where((F.col("protocol") == "open-set") | (F.size("dwell") >= length)).select("identity", "protocol", "side", "dwell", "flight")

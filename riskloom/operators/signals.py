@@ -16,6 +16,8 @@ Z_DOMAINS = (
     ("network", "http domain upload sent network sharing traffic"), ("device", "usb device removable drive"),
 )
 EXPECTED = 2.0
+#: Columns that ``auth_burst`` makes on its way, each from those before it: the plan holds each once.
+_STEPS = ("ratio", "epm", "good", "failed", "total", "share")
 
 
 def auth_burst(df: DataFrame, deviations: dict[str, Column] | None = None) -> DataFrame:
@@ -24,15 +26,15 @@ def auth_burst(df: DataFrame, deviations: dict[str, Column] | None = None) -> Da
     ``deviations``: how far the host's own values lie from its baseline; what lies within two is expected.
     """
     f, dev = Features(df), deviations or {}
-    ratio_ = f.raw("edr_failed_auth_ratio_window", "auth_fail_rate_300s")
-    ratio = F.when(ratio_.between(0, 1), ratio_)
-    epm = f.raw("edr_auth_events_per_minute_window", "auth_rate_300s")
-    good = F.coalesce(f.raw("edr_auth_event_count_window"), F.when(epm.isNotNull(), F.greatest(F.lit(0.0), epm * 5)))
-    inferred = F.when((ratio < 1) & good.isNotNull(), ratio * F.greatest(F.lit(0.0), good) / (1 - ratio)).when(ratio == 1, f.raw("edr_auth_total_attempt_count_window", "auth_attempt_count_300s"))
+    ratio, epm, good, failed, total, share = (F.col(f"__{c}") for c in _STEPS)
+    stated = f.raw("edr_failed_auth_ratio_window", "auth_fail_rate_300s")
+    attempts = f.raw("edr_auth_total_attempt_count_window", "auth_attempt_count_300s")
+    inferred = F.when((ratio < 1) & good.isNotNull(), ratio * F.greatest(F.lit(0.0), good) / (1 - ratio)).when(ratio == 1, attempts)
     told = F.coalesce(f.raw("edr_failed_auth_event_count_window", "failed_auth_count_300s"), f.raw("edr_failed_auth_events_per_minute_window") * 5, inferred, F.lit(0.0))
-    failed = F.greatest(F.lit(0.0), told)
-    total = F.coalesce(good, F.lit(0.0)) + failed
-    share = F.coalesce(ratio, F.when(total > 0, failed / total))
+    df = df.withColumns({"__ratio": F.when(stated.between(0, 1), stated), "__epm": f.raw("edr_auth_events_per_minute_window", "auth_rate_300s")})
+    df = df.withColumn("__good", F.coalesce(f.raw("edr_auth_event_count_window"), F.when(epm.isNotNull(), F.greatest(F.lit(0.0), epm * 5))))
+    df = df.withColumn("__failed", F.greatest(F.lit(0.0), told)).withColumn("__total", F.coalesce(good, F.lit(0.0)) + failed)
+    df = df.withColumn("__share", F.coalesce(ratio, F.when(total > 0, failed / total)))
     hosts, rate = f.n("unique_workstations_300s"), F.coalesce(epm, F.lit(0.0))
     usual = lambda *names: F.coalesce(F.coalesce(*(dev.get(n, F.lit(None).cast("double")) for n in names)) < EXPECTED, F.lit(False))
     wide = ~usual("unique_workstations_300s")
@@ -51,7 +53,9 @@ def auth_burst(df: DataFrame, deviations: dict[str, Column] | None = None) -> Da
     pick = F.struct(F.lit(0.0).alias("score"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("pattern"))
     for when, score, confidence, pattern in reversed(cases):
         pick = F.when(when, F.struct(F.lit(score).alias("score"), F.lit(confidence).alias("confidence"), pattern.alias("pattern"))).otherwise(pick)
-    return df.withColumn("auth", F.struct(pick["score"].alias("score"), pick["confidence"].alias("confidence"), pick["pattern"].alias("pattern"), failed.alias("failed"), total.alias("total"), hosts.alias("workstations")))
+    taken = [F.col(f"__pick.{c}").alias(c) for c in ("score", "confidence", "pattern")]
+    out = df.withColumn("__pick", pick).withColumn("auth", F.struct(*taken, failed.alias("failed"), total.alias("total"), hosts.alias("workstations")))
+    return out.drop("__pick", *(f"__{c}" for c in _STEPS))
 
 
 def z_domain(name: str) -> str:
@@ -70,24 +74,28 @@ def calibrated(z: Column, threshold: float = 8.0) -> Column:
 
 def zscore(df: DataFrame, deviations: dict[str, Column], threshold: float = 8.0, velocity: Column | None = None) -> DataFrame:
     """``z``: score, confidence, greatest deviation, each domain's greatest, and the features that lie two or more above."""
-    f, top = Features(df), max(7.0, threshold)
-    up = {n: F.when(~F.isnan(c) & (c > 0), c).otherwise(0.0) for n, c in deviations.items()}
-    up = {n: F.coalesce(c, F.lit(0.0)) for n, c in up.items()}
+    f, top, named = Features(df), max(7.0, threshold), list(deviations)
+    rise = lambda c: F.coalesce(F.when(~F.isnan(c) & (c > 0), c).otherwise(0.0), F.lit(0.0))
+    up = {n: F.col(f"__up_{i}") for i, n in enumerate(named)}
+    speed, own, quick, k, score, greatest = (F.col(f"__{c}") for c in ("speed", "own", "quick", "k", "score", "greatest"))
     most = lambda cols: F.lit(0.0) if not cols else cols[0] if len(cols) == 1 else F.greatest(*cols)
-    speed = F.greatest(F.lit(0.0), F.coalesce(velocity, F.lit(0.0))) if velocity is not None else F.lit(0.0)
     domain = {d: most([*(c for n, c in up.items() if z_domain(n) == d), *([speed] if d == "logon" else [])]) for d, _ in Z_DOMAINS}
-    own, quick = calibrated(most(list(up.values())), threshold), calibrated(speed, threshold)
+    excess = [F.greatest(F.lit(0.0), F.col(f"__in_{d}") - 2.0) for d in domain]
     fast = (speed >= 4) & (f.n("auth_rate_300s") >= 2) & (f.n("unique_workstations_300s") >= 2)
-    quick = F.when(fast, F.least(F.lit(65.0), F.greatest(quick, (speed - 2) * 12))).otherwise(quick)
-    greatest = F.when(quick > own, speed).otherwise(most(list(up.values())))
-    excess = {d: F.greatest(F.lit(0.0), c - 2.0) for d, c in domain.items()}
-    k = reduce(add, ((e > 0).cast("int") for e in excess.values()))
-    norm = F.sqrt(reduce(add, (e * e for e in excess.values())))
+    scaled = calibrated(speed, threshold)
+    norm = F.sqrt(reduce(add, (e * e for e in excess)))
     compound = F.when(k >= 2, F.least(F.lit(100.0), norm * (100.0 / (top - 2.0)) * (1.0 + 0.15 * (k - 1)))).otherwise(0.0)
-    score = F.greatest(own, quick, compound)
     shown = F.when(greatest > 0, greatest).when(quick > 0, speed).otherwise(0.0)
     confidence = F.when(score > 0, F.least(F.lit(0.95), 0.45 + 0.05 * shown + 0.08 * F.greatest(F.lit(0), k - 1))).otherwise(0.0)
     high = F.array_compact(F.array(*(F.when(c >= 2, F.lit(n)) for n, c in up.items())))
-    return df.withColumn(
-        "z", F.struct(F.round(score, 9).alias("score"), F.round(confidence, 9).alias("confidence"), greatest.alias("max_z"), k.alias("domains"), *(c.alias(d) for d, c in domain.items()), high.alias("features"))
-    )
+    before = df.columns
+    df = df.withColumns({f"__up_{i}": rise(deviations[n]) for i, n in enumerate(named)} | {"__speed": F.greatest(F.lit(0.0), F.coalesce(velocity, F.lit(0.0))) if velocity is not None else F.lit(0.0)})
+    df = df.withColumns({f"__in_{d}": c for d, c in domain.items()} | {"__most": most(list(up.values()))})
+    df = df.withColumns({
+        "__own": calibrated(F.col("__most"), threshold), "__quick": F.when(fast, F.least(F.lit(65.0), F.greatest(scaled, (speed - 2) * 12))).otherwise(scaled),
+        "__k": reduce(add, ((e > 0).cast("int") for e in excess)),
+    })
+    df = df.withColumns({"__score": F.greatest(own, quick, compound), "__greatest": F.when(quick > own, speed).otherwise(F.col("__most"))})
+    df = df.withColumns({"__told": F.round(score, 9), "__sure": F.round(confidence, 9), "__high": high})
+    z = F.struct(F.col("__told").alias("score"), F.col("__sure").alias("confidence"), greatest.alias("max_z"), k.alias("domains"), *(F.col(f"__in_{d}").alias(d) for d in domain), F.col("__high").alias("features"))
+    return df.select(*(c for c in before if c != "z"), z.alias("z"))

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from riskloom.functions.identity import role_of
+from riskloom.functions.identity import role_of, truthy
 from riskloom.operators import baseline as B
+from riskloom.plans import detection
 from riskloom.plans.registry import Registry
 from riskloom.sources.views import AS_OF_DAY, features, with_sql
 
@@ -92,16 +93,16 @@ _HELD = f"list_avg([greatest(0.0, case when x.nth >= 5 then least(x.value, {_TOP
 _HMEAN = f"({1 - _Q} * mean + {_Q} * average)"
 
 
-@R.query(
-    "baseline_host",
-    f"""{_SEEN}, {_taken('h', 'agent_id', 'o.agent_id')},
+_BOUNDED = f"""{_taken('h', 'agent_id', 'o.agent_id')},
 h_d as (select entity, feature, day, list({{'nth': nth, 'value': value}} order by nth) as xs, row_number() over (partition by entity, feature order by day) as i
   from ({_tall('h', HOST, 'entity, day, last_day, nth')}) where day < last_day group by 1, 2, 3),
 h_e as (select entity, feature, i, average as mean, {_floor('average', 0.5)} as std from (select *, list_avg([greatest(0.0, x.value) for x in xs]) as average from h_d where i = 1)
   union all select entity, feature, i, {_HMEAN}, greatest({1 - _Q} * std + {_Q} * abs(average - mean), {_floor(_HMEAN, 0.5)})
   from (select d.entity, d.feature, d.i, e.mean, e.std, {_HELD} as average from h_e e join h_d d on d.entity = e.entity and d.feature = e.feature and d.i = e.i + 1))
-select entity as agent_id, feature, round(arg_max(mean, i), 6) as mean, round(arg_max(std, i), 6) as std, max(i) as samples from h_e group by 1, 2""",
-)
+select entity as agent_id, feature, round(arg_max(mean, i), 6) as mean, round(arg_max(std, i), 6) as std, max(i) as samples from h_e group by 1, 2"""
+
+
+@R.query("baseline_host", f"{_SEEN}, {_BOUNDED}")
 def baseline_host(spark, sf_dir):
     return _rounded(B.bounded_average(B.throttle(_seen(spark, sf_dir), ["agent_id"]), "agent_id", HOST))
 
@@ -140,3 +141,51 @@ def baseline_deviation(spark, sf_dir):
     roles = B.moving_average(B.throttle(old, ["role_name", "username"]), "role_name", USER)
     today = seen.where(F.col("ts") >= F.lit(AS_OF_DAY).cast("timestamp_ntz"))
     return B.deviations(today, users, roles, USER).withColumn("z", F.round("z", 6))
+
+
+_VIEW = " union all ".join(f"select entity, '{f}' as feature, (count(*) - count({f}))::bigint as missing from u where day < last_day group by 1" for f in USER)
+
+
+@R.query("baseline_rolling_view", f"""{_SEEN}, {_taken('u', 'username', 'o.username')}, {_ema('u', 1.0)}, ms as ({_VIEW})
+select s.entity as username, row_number() over (partition by s.entity order by feature)::int as place, feature, round(mean, 6) as mean, round(std, 6) as std, samples, missing from u_s s join ms using (entity, feature)""")
+def baseline_rolling_view(spark, sf_dir):
+    """Each user's features in the order of names, with state and gaps."""
+    taken = B.throttle(_seen(spark, sf_dir), ["username"])
+    view = B.rolling_view(B.moving_average(taken, "username", USER), taken, "username", USER)
+    rows = view.select("username", F.posexplode("samples").alias("at", "s"))
+    return _rounded(rows.select("username", (F.col("at") + 1).alias("place"), "s.feature", "s.mean", "s.std", "s.samples", "s.missing"))
+
+
+_HERE = {"user": ("daily_unique_filename_count", "daily_new_filename_count", "file_access_count", "file_sharing_site_visits"), "host": ("unique_workstations_300s", "edr_auth_events_per_minute_window", "off_hours_auth_count", "daily_unique_pc_count")}
+_SELECTED = " union all ".join(f"select payload_id, '{kind}' as baseline, '{f}' as feature, {f}::double as value from feats where {f} is not null" for kind, names in _HERE.items() for f in names)
+
+
+@R.query("baseline_features", f"{with_sql('feats')} {_SELECTED}")
+def baseline_features(spark, sf_dir):
+    """The features of a snapshot that go to its user's and to its host's baseline."""
+    f = features(spark, sf_dir)
+    parts = [B.selected(f, ["payload_id"], names).withColumn("baseline", F.lit(kind)) for kind, names in (("user", B.USER_FEATURES), ("host", B.HOST_FEATURES))]
+    return parts[0].unionByName(parts[1])
+
+
+# Scored first, then learnt from: what alerts teaches nothing.
+_CALM = f"{detection._CTES}, seen as (select f.*, {_ROLE.replace('role', 'f.role', 1)} as role_name from feats f join fin using (payload_id) where fin.risk_score < 40"
+_SURE = "and fin.a_score = 0 and not coalesce(f.credential_dumping_suspected, false) and not coalesce(f.threat_triggered, false)"
+
+
+def _scored(spark, sf_dir):
+    risk = detection._fused(spark, sf_dir).select("payload_id", "risk_score", (F.col("auth.score") > 0).alias("burst"))
+    return _seen(spark, sf_dir).join(risk, "payload_id")
+
+
+@R.query("baseline_user_gated", f"{_CALM}), {_taken('u', 'username', 'o.username')}, {_ema('u', 1.0)} select entity as username, feature, round(mean, 6) as mean, round(std, 6) as std, samples from u_s")
+def baseline_user_gated(spark, sf_dir):
+    calm = _scored(spark, sf_dir).where(B.teaches_user(F.col("risk_score")))
+    return _rounded(B.moving_average(B.throttle(calm, ["username"]), "username", USER))
+
+
+@R.query("baseline_host_gated", f"{_CALM} {_SURE}), {_BOUNDED}")
+def baseline_host_gated(spark, sf_dir):
+    flags = [truthy(F.col(c)) for c in ("credential_dumping_suspected", "threat_triggered")]
+    calm = _scored(spark, sf_dir).where(B.teaches_host(F.col("risk_score"), F.col("burst"), flags))
+    return _rounded(B.bounded_average(B.throttle(calm, ["agent_id"]), "agent_id", HOST))

@@ -71,6 +71,31 @@ def keystroke_splits(spark, sf_dir):
     return K.splits(streams(spark, sf_dir).select("identity"))
 
 
+# Keys of a stream before its first so many pairs do not matter here: only lengths do, and whose probes an impostor shows.
+_SIDES = """, sd as (select identity, keys, floor(keys * 0.60)::bigint as cut from st where keys >= 80),
+wn as (select identity, 'enroll' as kind, (cut - 20) // 10 + 1 as windows, cut as keys from sd union all select identity, 'genuine', (keys - cut - 20) // 10 + 1, keys - cut from sd),
+ok as (select * from wn qualify min(windows) over (partition by identity) >= 3) """
+
+
+@R.query("keystroke_verification", _STREAMS + _SIDES + """select identity, kind, windows, (windows * (windows - 1) // 2 * 10)::bigint as starts from ok
+union all select identity, 'impostor', windows, null from ok where kind = 'genuine' and (select count(distinct identity) from ok) > 1""")
+def keystroke_verification(spark, sf_dir):
+    """Windows of each kind; impostors' probes always come from another identity (a row of the wrong kind else)."""
+    v = K.verification(streams(spark, sf_dir))
+    own = (F.col("kind") == "impostor") == (F.col("source") != F.col("identity"))
+    starts = F.when(F.col("kind") != "impostor", F.sum("start"))
+    return v.withColumn("kind", F.when(own, F.col("kind")).otherwise("wrong")).groupBy("identity", "kind").agg(F.count("*").alias("windows"), starts.cast("long").alias("starts"))
+
+
+@R.query("keystroke_protocol", _STREAMS + """select case when n >= 4 then 'open-set' else 'temporal' end as protocol, n - greatest(2, floor(n * 0.30))::bigint as train, greatest(2, floor(n * 0.30))::bigint as bench, keys, 0::bigint as both
+from (select count(*) as n, sum(keys)::bigint as keys from st) where n >= 4""")
+def keystroke_protocol(spark, sf_dir):
+    """How many identities train and are held out, with all keys, and how many are on both sides (none)."""
+    p = K.protocol(streams(spark, sf_dir)).groupBy("protocol", "identity").agg(F.collect_set("side").alias("sides"), F.sum(F.size("dwell")).alias("keys"))
+    of = lambda side: F.count_if(F.array_contains("sides", side))
+    return p.groupBy("protocol").agg(of("train").alias("train"), of("bench").alias("bench"), F.sum("keys").alias("keys"), F.count_if(F.size("sides") > 1).alias("both"))
+
+
 @R.query("keystroke_metrics", f"""{with_sql('obs')} select agent_id, mean_dwell_time_ms, mean_flight_time_ms, typing_speed_cpm, min(ts) as timestamp from (select agent_id, ts, case when k % 3 <> 0 then (k % 40)::double end as mean_dwell_time_ms,
   case when k % 3 <> 0 and k % 5 <> 0 then (k % 7)::double end as mean_flight_time_ms, case when k % 6 = 3 then 200.0::double end as typing_speed_cpm from obs) where coalesce(mean_dwell_time_ms, mean_flight_time_ms, typing_speed_cpm) is not null group by 1, 2, 3, 4""")
 def keystroke_metrics(spark, sf_dir):
