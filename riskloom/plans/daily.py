@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import daily as D
+from riskloom.operators import models as M
 from riskloom.plans.registry import Registry
 from riskloom.sources.views import AS_OF_DAY, observations, with_sql
 
@@ -312,3 +313,25 @@ def risk_trajectory(spark, sf_dir):
     latest = days.agg(F.max("review_date").alias("latest"))
     near = days.join(F.broadcast(latest)).where(F.col("review_date") > F.date_sub("latest", 15))  # one row
     return near.select("hostname", "review_date", "threat", F.lag("threat").over(Window.partitionBy("hostname").orderBy("review_date")).alias("previous"))
+
+
+# -- models: beyond SQL, held against plain versions in tests/test_models.py -----------------------
+
+
+@R.query("domain_forests")
+def domain_forests(spark, sf_dir):
+    """Each domain's isolation forest, fitted on the other hosts and placed among the calibration hosts; with mean and peak of all four."""
+    days = host_days(spark, sf_dir)
+    own = F.conv(F.substring(F.sha2("hostname", 256), 1, 8), 16, 10).cast("long") % 5 == 0
+    domains = {d: [D.FEATURES[i] for i in n] for d, n in D.DOMAINS.items()}
+    scores = M.score_forests(days, M.fit_forests(days.where(~own), domains, ["hostname", "review_date"]), domains, ["hostname", "review_date"])
+    return M.upper_tenth(scores, own, list(domains))
+
+
+@R.query("daily_forecast")
+def daily_forecast(spark, sf_dir):
+    """The next day's fused score from the seven before it by the layered forecast, and how far the day lies above it."""
+    days = D.runs(host_days(spark, sf_dir).withColumn("fused", D.fuse(F.col("threat"), F.col("risk"), F.col("peak"))["weighted15"]))
+    windows = D.sequences(days, "fused").select("hostname", "review_date", "fused", "history")
+    said = M.forecast(windows, M.fit_forecast(windows, "fused"), ["hostname", "review_date", "fused"])
+    return said.select("hostname", "review_date", F.round("forecast", 6).alias("forecast"), F.round(F.greatest(F.col("fused") - F.col("forecast"), F.lit(0.0)), 6).alias("error"))
