@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "quality", "fingerprints", "warc", "chat", "ngram_trie", "perplexity", "bpe", "pii", "simhash")
+MODULES = ("mixing", "quality", "fingerprints", "warc", "chat", "ngram_trie", "perplexity", "bpe", "pii", "simhash", "repeats", "collocations", "clustering")
 
 
 def queries() -> dict:
