@@ -45,7 +45,7 @@ def seeds(kept: DataFrame, k: int = K) -> np.ndarray:
     """The first centroids: at most ``k`` rows reach the driver."""
     order = F.struct(F.sha2(F.concat(F.lit("1:"), F.col("vec_id").cast("string")), 256).alias("h"), "q")
     top = kept.select(order.alias("o")).orderBy(F.col("o.h").isNull(), "o").limit(k).collect()
-    return np.array([r.o.q for r in top], np.int64).reshape(len(top), -1)
+    return np.array([r.o.q for r in top], np.int64)
 
 
 def _blocks(kept: DataFrame, folder: str, dimensions: int) -> DataFrame:

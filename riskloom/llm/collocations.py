@@ -45,14 +45,18 @@ FOLD[[ord(c) for c in ".,;:!?\x0b\x0c\r"]] = 10
 FOLD[9] = 32
 
 
-def _pieces(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
-    """Languages and pieces of a batch: words with one blank between them, pieces without words left out."""
+def _folded(batch: pa.RecordBatch) -> pa.Array:
+    """The texts of a batch with small letters, line feeds at the ends of pieces and blanks between words."""
     text = pc.fill_null(batch.column("text").cast(pa.large_string()), "")
     _, offsets, data = text.buffers()
-    folded = pa.py_buffer(FOLD[np.frombuffer(data, np.uint8)]) if data is not None and data.size else pa.py_buffer(b"")
-    text = pa.Array.from_buffers(pa.large_string(), len(text), [None, offsets, folded], offset=text.offset)
+    data = pa.py_buffer(FOLD[np.frombuffer(data, np.uint8)]) if data is not None and data.size else data
+    return pa.Array.from_buffers(pa.large_string(), len(text), [None, offsets, data], offset=text.offset)
+
+
+def _pieces(lang: pa.Array, text: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Languages and pieces of folded texts: words with one blank between them, pieces without words left out."""
     cut = pc.split_pattern(text, "\n")
-    lang, piece = batch.column("lang").take(pc.list_parent_indices(cut)), pc.list_flatten(cut)
+    lang, piece = lang.take(pc.list_parent_indices(cut)), pc.list_flatten(cut)
     if pc.any(pc.match_substring(piece, "  ")).as_py():
         piece = pc.replace_substring_regex(piece, " +", " ")
     piece = pc.utf8_trim(piece, " ")
@@ -92,12 +96,12 @@ class _Counter:
 
     def summed(self, having: int = 1):
         """Batches of (lang, value, m)."""
-        return self.db.execute(f"SELECT lang, {self.value}, CAST(sum(m) AS BIGINT) AS m FROM held GROUP BY ALL HAVING sum(m) >= {having}").to_arrow_reader(1 << 17)
+        return self.db.sql(f"SELECT lang, {self.value}, CAST(sum(m) AS BIGINT) AS m FROM held GROUP BY ALL HAVING sum(m) >= {having}").to_arrow_reader(1 << 17)
 
     def packets(self, n: int):
         """(bucket, Arrow rows) of all sums, each bucket's rows in order, so that neighbours share their beginnings."""
         order = f"SELECT CAST(hash({self.value}) % {n} AS INTEGER) AS b, lang, {self.value}, CAST(sum(m) AS BIGINT) AS m FROM held GROUP BY ALL ORDER BY b, lang, {self.value}"
-        for rows in self.db.execute(order).to_arrow_reader(1 << 20):
+        for rows in self.db.sql(order).to_arrow_reader(1 << 20):
             bucket = rows.column("b").to_numpy()
             edges = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
@@ -134,9 +138,9 @@ def distinct_pieces(docs: DataFrame, n: int, folder: str) -> DataFrame:
     def task(batches):
         held, size = None, 0
         for b in batches:
+            text = _folded(b)
             for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                lang, piece = _pieces(part)
+                lang, piece = _pieces(b.column("lang").slice(at, 256), text.slice(at, 256))
                 if held is None:
                     held = _Counter(folder, "piece")
                 held.add(pa.table({"lang": lang, "piece": piece, "m": pa.array(np.ones(len(piece), np.int64))}))
