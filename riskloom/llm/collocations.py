@@ -34,7 +34,7 @@ from riskloom.llm.shared import by_shard, materialize, new_folder, shards_for, t
 
 WORDS, LEAST, SHARE, TOP = 3, 10, 50, 2000
 #: Bytes of text whose pieces are put together in a task before they leave it, bytes of text a bucket answers for, memory of one DuckDB.
-HELD, BUCKET, MEMORY = 16 << 20, 16 << 20, "500MB"
+HELD, BUCKET, MEMORY = 8 << 20, 8 << 20, "200MB"
 #: Parts into which a language's candidates are ranked before the best of all parts are.
 PARTS = 64
 PACKETS = "shard int, data binary"
@@ -86,7 +86,7 @@ class _Counter:
             os.makedirs(self.folder)
             self.db.execute(f"SET temp_directory = '{self.folder}'")
         else:
-            self.db.execute("SET temp_directory = ''; SET memory_limit = '1GB'")
+            self.db.execute("SET temp_directory = ''; SET memory_limit = '600MB'")
         self.db.execute(f"CREATE TABLE held (lang VARCHAR, {value} VARCHAR, m BIGINT)")
 
     def add(self, rows: pa.Table) -> None:

@@ -19,7 +19,7 @@ would move every position; the difference cover moves few:
 Names are 64-bit fingerprints, so tasks agree on them without a table. Keys of a block of texts travel as
 one packed, sorted row to each range of keys it meets (rows: at most one a key), answers as bits; a key is sent
 once a block, so a passage that a third of all texts share costs each range one entry a block. Blocks of text wait in
-files of the shared folder; what ended attempts have left there is never read. Equal texts are found first, by 128-bit digests:
+files of the shared folder, packets only in the shuffle; what ended attempts have left there is never read. Equal texts are found first, by 128-bit digests:
 of each such group one text takes part for the others.
 
 Null texts are empty. Texts shorter than ``length`` stay whole. Repeated rows are copies of each other and go whole,
@@ -45,7 +45,7 @@ LENGTH, PERIOD = 400, 91
 #: Difference covers of their period, but for the first perfect ones (each difference once).
 COVERS = {3: (1, 2), 7: (0, 1, 3), 31: (1, 5, 11, 24, 25, 27), 91: (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)}
 #: Bytes of text in a block, positions looked at together, bytes of text that one range of keys answers for.
-BLOCK, STEP, SHARE = 4 << 20, 1 << 20, 24 << 20
+BLOCK, STEP, SHARE = 2 << 20, 1 << 18, 12 << 20
 BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 RESULT = "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"
 
@@ -170,7 +170,7 @@ def blocks(docs: DataFrame, folder: str, length: int, size: int = BLOCK) -> Data
             return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*whole), types.values())], list(types))
 
         for b in batches:
-            for doc_id, text in zip(b.column("doc_id").to_pylist(), texts(b)):
+            for doc_id, text in (pair for at in range(0, b.num_rows, 256) for pair in zip(b.column("doc_id").slice(at, 256).to_pylist(), texts(b.slice(at, 256)))):
                 if len(text) < length:
                     rows.append((None, doc_id, len(text), None, None, text))
                 else:
@@ -237,7 +237,7 @@ def shared_keys(rows: DataFrame, n: int) -> DataFrame:
             bits = zstandard.ZstdCompressor(level=1).compress(np.packbits(twice[end - len(k) : end]).tobytes())
             yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "shard": pa.array([shard], pa.int32()), "data": pa.array([bits], pa.binary())})
 
-    return by_shard(rows.where("shard >= 0").select("shard", "block", "data"), n, answer, PACKETS)
+    return by_shard(rows.select("shard", "block", "data"), n, answer, PACKETS)
 
 
 def _answers(got: dict[int, bytes], keys: np.ndarray, n: int) -> np.ndarray:
@@ -304,10 +304,10 @@ class Step:
         return self.triples(self.levels[level]) if level < len(self.levels) else self.prefixes()
 
     def ask(self, level: int, n: int) -> list[tuple[int, bytes]]:
-        """The state that this level starts from, and the packets for the ranges."""
+        """The packets for the ranges."""
         _, keys, extra = self.question(level)
         keys, extra, _, _ = _distinct(keys, extra)
-        return [(-1, self.state(self.path, self.role, self.ids, self.null, self.at)), *_packets(keys, n, extra)]
+        return _packets(keys, n, extra)
 
     def hear(self, level: int, got: dict[int, bytes], n: int) -> np.ndarray:
         """The positions whose keys are there twice, in this block or with another."""
@@ -342,11 +342,11 @@ class Step:
         return pa.table({"doc_id": ids, "n_bytes": pa.array(b.every), "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), "kept": pa.array(kept, pa.binary())})
 
 
-PACKETS = "block long, shard int, data binary"
+STATE, PACKETS = "block long, data binary", "block long, shard int, data binary"
 
 
-def _rows(block: int, rows: list[tuple[int, bytes]]) -> pa.Table:
-    return pa.table({"block": pa.array([block] * len(rows), pa.int64()), "shard": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+def _state(block: int, state: bytes) -> pa.Table:
+    return pa.table({"block": pa.array([block], pa.int64()), "data": pa.array([state], pa.binary())})
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD) -> DataFrame:
@@ -358,12 +358,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD)
         raise ValueError(f"a period of {period} needs repeats of {2 * period - 1} bytes or more")
     spark, n, last = docs.sparkSession, shards_for(docs, SHARE), len(depths(period, length))
     rows = materialize(blocks(docs, new_folder(spark, "repeats-texts"), length), "repeats-rows")
+    whole = lambda df: df.repartition(n, "block").groupBy("block")  # noqa: E731  a group is a block: BLOCK bounds it, but for one text; rows are few and work is much, so AQE may not merge tasks
 
     def start(told: pa.Table) -> pa.Table:
         told = told.sort_by("slot")
         ids = told.column("doc_id").combine_chunks()
         state = Step.state(told.column("path")[0].as_py(), told.column("role").to_numpy(), ids.fill_null(0).to_numpy().view(np.uint64), ids.is_null().to_numpy(zero_copy_only=False), np.zeros(0))
-        return _rows(told.column("block")[0].as_py(), Step(state, period, length).ask(0, n))
+        return _state(told.column("block")[0].as_py(), state)
+
+    def asked(level: int):
+        def task(batches):
+            for b in batches:
+                for block, state in zip(b.column("block").to_pylist(), b.column("data").to_pylist()):
+                    for shard, data in Step(state, period, length).ask(level, n):
+                        yield pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int64()), "shard": pa.array([shard], pa.int32()), "data": pa.array([data], pa.binary())})
+
+        return state.repartition(n, "block").mapInArrow(task, PACKETS)
 
     def heard(level: int, told: pa.Table):
         got = dict(zip(told.column("shard").to_pylist(), told.column("data").to_pylist()))
@@ -372,8 +382,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD)
 
     def go_on(level: int):
         def task(told: pa.Table) -> pa.Table:
-            step, step.at = heard(level, told)
-            return _rows(told.column("block")[0].as_py(), step.ask(level + 1, n))
+            step, at = heard(level, told)
+            return _state(told.column("block")[0].as_py(), step.state(step.path, step.role, step.ids, step.null, at))
 
         return task
 
@@ -381,14 +391,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, period: int = PERIOD)
         step, repeated = heard(last, told)
         return step.results(repeated)
 
-    # a group is a block: its size is bounded by BLOCK and one text
-    asked = materialize(roles(rows).groupBy("block").applyInArrow(start, PACKETS), "repeats-names")
-    for level in range(last):
-        told = asked.where("shard < 0").unionByName(shared_keys(asked, n))
-        asked = materialize(told.groupBy("block").applyInArrow(go_on(level), PACKETS), "repeats-names")
-    told = asked.where("shard < 0").unionByName(shared_keys(asked, n))
+    state = materialize(whole(roles(rows)).applyInArrow(start, STATE), "repeats-state")
+    for level in range(last + 1):
+        told = whole(state.select("block", F.lit(-1).alias("shard"), "data").unionByName(shared_keys(asked(level), n)))
+        state = materialize(told.applyInArrow(go_on(level), STATE), "repeats-state") if level < last else told.applyInArrow(end, RESULT)
     short = rows.where("slot is null").select("doc_id", "n_bytes", F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), "kept")
-    return told.groupBy("block").applyInArrow(end, RESULT).unionByName(short)
+    return state.unionByName(short)
 
 
 def op11_suffix_array(spark, sf_dir):
