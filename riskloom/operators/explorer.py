@@ -120,10 +120,27 @@ def page(df: DataFrame, limit: int, offset: int = 0, order: tuple[str, ...] = ("
     return (out.offset(offset) if offset else out).limit(limit + 1)
 
 
+def _newest_ids(store: DataFrame, limit: int, key: str, order: tuple[str, ...]) -> DataFrame:
+    """The newest rows of the first ``limit`` ids of a store, by a top-k of a few times as many rows.
+
+    An id's newest row comes before its others, so if those rows hold ``limit`` ids (or the whole store) nothing else is read. Only where repeats
+    fill them up are the store's ids told apart as a whole. The rows that reach the driver are at most ``SPARE`` x ``limit``.
+    """
+    newest = store.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(SPARE * limit)
+    rows = newest.collect()
+    if len(rows) < SPARE * limit or len({r[key] for r in rows}) >= limit:
+        return store.sparkSession.createDataFrame(rows, store.schema)
+    return latest(store, [key], list(order)).orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(limit)
+
+
+#: How many rows a store gives for each row of a page, in case that some repeat an id.
+SPARE = 4
+
+
 def merged(stores: list[DataFrame], limit: int, key: str = "event_id", order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """The newest rows of several stores, each id once by its newest row: every store first gives the top of its ids."""
+    """The newest rows of several stores, each id once by its newest row."""
     names = stores[0].columns
-    tops = [latest(s, [key], list(order)).orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(limit + 1) for s in stores]
+    tops = [_newest_ids(s.select(*names), limit + 1, key, order) for s in stores]
     every = latest(reduce(lambda a, b: a.unionByName(b), tops), [key], list(order)).select(*names)
     return every.orderBy(*(F.col(c).desc_nulls_last() for c in order)).limit(limit)
 
@@ -178,3 +195,30 @@ def claim(rows: DataFrame, limit: int, max_bytes: int, key: str = "payload_id",
     w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     ranked = oldest.withColumns({"total": F.sum(size).over(w), "pos": F.row_number().over(Window.orderBy(key)).cast("long")})
     return ranked.where((F.col("total") <= max_bytes) | (F.col("pos") == 1))
+
+
+def event_detail(events: DataFrame, risk: DataFrame, event_id: int, days: int = 2) -> DataFrame:
+    """One event of (event_id, agent_id, ts) with its agent's ``risk`` (agent_id, risk_id, created_at, risk_score) at most ``days`` away; without any: one row with nulls.
+
+    The event is read first (one row), so that the risk table is read by its agent and its days alone.
+    """
+    found = events.where(F.col("event_id") == event_id).limit(1)
+    e = found.first()
+    if e is None:
+        return found.join(risk.where("false").drop("agent_id"), F.lit(False), "left").drop("agent_id")
+    at, span = F.lit(e.ts).cast(events.schema["ts"].dataType), F.expr(f"interval {days} days")
+    near = risk.where((F.col("agent_id") == e.agent_id) & F.col("created_at").between(at - span, at + span))
+    return found.join(near, "agent_id", "left").drop("agent_id")
+
+
+def risk_around(events: DataFrame, risk: DataFrame, days: int = 2) -> DataFrame:
+    """(event_id, agent_id, ts, risks, most, latest) of every event: count, greatest score and latest id of its agent's risk at most ``days`` away.
+
+    Both tables lie in one order by agent and time, and each event looks at a range of it: the output has a row an event, whatever an agent's traffic.
+    """
+    rows = events.select("agent_id", "ts", "event_id", F.lit(None).cast("long").alias("risk_id"), F.lit(None).cast("double").alias("risk_score"))
+    rows = rows.unionByName(risk.select("agent_id", F.col("created_at").alias("ts"), F.lit(None).cast("long").alias("event_id"), F.col("risk_id").cast("long"), F.col("risk_score").cast("double")))
+    span = f"over (partition by agent_id order by ts range between interval '{days}' day preceding and interval '{days}' day following)"
+    newest = "max(case when risk_id is not null then struct(ts, risk_id) end)"
+    seen = rows.select("event_id", "agent_id", "ts", F.expr(f"count(risk_id) {span}").alias("risks"), F.expr(f"max(risk_score) {span}").alias("most"), F.expr(f"{newest} {span}")["risk_id"].alias("latest"))
+    return seen.where("event_id is not null")

@@ -40,6 +40,44 @@ def violations() -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(False)), F.lit(n)) for n, t in tests.items())))
 
 
+#: The protocol and the schema that are understood, and the fields that a body must have, in the order in which they are looked at.
+PROTOCOL, SCHEMA = "2.0", "insiedr.agent.telemetry.v1"
+REQUIRED = {"protocol_version": "STRING", "schema": "STRING", "payload_id": "STRING", "agent_id": "STRING", "hostname": "STRING", "collected_at": "STRING", "collectors": "ARRAY"}
+
+
+def body_violations(body: Column) -> Column:
+    """What is wrong with a snapshot's JSON, as an array of names in the order of the rules; empty where it is well formed.
+
+    The rules of ``violations`` for JSON of any shape: fields' types are looked at too, a key with the value null is there.
+    What is no JSON object has ``unreadable`` alone. All within the JVM, by Variant.
+    """
+    v = F.try_parse_json(body)
+    get = lambda x, path, kind="variant": F.try_variant_get(x, path, kind)
+    # the kind of what lies at a path: null where nothing does
+    kind = lambda x, path: F.regexp_extract(F.when(get(x, path).isNotNull(), F.schema_of_variant(F.coalesce(get(x, path), F.parse_json(F.lit("null"))))), "^[A-Z]+", 0)
+    text = lambda x, path: (F.coalesce(kind(x, path), F.lit("")) == "STRING") & (F.coalesce(get(x, path, "string"), F.lit("")) != "")
+    object_ = F.coalesce(kind(v, "$"), F.lit("")) == "OBJECT"
+    c = F.coalesce(F.when(F.coalesce(kind(v, "$.collectors"), F.lit("")) == "ARRAY", get(v, "$.collectors", "array<variant>")), F.array().cast("array<variant>"))
+    status = lambda x: F.when(kind(x, "$.status") == "STRING", get(x, "$.status", "string"))
+    of = lambda *names: F.size(F.filter(c, lambda x: F.coalesce(status(x).isin(*names), F.lit(False))))
+    some = lambda bad: F.exists(c, bad)
+    number = lambda path: F.when(kind(v, path).isin("BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), get(v, path, "double"))
+    told = lambda path, n: ~F.coalesce(number(path) == n.cast("double"), F.lit(False))
+    tests = {k: ~text(v, f"$.{k}") if t == "STRING" else F.coalesce(kind(v, f"$.{k}"), F.lit("")) != t for k, t in REQUIRED.items()}
+    tests |= {
+        "unsupported_protocol": text(v, "$.protocol_version") & (get(v, "$.protocol_version", "string") != PROTOCOL), "unsupported_schema": text(v, "$.schema") & (get(v, "$.schema", "string") != SCHEMA),
+        "collector_limit": F.size(c) > MAX_COLLECTORS, "collector_object": some(lambda x: F.coalesce(kind(x, "$"), F.lit("")) != "OBJECT"),
+        "collector_field": some(lambda x: ~(text(x, "$.collector") & text(x, "$.collected_at") & text(x, "$.hostname") & text(x, "$.status"))),
+        "status": some(lambda x: text(x, "$.status") & ~F.coalesce(status(x).isin(*STATUSES), F.lit(False))),
+        "payload": some(lambda x: F.coalesce(status(x) == "success", F.lit(False)) & get(x, "$.payload").isNull()),
+        "error": some(lambda x: F.coalesce(status(x) == "failed", F.lit(False)) & (F.coalesce(kind(x, "$.error"), F.lit("")) != "OBJECT")),
+        "summary": F.coalesce(kind(v, "$.summary"), F.lit("")) != "OBJECT",
+        "collector_count": told("$.summary.collector_count", F.size(c)), "success_count": told("$.summary.success_count", of("success")), "failed_count": told("$.summary.failed_count", of("failed", "critical")),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items())))
+    return F.when(object_, found).otherwise(F.array(F.lit("unreadable")))
+
+
 def in_age(ts: Column, as_of: Column, hours: int = 24, ahead_minutes: int = 5) -> Column:
     return (ts >= as_of - F.expr(f"interval {hours} hours")) & (ts <= as_of + F.expr(f"interval {ahead_minutes} minutes"))
 

@@ -30,9 +30,9 @@ _D = lambda x: f"cast({x} as double)"
 
 
 def host_days(spark, sf_dir):
-    """A row for each agent and day with events, but for some days that are missing."""
+    """A row for each agent and day with events."""
     obs = observations(spark, sf_dir).groupBy("agent_id", F.to_date("ts").alias("review_date")).agg(F.sum("k").alias("s"), F.min("hostname").alias("hostname"))
-    obs = obs.withColumn("d", F.dayofmonth("review_date")).where("(cast(substr(agent_id, 7) as int) * 31 + d) % 23 <> 7")
+    obs = obs.withColumn("d", F.dayofmonth("review_date"))
     sensors = F.when(F.expr("s % 17 = 6"), F.array(F.lit("usb"), F.lit("edr"))).otherwise(F.array().cast("array<string>"))
     made = {k: F.expr(_D(v)) for k, v in (MADE | SCORES).items()} | {k: F.expr(v) for k, v in FLAGS.items()}
     return obs.select("agent_id", "hostname", "review_date", "s", "d", sensors.alias("missing_sensors"), *(c.alias(k) for k, c in made.items()))
@@ -46,7 +46,7 @@ _BAD = ", ".join([f"case when {f} < 0 then 'nonfinite or negative {f}' end" for
 _AS_OF = f"date '{AS_OF_DAY}'"
 _RUN = "(review_date - row_number() over (partition by hostname order by review_date)::int) as run"
 _WITH = f"""{with_sql('obs')}, hd0 as (select agent_id, ts::date as review_date, sum(k)::bigint as s, min(hostname) as hostname, day(ts::date) as d from obs group by 1, 2, 5),
-hd as (select agent_id, hostname, review_date, s, d, {", ".join(f"{_D(v)} as {k}" for k, v in (MADE | SCORES).items())}, {", ".join(f"{v} as {k}" for k, v in FLAGS.items())} from hd0 where (substr(agent_id, 7)::int * 31 + d) % 23 <> 7),
+hd as (select agent_id, hostname, review_date, s, d, {", ".join(f"{_D(v)} as {k}" for k, v in (MADE | SCORES).items())}, {", ".join(f"{v} as {k}" for k, v in FLAGS.items())} from hd0),
 ad0 as (select *, list_sort(list_distinct(list_filter([{_SAID}], lambda x: x is not null))) as miss, array_to_string(list_filter([{_BAD}], lambda x: x is not null), ',') as bad from hd),
 ad as (select *, array_to_string(miss, ',') as missing, case when len(miss) = 0 then bad else '' end as errors,
   case when len(miss) > 0 then 'abstain_missing_sensors' when bad <> '' then 'rejected' else 'complete' end as status from ad0),

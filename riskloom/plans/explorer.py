@@ -143,13 +143,12 @@ def state_staleness(spark, sf_dir):
 
 
 @R.query("latest_state_fallback", f"""{with_sql('obs')}, latest as ({_LATEST}),
-  feats as (select event_id, k as k_value, round(value, 2) as value from obs where event_id % 2 = 0)
+  feats as (select event_id, case when event_id % 2 = 0 then k end as k_value from obs)
   select l.agent_id, l.collector, l.event_id, case when l.event_id % 3 = 0 then null else f.k_value end as payload_k, coalesce(case when l.event_id % 3 = 0 then null else f.k_value end, f.k_value, -1) as shown
   from latest l left join feats f using (event_id)""")
 def latest_state_fallback(spark, sf_dir):
     """A state without payload shows what its feature rows say."""
-    obs = observations(spark, sf_dir).where("event_id % 2 = 0")
-    maps = obs.select("event_id", F.map_from_arrays(F.array(F.lit("k")), F.array("k")).alias("features"))
+    maps = observations(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, F.map_from_arrays(F.array(F.lit("k")), F.array("k"))).alias("features"))
     met = latest_state(spark, sf_dir).join(maps, "event_id", "left")
     own = F.when(F.col("event_id") % 3 == 0, F.lit(None).cast("long")).otherwise(F.col("features")["k"])
     return met.select("agent_id", "collector", "event_id", own.alias("payload_k"), F.coalesce(own, F.col("features")["k"], F.lit(-1).cast("long")).alias("shown"))
@@ -196,26 +195,18 @@ def enriched_page(spark, sf_dir):
     return top.join(newest, "payload_id", "left").select("event_id", "payload_id", "collector", "ts", "risk_id", "risk_score")
 
 
-@R.query("event_detail_window", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from (select * from obs where event_id % 500 = 7) o
-  join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
-def event_detail_window(spark, sf_dir):
-    """The rows of ``event_detail_window_all`` for a slice of the events, which this query's SQL fixes."""
-    return _detail_window(spark, sf_dir, observations(spark, sf_dir).where("event_id % 500 = 7"))
+@R.query("event_detail", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from (select * from obs where event_id = 123) o
+  left join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
+def event_detail(spark, sf_dir):
+    """One event, looked up, with its agent's risk events of two days before and after: the look-up prunes the risk table by agent and time."""
+    return X.event_detail(observations(spark, sf_dir).select("event_id", "agent_id", "ts"), risk_events(spark, sf_dir).select("agent_id", "risk_id", "created_at", "risk_score"), 123)
 
 
-@R.query("event_detail_window_all", f"""{with_sql('obs', 'risk')} select o.event_id, o.ts, r.risk_id, r.created_at, r.risk_score from obs o
-  join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day""")
-def event_detail_window_all(spark, sf_dir):
-    return _detail_window(spark, sf_dir, observations(spark, sf_dir))
-
-
-def _detail_window(spark, sf_dir, obs):
-    """Risk events of the same agent within two days of an event, met by agent and day, then by time."""
-    events = obs.select("event_id", "agent_id", "ts")
-    days = events.withColumn("day", F.explode(F.sequence(F.to_date(F.col("ts") - F.expr("interval 2 days")), F.to_date(F.col("ts") + F.expr("interval 2 days")))))
-    risk = risk_events(spark, sf_dir).select("agent_id", "risk_id", "created_at", "risk_score", F.to_date("created_at").alias("day"))
-    met = days.join(risk, ["agent_id", "day"]).where(F.col("created_at").between(F.col("ts") - F.expr("interval 2 days"), F.col("ts") + F.expr("interval 2 days")))
-    return met.select("event_id", "ts", "risk_id", "created_at", "risk_score")
+@R.query("event_detail_counts", f"""{with_sql('obs', 'risk')} select event_id, agent_id, ts, count(risk_id) as risks, max(risk_score) as most, max(struct_pack(c := created_at, i := risk_id)).i as latest
+  from (select o.event_id, o.agent_id, o.ts, r.risk_id, r.created_at, r.risk_score from obs o left join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day) group by 1, 2, 3""")
+def event_detail_counts(spark, sf_dir):
+    """For every event how many risk events its agent has within two days, the highest and the latest: a range frame, no pairs."""
+    return X.risk_around(observations(spark, sf_dir).select("event_id", "agent_id", "ts"), risk_events(spark, sf_dir).select("agent_id", "risk_id", "created_at", "risk_score"))
 
 
 @R.query("risk_with_agents", f"""{with_sql('risk')}, agents as (select 'AGENT-' || c_custkey as agent_id, c_name as hostname from customer where c_custkey % 2 = 0)
@@ -263,12 +254,6 @@ def stats_collector_status(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("collector", "status").agg(F.count_distinct("event_id").alias("events"), F.count("*").alias("rows_seen"), F.max("ts").alias("last_seen"))
 
 
-@R.query("rollup_minute", f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs where ts < timestamp '2024-01-04' group by 1, 2, 3, 4")
-def rollup_minute(spark, sf_dir):
-    """The rows of ``rollup_minute_all`` for three days, which this query's SQL fixes."""
-    return _by_minute(observations(spark, sf_dir).where(X.within(F.col("ts"), end=datetime(2024, 1, 4), half_open=True)))
-
-
 @R.query("rollup_minute_all", f"{with_sql('obs')} select date_trunc('minute', ts) as minute, collector, status, agent_id, count(distinct event_id) as events from obs group by 1, 2, 3, 4")
 def rollup_minute_all(spark, sf_dir):
     return _by_minute(observations(spark, sf_dir))

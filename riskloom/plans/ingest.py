@@ -12,7 +12,7 @@ from riskloom.operators import fleet
 from riskloom.operators import ingest as I
 from riskloom.operators.explorer import latest
 from riskloom.plans.registry import Registry
-from riskloom.sources.views import AS_OF, AS_OF_SQL, bodies, now, observations, payloads, risk_events, snapshots, table, with_sql
+from riskloom.sources.views import AS_OF, AS_OF_SQL, bodies, now, observations, payloads, risk_events, snapshot_bodies, snapshots, table, with_sql
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -34,20 +34,45 @@ def validate_payloads(spark, sf_dir):
     return s.select(F.col("payload_id").cast("long").alias("payload_id"), F.array_join(I.violations(), ",").alias("violations"))
 
 
+_BROKEN = """case when p % 59 = 0 then 'unreadable' else array_to_string(list_filter([case when p % 43 = 0 then 'schema' end, case when p % 53 = 0 then 'agent_id' end,
+  case when p % 37 = 0 then 'unsupported_protocol' end, case when p % 41 = 0 then 'payload' end, case when p % 47 = 0 then 'collector_count' end], lambda x: x is not null), ',') end"""
+
+
+@R.query("validate_bodies", f"{with_sql('obs')}, p as (select distinct payload_id as p from obs) select p as payload_id, {_BROKEN} as violations from p")
+def validate_bodies(spark, sf_dir):
+    """The full rules over snapshots' JSON, types, protocol and schema among them."""
+    s = snapshot_bodies(spark, sf_dir)
+    return s.select("payload_id", F.array_join(I.body_violations(F.col("body")), ",").alias("violations"))
+
+
+_SORTED = """case collector
+  when 'process' then '{"command_line":"run --password=s' || k || ' x","pid":' || k || ',"ppid":4,"process_name":' || case when k % 5 = 0 then 'null' else '"p' || (k % 7) || '.exe"' end || '}'
+  when 'http' then '{"host":"h' || (k % 9) || '.example","method":' || case when k % 3 = 0 then 'null' else '"GET"' end || ',"port":' || (k % 4) || ',"upload_count":' || (k % 6) || '}'
+  when 'file' then '{"file_access_count":' || k || ',"flag":' || case when k % 2 = 0 then 'true' else 'false' end || ',"nest":{"a":' || (k % 5) || ',"b":[1,2]},"path":' || case when k % 4 = 0 then '""' else '"/d/' || k || '"' end || '}'
+  when 'logon' then '{"logon_count":' || (k % 8) || ',"logon_type":' || case when k % 2 = 0 then 'null' else '"remote"' end || ',"user":"u' || (k % 11) || '"}'
+  else '{"bytes_written":' || k || ',"empty":null,"label":"d' || (k % 3) || '","slots":[' || (k % 2) || ',7],"token":"t"}' end"""
+
+
+@R.query("canonical_bodies", f"{with_sql('bodies')} select event_id, sha256({_SORTED}) as digest from bodies")
+def canonical_bodies(spark, sf_dir):
+    """The digest of each body's canonical JSON, whatever its shape."""
+    return bodies(spark, sf_dir).select("event_id", F.sha2(C.canonical_json("body"), 256).alias("digest"))
+
+
 @R.query("age_window", f"""{with_sql('payloads')} select payload_id, received_at from payloads
   where received_at >= {AS_OF_SQL} - interval 24 hour and received_at <= {AS_OF_SQL} + interval 5 minute""")
 def age_window(spark, sf_dir):
     return payloads(spark, sf_dir).where(I.in_age(F.col("received_at"), now())).select("payload_id", "received_at")
 
 
-@R.query("dedup_first_wins", f"""{with_sql('obs')}, sent as (select payload_id, event_id, ts, k from obs union all select payload_id, event_id + 100000, ts, k + case when payload_id % 6 = 0 then 1 else 0 end from obs where payload_id % 3 = 0 and event_id % 4 = 0),
-  g as (select payload_id, count(*) - 1 as repeats, count(distinct k) > 1 as conflict, min(event_id) as first from sent where event_id % 4 = 0 group by 1)
-  select payload_id, first as event_id, repeats, conflict from g""")
+@R.query("dedup_first_wins", f"""{with_sql('obs')}, sent as (select event_id as payload_id, 0 as arrival, k from obs union all select event_id, 1, k + case when event_id % 6 = 0 then 1 else 0 end from obs where event_id % 3 = 0)
+  select payload_id, min(arrival) as arrival, count(*) - 1 as repeats, count(distinct k) > 1 as conflict from sent group by 1""")
 def dedup_first_wins(spark, sf_dir):
-    obs = observations(spark, sf_dir).where("event_id % 4 = 0").select("payload_id", "event_id", "k")
-    again = obs.where("payload_id % 3 = 0").select("payload_id", (F.col("event_id") + 100000).alias("event_id"), (F.col("k") + F.when(F.col("payload_id") % 6 == 0, 1).otherwise(0)).alias("k"))
+    """Every event sent once, a third of them twice, half of those with other content."""
+    obs = observations(spark, sf_dir).select(F.col("event_id").alias("payload_id"), F.lit(0).alias("arrival"), "k")
+    again = obs.where("payload_id % 3 = 0").select("payload_id", F.lit(1).alias("arrival"), (F.col("k") + F.when(F.col("payload_id") % 6 == 0, 1).otherwise(0)).alias("k"))
     sent = obs.unionByName(again).withColumn("hash", F.sha2(F.col("k").cast("string"), 256))
-    return I.first_wins(sent, "payload_id", "hash", ["event_id"]).select("payload_id", "event_id", "repeats", "conflict")
+    return I.first_wins(sent, "payload_id", "hash", ["arrival"]).select("payload_id", "arrival", "repeats", "conflict")
 
 
 _UUID_SQL = """substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab', (('0x' || substr(h, 17, 1))::int & 3) + 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12)"""
@@ -276,10 +301,10 @@ def presence_counts(spark, sf_dir):
     return fleet.presence_counts(pc_presence(spark, sf_dir))
 
 
-@R.query("fleet_discovery", f"""{with_sql('obs', 'payloads', 'risk')}, every as (select agent_id, hostname, ts as seen_at from obs where event_id % 2 = 0 union all select lower(agent_id), hostname || 'x', received_at from payloads union all select agent_id, hostname, created_at from risk)
+@R.query("fleet_discovery", f"""{with_sql('obs', 'payloads', 'risk')}, every as (select agent_id, hostname, ts as seen_at from obs union all select lower(agent_id), hostname || 'x', received_at from payloads union all select agent_id, hostname, created_at from risk)
   select max(agent_id) as agent_id, arg_max(hostname, (seen_at, hostname)) as hostname, min(seen_at) as first_seen_at, max(seen_at) as last_seen_at from every group by lower(agent_id)""")
 def fleet_discovery(spark, sf_dir):
-    a = observations(spark, sf_dir).where("event_id % 2 = 0").select("agent_id", "hostname", F.col("ts").alias("seen_at"))
+    a = observations(spark, sf_dir).select("agent_id", "hostname", F.col("ts").alias("seen_at"))
     b = payloads(spark, sf_dir).select(F.lower("agent_id").alias("agent_id"), F.concat("hostname", F.lit("x")).alias("hostname"), F.col("received_at").alias("seen_at"))
     return fleet.discover([a, b, risk_events(spark, sf_dir).select("agent_id", "hostname", F.col("created_at").alias("seen_at"))])
 
@@ -297,9 +322,9 @@ def risk_counts(spark, sf_dir):
 # -- exports ---------------------------------------------------------------------------------------
 
 
-@R.query("export_logs", f"{with_sql('bodies')} select event_id as id, ts as collected_at, agent_id, coalesce(hostname, '') as hostname, username, collector, status, body as payload_json from bodies where status <> 'success'")
+@R.query("export_logs", f"{with_sql('bodies')} select event_id as id, ts as collected_at, agent_id, coalesce(hostname, '') as hostname, username, collector, status, body as payload_json from bodies")
 def export_logs(spark, sf_dir):
-    b = bodies(spark, sf_dir).where("status <> 'success'")
+    b = bodies(spark, sf_dir)
     return b.select(F.col("event_id").alias("id"), F.col("ts").alias("collected_at"), "agent_id", F.coalesce("hostname", F.lit("")).alias("hostname"), "username", "collector", "status", F.col("body").alias("payload_json"))
 
 
@@ -334,16 +359,21 @@ def collector_dataset(spark, sf_dir):
     return flat.select("event_id", "username", *(F.coalesce(F.col("f")[c], F.lit("")).alias(c) for c in ("token", "bytes_written", "label", "empty", "slots")))
 
 
-@R.query("flatten_recursive", f"""{with_sql('bodies')} select event_id, (k % 5)::varchar as nest_a, '1;2' as nest_b from bodies where collector = 'file'""")
+@R.query("flatten_recursive", f"""{with_sql('bodies')} select event_id, p[1] as name, p[2] as value from (select event_id, unnest(case collector
+  when 'process' then [('command_line', 'run --password=s' || k || ' x'), ('pid', k::varchar), ('ppid', '4'), ('process_name', case when k % 5 = 0 then '' else 'p' || (k % 7) || '.exe' end)]
+  when 'http' then [('host', 'h' || (k % 9) || '.example'), ('method', case when k % 3 = 0 then '' else 'GET' end), ('port', (k % 4)::varchar), ('upload_count', (k % 6)::varchar)]
+  when 'file' then [('file_access_count', k::varchar), ('flag', case when k % 2 = 0 then 'True' else 'False' end), ('nest_a', (k % 5)::varchar), ('nest_b', '1;2'), ('path', case when k % 4 = 0 then '' else '/d/' || k end)]
+  when 'logon' then [('logon_count', (k % 8)::varchar), ('logon_type', case when k % 2 = 0 then '' else 'remote' end), ('user', 'u' || (k % 11))]
+  else [('bytes_written', k::varchar), ('empty', ''), ('label', 'd' || (k % 3)), ('slots', (k % 2) || ';7'), ('token', 't')] end) as p from bodies)""")
 def flatten_recursive(spark, sf_dir):
-    flat = bodies(spark, sf_dir).where("collector = 'file'").select("event_id", C.flatten("body").alias("f"))
-    return flat.select("event_id", F.col("f")["nest_a"].alias("nest_a"), F.col("f")["nest_b"].alias("nest_b"))
+    """Every body's leaves, by the name of their path."""
+    return bodies(spark, sf_dir).select("event_id", F.explode(C.flatten("body")).alias("name", "value"))
 
 
-@R.query("unwrap_user", f"""{with_sql('obs')} select event_id, case when event_id % 2 = 0 then '{{"logon_count":' || k || '}}' else '{{"logon_count":7}}' end as body from obs where collector = 'logon'""")
+@R.query("unwrap_user", f"""{with_sql('obs')} select event_id, case when event_id % 2 = 0 then '{{"logon_count":' || k || '}}' else '{{"logon_count":7}}' end as body from obs""")
 def unwrap_user(spark, sf_dir):
     body = F.expr("""'{"DWM-1":{"logon_count":0},"someone":{"logon_count":7},"' || case when event_id % 2 = 0 then username else 'x9' end || '":{"logon_count":' || k || '}}'""")
-    return observations(spark, sf_dir).where("collector = 'logon'").select("event_id", C.unwrap_user(body, "username").alias("body"))
+    return observations(spark, sf_dir).select("event_id", C.unwrap_user(body, "username").alias("body"))
 
 
 @R.query("scoring_features", f"""{with_sql('obs')} select payload_id, (arg_min(k, event_id))::varchar as k, 'true' as flag, (count(*))::varchar as n_last, arg_min(k, event_id) % 9 + 1 as aliased from obs group by 1""")
@@ -382,10 +412,10 @@ def retention(spark, sf_dir):
     return observations(spark, sf_dir).where(F.col("ts") >= now() - F.expr("interval 20 days")).groupBy("collector").agg(F.count("*").alias("kept"))
 
 
-@R.query("scenario_frames", f"""{with_sql('obs')}, b as (select agent_id, collector, (epoch_us(ts - timestamp '2024-01-01') // 30000000) as frame, event_id, ts from obs where ts < timestamp '2024-01-03')
+@R.query("scenario_frames", f"""{with_sql('obs')}, b as (select agent_id, collector, (epoch_us(ts - timestamp '2024-01-01') // 30000000) as frame, event_id, ts from obs)
   select agent_id, collector, frame, event_id from b qualify row_number() over (partition by agent_id, collector, frame order by ts desc, event_id desc) = 1""")
 def scenario_frames(spark, sf_dir):
     """The last row of each collector in frames of thirty seconds."""
-    obs = observations(spark, sf_dir).where("ts < timestamp_ntz '2024-01-03 00:00:00'")
+    obs = observations(spark, sf_dir)
     frame = F.floor(F.expr("timestampdiff(microsecond, timestamp_ntz '2024-01-01 00:00:00', ts)") / 30_000_000)
     return latest(obs.select("agent_id", "collector", frame.alias("frame"), "event_id", "ts"), ["agent_id", "collector", "frame"], ["ts", "event_id"]).drop("ts")

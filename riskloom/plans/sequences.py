@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -10,7 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import keystrokes as K
 from riskloom.plans.registry import Registry
-from riskloom.sources.views import observations, payloads, risk_events, with_sql
+from riskloom.sources.files import shared_folder
+from riskloom.sources.views import observations, payloads, risk_events, snapshot_bodies, with_sql
 from riskloom.streaming import ingest as S
 
 R = Registry()
@@ -38,10 +38,10 @@ def keystroke_timings(spark, sf_dir):
     return snapshots_of_keys(spark, sf_dir).select("event_id", F.array_join(whole, ";").alias("pairs"))
 
 
-@R.query("keystroke_flat_columns", f"{with_sql('obs')} select event_id, case when k % 4 = 0 then '' when k % 4 = 1 then (k + 1) || ':' || k else (k + 1) || ':' || k || ';5:' || k end as pairs from obs where k < 900")
+@R.query("keystroke_flat_columns", f"{with_sql('obs')} select event_id, array_to_string(list_filter([case when k % 4 <> 0 and k < 1000 then (k + 1) || ':' || k end, case when k % 4 >= 2 and k <= 5000 then '5:' || k end], lambda x: x is not null), ';') as pairs from obs")
 def keystroke_flat_columns(spark, sf_dir):
     """Timings from columns 'dwell;flight': cells that are empty, not two numbers or out of range are left out."""
-    obs = observations(spark, sf_dir).where("k < 900")
+    obs = observations(spark, sf_dir)
     cells = [F.expr(x) for x in ("case when k % 4 = 0 then '0;1' else concat(k + 1, ';', k) end", "case when k % 4 < 2 then 'x' else concat('5;', k) end", "'1;2;3'", "cast(null as string)")]
     whole = F.transform(K.timings(F.lit(None).cast("string"), cells), lambda p: F.concat(p["dwell"].cast("long").cast("string"), F.lit(":"), p["flight"].cast("long").cast("string")))
     return obs.select("event_id", F.array_join(whole, ";").alias("pairs"))
@@ -107,26 +107,31 @@ def keystroke_metrics(spark, sf_dir):
 
 
 def _shared(spark) -> str:
-    """A new folder in the one that the cluster shares; one of our own only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{(named or tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/stream-{uuid.uuid4().hex[:12]}"
+    """A new folder in the one that the cluster shares."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex[:12]}"
 
 
 @R.query("stream_ingest", f"""{with_sql('obs')}, p as (select payload_id, arg_min(agent_id, event_id) as agent_id, count(*) as n from obs group by 1)
 select payload_id::varchar as payload_id, agent_id, n as collectors from p where payload_id % 53 <> 0 and payload_id % 41 <> 0""")
 def stream_ingest(spark, sf_dir):
     """Snapshots written as files, each twice, some broken, and taken in by micro-batches: what was accepted, once each."""
-    p, top = F.col("payload_id"), _shared(spark)
-    one = F.struct("collector", "status", F.when(p % 41 != 0, "{}").alias("payload"))
-    obs = observations(spark, sf_dir).withColumn("status", F.when(p % 41 == 0, "success").otherwise(F.col("status")))
-    s = obs.groupBy("payload_id").agg(F.min_by("agent_id", "event_id").alias("agent_id"), F.max("ts").cast("timestamp").alias("collected_at"), F.collect_list(one).alias("collectors"))
-    body = F.to_json(F.struct(p.cast("string").alias("payload_id"), F.when(p % 53 != 0, F.col("agent_id")).alias("agent_id"), "collected_at", "collectors"))
-    lines = s.select(body.alias("value"))
+    top, lines = _shared(spark), snapshot_bodies(spark, sf_dir, broken=False).select(F.col("body").alias("value"))
     lines.unionByName(lines).write.text(f"{top}/in")
-    S.ingest(S.read(spark, f"{top}/in"), f"{top}/accepted", f"{top}/dead", f"{top}/state", availableNow=True).awaitTermination()
-    return spark.read.parquet(f"{top}/accepted").select("payload_id", "agent_id", F.size("collectors").cast("long").alias("collectors"))
+    S.ingest(S.read(spark, f"{top}/in"), f"{top}/out", f"{top}/state", availableNow=True).awaitTermination()
+    return S.table(spark, f"{top}/out", "accepted").select("payload_id", "agent_id", F.size("collectors").cast("long").alias("collectors"))
+
+
+@R.query("stream_dead_letters", f"""{with_sql('obs')}, p as (select payload_id as p from obs group by 1), r as (select p, case when p % 59 = 0 then 'unreadable'
+  else array_to_string(list_filter([case when p % 43 = 0 then 'schema' end, case when p % 53 = 0 then 'agent_id' end, case when p % 37 = 0 then 'unsupported_protocol' end, case when p % 41 = 0 then 'payload' end, case when p % 47 = 0 then 'collector_count' end], lambda x: x is not null), ',') end as reason from p)
+select reason, count(*) as lines from (select reason from r where reason <> '' union all select 'conflict' from r where reason = '' and p % 6 = 0) group by 1""")
+def stream_dead_letters(spark, sf_dir):
+    """Broken snapshots, and ids that come twice with different content, by reason."""
+    top, lines = _shared(spark), snapshot_bodies(spark, sf_dir)
+    whole = F.expr("payload_id % 6 = 0 and payload_id % 59 != 0 and payload_id % 43 != 0 and payload_id % 53 != 0 and payload_id % 37 != 0 and payload_id % 41 != 0 and payload_id % 47 != 0")
+    other = lines.where(whole).withColumn("body", F.regexp_replace("body", '"hostname":"HOST-', '"hostname":"COPY-'))
+    lines.unionByName(other).select(F.col("body").alias("value")).write.text(f"{top}/in")
+    S.ingest(S.read(spark, f"{top}/in"), f"{top}/out", f"{top}/state", availableNow=True).awaitTermination()
+    return S.table(spark, f"{top}/out", "dead").groupBy("reason").agg(F.count("*").alias("lines"))
 
 
 @R.query("late_arrivals", f"""{with_sql('obs')} select event_id, coalesce(seen > max(seen) over (partition by agent_id order by event_id rows between unbounded preceding and 1 preceding), true) as on_time

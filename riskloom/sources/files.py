@@ -7,6 +7,8 @@ text a quoted one; while reading, the noncharacter U+FFFF stands for the latter,
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,3 +41,11 @@ def read_rows(spark: SparkSession, folder: str, kind: str, schema) -> DataFrame:
         rows = reader.options(**_CSV | {"emptyValue": _EMPTY}, multiLine="true", enforceSchema="false").csv(folder)
         return rows.select(*(F.when(F.col(f"`{f.name}`") != _EMPTY, F.col(f"`{f.name}`")).when(F.col(f"`{f.name}`") == _EMPTY, "").alias(f.name) if f.dataType.typeName() == "string" else F.col(f"`{f.name}`") for f in rows.schema))
     return reader.json(folder)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares, as it names it; one of our own only where none is named and all tasks run in this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or tempfile.mkdtemp(prefix="spark-")).rstrip("/")

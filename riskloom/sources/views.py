@@ -161,3 +161,22 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _SQL["bodies"] = f"select *, {_BODY} as body from obs"
 _NEEDS["bodies"] = ("obs",)
+
+
+def snapshot_bodies(spark: SparkSession, sf_dir: str, broken: bool = True) -> DataFrame:
+    """(payload_id, body): a snapshot's JSON as an agent sends it. One in 53 lacks its agent, one in 41 its payloads; with ``broken`` others are wrong in more ways."""
+    p, bad = F.col("payload_id"), lambda n: F.lit(broken) & (F.col("payload_id") % n == 0)
+    obs = observations(spark, sf_dir).withColumn("status", F.when(p % 41 == 0, "success").otherwise(F.col("status")))
+    iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    one = F.struct("collector", iso("ts").alias("collected_at"), "hostname", "status", F.when(p % 41 != 0, "{}").alias("payload"), F.when(F.col("status") == "failed", F.struct(F.lit("timeout").alias("type"))).alias("error"))
+    count = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    s = obs.groupBy("payload_id").agg(
+        F.min_by("agent_id", "event_id").alias("agent_id"), F.min_by("hostname", "event_id").alias("hostname"), F.max("ts").alias("ts"), F.sort_array(F.collect_list(F.struct("event_id", one.alias("c")))).alias("c"), F.count("*").alias("n"),
+        count(F.col("status") == "success").alias("good"), count(F.col("status").isin("failed", "critical")).alias("bad"),
+    )
+    summary = F.struct((F.col("n") + F.when(bad(47), 1).otherwise(0)).alias("collector_count"), F.col("good").alias("success_count"), F.col("bad").alias("failed_count"))
+    body = F.to_json(F.struct(
+        F.when(bad(37), "1.0").otherwise("2.0").alias("protocol_version"), F.when(bad(43), "").otherwise("insiedr.agent.telemetry.v1").alias("schema"), p.cast("string").alias("payload_id"),
+        F.when(p % 53 != 0, F.col("agent_id")).alias("agent_id"), "hostname", iso("ts").alias("collected_at"), F.transform("c", lambda x: x["c"]).alias("collectors"), summary.alias("summary"),
+    ))
+    return s.select("payload_id", F.when(bad(59), F.substring(body, 1, 40)).otherwise(body).alias("body"))

@@ -1,44 +1,138 @@
-"""Snapshots as a stream: validated, told apart within a watermark, written by micro-batches; what is wrong goes to dead letters.
+"""Snapshots as a stream: every line ends in exactly one place, whatever is wrong with it and however late it comes.
 
-A micro-batch that runs again replaces what it had written, since its files lie in a folder of its number.
+A micro-batch tells its lines apart:
+
+- broken ones (``body_violations``), ones ahead of the clock and ones older than the watermark are dead letters with their reason,
+  before anything else sees them: no broken line moves the watermark, and no late one vanishes;
+- a payload_id that came before, in this batch or an earlier one, with equal content (canonical JSON) is a repeat, counted and let go;
+  with other content it is a dead letter, ``conflict``;
+- the rest is accepted.
+
+The watermark is the newest accepted collection time less ``LATENESS``; nobody's clock is part of it. What was accepted before is a table,
+``registry`` (payload_id, digest, by day), of which a batch reads the days after the watermark alone. A batch writes each of its
+outputs to a folder of its number and a line to ``manifest`` last; it reads only what batches before it have written. So a batch that is broken off
+anywhere and runs again replaces what it had written and decides the same.
+
+Dead letters come back by ``replay``: released ones are put in front of the same stream again with the number of their attempts, so
+there is one writer; one that has failed ``ATTEMPTS`` times stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SCHEMA = "payload_id string, agent_id string, collected_at timestamp, collectors array<struct<collector:string,status:string,payload:string>>"
-#: How late a snapshot may come to be told from one that came before.
-LATENESS = "1 day"
+from riskloom.functions.content import canonical_json
+from riskloom.operators.ingest import body_violations
+
+#: How late a snapshot may come to be told from one that came before, and how far ahead of the clock it may lie.
+LATENESS, AHEAD = "interval 1 day", "interval 5 minutes"
+ATTEMPTS = 3
+COLLECTORS = "array<struct<collector:string,status:string,payload:string>>"
+REGISTRY, MANIFEST = "payload_id string, digest string, day date, batch long", "newest timestamp, accepted long, repeats long, dead long, batch long"
+DEAD = "body string, reason string, attempts long, batch long"
+
+
+def read(spark: SparkSession, folder: str, files: int = 1000, size: int | None = 1 << 30) -> DataFrame:
+    """Lines as they arrive, as (value); a micro-batch takes at most ``size`` bytes (at least a file) or ``files`` files where no size is given."""
+    limit = ("maxBytesPerTrigger", size) if size else ("maxFilesPerTrigger", files)
+    return spark.readStream.option(*limit).option("recursiveFileLookup", True).text(folder)
 
 
-def read(spark: SparkSession, folder: str, files: int = 1000) -> DataFrame:
-    """Lines of JSON as they arrive, as (body, snapshot)."""
-    lines = spark.readStream.option("maxFilesPerTrigger", files).text(folder)
-    return lines.select(F.col("value").alias("body"), F.from_json("value", SCHEMA).alias("s"))
+def opened(lines: DataFrame) -> DataFrame:
+    """(body, attempts, released): lines as they are, or taken out of the wrapper that ``replay`` puts round them."""
+    wrapped = F.from_json("value", "replayed_body string, attempts long, released string")
+    again = wrapped["replayed_body"].isNotNull()
+    return lines.select(F.when(again, wrapped["replayed_body"]).otherwise(F.col("value")).alias("body"), F.when(again, wrapped["attempts"]).otherwise(0).alias("attempts"), F.when(again, wrapped["released"]).alias("released"))
 
 
-def violation(s):
-    """What is wrong with a snapshot, null if nothing."""
-    return (
-        F.when(s.isNull() | s["payload_id"].isNull(), "unreadable").when(F.trim(F.coalesce(s["agent_id"], F.lit(""))) == "", "agent_id").when(s["collected_at"].isNull(), "collected_at")
-        .when(F.size(F.coalesce(s["collectors"], F.array().cast("array<struct<collector:string,status:string,payload:string>>"))) == 0, "collectors")
-        .when(F.exists(s["collectors"], lambda c: (c["status"] == "success") & c["payload"].isNull()), "payload")
-    )
+def examined(lines: DataFrame, clock=None) -> DataFrame:
+    """Each line with payload_id, agent_id, collected_at, collectors, digest, and ``reason``: what is wrong with it by itself, null if nothing."""
+    wrong, v = body_violations(F.col("body")), F.try_parse_json("body")
+    at = F.try_variant_get(v, "$.collected_at", "string").try_cast("timestamp")
+    rows = opened(lines).withColumns({
+        "payload_id": F.try_variant_get(v, "$.payload_id", "string"), "agent_id": F.try_variant_get(v, "$.agent_id", "string"), "collected_at": at,
+        "collectors": F.try_variant_get(v, "$.collectors", COLLECTORS), "wrong": wrong, "digest": F.sha2(canonical_json("body"), 256),
+    })
+    ahead = F.col("collected_at") > (F.current_timestamp() if clock is None else clock) + F.expr(AHEAD)
+    reason = F.when(F.size("wrong") > 0, F.array_join("wrong", ",")).when(F.col("collected_at").isNull(), "collected_at").when(ahead, "future")
+    return rows.withColumn("reason", reason).drop("wrong")
 
 
-def ingest(stream: DataFrame, accepted: str, dead: str, checkpoint: str, **trigger):
-    """Start the query: accepted snapshots by received day, others with their reason. A repeated payload_id within ``LATENESS`` is dropped."""
-    marked = stream.withColumns({"reason": violation(F.col("s")), "collected_at": F.coalesce(F.col("s.collected_at"), F.current_timestamp()), "payload_id": F.coalesce("s.payload_id", F.sha2("body", 256))})
-    once = marked.withWatermark("collected_at", LATENESS).dropDuplicatesWithinWatermark(["payload_id", "reason"])
+def _earlier(spark: SparkSession, root: str, table: str, schema: str, number: int) -> DataFrame:
+    """What the batches before this one have written; an empty table at first."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{table}")
+    there = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+    rows = spark.read.schema(schema).option("basePath", f"{root}/{table}").parquet(f"{root}/{table}") if there else spark.createDataFrame([], schema)
+    return rows.where(F.col("batch") < number)
+
+
+def judged(rows: DataFrame, known: DataFrame, mark) -> DataFrame:
+    """``examined`` rows with a final ``reason``: a line of its own, ``late``, ``conflict``, ``repeat``, or null for the one accepted of its payload_id.
+
+    ``known``: (payload_id, digest) accepted before; ``mark``: the watermark, null at first. Equal lines are counted (``times``) before ids meet,
+    so an id that is sent over and over is one row; of a batch's different contents the earliest is taken, then the least digest.
+    """
+    late = F.coalesce(F.col("collected_at") < F.lit(mark).cast("timestamp"), F.lit(False)) & (F.coalesce("released", F.lit("")) != "late")
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(late, "late")))
+    same = ["payload_id", "agent_id", "collected_at", "digest"]
+    fine = rows.where("reason is null").groupBy(*same).agg(F.count("*").alias("times"), F.min(F.struct("body", "attempts", "collectors")).alias("one"))
+    fine = fine.select(*same, "times", "one.*")
+    first = Window.partitionBy("payload_id").orderBy("collected_at", "digest")
+    fine = fine.withColumn("nth", F.row_number().over(first)).join(known.groupBy("payload_id").agg(F.min("digest").alias("known")), "payload_id", "left")
+    verdict = F.when(F.col("known") == F.col("digest"), "repeat").when(F.col("known").isNotNull() | (F.col("nth") > 1), "conflict")
+    wrong = rows.where("reason is not null").select(*same, F.lit(1).cast("long").alias("times"), "body", "attempts", "collectors", "reason")
+    return fine.withColumn("reason", verdict).select(*wrong.columns).unionByName(wrong)
+
+
+def take(batch: DataFrame, number: int, root: str, clock=None) -> None:
+    """One micro-batch of lines into ``root``: accepted, dead, registry, manifest."""
+    spark = batch.sparkSession
+    newest = _earlier(spark, root, "manifest", MANIFEST, number).agg(F.max("newest")).first()[0]
+    mark = None if newest is None else spark.range(1).select(F.lit(newest).cast("timestamp") - F.expr(LATENESS)).first()[0]
+    # rows come out of every batch that is asked for here: a line read once is kept until its outputs are written
+    rows = examined(batch, clock).persist()
+    known = _earlier(spark, root, "registry", REGISTRY, number)
+    if mark is not None and not rows.where("released = 'late'").limit(1).count():
+        known = known.where(F.col("day") >= F.to_date(F.lit(mark)))
+    done = judged(rows, known, mark).persist()
+    good = done.where("reason is null")
+    into = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}/batch={number}")
+    into(done.where("reason is not null and reason != 'repeat'").select("body", "reason", (F.col("attempts") + 1).alias("attempts")), "dead")
+    good.select("payload_id", "agent_id", "collected_at", "collectors", F.to_date("collected_at").alias("received_day")).write.mode("overwrite").partitionBy("received_day").parquet(f"{root}/accepted/batch={number}")
+    into(good.select("payload_id", "digest", F.to_date("collected_at").alias("day")), "registry")
+    into(done.agg(F.max(F.when(F.col("reason").isNull(), F.col("collected_at"))).alias("newest"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.sum(F.when(F.col("reason") == "repeat", F.col("times")).when(F.col("reason").isNull(), F.col("times") - 1).otherwise(0)).alias("repeats"), F.count_if(F.col("reason").isNotNull() & (F.col("reason") != "repeat")).alias("dead")), "manifest")
+    done.unpersist()
+    rows.unpersist()
+
+
+def ingest(stream: DataFrame, root: str, checkpoint: str, clock=None, **trigger):
+    """Start the query: lines of ``stream`` into the tables under ``root``."""
+    return stream.writeStream.foreachBatch(lambda batch, number: take(batch, number, root, clock)).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+
+
+def table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """accepted, dead, registry or manifest of the batches that have ended: those with a line in the manifest."""
+    ended = spark.read.schema(MANIFEST).parquet(f"{root}/manifest").select("batch")
+    return spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}").join(F.broadcast(ended), "batch", "left_semi")
+
+
+def replay(spark: SparkSession, root: str, folder: str, checkpoint: str, reasons: list[str], attempts: int = ATTEMPTS, **trigger):
+    """Start the query that puts dead letters of these reasons (beginnings of them) back into ``folder``, each until it has failed ``attempts`` times.
+
+    ``late`` ones are released: they are taken this time. A batch that has written its file is not written again.
+    """
 
-    def write(batch: DataFrame, number: int) -> None:
-        good = batch.where("reason is null").select("s.*").withColumn("received_day", F.to_date("collected_at"))
-        good.write.mode("overwrite").partitionBy("received_day").parquet(f"{accepted}/batch={number}")
-        batch.where("reason is not null").select("body", "reason").write.mode("overwrite").json(f"{dead}/batch={number}")
+    def put(batch: DataFrame, number: int) -> None:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/replay-{number}/_SUCCESS")
+        if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return
+        again = batch.where(F.lit(False) if not reasons else F.col("reason").rlike("^(" + "|".join(reasons) + ")")).where(F.col("attempts") < attempts)
+        wrapped = F.to_json(F.struct(F.col("body").alias("replayed_body"), "attempts", F.when(F.col("reason") == "late", "late").alias("released")))
+        again.select(wrapped.alias("value")).write.mode("overwrite").text(f"{folder}/replay-{number}")
 
-    return once.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 second"})).start()
+    stream = spark.readStream.schema(DEAD).parquet(f"{root}/dead")
+    return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "1 minute"})).start()
 
 
 def on_time(arrivals: DataFrame, entity: str, arrived: str, seen: str) -> DataFrame:

@@ -21,20 +21,32 @@ def test_an_id_counts_by_its_newest_row(spark):
     assert [(r.event_id, r.ts) for r in explorer.merged([old, new], 3).collect()] == [(1, 9), (2, 5), (3, None)]
 
 
-@pytest.mark.parametrize("name", ["event_detail_window", "rollup_minute"])
-def test_whole_table_against_sql_and_the_slice(spark, name):
+@pytest.mark.parametrize("name", ["event_detail", "event_detail_counts", "rollup_minute_all", "latest_state_fallback"])
+def test_query_against_its_sql(spark, name):
     con, sql = duckdb.connect(), __spark_entry__.oracle_sql()
     con.execute("create view events as select * from '/root/testdata/sf0.001/events.parquet'")
-    df = __spark_entry__.queries()[f"{name}_all"](spark, "/root/testdata/sf0.001")
-    names = ", ".join(df.columns)
-    whole = sorted(map(repr, con.execute(f"select {names} from ({sql[f'{name}_all']})").fetchall()))
-    assert sorted(repr(tuple(r)) for r in df.collect()) == whole
-    assert set(map(repr, con.execute(f"select {names} from ({sql[name]})").fetchall())) < set(whole)
+    df = __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    want = con.execute(f"select {', '.join(df.columns)} from ({sql[name]})").fetchall()
+    assert sorted(repr(tuple(r)) for r in df.collect()) == sorted(map(repr, want))
 
 
 def test_whole_table_leaves_no_event_out(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
     every = __spark_entry__.queries()
     assert every["rollup_minute_all"](spark, "/root/testdata/sf0.001").agg(F.sum("events")).first()[0] == events
-    # an event is within two days of its own agent's risk row unless its snapshot is named after another agent
-    assert every["event_detail_window_all"](spark, "/root/testdata/sf0.001").select("event_id").distinct().count() > events * 0.9
+    assert every["event_detail_counts"](spark, "/root/testdata/sf0.001").count() == events
+
+
+def test_an_id_that_fills_a_store_hides_no_other(spark):
+    rows = [(7, 1000 - i) for i in range(500)] + [(i, 100 - i) for i in range(5)]
+    store = spark.createDataFrame(rows, "event_id long, ts long")
+    assert [r.event_id for r in explorer.merged([store, store.where("event_id < 3")], 4).collect()] == [7, 0, 1, 2]
+
+
+def test_detail_of_no_event_and_without_risk(spark):
+    events = spark.createDataFrame([(1, "A", 5.0)], "event_id long, agent_id string, x double").selectExpr("event_id", "agent_id", "timestamp_ntz'2024-01-05 00:00:00' as ts")
+    risk = spark.createDataFrame([("A", 9, 1.0), ("B", 8, 2.0)], "agent_id string, risk_id long, risk_score double").selectExpr("*", "timestamp_ntz'2024-01-07 00:00:01' as created_at")
+    assert explorer.event_detail(events, risk, 2).collect() == []
+    assert [r.risk_id for r in explorer.event_detail(events, risk, 1).collect()] == [None]
+    assert [(r.risks, r.most, r.latest) for r in explorer.risk_around(events, risk).collect()] == [(0, None, None)]
+    assert [(r.risks, r.most, r.latest) for r in explorer.risk_around(events, risk, 3).collect()] == [(1, 1.0, 9)]
