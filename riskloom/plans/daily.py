@@ -6,21 +6,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.operators import daily as D
+from riskloom.operators import hostdays as H
 from riskloom.operators import models as M
 from riskloom.plans.registry import Registry
-from riskloom.sources.views import AS_OF_DAY, observations, with_sql
+from riskloom.sources.views import AS_OF_DAY, activity, observations, with_sql
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
 
-#: The features of a host-day over s (sum of k) and d (day of the month), in the part of SQL that both engines share.
-MADE = dict(zip(D.FEATURES, (
-    "s % 9 + 3", "s % 4", "(s % 10) / 10.0", "s % 3 + 1", "(s % 7) / 4.0", "s * 37 % 86500", "s * 11 % 4000", "case when d % 7 > 4 then 1 else 0 end",
-    "s % 5", "s % 5", "(s % 4) / 4.0", "s % 2", "s % 60 + 40", "s % 30 + 10", "s % 10", "s % 8",
-    "(s % 30) / 10.0", "s % 3", "case when s % 37 = 8 then null else s % 50 + 50 end", "s % 20 + 5", "s % 5", "(s % 8) / 8.0", "(s % 25) / 10.0", "s % 4",
-    "s % 90 + 30", "s % 90 + 50", "s % 6", "s % 3", "s * 1013", "s * 4021", "s % 40 + 10", "s % 10 + case when s % 23 = 5 then 50 else 0 end",
-    "s % 12", "s % 2", "case when s % 29 = 1 then 1 else 0 end", "case when s % 31 = 2 then 1 else 0 end", "s % 9", "s % 14", "s % 80", "s % 3",
-)))
 FLAGS = {
     "journal_gap_detected": "s % 41 = 3", "observation_complete": "case when s % 19 = 4 then 0 else 1 end", "feature_contract_verified": "1", "sensor_coverage_verified": "case when s % 53 = 9 then 0 else 1 end", "timezone_verified": "1",
     "feature_contract_version": f"case when s % 43 = 9 then 'v2' else '{D.CONTRACT}' end", "source_kind": "case when s % 47 = 10 then 'simulated' else 'observed_unlabeled' end",
@@ -30,23 +23,46 @@ _D = lambda x: f"cast({x} as double)"
 
 
 def host_days(spark, sf_dir):
-    """A row for each agent and day with events."""
-    obs = observations(spark, sf_dir).groupBy("agent_id", F.to_date("ts").alias("review_date")).agg(F.sum("k").alias("s"), F.min("hostname").alias("hostname"))
-    obs = obs.withColumn("d", F.dayofmonth("review_date"))
-    sensors = F.when(F.expr("s % 17 = 6"), F.array(F.lit("usb"), F.lit("edr"))).otherwise(F.array().cast("array<string>"))
-    made = {k: F.expr(_D(v)) for k, v in (MADE | SCORES).items()} | {k: F.expr(v) for k, v in FLAGS.items()}
-    return obs.select("agent_id", "hostname", "review_date", "s", "d", sensors.alias("missing_sensors"), *(c.alias(k) for k, c in made.items()))
-
-
+    """A row for each agent and day with events: the forty features from its activity, and attestations and given scores from the sum of k."""
+    obs = observations(spark, sf_dir).groupBy("agent_id", F.to_date("ts").alias("review_date")).agg(F.sum("k").alias("s"))
+    made = {k: F.expr(_D(v)) for k, v in SCORES.items()} | {k: F.expr(v) for k, v in FLAGS.items()}
+    days = H.produce(activity(spark, sf_dir)).join(obs, ["agent_id", "review_date"])
+    return days.select("agent_id", "hostname", "review_date", "s", F.dayofmonth("review_date").alias("d"), "missing_sensors", *D.FEATURES, *(c.alias(k) for k, c in made.items()))
+
+
+_OF = {f: s for s, fs in H.SENSORS.items() for f in fs}
+_N = lambda kind, what="count(*)": f"coalesce({what} filter (cl = '{kind}'), 0)"
+_H = lambda kind: f"coalesce(greatest(0.0, round(log2(sum(n) filter (cl = '{kind}' and item is not null)) - sum(n * log2(n)) filter (cl = '{kind}' and item is not null) / sum(n) filter (cl = '{kind}' and item is not null), 9)), 0.0)"
+_P = lambda part, kind: f"coalesce(sum({part}) filter (cl = '{kind}') / nullif(sum(n) filter (cl = '{kind}'), 0), 0.0)"
+_MADE = {
+    "successful_logons": _N("logon", "sum(n)"), "failed_logons": _N("failed_logon", "sum(n)"), "after_hours_logon_ratio": _P("late", "logon"), "unique_pc_count": _N("logon", "count(item)"), "pc_access_entropy": _H("logon"),
+    "usb_connect_count": _N("usb_connect", "sum(n)"), "usb_disconnect_count": _N("usb_disconnect", "sum(n)"), "after_hours_usb_ratio": _P("late", "usb_connect"), "distinct_usb_devices": _N("usb_connect", "count(item)"),
+    "file_access_count": _N("file", "sum(n)"), "unique_filename_count": _N("file", "count(item)"), "file_delete_count": _N("file", "sum(deleted)"), "file_access_entropy": _H("file"), "protected_file_touch_count": _N("file", "sum(marked)"),
+    "http_request_count": _N("http", "sum(n)"), "unique_domain_count": _N("http", "count(item)"), "external_domain_ratio": _P("marked", "http"), "domain_access_entropy": _H("http"), "file_sharing_visit_count": _N("http", "sum(marked2)"),
+    "mean_process_count": _P("amount", "process"), "peak_process_count": "coalesce(max(peak) filter (cl = 'process'), 0.0)", "admin_process_count": _N("process", "sum(marked)"), "temp_exec_count": _N("process", "sum(marked2)"),
+    "external_connection_count": _N("connection", "sum(marked)"), "unique_remote_ip_count": "count(item) filter (cl = 'connection' and marked > 0)",
+} | {name: _N(k, "sum(amount)") for name, k in H.SUMMED.items()}
+_RISE = lambda kind: f"(select agent_id, day, sum(case when amount >= b then amount - b else amount end) as {kind} from (select *, coalesce(lag(amount) over (partition by agent_id, day order by ts, event_id), 0.0) as b from ac where kind = '{kind}') group by 1, 2)"
+_PRODUCED = f"""ac as (select *, ts::date as day, case when kind = 'file_delete' then 'file' else kind end as cl from act),
+it as (select agent_id, day, cl, item, count(*) as n, count(*) filter (hour(ts) < {H.OPENS} or hour(ts) >= {H.CLOSES}) as late, count(*) filter (mark) as marked, count(*) filter (mark2) as marked2, count(*) filter (kind = 'file_delete') as deleted,
+  sum(amount) as amount, max(amount) as peak from ac group by 1, 2, 3, 4),
+dm as (select agent_id, day, {', '.join(f'{v} as {k}' for k, v in _MADE.items())} from it group by 1, 2),
+fs as (select agent_id, day, count(*) filter (cl = 'file') as new_filename_count, count(*) filter (cl = 'http') as new_domain_count from (select agent_id, cl, item, min(day) as day from it where cl in ('file', 'http') and item is not null group by 1, 2, 3) group by 1, 2),
+se as (select agent_id, day, least(86400.0, sum(seconds)) as interactive_duration_seconds, avg(seconds) as mean_session_duration_seconds from (
+  select *, epoch_us(least(coalesce(lead(ts) over (partition by agent_id, username order by ts, event_id), (day + 1)::timestamp), (day + 1)::timestamp) - ts) / 1000000.0 as seconds from ac where kind in ('logon', 'logoff')) where kind = 'logon' group by 1, 2),
+al as (select agent_id, ts::date as day, min(hostname) as hostname, list_sort(list(distinct sensor)) as alive from beats group by 1, 2),
+hp as (select al.agent_id, al.hostname, al.day as review_date, list_filter({sorted(H.SENSORS)}, lambda x: not list_contains(alive, x)) as missing_sensors,
+  {', '.join(f"case when list_contains(alive, '{_OF[f]}') then coalesce({'case when isodow(al.day) > 5 then 1 else 0 end' if f == 'weekend_activity' else f}, 0)::double end as {f}" for f in D.FEATURES)}
+  from al left join dm using (agent_id, day) left join fs using (agent_id, day) left join se using (agent_id, day) left join {_RISE('bytes_sent')} using (agent_id, day) left join {_RISE('bytes_received')} using (agent_id, day))"""
 _SAID = ", ".join([f"case when {f} is null then '{f}' end" for f in D.FEATURES] + ["case when journal_gap_detected then 'sensor:usn_journal_gap' end"] + [f"case when {f} <> 1 then '{f}' end" for f in D.ATTESTED]
-    + [f"case when feature_contract_version <> '{D.CONTRACT}' then 'feature_contract_version' end", "case when source_kind <> 'observed_unlabeled' then 'source_kind' end", "case when s % 17 = 6 then 'sensor:usb' end", "case when s % 17 = 6 then 'sensor:edr' end"])
+    + [f"case when feature_contract_version <> '{D.CONTRACT}' then 'feature_contract_version' end", "case when source_kind <> 'observed_unlabeled' then 'source_kind' end", *(f"case when list_contains(missing_sensors, '{x}') then 'sensor:{x}' end" for x in H.SENSORS)])
 _BAD = ", ".join([f"case when {f} < 0 then 'nonfinite or negative {f}' end" for f in D.FEATURES] + [f"case when {f} > 1 then 'ratio exceeds 1: {f}' end" for f in D.SHARES]
     + ["case when weekend_activity not in (0, 1) then 'weekend_activity must be 0 or 1' end", "case when interactive_duration_seconds > 86400 then 'interactive duration exceeds one day' end"]
     + [f"case when {p} > {w} + 1e-7 then '{p} exceeds {w}' end" for p, w in D.PARTS.items()])
 _AS_OF = f"date '{AS_OF_DAY}'"
 _RUN = "(review_date - row_number() over (partition by hostname order by review_date)::int) as run"
-_WITH = f"""{with_sql('obs')}, hd0 as (select agent_id, ts::date as review_date, sum(k)::bigint as s, min(hostname) as hostname, day(ts::date) as d from obs group by 1, 2, 5),
-hd as (select agent_id, hostname, review_date, s, d, {", ".join(f"{_D(v)} as {k}" for k, v in (MADE | SCORES).items())}, {", ".join(f"{v} as {k}" for k, v in FLAGS.items())} from hd0),
+_WITH = f"""{with_sql('act', 'beats')}, hd0 as (select agent_id, ts::date as review_date, sum(k)::bigint as s, day(ts::date) as d from obs group by 1, 2, 4), {_PRODUCED},
+hd as (select hp.*, s, d, {", ".join(f"{_D(v)} as {k}" for k, v in SCORES.items())}, {", ".join(f"{v} as {k}" for k, v in FLAGS.items())} from hp join hd0 using (agent_id, review_date)),
 ad0 as (select *, list_sort(list_distinct(list_filter([{_SAID}], lambda x: x is not null))) as miss, array_to_string(list_filter([{_BAD}], lambda x: x is not null), ',') as bad from hd),
 ad as (select *, array_to_string(miss, ',') as missing, case when len(miss) = 0 then bad else '' end as errors,
   case when len(miss) > 0 then 'abstain_missing_sensors' when bad <> '' then 'rejected' else 'complete' end as status from ad0),
@@ -55,6 +71,13 @@ sq as (select * from (select *, list(fused) over w as history, count(*) over w a
 dr as (select sc.*, greatest(sc.fused - list_avg(sq.history), 0) as error from sc left join sq using (hostname, review_date)) """
 
 
+@R.query("host_day_features", _WITH + f"select agent_id, hostname, review_date, array_to_string(missing_sensors, ',') as missing_sensors, {', '.join(f'round({f}, 6) as {f}' for f in D.FEATURES)} from hp")
+def host_day_features(spark, sf_dir):
+    """The forty features of each agent and day, from its activity."""
+    days = H.produce(activity(spark, sf_dir))
+    return days.select("agent_id", "hostname", "review_date", F.array_join("missing_sensors", ",").alias("missing_sensors"), *(F.round(f, 6).alias(f) for f in D.FEATURES))
+
+
 @R.query("host_day_admission", _WITH + "select agent_id, review_date, status, missing, errors from ad")
 def host_day_admission(spark, sf_dir):
     return D.admit(host_days(spark, sf_dir)).select("agent_id", "review_date", "status", "missing", "errors")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from riskloom.functions.identity import truthy
 from riskloom.operators import fusion as U
 from riskloom.operators import rules as D
 from riskloom.operators import signals as S
@@ -33,6 +34,16 @@ def _signals(spark, sf_dir):
     return S.zscore(S.auth_burst(D.evaluate(features(spark, sf_dir))), _dev())
 
 
+def scored_against(df):
+    """Features with deviations ``z_<feature>`` and ``host_z_<feature>`` as risk_score, risk_level, ``burst`` and ``sure``."""
+    own = {c.removeprefix("z_"): F.col(c) for c in df.columns if c.startswith("z_")}
+    host = {c.removeprefix("host_z_"): F.col(c) for c in df.columns if c.startswith("host_z_")}
+    seen = S.zscore(S.auth_burst(D.evaluate(df), host), own)
+    fused = U.fuse(seen.withColumn("ml", F.lit(None).cast("struct<score:double,confidence:double,is_anomaly:boolean>")))
+    sure = truthy(F.col("credential_dumping_suspected")) | truthy(F.col("threat_triggered"))
+    return fused.select(*df.columns, "risk_score", "risk_level", (F.col("auth.score") > 0).alias("burst"), F.coalesce(sure, F.lit(False)).alias("sure"))
+
+
 def _fused(spark, sf_dir):
     """A day's prior is that of the day before."""
     keyed = _priors(spark, sf_dir).withColumn("agent_id", F.struct("agent_id", F.date_add("as_of", 1).alias("day")))

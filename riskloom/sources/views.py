@@ -180,3 +180,44 @@ def snapshot_bodies(spark: SparkSession, sf_dir: str, broken: bool = True) -> Da
         F.when(p % 53 != 0, F.col("agent_id")).alias("agent_id"), "hostname", iso("ts").alias("collected_at"), F.transform("c", lambda x: x["c"]).alias("collectors"), summary.alias("summary"),
     ))
     return s.select("payload_id", F.when(bad(59), F.substring(body, 1, 40)).otherwise(body).alias("body"))
+
+
+#: Records of activity that an observation stands for: kind, when, item, amount, mark, mark2, in the part of SQL that both engines share.
+ACTIVITY = (
+    ("failed_logon", "collector = 'logon' and k % 9 = 0", "cast(null as varchar(9))", "1.0", "false", "false"),
+    ("logoff", "collector = 'logon' and k % 9 <> 0 and k % 3 = 1", "cast(null as varchar(9))", "1.0", "false", "false"),
+    ("logon", "collector = 'logon' and k % 9 <> 0 and k % 3 <> 1", "concat('PC-', k % 4)", "1.0", "false", "false"),
+    ("usb_connect", "collector = 'device' and k % 2 = 0", "concat('USB-', k % 5)", "1.0", "false", "false"),
+    ("usb_disconnect", "collector = 'device' and k % 2 = 1", "concat('USB-', k % 5)", "1.0", "false", "false"),
+    ("file", "collector = 'file' and k % 7 <> 3", "case when k % 13 <> 5 then concat('f', k) end", "1.0", "k % 11 = 1", "false"),
+    ("file_delete", "collector = 'file' and k % 7 = 3", "concat('f', k)", "1.0", "k % 11 = 1", "false"),
+    ("http", "collector = 'http'", "concat('d', k % 29)", "1.0", "k % 29 >= 9", "k % 29 > 26"),
+    ("attachment", "collector = 'http' and k % 23 = 7", "cast(null as varchar(9))", "1.0", "false", "false"),
+    ("connection", "collector in ('http', 'device')", "concat('ip', k % 37)", "1.0", "k % 37 >= 5", "false"),
+    ("dns", "collector in ('http', 'file')", "cast(null as varchar(9))", "(k % 5) * 1.0", "false", "false"),
+    ("process", "collector = 'process'", "cast(null as varchar(9))", "(50 + k) * 1.0", "k % 9 = 0", "k % 13 = 2"),
+    ("bytes_sent", "collector in ('http', 'process')", "cast(null as varchar(9))", "(extract(hour from ts) * 5000 + k * 10) * 1.0", "false", "false"),
+    ("bytes_received", "collector in ('http', 'process')", "cast(null as varchar(9))", "(extract(hour from ts) * 20000 + k * 30) * 1.0", "false", "false"),
+    ("clipboard", "collector = 'process'", "cast(null as varchar(9))", "(k % 4) * 1.0", "false", "false"), ("lsass", "collector = 'process' and k % 31 = 5", "cast(null as varchar(9))", "1.0", "false", "false"),
+    ("memory_dump", "collector = 'process' and k % 37 = 6", "cast(null as varchar(9))", "1.0", "false", "false"), ("decoy", "collector = 'process' and k % 89 = 13", "cast(null as varchar(9))", "1.0", "false", "false"),
+    ("wmi", "collector = 'process'", "cast(null as varchar(9))", "(k % 6) * 1.0", "false", "false"), ("pipe", "collector = 'process'", "cast(null as varchar(9))", "(k % 9) * 1.0", "false", "false"),
+)
+_BEATS = ("logon", "usb", "file", "http", "process", "network", "edr")
+#: A sensor that sleeps on one day in 41 of an agent's.
+_AWAKE = {s: f"(cast(substr(agent_id, 7) as int) * 31 + extract(day from ts) * {n + 3}) % 41 <> {n}" for n, s in enumerate(_BEATS)}
+
+
+def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What observations stand for, a row a record, and the sensors' heartbeats."""
+    one = lambda kind, item, amount, mark, mark2: F.struct(F.lit(kind).alias("kind"), F.expr(item).cast("string").alias("item"), F.expr(amount).cast("double").alias("amount"), F.expr(mark).alias("mark"), F.expr(mark2).alias("mark2"))
+    made = [F.when(F.expr(when), one(kind, item, amount, mark, mark2)) for kind, when, item, amount, mark, mark2 in ACTIVITY]
+    made += [F.when(F.expr(awake), one("heartbeat", f"'{s}'", "0.0", "false", "false")) for s, awake in _AWAKE.items()]
+    rows = observations(spark, sf_dir).select("event_id", "agent_id", "hostname", "username", "ts", F.explode(F.array_compact(F.array(*made))).alias("a"))
+    # an observation has one heartbeat of each sensor: records are told apart by event_id and kind
+    kind = F.when(F.col("a.kind") == "heartbeat", F.concat(F.lit("heartbeat"), F.lit(":"), F.col("a.item"))).otherwise(F.col("a.kind"))
+    return rows.select("event_id", "agent_id", "hostname", "username", "ts", kind.alias("kind"), "a.item", "a.amount", "a.mark", "a.mark2")
+
+
+_SQL["act"] = " union all ".join(f"select event_id, agent_id, hostname, username, ts, '{kind}' as kind, {item} as item, ({amount})::double as amount, {mark} as mark, {mark2} as mark2 from obs where {when}" for kind, when, item, amount, mark, mark2 in ACTIVITY)
+_SQL["beats"] = " union all ".join(f"select agent_id, hostname, ts, '{s}' as sensor from obs where {awake}" for s, awake in _AWAKE.items())
+_NEEDS |= {"act": ("obs",), "beats": ("obs",)}
