@@ -4,7 +4,7 @@ Pages are dealt to archives; each archive trains its dictionary on its own recor
 leading skippable frame (magic 0x184D2A5D), and compresses every record as a frame of its own. Of the
 pages with equal payloads of at least ``LEAST`` bytes, the one with the largest page_id is a response
 and the others are revisits that name it; smaller payloads are all responses. ``write_archives`` tells the
-size of each archive's dictionary.
+size of each archive's dictionary and whether it was trained or is the records' beginnings. Reading takes time in proportion to the archive.
 
 Null html is an empty payload, a null url an empty URI. A null page_id is smaller than all others.
 Rows that repeat a page_id and its payload are all responses if that page_id is the largest. An empty
@@ -29,7 +29,9 @@ LEAST, ARCHIVE, DICTIONARY, PIECE, LEVEL = 1000, 24 << 20, 64 << 10, 16 << 10, 3
 #: Parts of a group of equal payloads, so that a large one is not one task's.
 SALTS = 16
 MAGIC, DATE = 0x184D2A5D, "2024-01-01T00:00:00Z"
-INDEX = "archive string, records long, bytes long, dictionary_bytes long"
+#: Bytes that a reader takes of a record at a time; how a trained dictionary begins.
+STEP, TRAINED = 4096, b"\x37\xa4\x30\xec"
+INDEX = "archive string, records long, bytes long, dictionary_bytes long, trained boolean"
 READ = "page_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string"
 
 
@@ -84,12 +86,17 @@ def read_archive(data: bytes):
         raise ValueError("no dictionary frame leads the archive")
     raw = data[8 : 8 + size]
     opener = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(raw))
-    rest = memoryview(data)[8 + size :]
-    while rest:
-        one = opener.decompressobj()
-        text = one.decompress(rest)
-        rest = rest[len(rest) - len(one.unused_data) :]
-        head, _, block = text.partition(b"\r\n\r\n")
+    rest, at = memoryview(data), 8 + size
+    while at < len(data):
+        one, parts = opener.decompressobj(), []
+        while not one.eof:  # by small steps: what a step takes beyond the frame's end is given back
+            step = rest[at : at + STEP]
+            if not step:
+                raise ValueError("the archive ends inside a record")
+            parts.append(one.decompress(step))
+            at += len(step)
+        at -= len(one.unused_data)
+        head, _, block = b"".join(parts).partition(b"\r\n\r\n")
         fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield fields, block[: int(fields["Content-Length"])]
 
@@ -102,7 +109,7 @@ def write_archives(pages: DataFrame, folder: str, size: int = ARCHIVE) -> DataFr
             path = f"{folder}/{uuid.uuid4().hex}.warc.zst"
             data = archive(records)
             write_file(path, data)
-            return pa.RecordBatch.from_pydict({"archive": [path], "records": [len(records)], "bytes": [len(data)], "dictionary_bytes": [struct.unpack_from("<I", data, 4)[0]]})
+            return pa.RecordBatch.from_pydict({"archive": [path], "records": [len(records)], "bytes": [len(data)], "dictionary_bytes": [struct.unpack_from("<I", data, 4)[0]], "trained": [data[8:12] == TRAINED]})
 
         held, total = [], 0
         for b in batches:
@@ -138,8 +145,8 @@ def read_archives(index: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
-    tasks = min(4 * index.count(), 4096)  # an archive to a task while there are not thousands of them
-    return index.repartition(max(1, tasks), "archive").mapInArrow(task, READ)
+    archives = index.count()  # an archive to a task while there are not thousands of them, then some to each
+    return index.repartition(max(1, min(4 * archives, 4096), archives // 8), "archive").mapInArrow(task, READ)
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
