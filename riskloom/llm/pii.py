@@ -12,22 +12,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import table
+from riskloom.llm.shared import slices, table
 
 #: In the order that breaks ties between spans of equal start.
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 #: A proposal's score before its checks; what a passed checksum and a context word near it add.
 SCORES = {"email": 0.9, "ip": 0.6, "card": 0.3, "phone": 0.6, "iban": 0.3, "ssn": 0.3, "secret": 0.3}
 CHECKED, NEAR, THRESHOLD, WINDOW = 0.4, 0.3, 0.5, 40
+#: Words near a span that speak for it. They stand alone: "hotel" says nothing of a telephone, "company" nothing of a payment.
 CONTEXT = {
-    "card": ("card", "visa", "credit", "pay"),
-    "phone": ("phone", "tel", "call", "fax"),
-    "ip": ("address", "host", "server"),
-    "email": ("mail", "contact"),
+    "card": ("card", "cards", "visa", "mastercard", "credit", "pay", "paid", "payment"),
+    "phone": ("phone", "telephone", "mobile", "tel", "call", "fax"),
+    "ip": ("address", "host", "server", "ip"),
+    "email": ("mail", "email", "e-mail", "contact"),
     "iban": ("iban", "bank", "account", "konto"),
     "ssn": ("ssn", "social", "security"),
-    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "credential"),
+    "secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key", "credential", "credentials"),
 }
+#: A word may be a part of a name_like_this or a name-like-this, whose parts it then is.
+_CONTEXT = {k: re.compile(r"(?<![^\W_])(?:" + "|".join(map(re.escape, w)) + r")(?![^\W_])") for k, w in CONTEXT.items()}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -55,7 +58,15 @@ def luhn(digits: str) -> bool:
 def mod97(iban: str) -> bool:
     """ISO 13616: the first four characters last, letters as 10 to 35, remainder 1."""
     text = iban.replace(" ", "")
-    return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
+    return _remainder(text[4:] + text[:4]) == 1
+
+
+def _remainder(text: str, rest: int = 0) -> int:
+    """The remainder of ``text``'s digits and letters (10 to 35) by 97, after characters that left ``rest``."""
+    for c in text:
+        n = int(c, 36)
+        rest = (rest * (10 if n < 10 else 100) + n) % 97
+    return rest
 
 
 def _emails(text: str):
@@ -73,21 +84,25 @@ def _emails(text: str):
 
 
 def _ibans(text: str):
-    """Where mod-97 holds: from each possible start the end at the country's length, else the last end of a word that passes."""
+    """Where mod-97 holds: from each possible start the end at the country's length, else the last end of a word that passes.
+
+    A proposal's remainder is carried on from character to character, and the four first characters are added at each end of a word.
+    """
     m = _IBAN.search(text)
     while m:
-        start, usual, at = m.start(), _LENGTHS.get(m[0][:2]), m.start() + 2
-        ends = {}
-        for e in range(start + 15, m.end() + 1):
-            if text[e - 1] != " " and not (text[e : e + 1].isascii() and text[e : e + 1].isalnum()):
-                size = e - start - text.count(" ", start, e)
-                if size >= 15:
-                    ends[size] = e
-        for size in sorted(ends, key=lambda n: (n != usual, -n)):
-            if mod97(text[start : ends[size]]):
-                at = ends[size]
-                yield start, at
-                break
+        start, at = m.start(), m.start() + 2
+        usual, first, rest, size, good = _LENGTHS.get(m[0][:2]), m[0][:4], 0, 4, {}
+        for e in range(start + 5, m.end() + 1):
+            c = text[e - 1]
+            if c == " ":
+                continue
+            size, rest = size + 1, _remainder(c, rest)
+            after = text[e : e + 1]
+            if size >= 15 and not (after.isascii() and after.isalnum()) and _remainder(first, rest) == 1:
+                good[size] = e
+        if good:
+            at = good[min(good, key=lambda n: (n != usual, -n))]
+            yield start, at
         m = _IBAN.search(text, at)
 
 
@@ -107,15 +122,20 @@ def _proposals(text: str, lower: str):
             yield "phone", *m.span(), None
     for s, e in _ibans(text):
         yield "iban", s, e, True
-    if any(w in lower for w in CONTEXT["ssn"]):  # without context such a span never reaches the threshold
+    if _CONTEXT["ssn"].search(lower):  # without context such a span never reaches the threshold
         for m in _SSN.finditer(text):
             yield "ssn", *m.span(), None
-    if any(w in lower for w in CONTEXT["secret"]):
+    if _CONTEXT["secret"].search(lower):
         for m in _SECRET.finditer(text):
             if any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0]):
                 yield "secret", *m.span(), None
 
 
+def _near(kind: str, text: str, low: int, high: int) -> bool:
+    """Whether a context word lies as a whole between two places of ``text``."""
+    return any(m.start() >= low and m.end() <= high for m in _CONTEXT[kind].finditer(text))
+
+
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """(kind, start, end, score) in code points, end exclusive, by start and kind."""
     text = text or ""
@@ -125,8 +145,10 @@ def spans(text: str | None) -> list[tuple[str, int, int, float]]:
     for kind, s, e, checked in _proposals(text, lower):
         if checked is False:
             continue
-        around = lower[max(0, s - WINDOW) : s] + " " + lower[e : e + WINDOW]
-        score = SCORES[kind] + CHECKED * bool(checked) + NEAR * any(w in around for w in CONTEXT[kind])
+        # a letter more on either side, so that a word that the window cuts is not taken for a whole one
+        before, after = lower[max(0, s - WINDOW - 1) : s], lower[e : e + WINDOW + 1]
+        near = _near(kind, before, max(0, len(before) - WINDOW), len(before)) or _near(kind, after, 0, WINDOW)
+        score = SCORES[kind] + CHECKED * bool(checked) + NEAR * near
         if score >= THRESHOLD:
             out.append((kind, s, e, min(1.0, score)))
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
@@ -137,7 +159,7 @@ def find(docs: DataFrame) -> DataFrame:
 
     def task(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for b in batches:
+        for b in slices(batches):
             got = [[dict(zip(("kind", "start", "end", "score"), x)) for x in spans(t)] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, kind)], ["doc_id", "spans"])
 
@@ -151,7 +173,7 @@ def mask(docs: DataFrame) -> DataFrame:
     """
 
     def task(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for t in b.column("text").to_pylist():
                 parts, at = [], 0

@@ -172,6 +172,18 @@ def mix(keys: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+def slices(batches, rows: int = 256):
+    """Batches of few rows: what a task makes of a text is larger than the text."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
+def sheltered(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``docs`` with its columns but ``keep`` under names that nothing here uses; ``toDF(*docs.columns)`` gives them back."""
+    return docs.toDF(*(c if c in keep else f"column_{i}" for i, c in enumerate(docs.columns)))
+
+
 def texts(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """The UTF-8 bytes of a text column, null as empty."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
