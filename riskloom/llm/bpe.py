@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import by_shard, materialize, new_folder, pack, read_file, shard_of, shards, table, unpack, write_file
+from riskloom.llm.shared import by_shard, materialize, new_folder, pack, read_file, shard_of, shards, slices, table, unpack, write_file
 
 VOCABULARY, BLOCK = "byte_bpe_50k.tiktoken", 12 << 20
 KNOWN = 500_000
@@ -79,10 +79,10 @@ def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK, carry: str |
 
         def out(ids, carried, parts, local):
             sizes = np.array([len(p) for p in parts], np.int64)
-            every = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            every = np.concatenate(parts) if parts else np.zeros(0, np.int32)
             rank = np.argsort(-np.bincount(every, minlength=len(local)), kind="stable")
-            place = np.empty(len(rank), np.int64)
-            place[rank] = np.arange(len(rank))
+            place = np.empty(len(rank), np.int32)
+            place[rank] = np.arange(len(rank), dtype=np.int32)
             words = np.array(list(local), object)[rank].tolist()
             raw = [w.encode() for w in words]
             shard = shard_of(np.array([xxh64_intdigest(w) for w in raw], np.uint64), n).astype(np.int64)
@@ -101,13 +101,13 @@ def blocks(docs: DataFrame, n: int, folder: str, size: int = BLOCK, carry: str |
             return pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["block", "shard", "data"])
 
         ids, carried, parts, local, held = [], [], [], _Local(), 0
-        for b in batches:
+        for b in slices(batches):
             extra = b.column(carry).to_pylist() if carry else [0] * len(b)
             for i, text, c in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), extra):
                 found = find(text or "")
                 ids.append(i)
                 carried.append(c)
-                parts.append(np.fromiter(map(local.__getitem__, found), np.int64, len(found)))
+                parts.append(np.fromiter(map(local.__getitem__, found), np.int32, len(found)))
                 held += len(text or "")
                 if held >= size:
                     yield out(ids, carried, parts, local)

@@ -26,7 +26,7 @@ from math import gcd, lcm
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.llm.shared import table
+from riskloom.llm.shared import sheltered, table
 
 BLOCK, FRAME, TOLERANCE = 32, 1 << 20, 0.01
 #: Sources are named on the driver and a schedule's row is a source and a stretch, so both are bounded; so many rows and slots are broadcast.
@@ -93,7 +93,9 @@ def phases(blocks: dict[str, int], share: dict[str, int]) -> list[dict]:
 
 def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` with ``block`` (of its source, from 0) and ``position`` (from 0, in blocks' order)."""
-    spark = docs.sparkSession
+    kept = [i for i, c in enumerate(docs.columns) if c.lower() not in ("block", "position")]
+    spark, named, docs = docs.sparkSession, [docs.columns[i] for i in kept], sheltered(docs, ("doc_id", "source", "text"))
+    kept = [docs.columns[i] for i in kept]
     text = [F.xxhash64("text")] if "text" in docs.columns else []
     order = F.md5(F.concat_ws(":", F.col("doc_id").cast("string"), *(t.cast("string") for t in text)))
     source = F.coalesce(F.col("source"), F.lit(""))
@@ -120,8 +122,7 @@ def mix(docs: DataFrame, weights: dict[str, float], block: int = BLOCK) -> DataF
     met = placed.join(F.broadcast(schedule) if small else schedule, (F.col("__source") == F.col("__ps")) & (F.col("__block") >= F.col("__first")) & (F.col("__block") < F.col("__end")))
     k = F.col("__block") - F.col("__first")
     slot = F.col("__at") + F.floor(k / F.col("__share")) * F.col("__q") + F.element_at("__places", (k % F.col("__share") + 1).cast("int"))
-    kept = [c for c in docs.columns if c.lower() not in ("block", "position")]
-    return met.select(*kept, F.col("__block").cast("long").alias("block"), (slot * block + F.col("__in")).cast("long").alias("position"))
+    return met.select(*kept, F.col("__block").cast("long").alias("block"), (slot * block + F.col("__in")).cast("long").alias("position")).toDF(*named, "block", "position")
 
 
 def target_weights() -> dict[str, float]:

@@ -8,7 +8,7 @@ are judged by what they look like. It is fitted on at most twice ``SAMPLE`` docu
 hash of doc_id and text, equal rows once; votes, patterns and scores cover all documents.
 
 Null and empty texts have no votes and score as the prior: they are kept where most documents are good
-(a prior of at least ``THRESHOLD``). Repeated rows give repeated results. An empty table gives an empty one. Other columns are kept by ``keep_good``.
+(a prior of at least ``THRESHOLD``). Repeated rows give repeated results. An empty table gives an empty one. Other columns are kept by ``keep_good``. Equal votes and equal scores are no ties to break: each row is judged alone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from riskloom.llm.shared import table, texts
+from riskloom.llm.shared import sheltered, slices, table, texts
 
 LABELLERS = ("symbols", "capitals", "exclamation", "echo", "variety", "lines", "function_words", "long_words")
 SAMPLE, DIMENSIONS, THRESHOLD = 8192, 4096, 0.5
@@ -39,7 +39,7 @@ class _Words(dict):
     """Word -> hashed shape, and its marks in higher bits; emptied when it has grown."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         shape = _RUN.sub(rb"\1", w.translate(_SHAPE))
         bits = xxh32_intdigest(shape) % DIMENSIONS
@@ -89,7 +89,7 @@ def look(text: bytes, cache: dict) -> tuple[list[int], np.ndarray, np.ndarray]:
 def _votes(docs: DataFrame) -> DataFrame:
     def task(batches):
         cache = _Words()
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([pa.array(["".join(map(str, look(t, cache)[0])) for t in texts(b)], pa.string())], ["votes"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(task, "votes string")
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
 
     def task(batches):
         cache = _Words()
-        for b in batches:
+        for b in slices(batches):
             seen = [look(t, cache) for t in texts(b)]
             cols = [["".join(map(str, s[0])) for s in seen], [s[1].astype(np.uint16).tobytes() for s in seen], [s[2].astype(np.float32).tobytes() for s in seen]]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()), b.column("mark")], ["votes", "index", "value", "mark"])
@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("votes",
 
     def task(batches):
         cache = _Words()
-        for b in batches:
+        for b in slices(batches):
             votes, post, scores = [], [], []
             for t in texts(b):
                 v, index, value = look(t, cache)
@@ -182,8 +182,9 @@ def score(docs: DataFrame, model: dict, names: tuple[str, str, str] = ("votes",
 
 
 def keep_good(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores at least ``threshold``, as they are."""
-    return score(docs, fit(docs), ("__votes", "__posterior", "__score")).where(F.col("__score") >= threshold).select(*docs.columns)
+    """The rows of ``docs`` whose text scores at least ``threshold``, as they are, whatever their other columns are called."""
+    rows = sheltered(docs, ("doc_id", "text"))
+    return score(rows, fit(rows)).where(F.col("score") >= threshold).select(*rows.columns).toDF(*docs.columns)
 
 
 def op2_quality(spark, sf_dir):

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import map_arrays, materialize, new_folder, table, texts, write_arrays
+from riskloom.llm.shared import map_arrays, materialize, new_folder, sheltered, slices, table, texts, write_arrays
 
 DISTANCE, WIDTHS = 3, (10, 9, 9, 9, 9, 9, 9)
 SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
@@ -69,7 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a long)."""
 
     def task(batches):
-        for b in batches:
+        for b in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in texts(b)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps)], ["doc_id", "fp"])
 
@@ -85,13 +85,6 @@ def shingles(text: bytes, shingle: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((xxh64_intdigest(b" ".join(g), 42) for g in grams), np.uint64))
 
 
-def _slices(batches, rows: int = 500):
-    """Batches of few rows: what is made of a text is larger than the text."""
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
-
-
 def _node(hashes: np.ndarray) -> int:
     """The name of a set of shingles."""
     return int(np.array([xxh64_intdigest(hashes.astype("<u8").tobytes(), 42)], np.uint64).view(np.int64)[0])
@@ -101,7 +94,7 @@ def _marked(docs: DataFrame, shingle: int) -> DataFrame:
     """The rows of ``docs`` with the node of their text as ``__fp``."""
 
     def task(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.append_column("__fp", pa.array([_node(shingles(t, shingle)) for t in texts(b)], pa.int64()))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
@@ -112,7 +105,7 @@ def _common(docs: DataFrame, shingle: int) -> str:
     """A file of the shingles that several different texts of a sample have, with the number of texts."""
 
     def task(batches):
-        for b in batches:
+        for b in slices(batches):
             for t in texts(b):
                 yield pa.RecordBatch.from_arrays([pa.array(shingles(t, shingle).view(np.int64))], ["h"])
 
@@ -147,7 +140,7 @@ def sets(docs: DataFrame, shingle: int = 5) -> DataFrame:
 
     def task(batches):
         held = map_arrays(path)
-        for b in _slices(batches):
+        for b in slices(batches):
             rows = []
             for t in texts(b):
                 h = shingles(t, shingle)
@@ -168,7 +161,7 @@ def _whole(docs: DataFrame, found: DataFrame, asked: DataFrame, shingle: int) ->
     chosen = chosen.join(bounded(ids.select("id").distinct()), F.col("d").eqNullSafe(F.col("id")), "left_semi").select("text")
 
     def task(batches):
-        for b in _slices(batches):
+        for b in slices(batches):
             got = [shingles(t, shingle) for t in texts(b)]
             yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in got], pa.int64()), pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64()))], ["fp", "hashes"])
 
@@ -368,8 +361,9 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """Rows of ``docs`` with one of each component of similar texts: the one with the smallest doc_id (null is the largest).
 
     Among rows that share that doc_id, the first set of the component decides, then the smallest hash of
-    all columns; a row of another component stays, whatever its doc_id.
+    all columns; a row of another component stays, whatever its doc_id. Other columns are kept, whatever their names.
     """
+    named, docs = docs.columns, sheltered(docs, ("doc_id", "text"))
     found = materialize(similar_groups(docs, shingle), "groups")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("first")
     kept = materialize(found.groupBy("root").agg(first).select(F.col("first.doc_id").alias("__id"), F.col("first.fp").alias("__of")), "kept")
@@ -383,7 +377,7 @@ def keep_one(docs: DataFrame, shingle: int = 5) -> DataFrame:
         best = found.groupBy(F.col("doc_id").alias("__d"), F.col("__fp").alias("__f")).agg(F.min("__m").alias("__least"))
         found = found.join(best, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__fp") == F.col("__f")) & (F.col("__m") == F.col("__least")), "left_semi")
         rows = rows.unionByName(found.dropDuplicates(["doc_id", "__fp"]).select(*names))
-    return rows
+    return rows.toDF(*named)
 
 
 def op10_simhash(spark, sf_dir):

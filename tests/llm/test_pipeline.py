@@ -95,3 +95,94 @@ def test_dedup_of_a_cloud_of_near_copies(spark):
             x, y = sorted((find(i), find(j)))
             root[y] = x
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()} == {i: find(i) for i in sets_}
+
+
+CLASHING = "__score __votes __id __of __n __fp __m __d __f __least __o __source __order __piece __ps __block column_2 score votes fp node root block"
+
+
+def test_stages_keep_columns_whatever_their_names(spark):
+    text = "The house of the old man was by the river and it was not far from the road that we took. "
+    rows = [(i, text * (1 + i % 3) if i != 2 else None, f"s{i % 2}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", *(f"doc_id + {n} as `{c}`" for n, c in enumerate(CLASHING.split())))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        for r in out.collect():
+            assert all(r[c] == r.doc_id + n for n, c in enumerate(CLASHING.split()))
+    mixed = corpus_pipeline.mixing_stage(spark, docs, "")
+    assert [c for c in mixed.columns if c != "position"] == docs.columns
+    assert all(r["__order"] == r.doc_id + CLASHING.split().index("__order") for r in mixed.collect())
+
+
+def run_of(spark, tmp_path, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").selectExpr("*", "cast(length(text) as long) as n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    return docs, corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+
+def test_the_whole_run_against_its_stages_in_plain_python(spark, tmp_path):
+    import hashlib
+
+    import public_tokenizers
+    import tiktoken
+
+    from riskloom.llm import bpe, quality
+
+    rows = [tuple(r) for r in table(spark, SF, "documents").select("doc_id", "text", "lang", "source").collect()] + [(5000, None, None, None), (5001, "", "en", "src1"), (None, "a text of no name " * 9, None, "src0")]
+    docs, got = run_of(spark, tmp_path, rows)
+    good = {(r.doc_id, r.text) for r in quality.score(docs, quality.fit(docs)).where(f"score >= {quality.THRESHOLD}").collect()}
+    left = [r for r in rows if (r[0], r[1]) in good]
+    root = list(range(len(left)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    sets_ = [grams(r[1]) for r in left]
+    for i, j in itertools.combinations(range(len(left)), 2):
+        if (not sets_[i] and not sets_[j]) or 5 * len(sets_[i] & sets_[j]) >= 4 * len(sets_[i] | sets_[j]) > 0:
+            x, y = sorted((find(i), find(j)))
+            root[y] = x
+    groups = {}
+    for i, r in enumerate(left):
+        groups.setdefault(find(i), []).append(r)
+    stay = {min((r[0] is None, r[0] or 0, r[1] or "") for r in g) for g in groups.values()}
+    kept = [r for g in groups.values() for r in g if (r[0] is None, r[0] or 0, r[1] or "") in stay]
+    one = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    want = {}
+    for doc_id, text, _, _ in kept:
+        out, at = [], 0
+        for kind, s, e, _ in pii.spans(text):
+            if s >= at:
+                out += [text[at:s], f"[{kind.upper()}]"]
+            at = max(at, e)
+        masked = "".join(out) + (text or "")[at:]
+        want[doc_id] = (" ".join(map(str, one.encode_ordinary(masked))), hashlib.sha256(masked.encode()).hexdigest())
+    assert {r.doc_id: (r.ids, r.decoded_sha256) for r in got} == want and len(want) < len(rows)
+    assert len({r.position for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None, None, None)] * 3])
+def test_the_run_of_nothing_and_of_nulls(spark, tmp_path, rows):
+    _, got = run_of(spark, tmp_path, rows)
+    assert len(got) <= 1 and all(r.doc_id is None and r.n_tokens == 0 for r in got)
+
+
+def test_context_words_stand_alone():
+    score = lambda t, kind: next(s for k, _, _, s in pii.spans(t) if k == kind)
+    for word in ("hotel", "intelligence", "telling"):
+        assert score(f"{word} +49 30 1234567", "phone") == pytest.approx(0.6)
+    for word in ("tel", "Tel.", "my_tel", "call:"):
+        assert score(f"{word} +49 30 1234567", "phone") == pytest.approx(0.9)
+    assert score("x" * 37 + "tel" + " " * 38 + "+49 30 1234567", "phone") == pytest.approx(0.6)  # cut by the window's edge
+    assert score("company 4111 1111 1111 1111", "card") == pytest.approx(0.7) and score("company pay 4111 1111 1111 1111", "card") == pytest.approx(1.0)
+    assert score("ghost 10.0.0.1", "ip") == pytest.approx(0.6)
+
+
+def test_many_false_ibans_are_quick():
+    import time
+
+    began = time.process_time()
+    assert not [x for x in pii.spans("AB12 " * 200_000) if x[0] == "iban"]
+    assert time.process_time() - began < 15

@@ -267,3 +267,88 @@ def test_next_documents_of_ties_nulls_and_one_row(spark):
         got = sorted((((r.doc_id, r.text), (r.following.doc_id, r.following.text)) for r in fingerprints.with_next(docs).collect()), key=str)
         assert got == want
     assert fingerprints.with_next(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def plain_votes(text):
+    """The eight labellers, each by a loop of its own."""
+    words = (text or "").encode().split()
+    n = len(words)
+    if not n:
+        return [0] * 8
+    share = lambda f: sum(1 for w in words if f(w)) / n
+    lines = [x for x in (text or "").encode().split(b"\n") if x.strip()]
+    repeated = 1 - len(set(lines)) / len(lines)
+    echo, variety = sum(a == b for a, b in zip(words, words[1:])) / n, len(set(words)) / n
+    above = lambda x, junk, good: 2 if x > junk else 1 if x < good else 0
+    below = lambda x, junk, good: 2 if x < junk else 1 if x > good else 0
+    capital = lambda w: any(65 <= c <= 90 for c in w) and not any(97 <= c <= 122 for c in w) and len(w) > 1
+    return [
+        above(share(lambda w: any(chr(c) in "#*$%&|<>" for c in w)), 0.3, 0.05), above(share(capital), 0.5, 0.1) if n >= 5 else 0, above(share(lambda w: b"!" in w), 0.3, 0.05),
+        above(echo, 0.2, 0.02) if n >= 10 else 0, below(variety, 0.15, 0.35) if n >= 50 else 0, above(repeated, 0.5, 0.3) if len(lines) >= 4 else 0,
+        below(share(lambda w: w.lower().strip(b".,;:!?") in quality.FUNCTION_WORDS), 0.005, 0.05) if n >= 40 else 0, 2 if share(lambda w: len(w) > 40) > 0.1 else 0,
+    ]
+
+
+def test_quality_votes_and_estimation_by_a_plain_version(spark):
+    import math
+
+    docs = [r.text for r in table(spark, SF, "documents").select("text").collect()] + [None, "", "!!! WOW ### " * 40]
+    votes = [plain_votes(t) for t in docs]
+    cache = quality._Words()
+    assert [quality.look((t or "").encode(), cache)[0] for t in docs] == votes
+    counts = {}
+    for v in votes:
+        key = "".join(map(str, v))
+        counts[key] = counts.get(key, 0) + 1
+    posterior, prior, chance = quality.expectation_maximisation(counts)
+    # one vote at a time: the same start, the same steps, sums in loops
+    q = {p: 1 / (1 + math.exp(-(p.count("1") - 1.5 * p.count("2")) - 0.5)) for p in counts}
+    for _ in range(100):
+        weight = {p: (n * (1 - q[p]), n * q[p]) for p, n in counts.items()}
+        own = min(0.99, max(0.01, sum(w[1] for w in weight.values()) / sum(counts.values())))
+        told = [[[1.0 + sum(w[c] for p, w in weight.items() if p[j] == k) for k in "012"] for j in range(8)] for c in (0, 1)]
+        told = [[[x / sum(row) for x in row] for row in side] for side in told]
+        new = {}
+        for p in counts:
+            a, b = (math.log(s) + sum(math.log(told[c][j][int(k)]) for j, k in enumerate(p)) for c, s in ((0, 1 - own), (1, own)))
+            new[p] = 1 / (1 + math.exp(max(-50, min(50, a - b))))
+        moved, q = max(abs(new[p] - q[p]) for p in q), (new if max(abs(new[p] - q[p]) for p in q) >= 1e-9 else q)
+        if moved < 1e-9:
+            break
+    assert max(abs(posterior[p] - q[p]) for p in counts) < 1e-7 and abs(prior - own) < 1e-7
+    assert all(abs(chance[c][j][k] - told[c][j][k]) < 1e-7 for c in (0, 1) for j in range(8) for k in range(3))
+
+
+def test_quality_linear_fit_lowers_the_loss_as_plain_steps_do():
+    import math
+
+    import numpy as np
+
+    rows = [{"index": np.array(i, np.uint16).tobytes(), "value": np.array(v, np.float32).tobytes(), "votes": p} for i, v, p in (([1, 2], [0.5, 0.5], "a"), ([2, 3], [1.0, 0.5], "b"), ([1], [1.0], "a"), ([], [], "b"))]
+    label, prior = {"a": 0.9, "b": 0.2}, 0.6
+    got = quality.fit_linear(rows, label, prior, rounds=40)
+    w, bias, total, bias_total = {1: 0.0, 2: 0.0, 3: 0.0}, math.log(0.6 / 0.4), dict.fromkeys((1, 2, 3), 1e-8), 1e-8
+    data = [({1: 0.5, 2: 0.5}, 0.9), ({2: 1.0, 3: 0.5}, 0.2), ({1: 1.0}, 0.9)]
+    for _ in range(40):
+        grad, g0 = dict.fromkeys(w, 0.0), 0.0
+        for x, y in data:
+            gap = 1 / (1 + math.exp(-(sum(w[k] * v for k, v in x.items()) + bias))) - y
+            g0 += gap
+            for k, v in x.items():
+                grad[k] += gap * v
+        for k in w:
+            g = grad[k] / 3 + 1e-6 * w[k]
+            total[k] += g * g
+            w[k] -= 0.5 * g / math.sqrt(total[k])
+        g = g0 / 3 + 1e-6 * bias
+        bias_total += g * g
+        bias -= 0.5 * g / math.sqrt(bias_total)
+    assert all(abs(got[k] - w[k]) < 1e-6 for k in w) and abs(got[-1] - bias) < 1e-6
+
+
+def test_simhash_edges(spark):
+    same = {r.doc_id: (r.fp, r.component_id) for r in simhash.near_duplicates(odd(spark)).collect()}
+    assert same[2] == same[3] == same[4] == (0, 2) and same[10] == same[None] and same[10][1] == 10
+    assert simhash.near_duplicates(empty(spark)).collect() == []
+    long_ = spark.createDataFrame([(1, "w " * 200_000), (2, None), (3, None)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(long_).collect()} == {1: 1, 2: 2, 3: 2}
