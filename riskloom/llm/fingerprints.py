@@ -134,12 +134,13 @@ def with_next(docs: DataFrame, more: dict | None = None) -> DataFrame:
     tops = dealt.groupBy("piece", "part").agg(top).select(F.col("piece").alias("p"), F.col("part").alias("q"), (-F.col("top.col2")).alias("d"), F.col("top.mark").alias("m"))
     first = (F.col("piece") == F.col("p")) & (F.col("part") == F.col("q")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
     heads = dealt.join(F.broadcast(tops), first, "left_semi").groupBy("piece", "part").agg(F.min(F.struct("text", "doc_id")).alias("h"))
-    heads = heads.select("piece", "part", F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")).select("piece", "part", row.alias("head"))
+    heads = materialize(heads.select("piece", "part", F.col("h.doc_id").alias("doc_id"), F.col("h.text").alias("text")).select("piece", "part", row.alias("head")), "heads")
     ring = Window.orderBy(F.col("piece").desc(), "part")  # a row for each range
     here = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(ring))
     after = heads.select("piece", "part", here("piece").alias("p"), here("part").alias("q"))
     nexts = after.join(heads.select(F.col("piece").alias("p"), F.col("part").alias("q"), "head"), ["p", "q"]).select("piece", "part", "head")
-    ended = placed.join(F.broadcast(nexts), ["piece", "part"], "left")
+    # texts of any size: met by the partitioning that the window has dealt, broadcast only where Spark finds them small
+    ended = placed.join(nexts, ["piece", "part"], "left")
     return ended.select(*made, F.coalesce("following", "head").alias("following"))
 
 
