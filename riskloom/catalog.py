@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("explorer", "ingest", "detection", "baseline", "daily", "training", "sequences", "exports")
+MODULES = ("explorer", "ingest", "detection", "baseline", "learning", "daily", "training", "sequences", "exports")
 
 
 def _gather(what: str) -> dict:

@@ -1,8 +1,7 @@
 """Adaptive baselines of users, role cohorts and hosts, in batch form.
 
 A baseline takes at most one observation of an entity an hour. Whether one is taken depends on the one
-taken before it, but never across a pause of an hour: what follows a pause is always taken. So the
-throttle folds runs between pauses, not an entity's whole history. Observations taken are summed up by
+taken before it: the throttle walks each entity's rows in order. Observations taken are summed up by
 day; only days are folded, so a state costs as many steps as there are days, whatever the traffic.
 
 The day of an entity's last observation is still open: it is not part of the mean. Null features are
@@ -11,6 +10,9 @@ missing, not zero. Of observations at the same time the one with the smallest id
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,22 +58,26 @@ def std_floor(feature: Column, mean: Column, least: float) -> Column:
 
 
 def throttle(df: DataFrame, keys: list[str], at: str = "ts", key: str = "payload_id", seconds: int = 3600) -> DataFrame:
-    """The rows of ``df`` that a baseline takes: the first of each entity, then each ``seconds`` or more after the one taken."""
-    micros = F.unix_micros(F.col(at).cast("timestamp"))
+    """The rows of ``df`` that a baseline takes: the first of each entity, then each ``seconds`` or more after the one taken.
+
+    One pass over rows in order, with the time last taken as the only state: an entity of any size is a stream in its task, never a list.
+    """
+    rows = df.select(F.struct(*keys).alias("__entity"), F.unix_micros(F.col(at).cast("timestamp")).alias("__t"), F.col(key).cast("long").alias(key))
+    rows = rows.where(F.col("__t").isNotNull()).select(F.to_json("__entity", {"ignoreNullFields": "false"}).alias("__entity"), "__t", key)
     pause = seconds * 1_000_000
-    w = Window.partitionBy(*keys).orderBy("__t", key)
-    runs = df.select(*keys, key, micros.alias("__t")).withColumn("__new", F.col("__t") - F.lag("__t").over(w) >= pause)
-    runs = runs.withColumn("__run", F.sum(F.when(F.col("__new"), 1).otherwise(0)).over(w))
-    runs = runs.groupBy(*keys, "__run").agg(F.sort_array(F.collect_list(F.struct("__t", key))).alias("__rows"))
-    none = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("ids"))
-
-    def take(state, row):
-        fits = state["last"].isNull() | (row["__t"] - state["last"] >= pause)
-        after = F.struct(row["__t"].alias("last"), F.concat(state["ids"], F.array(row[key].cast("long"))).alias("ids"))
-        return F.when(fits, after).otherwise(state)
-
-    taken = runs.select(F.explode(F.aggregate("__rows", none, take, lambda s: s["ids"])).alias(key))
-    return df.join(taken, key, "left_semi")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        entity, last = None, 0
+        for b in batches:
+            taken = []
+            for e, t, k in zip(*(b.column(c).to_pylist() for c in ("__entity", "__t", key))):
+                if e != entity or t - last >= pause:
+                    entity, last = e, t
+                    taken.append(k)
+            yield pa.RecordBatch.from_pydict({key: pa.array(taken, pa.int64())})
+
+    ordered = rows.repartition("__entity").sortWithinPartitions("__entity", "__t", key)
+    return df.join(ordered.mapInArrow(walk, f"`{key}` long"), key, "left_semi")
 
 
 def tall(df: DataFrame, keep: list[str], features: list[str]) -> DataFrame:

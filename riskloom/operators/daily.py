@@ -189,3 +189,25 @@ def stability(rows: DataFrame, value: str, edges: list[float], expected: list[fl
         seen = (F.count_if(above & below) + 1e-6) / total
         part = part + (seen - share) * F.log(seen / share)
     return part
+
+
+#: What an analyst can say of a row of the queue.
+TRIAGE = ("needs_investigation", "benign_context", "confirmed_incident", "acknowledged_suppressed")
+
+
+def triage(queue: DataFrame, said: DataFrame, at) -> tuple[DataFrame, DataFrame]:
+    """(queue with the analysts' words put in, audit): ``queue`` as_of, agent_id, analyst_status and others; ``said`` as_of, agent_id, status, note, actor, nth.
+
+    Words on rows that the queue doesn't have change nothing. Of several on one row each is audited, with the status that it found
+    (``nth`` tells their order), and the last stays. A status that is none ends the job. ``at``: when it was said.
+    """
+    checked = F.when(F.col("status").isin(*TRIAGE), F.col("status")).otherwise(F.raise_error(F.concat(F.lit("no analyst status: "), F.coalesce("status", F.lit("null")))))
+    words = said.select("as_of", "agent_id", checked.alias("status"), "note", "actor", "nth")
+    key, held = ["as_of", "agent_id"], queue.select("as_of", "agent_id", F.col("analyst_status").alias("__before"))
+    before = F.lag("status").over(Window.partitionBy(*key).orderBy("nth"))  # a row of the queue has a few words
+    audit = words.withColumn("__lag", before).join(held, key).select(*key, F.coalesce("__lag", "__before").alias("previous_status"), F.col("status").alias("new_status"), F.col("note").alias("analyst_note"), F.col("actor").alias("reviewed_by"), F.lit(at).alias("reviewed_at"), "nth")
+    last = words.groupBy(*key).agg(F.max_by(F.struct("status", "note", "actor"), "nth").alias("__last"))
+    out = queue.join(last, key, "left")
+    heard = F.col("__last").isNotNull()
+    more = {"analyst_status": F.when(heard, F.col("__last.status")).otherwise(F.col("analyst_status")), "analyst_note": F.col("__last.note"), "reviewed_by": F.col("__last.actor"), "reviewed_at": F.when(heard, F.lit(at))}
+    return out.withColumns(more).drop("__last"), audit

@@ -10,6 +10,8 @@ import base64
 import hashlib
 import json
 import re
+import uuid
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 #: Collector names that are searched by more than themselves, and those searched as they are.
 ALIASES = {"device": ("device", "usb"), "usb": ("usb", "device"), "http": ("http", "browser")}
-PLAIN = ("network process file logon keystroke clipboard dns driver lsass persistence registry usn wmi decoy memory").split()
+PLAIN = ("network", "process", "file", "logon", "keystroke", "clipboard", "dns", "driver", "lsass", "persistence", "registry", "usn", "wmi", "decoy", "memory")
 ERRORS = ("error", "failed", "critical", "tampered")
 #: Seconds of a bucket: named intervals, and what a range takes by default.
 INTERVALS = {"1m": 60, "5m": 300, "10m": 600, "15m": 900, "1h": 3600, "2h": 7200, "1d": 86400}
@@ -71,7 +73,9 @@ def within(ts: Column, start=None, end=None, half_open: bool = False) -> Column:
 
 
 def after(order: list[str], values: list) -> Column:
-    """Rows behind a cursor in descending order of ``order``."""
+    """Rows behind a cursor in descending order of ``order``; behind one without a time (None) those with smaller ids, whatever their time."""
+    if values[0] is None:
+        return F.struct(*order[1:]) < F.struct(*(v if isinstance(v, Column) else F.lit(v) for v in values[1:]))
     return F.struct(*order) < F.struct(*(v if isinstance(v, Column) else F.lit(v) for v in values))
 
 
@@ -100,16 +104,34 @@ def encode_cursor(source: str, key: str, ts: str, row_id) -> str:
     return base64.urlsafe_b64encode(json.dumps([1, source, key, ts, row_id]).encode()).decode().rstrip("=")
 
 
-def decode_cursor(cursor: str, source: str, key: str) -> tuple[str, object]:
+def decode_cursor(cursor: str, source: str, key: str) -> tuple[str | None, object]:
+    """Time and id of a cursor of this store and search; anything else is an error: too long, other letters, no time, no id of the store's kind.
+
+    An id is a whole number of 63 bits or, but in ``postgres``, a UUID.
+    """
     try:
-        version, of, filters, ts, row_id = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
-    except (ValueError, TypeError) as e:
-        raise ValueError("not a cursor") from e
-    if (version, of, filters) != (1, source, key):
-        raise ValueError("the cursor belongs to another search")
+        if len(cursor) > MAX_CURSOR:
+            raise ValueError("too long")
+        version, of, filters, ts, row_id = json.loads(base64.b64decode(cursor + "=" * (-len(cursor) % 4), altchars=b"-_", validate=True))
+        if (version, of, filters) != (1, source, key):
+            raise ValueError("of another search")
+        if ts is not None:
+            datetime.fromisoformat(ts.replace("Z", "+00:00"))
+        if source == "postgres" or isinstance(row_id, int):
+            row_id = int(row_id)
+            if not 0 <= row_id < 1 << 63:
+                raise ValueError("no such id")
+        else:
+            row_id = str(uuid.UUID(row_id))
+    except (ValueError, TypeError, AttributeError, OverflowError) as e:
+        raise ValueError("not a cursor of this search: begin with the first page") from e
     return ts, row_id
 
 
+#: Letters of a cursor at most.
+MAX_CURSOR = 1024
+
+
 # -- pages -----------------------------------------------------------------------------------------
 
 
@@ -222,3 +244,14 @@ def risk_around(events: DataFrame, risk: DataFrame, days: int = 2) -> DataFrame:
     newest = "max(case when risk_id is not null then struct(ts, risk_id) end)"
     seen = rows.select("event_id", "agent_id", "ts", F.expr(f"count(risk_id) {span}").alias("risks"), F.expr(f"max(risk_score) {span}").alias("most"), F.expr(f"{newest} {span}")["risk_id"].alias("latest"))
     return seen.where("event_id is not null")
+
+
+def named_risk(risk: DataFrame, agents: DataFrame, name: str, limit: int) -> DataFrame:
+    """The newest ``limit`` rows of ``risk`` whose username, whose agent's hostname in ``agents(agent_id, hostname)``, or whose signals' hostname is ``name``.
+
+    The agents of that name are found first, so the join is with those few, and the three conditions stay one pass over ``risk``.
+    """
+    named = agents.where(F.col("hostname") == name).select(F.col("agent_id").alias("__agent")).distinct()
+    met = risk.join(named, risk["agent_id"] == named["__agent"], "left")
+    mine = (F.col("username") == name) | F.col("__agent").isNotNull() | (F.get_json_object("signals", "$.hostname") == name)
+    return met.where(mine).drop("__agent").orderBy(F.desc("created_at"), F.desc("risk_id")).limit(limit)

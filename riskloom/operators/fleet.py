@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import content as C
 from riskloom.functions.identity import BLANKS
 from riskloom.operators.explorer import latest
+from riskloom.sources.files import shared_folder
 
 
 def clean_host(host: Column) -> Column:
@@ -30,9 +32,11 @@ def presence_counts(hosts: DataFrame) -> DataFrame:
     return hosts.agg(F.count("*").alias("total_pcs"), F.count_if(F.col("status") == "online").alias("online_pcs"), F.count_if(F.col("status") != "online").alias("offline_pcs"))
 
 
-def discover(sources: list[DataFrame]) -> DataFrame:
-    """Agents of all sources(agent_id, hostname, seen_at): the newest host of each, first and last seen."""
+def discover(sources: list[DataFrame], last: DataFrame | None = None) -> DataFrame:
+    """Agents of all sources(agent_id, hostname, seen_at): the newest host of each, first and last seen. ``last`` is looked at only if the others have nobody."""
     every = reduce(lambda a, b: a.unionByName(b), sources).where("agent_id is not null")
+    if last is not None and not every.limit(1).count():
+        every = last.where("agent_id is not null")
     return every.groupBy(F.lower("agent_id").alias("key")).agg(
         F.max("agent_id").alias("agent_id"), F.max_by("hostname", F.struct("seen_at", "hostname")).alias("hostname"), F.min("seen_at").alias("first_seen_at"), F.max("seen_at").alias("last_seen_at")
     ).drop("key")
@@ -59,3 +63,24 @@ def risk_counts(agents: DataFrame, risk: DataFrame, as_of: Column, test_agents:
     hosts = normal.withColumn("h", F.lower("hostname")).join(only, "h", "left_anti").groupBy("h").agg(F.min("agent_id").alias("agent_id"))
     met = hosts.join(newest.select("agent_id", "active_risk_level"), "agent_id", "left")
     return met.groupBy(F.coalesce("active_risk_level", F.lit("LOW")).alias("level")).agg(F.count("*").alias("hosts"))
+
+
+def nearest_rank(rows: DataFrame, by: str, value: str, shares: tuple[float, ...]) -> DataFrame:
+    """(by, p50, ...): of each group the value at place int(n q) (the last at most) of its values in order.
+
+    Equal values are counted first. Ranges of (group, value) are dealt to tasks, whose totals (a row a range and group) say where a range begins,
+    so a group of any number of different values is many tasks' work. Null values have no place.
+    """
+    counted = rows.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("__c"))
+    dealt = counted.repartitionByRange(by, value).withColumn("__part", F.spark_partition_id())
+    path = f"{shared_folder(rows.sparkSession)}/ranks-{uuid.uuid4().hex[:12]}"  # ranges must not move between the two readings
+    dealt.write.parquet(path)
+    dealt = rows.sparkSession.read.schema(dealt.schema).parquet(path)
+    parts = dealt.groupBy(by, "__part").agg(F.sum("__c").alias("__rows"))
+    group = Window.partitionBy(by)
+    parts = parts.select(F.col(by).alias("__by"), F.col("__part").alias("__of"), F.sum("__rows").over(group.orderBy("__part")).alias("__upto"), F.sum("__rows").over(group).alias("__n"), "__rows")
+    met = dealt.join(F.broadcast(parts), F.col(by).eqNullSafe(F.col("__by")) & (F.col("__part") == F.col("__of")))
+    upto = F.sum("__c").over(Window.partitionBy("__part", by).orderBy(value)) + F.col("__upto") - F.col("__rows")
+    ranked = met.withColumn("__to", upto)
+    place = lambda q: F.least(F.col("__n") - 1, F.floor(F.col("__n") * q))
+    return ranked.groupBy(by).agg(*(F.min(F.when(F.col("__to") > place(q), F.col(value))).alias(f"p{int(q * 100)}") for q in shares))

@@ -118,7 +118,8 @@ def stages(df: DataFrame) -> DataFrame:
 
 def kill_chain(df: DataFrame) -> DataFrame:
     """``chain_floor``: an earlier stage and a new one, two kinds or more, within four hours."""
-    df = df.withColumn("past_stages", F.array_distinct(F.flatten(over_history("collect_list(kept_stages)"))))
+    seen = [F.when(over_history(f"max(array_contains(kept_stages, '{s}'))"), F.lit(s)) for s in STAGES]  # five flags over one frame
+    df = df.withColumn("past_stages", F.array_compact(F.array(*seen)))
     new, union = F.size(F.array_except("stages", "past_stages")), F.size(F.array_union("stages", "past_stages"))
     moves = (F.size("past_stages") > 0) & (new > 0) & (union >= 2)
     return df.withColumn("chain_floor", F.when(moves & (union >= 3), 95.0).when(moves, 85.0).otherwise(0.0))

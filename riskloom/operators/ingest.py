@@ -6,10 +6,13 @@ status, payload, error), and ``summary`` (collector_count, success_count, failed
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from riskloom.functions import content as C
 from riskloom.functions.identity import observation_id, uuid5
@@ -148,24 +151,95 @@ def deletions(features: Column) -> Column:
     return F.when(~own & (F.size(ops) > 0), gone)
 
 
+def numeric(text: Column) -> Column:
+    """A number, or a time of day 'HH:MM' as hours; what is neither counts as 0."""
+    clock = F.regexp_extract(F.trim(text), "^(\\d{1,2}):(\\d{2})$", 1)
+    minute = F.regexp_extract(F.trim(text), "^(\\d{1,2}):(\\d{2})$", 2)
+    number = F.trim(text).try_cast("double")
+    return F.coalesce(F.when(number.isNotNull() & ~F.isnan(number), number), F.when(clock != "", clock.cast("double") + minute.cast("double") / 60.0), F.lit(0.0))
+
+
+#: The counts that accesses are made of where none are counted themselves, each with its other name.
+ACCESSES = (("daily_file_open_count", "file_open_count"), ("daily_file_write_count", "file_write_count"), ("daily_file_delete_count", "file_delete_count"))
+
+
+def derived(features: Column) -> Column:
+    """A map of features with aliases filled, deletions counted, and accesses made of opened, written and deleted files where it counts none."""
+    filled = fill_aliases(features)
+    gone = deletions(filled)
+    filled = F.when(gone.isNotNull(), F.map_concat(filled, F.create_map(F.lit("file_delete_count"), gone.cast("string")))).otherwise(filled)
+    has = lambda m, *names: F.exists(F.array(*map(F.lit, names)), lambda n: F.map_contains_key(m, n))
+    parts = [F.when(F.map_contains_key(filled, a), numeric(filled[a])).when(F.map_contains_key(filled, b), numeric(filled[b])).otherwise(0.0) for a, b in ACCESSES]
+    made = F.map_concat(filled, F.create_map(F.lit("file_access_count"), (parts[0] + parts[1] + parts[2]).cast("string")))
+    return F.when(~has(filled, "file_access_count") & has(filled, *(n for pair in ACCESSES for n in pair)), made).otherwise(filled)
+
+
 # -- interceptors, routes --------------------------------------------------------------------------
 
 
 class Interceptors:
-    """Ordered steps over snapshots' rows. A step that is required ends the job if it can't be applied; others are left out."""
+    """Ordered steps over snapshots' rows: of tables (``apply``: one that is required ends the job if it can't be planned, others are left out) and of bodies (``examine``)."""
 
     def __init__(self) -> None:
-        self.steps: list[tuple[int, str, bool, Callable[[DataFrame], DataFrame]]] = []
+        self.steps: list[tuple[int, str, bool, Callable, bool]] = []
+
+    def register(self, order: int, name: str, required: bool = False, rowwise: bool = False):
+        """A step over the table; one of equal name takes the other's place."""
 
-    def register(self, order: int, name: str, required: bool = False):
         def add(f):
-            self.steps = sorted([*(s for s in self.steps if s[1] != name), (order, name, required, f)], key=lambda s: s[:2])
+            self.steps = sorted([*(s for s in self.steps if s[1] != name), (order, name, required, f, rowwise)], key=lambda s: s[:2])
             return f
 
         return add
 
+    def register_rows(self, order: int, name: str, required: bool = False):
+        """A step over one body: a function of a dict that gives a dict, or None to drop the row."""
+        return self.register(order, name, required, rowwise=True)
+
+    def examine(self, rows: DataFrame, body: str = "payload") -> DataFrame:
+        """``rows`` with bodies as the row-wise steps leave them, ``dropped_by`` (the step that dropped it) and ``failed_in``, ``failure`` (the step that raised, and what).
+
+        A step that raises leaves the body as it was and ends the row's way; if it is required the job ends, so nothing unsanitised is written.
+        A body that is no JSON object fails in the first step. Rows go through all steps in one pass; in Arrow batches, since steps are the caller's Python.
+        """
+        steps = [(name, required, f) for _, name, required, f, rowwise in self.steps if rowwise]
+
+        def one(text):
+            name = None
+            try:
+                value = json.loads(text) if steps and text is not None else None
+                for name, required, f in steps if value is not None else ():
+                    try:
+                        value = f(value)
+                    except Exception as e:
+                        if required:
+                            raise RuntimeError(f"required interceptor {name} failed: {e}") from e
+                        return text, None, name, f"{type(e).__name__}: {e}"
+                    if value is None:
+                        return text, name, None, None
+                return (text if value is None else json.dumps(value, separators=(",", ":"), ensure_ascii=False)), None, None, None
+            except ValueError as e:
+                if steps and steps[0][1]:
+                    raise RuntimeError(f"required interceptor {steps[0][0]} failed: {e}") from e
+                return text, None, steps[0][0] if steps else None, f"{type(e).__name__}: {e}"
+
+        def task(batches):
+            for b in batches:
+                done = [one(t) for t in b[body]]
+                yield b.assign(**{body: [d[0] for d in done], "dropped_by": [d[1] for d in done], "failed_in": [d[2] for d in done], "failure": [d[3] for d in done]})
+
+        fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+        return rows.mapInPandas(task, f"{fields}, dropped_by string, failed_in string, failure string")
+
+    @staticmethod
+    def split(examined: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows that go on, dead letters with the step's name and what it said)."""
+        return examined.where("dropped_by is null and failed_in is null").drop("dropped_by", "failed_in", "failure"), examined.where("failed_in is not null").drop("dropped_by")
+
     def apply(self, rows: DataFrame) -> DataFrame:
-        for _, name, required, step in self.steps:
+        for _, name, required, step, rowwise in self.steps:
+            if rowwise:
+                continue
             try:
                 rows = step(rows)
             except Exception as e:
@@ -207,3 +281,96 @@ def tamper_rows(rows: DataFrame) -> DataFrame:
     key = F.when(F.col("n") > 0, F.concat(stem, F.lit(":"), F.col("n").cast("string"))).otherwise(stem)
     said = F.concat(F.lit("Agent Tamper Alert: Forced termination or tampering detected on "), F.col("hostname"), F.lit("."))
     return bad.select(uuid5(key).alias("id"), "payload_id", F.lit(100.0).alias("risk_score"), C.level(F.lit(100.0)).alias("risk_level"), said.alias("summary"), F.col("ts").alias("created_at"))
+
+
+# -- columns that the data has ----------------------------------------------------------------------
+
+#: Columns of a dynamic export at most.
+COLUMNS = 10_000
+
+
+def discovered(rows: DataFrame, values: str, most: int = COLUMNS) -> dict[str, bool]:
+    """The keys of a column of maps, in order, and whether all of a key's values are numbers: one pass, a row a key, at most ``most`` or an error."""
+    pairs = rows.select(F.explode(values).alias("key", "value")).groupBy("key").agg(F.bool_and(F.coalesce("value", F.lit("0")).try_cast("double").isNotNull()).alias("numeric"))
+    found = pairs.limit(most + 1).collect()
+    if len(found) > most:
+        raise ValueError(f"more than {most} different columns")
+    return {r.key: r.numeric for r in sorted(found, key=lambda r: r.key)}
+
+
+def dataset(rows: DataFrame, keep: list[str], body: str = "body", most: int = COLUMNS) -> DataFrame:
+    """``keep`` and a column of text for every leaf that any body has, named by its path, '' where a body lacks it; columns in order of their names.
+
+    A leaf named like a column of ``keep`` (in any case) comes with ``feature_`` before its name.
+    """
+    flat = rows.select(*keep, C.flatten(body).alias("__flat"))
+    taken = {k.lower() for k in keep}
+    named = {k: k if k.lower() not in taken else f"feature_{k}" for k in discovered(flat, "__flat", most)}
+    return flat.select(*keep, *(F.coalesce(F.element_at("__flat", F.lit(k)), F.lit("")).alias(n) for k, n in named.items()))
+
+
+def matrix(rows: DataFrame, keep: list[str], parameters: str = "parameters", most: int = COLUMNS) -> DataFrame:
+    """``keep`` and a column for every key of a map of text: numbers where all its values are (missing: 0.0), else text (missing: '0.0', a number as it prints)."""
+    taken = {k.lower() for k in keep}
+    out = []
+    for k, numeric in discovered(rows, parameters, most).items():
+        v = F.element_at(parameters, F.lit(k))
+        number = F.coalesce(v.try_cast("double"), F.when(v.isNull(), F.lit(0.0)))
+        out.append((number if numeric else F.coalesce(number.cast("string"), v)).alias(k if k.lower() not in taken else f"feature_{k}"))
+    return rows.select(*keep, *out)
+
+
+def keystroke_export(rows: DataFrame, figures: list[str], body: str = "payload", features: str = "features") -> DataFrame:
+    """``rows`` with each figure as text, of the body, else of the features, else '' (zero, false and empty count as none), and the timings as JSON, [] without any."""
+    there = lambda c: F.when(~F.coalesce(c.isin("", "false") | (c.try_cast("double") == 0), F.lit(True)), c)
+    pick = lambda name: F.coalesce(there(F.get_json_object(body, f"$.{name}")), there(F.get_json_object(features, f"$.{name}")), F.lit(""))
+    return rows.withColumns({n: pick(n) for n in figures} | {"keystroke_timings": F.coalesce(F.get_json_object(body, "$.keystroke_timings"), F.lit("[]"))})
+
+
+#: Names that a snapshot has for itself, not for what it measured.
+OWN = ("collectors", "payload_id", "agent_id", "hostname", "username", "collected_at")
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.StringType()))
+def parameters(body: pd.Series) -> pd.Series:
+    """What a model is trained on, from a snapshot's JSON: the entries of its successful collectors' bodies, of objects in them and of objects in those; the first of a name wins.
+
+    A snapshot without collectors gives its own fields. Values are text: numbers as JSON has them, true and false, lists and deeper objects as JSON; nulls
+    are left out. Null for what is no JSON object. In Arrow batches, since the first of a name is told by the order in which the JSON has them.
+    """
+
+    def put(found, name, value):
+        if value is not None:
+            found.setdefault(name, value if isinstance(value, str) else json.dumps(value, separators=(",", ":"), ensure_ascii=False))
+
+    def one(text):
+        try:
+            snapshot = json.loads(text) if text is not None else None
+        except ValueError:
+            return None
+        if not isinstance(snapshot, dict):
+            return None
+        found: dict[str, str] = {}
+        results = snapshot.get("collectors")
+        if not results:
+            for name, value in snapshot.items():
+                if name not in OWN:
+                    put(found, name, value)
+        for result in results if isinstance(results, list) else ():
+            if not isinstance(result, dict) or result.get("status") != "success" or not isinstance(result.get("payload"), dict):
+                continue
+            for name, value in result["payload"].items():
+                for inner, deeper in value.items() if isinstance(value, dict) else ((name, value),):
+                    for last, entry in deeper.items() if isinstance(value, dict) and isinstance(deeper, dict) else ((inner, deeper),):
+                        put(found, last, entry)
+        return found
+
+    return body.map(one)
+
+
+def newest_vectors(features: DataFrame, days: int = 16, rows_a_day: int = 128, ts: str = "ts", key: str = "event_id") -> DataFrame:
+    """(day, vector) of the newest ``days`` days among the newest ``days`` x ``rows_a_day`` rows of one user's or host's features; of a day's rows of one name the oldest counts."""
+    newest = features.where(F.col(ts).isNotNull()).orderBy(F.desc(ts), F.desc(key), "feature_name").limit(days * rows_a_day)
+    told = newest.groupBy(F.to_date(ts).alias("day"), "feature_name").agg(F.min_by(feature_value(), F.struct(ts, key)).alias("v"))
+    whole = told.groupBy("day").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature_name", "v")))).alias("vector"))
+    return whole.orderBy(F.desc("day")).limit(days)

@@ -26,8 +26,17 @@ BUILD_TOOLS = (
     "git.exe", "cargo.exe", "rustc.exe", "msbuild.exe", "cl.exe", "javac.exe", "npm.cmd", "node.exe", "yarn.cmd", "pnpm.cmd",
     "docker.exe", "dockerd.exe", "mvn.cmd", "gradlew.bat", "python.exe", "pytest.exe", "go.exe", "code.exe",
 )
-QUIET_FOLDERS = ("node_modules", "\\.git", "target", "build", "dist", "\\.m2", "\\.cargo", "\\.cache", "AppData[\\\\/]Local[\\\\/]Temp")
-QUIET_PATHS = "(?i)[\\\\/](" + "|".join(QUIET_FOLDERS) + ")[\\\\/]"
+QUIET_PATHS = (
+    r"[\\/]node_modules[\\/]",
+    r"[\\/]\.git[\\/]",
+    r"[\\/]target[\\/]",
+    r"[\\/]build[\\/]",
+    r"[\\/]dist[\\/]",
+    r"[\\/]\.m2[\\/]",
+    r"[\\/]\.cargo[\\/]",
+    r"[\\/]\.cache[\\/]",
+    r"[\\/]AppData[\\/]Local[\\/]Temp[\\/]",
+)
 #: Which detections weaken each other as one group; any other is a group of its own.
 GROUPS = {
     "FILE_EXFIL_GROUP": ("Bulk File Collection", "Broad File Collection", "Sensitive File Collection"),
@@ -142,7 +151,7 @@ def detections(df: DataFrame) -> DataFrame:
     """
     f = Features(df)
     profile, tool = F.upper(f.text("system_profile", "user_role")), F.lower(f.text("process_name", "active_process")).isin(*BUILD_TOOLS)
-    quiet = F.when(f.text("target_path", "file_path").rlike(QUIET_PATHS), 0.25).otherwise(1.0)
+    quiet = F.when(f.text("target_path", "file_path").rlike("(?i)" + "|".join(QUIET_PATHS)), 0.25).otherwise(1.0)
     places = {d: F.col(f"__of_{d}") for d in ("FILE", "HTTP", "LOGON", "DEVICE")}
     shared = df.withColumns({"__profile": profile, "__tool": tool, "__quiet": quiet}).withColumns({f"__of_{d}": _sensitivity(F.col("__profile"), i) for i, d in enumerate(places)})
     found = []

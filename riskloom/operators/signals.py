@@ -12,9 +12,11 @@ from riskloom.operators.rules import Features
 
 #: Words that place a deviation in a domain, in order.
 Z_DOMAINS = (
-    ("logon", "auth logon workstation pc session after_hours"), ("file", "file filename delete sensitive"),
-    ("network", "http domain upload sent network sharing traffic"), ("device", "usb device removable drive"),
-)
+    ("logon", ("auth", "logon", "workstation", "pc", "session", "after_hours")),
+    ("file", ("file", "filename", "delete", "sensitive")),
+    ("network", ("http", "domain", "upload", "sent", "network", "sharing", "traffic")),
+    ("device", ("usb", "device", "removable", "drive")),
+)
 EXPECTED = 2.0
 #: Columns that ``auth_burst`` makes on its way, each from those before it: the plan holds each once.
 _STEPS = ("ratio", "epm", "good", "failed", "total", "share")
@@ -59,7 +61,7 @@ def auth_burst(df: DataFrame, deviations: dict[str, Column] | None = None) -> Da
 
 
 def z_domain(name: str) -> str:
-    return next((d for d, words in Z_DOMAINS if any(w in name.lower() for w in words.split())), "other")
+    return next((d for d, words in Z_DOMAINS if any(w in name.lower() for w in words)), "other")
 
 
 def calibrated(z: Column, threshold: float = 8.0) -> Column:

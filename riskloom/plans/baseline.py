@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.identity import role_of, truthy
 from riskloom.operators import baseline as B
-from riskloom.operators import learning as L
 from riskloom.plans import detection
 from riskloom.plans.registry import Registry
 from riskloom.sources.views import AS_OF_DAY, features, with_sql
@@ -190,29 +189,3 @@ def baseline_host_gated(spark, sf_dir):
     flags = [truthy(F.col(c)) for c in ("credential_dumping_suspected", "threat_triggered")]
     calm = _scored(spark, sf_dir).where(B.teaches_host(F.col("risk_score"), F.col("burst"), flags))
     return _rounded(B.bounded_average(B.throttle(calm, ["agent_id"]), "agent_id", HOST))
-
-
-# -- scores against what earlier snapshots left ----------------------------------------------------
-
-
-def _arrivals(spark, sf_dir):
-    """Snapshots in the order in which they came: by their number, while an eighth of them was seen an hour or a day and a half before."""
-    seen = _seen(spark, sf_dir)
-    back = F.expr("case payload_id % 16 when 3 then interval 1 hours when 11 then interval 36 hours else interval 0 hours end")
-    return seen.withColumns({"arrived": F.col("ts"), "ts": F.col("ts") - back})
-
-
-@R.query("learned_risk")
-def learned_risk(spark, sf_dir):
-    """Every snapshot's risk against the baselines that the calm ones before it have taught, and how far its user's and host's values lie from them."""
-    scored, _, _ = L.learn(_arrivals(spark, sf_dir), detection.scored_against)
-    return scored.select("payload_id", "username", "agent_id", F.round("risk_score", 6).alias("risk_score"), "risk_level", "burst", *(F.round(c, 6).alias(c) for c in scored.columns if c.startswith(("z_", "host_z_"))))
-
-
-@R.query("learned_baselines")
-def learned_baselines(spark, sf_dir):
-    """What users, cohorts and hosts have learnt after all snapshots: mean, deviation and merged days of each feature."""
-    _, states, _ = L.learn(_arrivals(spark, sf_dir), detection.scored_against)
-    held = F.from_json("state", "mean map<string,double>, std map<string,double>, samples map<string,long>, taken long")
-    rows = states.select("kind", "entity", held.alias("s")).select("kind", "entity", F.col("s.taken").alias("taken"), F.explode("s.mean").alias("feature", "mean"), "s.std", "s.samples")
-    return rows.select("kind", "entity", "feature", F.round("mean", 6).alias("mean"), F.round(F.col("std")[F.col("feature")], 6).alias("std"), F.col("samples")[F.col("feature")].alias("samples"), "taken")

@@ -318,6 +318,19 @@ def triage_update(spark, sf_dir):
     return met.select("hostname", "review_date", "previous_status", F.coalesce("decision", "previous_status").alias("analyst_status"), F.col("decision").isNotNull().alias("changed"))
 
 
+@R.query("triage_audit", _WITH + f"""select agent_id, review_date as as_of, n, case when n = 0 then 'new' else 'needs_investigation' end as previous_status, case when n = 1 then 'benign_context' when s % 4 = 1 then 'needs_investigation' else 'confirmed_incident' end as new_status
+  from hd, range(2) t(n) where threat >= {D.THREAT_CUTOFF} and ((n = 0 and s % 4 in (0, 1)) or (n = 1 and s % 4 = 1))""")
+def triage_audit(spark, sf_dir):
+    """What analysts said of the queue, a row each, with the status that it changed."""
+    days = host_days(spark, sf_dir).select("agent_id", F.col("review_date").alias("as_of"), "s", "threat")
+    queue = days.where(F.col("threat") >= D.THREAT_CUTOFF).select("agent_id", "as_of", F.lit("new").alias("analyst_status"), "s")
+    word = lambda status, nth: F.struct(F.lit(status).alias("status"), F.lit(nth).cast("long").alias("nth"))
+    words = F.when(F.expr("s % 4 = 0"), F.array(word("confirmed_incident", 0))).when(F.expr("s % 4 = 1"), F.array(word("needs_investigation", 0), word("benign_context", 1)))
+    said = days.where("s % 4 < 2").select("as_of", "agent_id", F.lit("seen").alias("note"), F.lit("ann").alias("actor"), F.inline(words))
+    _, audit = D.triage(queue, said, AS_OF_DAY)
+    return audit.select("agent_id", "as_of", F.col("nth").alias("n"), "previous_status", "new_status")
+
+
 @R.query("queue_feedback", _WITH + f""", q as (select hostname, review_date, threat, s, row_number() over (partition by review_date order by threat desc, hostname) as rank from hd)
 select n.rank, n.hostname, case when o.s % 3 = 0 then 'confirmed' else 'new' end as analyst_status from q n left join q o on o.hostname = n.hostname and o.review_date = {_AS_OF} - 1 and o.rank <= 20 where n.review_date = {_AS_OF} and n.rank <= 20""")
 def queue_feedback(spark, sf_dir):

@@ -221,6 +221,14 @@ def risk_with_agents(spark, sf_dir):
 _MINE = "username = 'user-9' or hostname = 'HOST-9' or (signals->>'$.hostname') = 'HOST-9'"
 
 
+@R.query("host_risk_scores", f"""{with_sql('obs', 'risk')}, a as (select agent_id, 'PC ' || max(hostname) as name from obs group by 1)
+  select risk_id, risk_score, created_at from risk left join a using (agent_id) where username = 'PC HOST-9' or a.name = 'PC HOST-9' or (signals->>'$.hostname') = 'PC HOST-9' order by created_at desc, risk_id desc limit 30""")
+def host_risk_scores(spark, sf_dir):
+    """The newest thirty of whom a name means: a user, an agent's host in the list of agents, or a host that the signals name."""
+    agents = observations(spark, sf_dir).groupBy("agent_id").agg(F.concat(F.lit("PC "), F.max("hostname")).alias("hostname"))
+    return X.named_risk(risk_events(spark, sf_dir), agents, "PC HOST-9", 30).select("risk_id", "risk_score", "created_at")
+
+
 @R.query("user_risk_scores", f"""{with_sql('risk')}, newest as (select risk_id, risk_score, created_at from risk where {_MINE} order by created_at desc, risk_id desc limit 30)
   select risk_id, risk_score, created_at, row_number() over (order by created_at, risk_id) as pos from newest""")
 def user_risk_scores(spark, sf_dir):

@@ -343,14 +343,16 @@ def export_training(spark, sf_dir):
     return b.select(F.col("username").alias("user"), F.col("ts").alias("collected_at"), parameters.alias("parameters"), F.col("body").alias("raw_logs"), F.col("event_id").alias("id"))
 
 
-@R.query("export_keystrokes", f"""{with_sql('obs')} select event_id, username, coalesce(nullif((k % 4) * 1.5, 0)::varchar, nullif(k % 3, 0)::varchar, '') as mean_dwell from obs where collector = 'logon'""")
+_KEYS = {"mean_flight_time_ms": ("k % 5", "k % 7"), "std_flight_time_ms": ("k % 4", "k % 3"), "mean_dwell_time_ms": ("k % 4", "k % 3"), "std_dwell_time_ms": ("k % 2", "0"), "typing_speed_cpm": ("k", "k + 1"), "backspace_ratio": ("k % 6", "k % 2")}
+
+
+@R.query("export_keystrokes", f"""{with_sql('obs')} select event_id, username, hostname, agent_id, ts as collected_at, {', '.join(f"coalesce(nullif(({own}), 0)::varchar, nullif(({other}), 0)::varchar, '') as {n}" for n, (own, other) in _KEYS.items())},
+  case when k % 3 = 0 then '[]' else '[[' || k || ',5],[7,' || k || ']]' end as keystroke_timings from obs where collector = 'logon'""")
 def export_keystrokes(spark, sf_dir):
-    """A value of the body, else of the features; zero counts as none."""
-    own, other = F.expr("cast((k % 4) * 1.5BD as string)"), F.expr("cast(k % 3 as string)")
-    body = F.concat(F.lit('{"mean_dwell_time_ms":'), own, F.lit("}"))
-    pick = lambda c: F.when(F.get_json_object(c, "$.mean_dwell_time_ms").cast("double") != 0, F.get_json_object(c, "$.mean_dwell_time_ms"))
-    more = F.concat(F.lit('{"mean_dwell_time_ms":'), other, F.lit("}"))
-    return observations(spark, sf_dir).where("collector = 'logon'").select("event_id", "username", F.coalesce(pick(body), pick(more), F.lit("")).alias("mean_dwell"))
+    """The eleven columns of keystrokes: each figure of the body, else of the features; zero counts as none."""
+    json_ = lambda i: F.to_json(F.struct(*(F.expr(x[i]).alias(n) for n, x in _KEYS.items()), *([F.when(F.col("k") % 3 != 0, F.expr("array(array(k, 5L), array(7L, k))")).alias("keystroke_timings")] if i == 0 else [])))
+    rows = observations(spark, sf_dir).where("collector = 'logon'").withColumns({"payload": json_(0), "features": json_(1)})
+    return I.keystroke_export(rows, list(_KEYS)).select("event_id", "username", "hostname", "agent_id", F.col("ts").alias("collected_at"), *_KEYS, "keystroke_timings")
 
 
 @R.query("collector_dataset", f"""{with_sql('bodies')} select event_id, username, 't' as token, k::varchar as bytes_written, 'd' || (k % 3) as label, '' as empty, (k % 2) || ';7' as slots from bodies where collector = 'device'""")
@@ -370,6 +372,70 @@ def flatten_recursive(spark, sf_dir):
     return bodies(spark, sf_dir).select("event_id", F.explode(C.flatten("body")).alias("name", "value"))
 
 
+_LEAVES = {
+    "bytes_written": ("device", "k::varchar"), "command_line": ("process", "'run --password=s' || k || ' x'"), "empty": ("device", "''"), "file_access_count": ("file", "k::varchar"), "flag": ("file", "case when k % 2 = 0 then 'True' else 'False' end"),
+    "host": ("http", "'h' || (k % 9) || '.example'"), "label": ("device", "'d' || (k % 3)"), "logon_count": ("logon", "(k % 8)::varchar"), "logon_type": ("logon", "case when k % 2 = 0 then '' else 'remote' end"),
+    "method": ("http", "case when k % 3 = 0 then '' else 'GET' end"), "nest_a": ("file", "(k % 5)::varchar"), "nest_b": ("file", "'1;2'"), "path": ("file", "case when k % 4 = 0 then '' else '/d/' || k end"),
+    "pid": ("process", "k::varchar"), "port": ("http", "(k % 4)::varchar"), "ppid": ("process", "'4'"), "process_name": ("process", "case when k % 5 = 0 then '' else 'p' || (k % 7) || '.exe' end"),
+    "slots": ("device", "(k % 2) || ';7'"), "token": ("device", "'t'"), "upload_count": ("http", "(k % 6)::varchar"), "user": ("logon", "'u' || (k % 11)"),
+}
+
+
+@R.query("collector_datasets", f"""{with_sql('bodies')} select event_id, ts, username, status, {', '.join(f"case when collector = '{c}' then {v} else '' end as {name}" for name, (c, v) in _LEAVES.items())} from bodies""")
+def collector_datasets(spark, sf_dir):
+    """All observations with a column for every leaf that any of their bodies has."""
+    return I.dataset(bodies(spark, sf_dir), ["event_id", "ts", "username", "status"])
+
+
+@R.query("parameter_matrix", f"""{with_sql('bodies')} select event_id, username, {', '.join(f"case when collector = '{c}' then {'coalesce(nullif(' + v + ", '')::double, 0.0)" if name in ('bytes_written', 'file_access_count', 'logon_count', 'nest_a', 'pid', 'port', 'ppid', 'upload_count') else v} else {"0.0" if name in ('bytes_written', 'file_access_count', 'logon_count', 'nest_a', 'pid', 'port', 'ppid', 'upload_count') else "'0.0'"} end as {name}" for name, (c, v) in _LEAVES.items())} from bodies""")
+def parameter_matrix(spark, sf_dir):
+    """The same as a matrix for training: numbers where a column has only numbers, missing ones zero."""
+    return I.matrix(bodies(spark, sf_dir).select("event_id", "username", C.flatten("body").alias("parameters")), ["event_id", "username"])
+
+
+_STEPS = I.Interceptors()
+
+
+@_STEPS.register_rows(10, "no_tests")
+def _no_tests(body):
+    return None if body.get("logon_type") == "remote" and body.get("logon_count") == 7 else body
+
+
+@_STEPS.register_rows(20, "port_names")
+def _port_names(body):
+    return body | {"port": ("http", "https", "ssh")[body["port"]]} if "port" in body else body
+
+
+@R.query("intercepted", f"""{with_sql('bodies')} select event_id, case when collector = 'logon' and k % 2 = 1 and k % 8 = 7 then 'no_tests' end as dropped_by, case when collector = 'http' and k % 4 = 3 then 'port_names' end as failed_in from bodies""")
+def intercepted(spark, sf_dir):
+    """Steps of one's own over bodies: one drops rows, one fails on a few, which become dead letters with its name."""
+    return _STEPS.examine(bodies(spark, sf_dir).select("event_id", "body"), "body").select("event_id", "dropped_by", "failed_in")
+
+
+_FLAT = {n: v for n, v in _LEAVES.items() if n not in ("empty", "slots", "nest_a", "nest_b")} | {"slots": ("device", "'[' || (k % 2) || ',7]'"), "a": ("file", "(k % 5)::varchar"), "b": ("file", "'[1,2]'")}
+_NULLED = {"process_name": "case when k % 5 <> 0 then 'p' || (k % 7) || '.exe' end", "method": "case when k % 3 <> 0 then 'GET' end", "logon_type": "case when k % 2 <> 0 then 'remote' end", "flag": "case when k % 2 = 0 then 'true' else 'false' end"}
+
+
+@R.query("training_parameters", f"""{with_sql('bodies')}, s as (select payload_id, {', '.join(f"arg_min({_NULLED.get(n, v)}, event_id) filter (collector = '{c}' and status = 'success' and ({_NULLED.get(n, v)}) is not null) as {n}" for n, (c, v) in _FLAT.items())} from bodies group by 1)
+select payload_id, p[1] as name, p[2] as value from (select payload_id, unnest([{', '.join(f"('{n}', {n})" for n in _FLAT)}]) as p from s) where p[2] is not null""")
+def training_parameters(spark, sf_dir):
+    """What a model would be trained on, of each snapshot: the leaves of its successful collectors to two levels, the first of a name."""
+    b = bodies(spark, sf_dir)
+    one = F.concat(F.lit('{"status":"'), F.col("status"), F.lit('","payload":'), F.col("body"), F.lit("}"))
+    s = b.groupBy("payload_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("event_id", one.alias("j")))), lambda x: x["j"]), ",").alias("c"))
+    return s.select("payload_id", F.explode(I.parameters(F.concat(F.lit('{"collectors":['), F.col("c"), F.lit("]}")))).alias("name", "value"))
+
+
+@R.query("user_vectors", f"""{_FEATS}, n as (select o.event_id, o.ts, f.feature_name, coalesce(feature_number::varchar, feature_text, feature_json) as v, row_number() over (order by ts desc, o.event_id desc, feature_name) as place
+  from f join obs o using (event_id) where o.username = 'user-7'), d as (select ts::date as day, feature_name, arg_min(v, (ts, event_id)) as v from n where place <= 2048 group by 1, 2)
+select day, string_agg(feature_name || '=' || v, ',' order by feature_name) as vector from d group by 1 qualify row_number() over (order by day desc) <= 16""")
+def user_vectors(spark, sf_dir):
+    """A user's newest days as vectors of what their newest rows say."""
+    rows = bodies(spark, sf_dir).where("status = 'success' and username = 'user-7'").select("event_id", "ts", "body")
+    shown = F.array_join(F.transform(F.map_entries("vector"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return I.newest_vectors(I.explode_features(rows, "body")).select("day", shown.alias("vector"))
+
+
 @R.query("unwrap_user", f"""{with_sql('obs')} select event_id, case when event_id % 2 = 0 then '{{"logon_count":' || k || '}}' else '{{"logon_count":7}}' end as body from obs""")
 def unwrap_user(spark, sf_dir):
     body = F.expr("""'{"DWM-1":{"logon_count":0},"someone":{"logon_count":7},"' || case when event_id % 2 = 0 then username else 'x9' end || '":{"logon_count":' || k || '}}'""")
@@ -387,6 +453,24 @@ def scoring_features(spark, sf_dir):
     return f.select("payload_id", F.col("f")["k"].alias("k"), F.col("f")["flag"].alias("flag"), "n_last", F.col("f")["daily_device_connect_count"].cast("long").alias("aliased"))
 
 
+@R.query("derived_features", f"""{with_sql('obs')}, m as (select event_id, k % 3 as a, k % 4 as b, k % 5 as c, k from obs),
+d as (select *, case when c = 1 then null when c = 2 then 4 else (case when k % 2 = 0 then 1 else 0 end) + 1 end as dels from m)
+select event_id, case when c = 1 then null else dels::double end as deleted, case when a = 0 then 9.5::double when b = 0 and c = 1 then null else (case when b = 0 then 0.0 when b = 1 then k + 1.0 else 2.5 end) + coalesce(dels, 0) end as accessed from d""")
+def derived_features(spark, sf_dir):
+    """Deletions counted from sampled operations and accesses put together, where a snapshot counts neither itself."""
+    k = F.col("k")
+    text = lambda x: F.expr(x).cast("string")
+    pairs = F.array(
+        F.when(k % 3 == 0, F.struct(F.lit("file_access_count").alias("key"), F.lit("9.5").alias("value"))),
+        F.when(k % 4 == 1, F.struct(F.lit("daily_file_open_count").alias("key"), text("k + 1").alias("value"))), F.when(k % 4 > 1, F.struct(F.lit("file_open_count").alias("key"), F.lit("02:30").alias("value"))),
+        F.when(k % 5 == 2, F.struct(F.lit("file_delete_count").alias("key"), F.lit("4").alias("value"))),
+        F.when((k % 5 != 2) & (k % 5 != 1), F.struct(F.lit("integrity_events_0_op").alias("key"), F.when(k % 2 == 0, " delete").otherwise("WRITE").alias("value"))),
+        F.when((k % 5 != 2) & (k % 5 != 1), F.struct(F.lit("integrity_events_1_op").alias("key"), F.lit("DELETION").alias("value"))),
+    )
+    rows = observations(spark, sf_dir).select("event_id", I.derived(F.map_from_entries(F.array_compact(pairs))).alias("f"))
+    return rows.select("event_id", F.col("f")["file_delete_count"].cast("double").alias("deleted"), F.col("f")["file_access_count"].cast("double").alias("accessed"))
+
+
 @R.query("fanout_clone", f"""{with_sql('obs')} select event_id, c.range as clone, 'CLONE-' || lpad(c.range::varchar, 3, '0') as agent_id, ts + interval 30 day as ts from obs, range(5) c where agent_id = 'AGENT-2'""")
 def fanout_clone(spark, sf_dir):
     """One host's rows as those of five, a month later."""
@@ -398,13 +482,7 @@ def fanout_clone(spark, sf_dir):
   select collector, {', '.join(f"max(value) filter (i = least(n - 1, floor(n * {q})::bigint)) as p{int(q * 100)}" for q in (0.5, 0.95, 0.99))} from r group by 1""")
 def latency_percentiles(spark, sf_dir):
     """The value at place int(n q) of the sorted ones; equal values travel as one count."""
-    from pyspark.sql import Window
-
-    counted = observations(spark, sf_dir).groupBy("collector", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("collector")
-    ranked = counted.withColumns({"upto": F.sum("c").over(w.orderBy("value")), "n": F.sum("c").over(w)})
-    at = lambda q: F.min(F.when(F.col("upto") > F.least(F.col("n") - 1, F.floor(F.col("n") * q)), F.col("value")))
-    return ranked.groupBy("collector").agg(*(at(q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)))
+    return fleet.nearest_rank(observations(spark, sf_dir), "collector", "value", (0.5, 0.95, 0.99))
 
 
 @R.query("retention", f"{with_sql('obs')} select collector, count(*) as kept from obs where ts >= {AS_OF_SQL} - interval 20 day group by 1")

@@ -19,8 +19,8 @@ RULES = {
     "CLOUD_EXFILTRATION_PRECURSOR": "file_sharing_visit_count > 0", "USB_EXFILTRATION_PRECURSOR": "usb_connect_count >= 3", "IT_SABOTAGE": "file_delete_count >= 2", "DATA_HOARDING": "new_filename_count >= 4",
 }
 #: Smaller than the host model's own settings, so that the queries end in seconds on small tables: ``boosting.Spec()`` has those.
-QUICK = B.Spec(rounds=8, child=2.0, ridge=4.0, lasso=0.1, gain=0.05, rate=0.2)
-CUTS, TREES = [14, 22], 60
+QUICK = B.Spec(rounds=5, child=2.0, ridge=4.0, lasso=0.1, gain=0.05, rate=0.2)
+CUTS, TREES = [14, 22], 30
 
 
 def labelled(spark, sf_dir):

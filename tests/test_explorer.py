@@ -50,3 +50,20 @@ def test_detail_of_no_event_and_without_risk(spark):
     assert [r.risk_id for r in explorer.event_detail(events, risk, 1).collect()] == [None]
     assert [(r.risks, r.most, r.latest) for r in explorer.risk_around(events, risk).collect()] == [(0, None, None)]
     assert [(r.risks, r.most, r.latest) for r in explorer.risk_around(events, risk, 3).collect()] == [(1, 1.0, 9)]
+
+
+def test_cursors_that_are_none():
+    import base64
+    import json
+
+    key, one = explorer.filter_key(a=1), "00000000-0000-5000-8000-000000000001"
+    made = lambda *v: base64.urlsafe_b64encode(json.dumps(v).encode()).decode()
+    assert explorer.decode_cursor(made(1, "clickhouse", key, "2024-01-01T00:00:00Z", one), "clickhouse", key) == ("2024-01-01T00:00:00Z", one)
+    assert explorer.decode_cursor(made(1, "postgres", key, None, "7"), "postgres", key) == (None, 7)
+    bad = [(2, "postgres", key, None, "7"), (1, "postgres", key, "yesterday", "7"), (1, "postgres", key, None, "-1"), (1, "postgres", key, None, str(1 << 63)), (1, "postgres", key, 5, "7"), (1, "postgres", key, None, one), (1, "clickhouse", key, None, "7x"), (1, "postgres", key, None)]
+    for v in bad:
+        with pytest.raises(ValueError, match="begin with the first page"):
+            explorer.decode_cursor(made(*v), v[1], key)
+    for text in ("%%%", made(1, "postgres", key, None, "7") + "!", "A" * 1025, "", made(1, "postgres", "x" * 2000, None, "7")):
+        with pytest.raises(ValueError, match="begin with the first page"):
+            explorer.decode_cursor(text, "postgres", key)
