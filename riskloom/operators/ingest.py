@@ -163,15 +163,20 @@ def numeric(text: Column) -> Column:
 ACCESSES = (("daily_file_open_count", "file_open_count"), ("daily_file_write_count", "file_write_count"), ("daily_file_delete_count", "file_delete_count"))
 
 
-def derived(features: Column) -> Column:
-    """A map of features with aliases filled, deletions counted, and accesses made of opened, written and deleted files where it counts none."""
-    filled = fill_aliases(features)
-    gone = deletions(filled)
-    filled = F.when(gone.isNotNull(), F.map_concat(filled, F.create_map(F.lit("file_delete_count"), gone.cast("string")))).otherwise(filled)
-    has = lambda m, *names: F.exists(F.array(*map(F.lit, names)), lambda n: F.map_contains_key(m, n))
-    parts = [F.when(F.map_contains_key(filled, a), numeric(filled[a])).when(F.map_contains_key(filled, b), numeric(filled[b])).otherwise(0.0) for a, b in ACCESSES]
-    made = F.map_concat(filled, F.create_map(F.lit("file_access_count"), (parts[0] + parts[1] + parts[2]).cast("string")))
-    return F.when(~has(filled, "file_access_count") & has(filled, *(n for pair in ACCESSES for n in pair)), made).otherwise(filled)
+def derived(rows: DataFrame, features: str) -> DataFrame:
+    """``rows`` with a map of features completed: aliases filled, deletions counted, and accesses made of opened, written and deleted files where it counts none.
+
+    Each step is a column of its own, so the plan holds each once.
+    """
+    has = lambda *names: F.exists(F.array(*map(F.lit, names)), lambda n: F.map_contains_key(F.col("__filled"), n))
+    held = F.col("__filled")
+    more = lambda name, value: F.map_concat(held, F.create_map(F.lit(name), value.cast("string")))
+    rows = rows.withColumn("__filled", fill_aliases(F.col(features))).withColumn("__gone", deletions(held))
+    rows = rows.withColumn("__filled", F.when(F.col("__gone").isNotNull(), more("file_delete_count", F.col("__gone"))).otherwise(held))
+    rows = rows.withColumns({f"__part_{i}": F.when(F.map_contains_key(held, a), numeric(held[a])).when(F.map_contains_key(held, b), numeric(held[b])).otherwise(0.0) for i, (a, b) in enumerate(ACCESSES)})
+    rows = rows.withColumn("__made", ~has("file_access_count") & has(*(n for pair in ACCESSES for n in pair)))
+    total = F.col("__part_0") + F.col("__part_1") + F.col("__part_2")
+    return rows.withColumn(features, F.when(F.col("__made"), more("file_access_count", total)).otherwise(held)).drop("__filled", "__gone", "__made", *(f"__part_{i}" for i in range(3)))
 
 
 # -- interceptors, routes --------------------------------------------------------------------------

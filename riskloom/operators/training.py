@@ -156,3 +156,37 @@ def cut_off(scored: DataFrame, cohorts: list[str], most: float = FALSE_ALARMS) -
     fine = measured(sweep(scored, cohorts), cohorts).where(F.col("alarms") <= most)
     best = fine.agg(F.max(F.struct("worst", "mean", "cut")).alias("b")).first().b
     return float(best.cut)
+
+
+# -- behaviour heads ------------------------------------------------------------------------------
+
+
+def heads(made: DataFrame, names: list[str], behaviours: dict[str, str], calibrating, spec: B.Spec, keep: list[str], seed: int = M.SEED, most: float = FALSE_ALARMS) -> tuple[DataFrame, dict[str, float | None]]:
+    """(keep, behaviour, probability, label, status) of every row and behaviour, and each behaviour's cut-off.
+
+    ``made``: ``keep`` and the inputs ``names``; ``behaviours``: a condition each that says which rows show it. Each has two-class trees of its own, fitted on the rows that
+    don't calibrate; its cut-off is chosen over the scores of those that do (one cohort). Where no cut-off under ``most`` false alarms finds anything, or
+    either side has no row, there is none: the head abstains, with its probability if it has one, and labels nothing.
+    """
+    parts, cuts = [], {}
+    for name, rule in behaviours.items():
+        rows = made.withColumn("__shows", F.when(F.coalesce(F.expr(rule), F.lit(False)), "yes").otherwise("no")).withColumn("__calibrates", F.coalesce(calibrating, F.lit(False)))
+        sides = {(r[0], r[1]) for r in rows.select("__calibrates", "__shows").distinct().collect()}
+        cuts[name] = None
+        if {(False, "yes"), (False, "no")} <= sides:
+            model = B.fit(rows.where(~F.col("__calibrates")), names, "__shows", keep, spec, ["no", "yes"], seed)
+            said = _kept(B.probabilities(rows, [model], [*keep, "__shows", "__calibrates"]).withColumnRenamed("p_yes", "probability"), "head")
+            if {(True, "yes"), (True, "no")} <= sides:
+                scored = said.where("__calibrates").select(F.lit("all").alias("cohort"), (F.col("__shows") == "yes").alias("positive"), F.col("probability").alias("score"))
+                cut = cut_off(scored, ["all"], most)
+                cuts[name] = None if cut == NEVER else cut
+        else:
+            said = rows.withColumn("probability", F.lit(None).cast("double"))
+        cut = cuts[name]
+        label = F.lit(False) if cut is None else F.coalesce(F.col("probability") >= cut, F.lit(False))
+        status = "abstain_calibration_unmet" if cut is None else "calibrated_threshold_applied"
+        parts.append(said.select(*keep, F.lit(name).alias("behaviour"), "probability", label.alias("label"), F.lit(status).alias("status")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out, cuts

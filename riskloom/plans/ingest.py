@@ -426,7 +426,7 @@ def training_parameters(spark, sf_dir):
     return s.select("payload_id", F.explode(I.parameters(F.concat(F.lit('{"collectors":['), F.col("c"), F.lit("]}")))).alias("name", "value"))
 
 
-@R.query("user_vectors", f"""{_FEATS}, n as (select o.event_id, o.ts, f.feature_name, coalesce(feature_number::varchar, feature_text, feature_json) as v, row_number() over (order by ts desc, o.event_id desc, feature_name) as place
+@R.query("user_vectors", f"""{_FEATS}, n as (select o.event_id, o.ts, f.feature_name, coalesce(feature_number::varchar, feature_text, feature_json) as v, row_number() over (order by o.ts desc, o.event_id desc, feature_name) as place
   from f join obs o using (event_id) where o.username = 'user-7'), d as (select ts::date as day, feature_name, arg_min(v, (ts, event_id)) as v from n where place <= 2048 group by 1, 2)
 select day, string_agg(feature_name || '=' || v, ',' order by feature_name) as vector from d group by 1 qualify row_number() over (order by day desc) <= 16""")
 def user_vectors(spark, sf_dir):
@@ -467,7 +467,7 @@ def derived_features(spark, sf_dir):
         F.when((k % 5 != 2) & (k % 5 != 1), F.struct(F.lit("integrity_events_0_op").alias("key"), F.when(k % 2 == 0, " delete").otherwise("WRITE").alias("value"))),
         F.when((k % 5 != 2) & (k % 5 != 1), F.struct(F.lit("integrity_events_1_op").alias("key"), F.lit("DELETION").alias("value"))),
     )
-    rows = observations(spark, sf_dir).select("event_id", I.derived(F.map_from_entries(F.array_compact(pairs))).alias("f"))
+    rows = I.derived(observations(spark, sf_dir).select("event_id", F.map_from_entries(F.array_compact(pairs)).alias("f")), "f")
     return rows.select("event_id", F.col("f")["file_delete_count"].cast("double").alias("deleted"), F.col("f")["file_access_count"].cast("double").alias("accessed"))
 
 

@@ -88,3 +88,19 @@ def cutoff_choice(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     chosen = T.cut_off(scored, ["even", "odd"])
     return T.measured(T.sweep(scored, ["even", "odd"]), ["even", "odd"]).where(F.col("cut") == chosen).select("cut", F.round("worst", 6).alias("worst"), F.round("alarms", 6).alias("alarms"))
+
+
+#: What each head looks for: the rules that stand for analysts' labels here.
+BEHAVIOURS = {
+    "CREDENTIAL_DUMP": "lsass_handle_request_count + memory_dump_attempt_count > 0", "USB_EXFILTRATION_PRECURSOR": "usb_connect_count >= 3", "IT_SABOTAGE": "file_delete_count >= 2", "CLOUD_EXFILTRATION_PRECURSOR": "file_sharing_visit_count > 0",
+    "DATA_HOARDING": "new_filename_count >= 4", "HONEYTOKEN_TRIP": "decoy_access_count > 0", "RECON": "dns_query_count >= 12", "STAGING": "file_access_count >= 5 and usb_connect_count > 0",
+}
+
+
+@R.query("host_model_heads")
+def host_model_heads(spark, sf_dir):
+    """Each behaviour's probability of every host-day, its label by a calibrated cut-off, or that it abstains."""
+    days = T._kept(labelled(spark, sf_dir), "days")
+    made, names = T.inputs(T.placed(days, days, TREES))
+    out, _ = T.heads(T._kept(made, "inputs"), names, BEHAVIOURS, T.calibration(), B.Spec(rounds=2, child=2.0, ridge=4.0, lasso=0.1, gain=0.05, rate=0.5), ["hostname", "review_date"])
+    return out.select("hostname", "review_date", "behaviour", F.round("probability", 6).alias("probability"), "label", "status")

@@ -118,3 +118,17 @@ def test_cut_off_by_brute_force(spark):
         assert T.cut_off(df, ["a", "b"]) == chosen_by_brute_force(rows, ["a", "b"])
     one = spark.createDataFrame([("a", True, 0.9), ("a", False, 0.9)], "cohort string, positive boolean, score double")
     assert T.cut_off(one, ["a"]) == T.NEVER
+
+
+def test_heads_apply_a_cut_off_or_abstain(spark, days):
+    made = days.withColumn("one", F.col("lsass_handle_request_count")).select("hostname", "review_date", "day_index", "one", "decoy_access_count")
+    rules = {"seen": "one > 11", "never": "one > 1000", "noise": "decoy_access_count = 7 and day_index % 9 = 4"}
+    out, cuts = T.heads(made, ["one", "day_index"], rules, F.col("hostname") < "host-3", SPEC, ["hostname", "review_date"])
+    got = out.toPandas()
+    assert len(got) == 3 * days.count() and cuts["seen"] is not None and cuts["never"] is None
+    seen = got[got["behaviour"] == "seen"]
+    assert (seen["label"] == (seen["probability"] >= cuts["seen"])).all() and seen["label"].any() and set(seen["status"]) == {"calibrated_threshold_applied"}
+    truth = {(r.hostname, r.review_date): r.one > 11 for r in made.collect()}
+    assert np.mean([truth[r.hostname, r.review_date] == r.label for r in seen.itertuples()]) > 0.95
+    never = got[got["behaviour"] == "never"]
+    assert never["probability"].isna().all() and not never["label"].any() and set(never["status"]) == {"abstain_calibration_unmet"}
