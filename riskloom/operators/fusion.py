@@ -12,6 +12,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions.planned import planned
 from riskloom.operators.rules import CHANGES, TRANSFERS, UPLOADS, Features
 
 #: Weights of detectors, floors of scenarios' severities.
@@ -136,6 +137,7 @@ def corroborated() -> Column:
     )
 
 
+@planned
 def fuse(df: DataFrame) -> DataFrame:
     """``risk_score`` and ``risk_level`` from a frame that rules, signals and ``ml`` have been added to."""
     df = kill_chain(stages(scenarios(smoothed(ensemble(df)))))

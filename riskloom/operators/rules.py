@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.identity import number, truthy
+from riskloom.functions.planned import planned
 
 #: Weights of domains, weights of confidences, sensitivity of a profile in FILE, HTTP, LOGON, DEVICE.
 DOMAINS = {"FILE": 0.35, "DEVICE": 0.30, "CREDENTIAL": 0.25, "EXECUTION": 0.25, "DECEPTION": 0.25, "LOGON": 0.20, "HTTP": 0.15}
@@ -144,6 +145,7 @@ def _sensitivity(profile: Column, place: int) -> Column:
     return out
 
 
+@planned
 def detections(df: DataFrame) -> DataFrame:
     """``df`` with ``detections``: what fired, each with its effective score after profile, tool and path.
 
@@ -210,5 +212,6 @@ def ranked_detections() -> Column:
     return F.transform(F.array_sort(keyed), lambda x: x["scenario"])
 
 
+@planned
 def evaluate(df: DataFrame) -> DataFrame:
     return superposed(grouped(detections(df)))

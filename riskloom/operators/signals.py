@@ -100,4 +100,4 @@ def zscore(df: DataFrame, deviations: dict[str, Column], threshold: float = 8.0,
     df = df.withColumns({"__score": F.greatest(own, quick, compound), "__greatest": F.when(quick > own, speed).otherwise(F.col("__most"))})
     df = df.withColumns({"__told": F.round(score, 9), "__sure": F.round(confidence, 9), "__high": high})
     z = F.struct(F.col("__told").alias("score"), F.col("__sure").alias("confidence"), greatest.alias("max_z"), k.alias("domains"), *(F.col(f"__in_{d}").alias(d) for d in domain), F.col("__high").alias("features"))
-    return df.select(*(c for c in before if c != "z"), z.alias("z"))
+    return df.withColumn("z", z).drop(*(c for c in df.columns if c not in before))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions.identity import truthy
+from riskloom.functions.planned import planned
 from riskloom.operators import fusion as U
 from riskloom.operators import rules as D
 from riskloom.operators import signals as S
@@ -30,15 +31,29 @@ def _dev():
     return {n: (F.col(n) - m) / s for n, (m, s) in PRIORS.items()}
 
 
+@planned
+def _told(df):
+    return S.zscore(S.auth_burst(D.evaluate(df)), _dev())
+
+
 def _signals(spark, sf_dir):
-    return S.zscore(S.auth_burst(D.evaluate(features(spark, sf_dir))), _dev())
+    return _told(features(spark, sf_dir))
 
 
-def scored_against(df):
-    """Features with deviations ``z_<feature>`` and ``host_z_<feature>`` as risk_score, risk_level, ``burst`` and ``sure``."""
+planned_burst = planned(S.auth_burst)
+planned_z = planned(lambda df: S.zscore(df, _dev()))
+
+
+@planned
+def _against(df):
     own = {c.removeprefix("z_"): F.col(c) for c in df.columns if c.startswith("z_")}
     host = {c.removeprefix("host_z_"): F.col(c) for c in df.columns if c.startswith("host_z_")}
-    seen = S.zscore(S.auth_burst(D.evaluate(df), host), own)
+    return S.zscore(S.auth_burst(D.evaluate(df), host), own)
+
+
+def scored_against(df):
+    """Features with deviations ``z_<feature>`` and ``host_z_<feature>`` as risk_score, risk_level, ``burst`` and ``sure``."""
+    seen = _against(df)
     fused = U.fuse(seen.withColumn("ml", F.lit(None).cast("struct<score:double,confidence:double,is_anomaly:boolean>")))
     sure = truthy(F.col("credential_dumping_suspected")) | truthy(F.col("threat_triggered"))
     return fused.select(*df.columns, "risk_score", "risk_level", (F.col("auth.score") > 0).alias("burst"), F.coalesce(sure, F.lit(False)).alias("sure"))
@@ -195,13 +210,13 @@ def rules_ranked(spark, sf_dir):
 
 @R.query("auth_burst", f"{_CTES} select payload_id, a_score as score, a_conf as confidence, a_pattern as pattern, round(failed, 9) as failed, round(total, 9) as total from auth")
 def auth_burst(spark, sf_dir):
-    a = S.auth_burst(features(spark, sf_dir))
+    a = planned_burst(features(spark, sf_dir))
     return a.select("payload_id", "auth.score", "auth.confidence", "auth.pattern", F.round("auth.failed", 9).alias("failed"), F.round("auth.total", 9).alias("total"))
 
 
 @R.query("zscore", f"{_CTES} select payload_id, z_score as score, z_conf as confidence, round(zm, 9) as max_z, zk as domains from z5")
 def zscore(spark, sf_dir):
-    z = S.zscore(features(spark, sf_dir), _dev())
+    z = planned_z(features(spark, sf_dir))
     return z.select("payload_id", "z.score", "z.confidence", F.round("z.max_z", 9).alias("max_z"), "z.domains")
 
 
