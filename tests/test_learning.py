@@ -108,3 +108,20 @@ def test_a_member_is_forgotten_after_two_days():
     assert b.take(100 * hour, {"odd": 1.0}, "ann") and not b.take(99 * hour, {"odd": 1.0}, "ann") and not b.take(100 * hour + hour - 1, {"odd": 1.0}, "ann")
     assert b.take(148 * hour, {"odd": 1.0}, "bob") and set(b.members) == {"bob"}
     assert b.take(99 * hour, {"odd": 1.0}, "ann")
+
+
+def test_a_stream_equals_the_walk_also_when_a_batch_runs_twice(spark, rows, tmp_path):
+    from riskloom.streaming import scoring as C
+
+    ordered = sorted(rows, key=lambda r: (r["arrived"], r["payload_id"]))[:400]
+    want, last = walk(ordered)
+    for n, part in enumerate((ordered[:150], ordered[150:], [])):
+        if part:
+            frame(spark, part).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+        C.start(stream, f"{tmp_path}/out", f"{tmp_path}/state", score, USERS, HOSTS, availableNow=True).awaitTermination()
+    C.take(frame(spark, ordered[150:]), 1, f"{tmp_path}/out", score, USERS, HOSTS)
+    got = {r.payload_id: r.risk_score for r in spark.read.parquet(f"{tmp_path}/out/scored").collect()}
+    assert got == pytest.approx(want, abs=1e-9)
+    held = {(r.kind, r.entity): L.Baseline(r.kind, r.state).taken for r in C.states(spark, f"{tmp_path}/out").collect()}
+    assert {k: held[k] for k in last} == {k: L.Baseline(k[0], s).taken for k, s in last.items()}
