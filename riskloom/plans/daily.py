@@ -146,7 +146,7 @@ _SOME = ("successful_logons", "file_access_count", "bytes_sent", "named_pipe_eve
 
 
 @R.query("context_features", _WITH + ", l as (select hostname, review_date, run, " + ", ".join(f"ln(1 + {f}) as {f}" for f in _SOME) + " from sc) select hostname, review_date, "
-    + ", ".join(f"round(coalesce(case when count(*) over w >= 3 then greatest(-8, least(8, ({f} - avg({f}) over w) / greatest(stddev_samp({f}) over w, 0.25))) end, 0), 6) as {f}" for f in _SOME) + f" from l {_PAST}")
+    + ", ".join(f"round(coalesce(case when count({f}) over w >= 3 and {f} is not null then greatest(-8, least(8, ({f} - avg({f}) over w) / greatest(stddev_samp({f}) over w, 0.25))) end, 0), 6) as {f}" for f in _SOME) + f" from l {_PAST}")
 def context_features(spark, sf_dir):
     """Features against the host's own past: four of those that have this form."""
     days = D.runs(host_days(spark, sf_dir)).select("hostname", "review_date", "run", *(F.log1p(f).alias(f) for f in _SOME))
@@ -284,7 +284,7 @@ _EDGES, _SHARES = [20.0, 40.0, 60.0, 80.0], [0.2, 0.2, 0.2, 0.2, 0.2]
 
 
 @R.query("feature_drift", _WITH + "select round(" + " + ".join(f"(o{i} - 0.2) * ln(o{i} / 0.2)" for i in range(5)) + ", 6) as psi from (select "
-    + ", ".join(f"(count(*) filter ({'true' if not i else f'dns_query_count >= {_EDGES[i - 1]}'} and {'true' if i == 4 else f'dns_query_count < {_EDGES[i]}'}) + 1e-6) / (count(*) + 5e-6) as o{i}" for i in range(5)) + " from hd)")
+    + ", ".join(f"(count(*) filter ({'true' if not i else f'dns_query_count >= {_EDGES[i - 1]}'} and {'true' if i == 4 else f'dns_query_count < {_EDGES[i]}'}) + 1e-6) / (count(dns_query_count) + 5e-6) as o{i}" for i in range(5)) + " from hd)")
 def feature_drift(spark, sf_dir):
     days = host_days(spark, sf_dir)
     return days.agg(F.round(D.stability(days, "dns_query_count", _EDGES, _SHARES), 6).alias("psi"))
