@@ -110,7 +110,7 @@ def chronological(days: DataFrame, cuts: list[int], spec: B.Spec, number: str =
     model = M.fit_forecast(windows.where("normal"), "fused")
     said = M.forecast(windows, model, _KEY).withColumn("forecast", F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("forecast"))))
     out = scored.join(said, _KEY, "left")
-    return out.withColumn("error", F.greatest(F.col("fused") - F.col("forecast"), F.lit(0.0))), model
+    return out.withColumn("error", F.when(F.col("forecast").isNotNull(), F.greatest(F.col("fused") - F.col("forecast"), F.lit(0.0)))), model
 
 
 # -- cut-offs -------------------------------------------------------------------------------------

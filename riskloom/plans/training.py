@@ -19,7 +19,7 @@ RULES = {
     "CLOUD_EXFILTRATION_PRECURSOR": "file_sharing_visit_count > 0", "USB_EXFILTRATION_PRECURSOR": "usb_connect_count >= 3", "IT_SABOTAGE": "file_delete_count >= 2", "DATA_HOARDING": "new_filename_count >= 4",
 }
 #: Smaller than the host model's own settings, so that the queries end in seconds on small tables: ``boosting.Spec()`` has those.
-QUICK = B.Spec(rounds=5, child=2.0, ridge=4.0, lasso=0.1, gain=0.05, rate=0.2)
+QUICK = B.Spec(rounds=3, child=2.0, ridge=4.0, lasso=0.1, gain=0.05, rate=0.2)
 CUTS, TREES = [14, 22], 30
 
 
@@ -28,7 +28,8 @@ def labelled(spark, sf_dir):
     label = F.lit("BENIGN")
     for name, rule in reversed(RULES.items()):
         label = F.when(F.expr(rule), name).otherwise(label)
-    days = daily.host_days(spark, sf_dir).dropna(subset=list(D.FEATURES))
+    # a feature is null where its sensor slept, and only there: forty conditions on derived columns would be forty copies of their derivation
+    days = daily.host_days(spark, sf_dir).where(F.size("missing_sensors") == 0)
     return days.select("hostname", "review_date", F.col("d").alias("day_index"), "threat", "s", label.alias("label"), *D.FEATURES)
 
 

@@ -60,6 +60,7 @@ def test_windows_stay_inside_a_block_and_the_ridge_sees_normal_ones_alone(spark,
                         normal.append((windows[host, eight["review_date"].iloc[-1]], eight["fused"].iloc[7]))
     known = got[got["forecast"].notna()]
     assert {(r.hostname, r.review_date) for r in known.itertuples()} == set(windows) and windows
+    assert got[got["forecast"].isna()]["error"].isna().all()
     # the same ridges in one process, from the normal windows
     y, weights = np.array([t for _, t in normal]), M.layers()
     states = M.hidden_states(np.array([h for h, _ in normal]), weights)
