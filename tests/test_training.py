@@ -133,3 +133,16 @@ def test_heads_apply_a_cut_off_or_abstain(spark, days):
     assert np.mean([truth[r.hostname, r.review_date] == r.label for r in seen.itertuples()]) > 0.95
     never = got[got["behaviour"] == "never"]
     assert never["probability"].isna().all() and not never["label"].any() and set(never["status"]) == {"abstain_calibration_unmet"}
+
+
+def test_without_normal_days_every_day_is_scored_and_nothing_is_said_of_anomalies(spark, days):
+    marked = days.withColumn("label", F.when(F.col("label") == "BENIGN", "DATA_HOARDING").otherwise(F.col("label")))
+    out, model = T.chronological(marked, [10, 18], SPEC, trees=5, classes=("BENIGN", "CREDENTIAL_DUMP", "DATA_HOARDING"))
+    got = out.toPandas()
+    assert len(got) == 14 * 16 - 1 and (got["threat"] == 1.0).all() and model == []
+    assert got[["risk", "fused", "forecast", "error"]].isna().all().all()
+    one, _ = T.chronological(marked.where("label = 'DATA_HOARDING'"), [10], SPEC, trees=5, classes=("BENIGN", "DATA_HOARDING"))
+    assert (one.toPandas()["threat"] == 1.0).all()
+    made, names = T.inputs(T.placed(marked, marked, 5))
+    heads, _ = T.heads(made, names, {"seen": "lsass_handle_request_count > 11"}, F.col("hostname") < "host-3", SPEC, ["hostname", "review_date"])
+    assert heads.where("probability is not null").count() == marked.count()
