@@ -205,7 +205,7 @@ def event_detail(spark, sf_dir):
 @R.query("event_detail_counts", f"""{with_sql('obs', 'risk')} select event_id, agent_id, ts, count(risk_id) as risks, max(risk_score) as most, max(struct_pack(c := created_at, i := risk_id)).i as latest
   from (select o.event_id, o.agent_id, o.ts, r.risk_id, r.created_at, r.risk_score from obs o left join risk r on r.agent_id = o.agent_id and r.created_at between o.ts - interval 2 day and o.ts + interval 2 day) group by 1, 2, 3""")
 def event_detail_counts(spark, sf_dir):
-    """For every event how many risk events its agent has within two days, the highest and the latest: a range frame, no pairs."""
+    """For every event how many risk events its agent has within two days, the highest and the latest: running values of hours, no pairs."""
     return X.risk_around(observations(spark, sf_dir).select("event_id", "agent_id", "ts"), risk_events(spark, sf_dir).select("agent_id", "risk_id", "created_at", "risk_score"))
 
 

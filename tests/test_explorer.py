@@ -1,5 +1,8 @@
 """Explorer operators over repeated rows, and queries over whole tables."""
 
+import random
+from datetime import datetime, timedelta
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -67,3 +70,18 @@ def test_cursors_that_are_none():
     for text in ("%%%", made(1, "postgres", key, None, "7") + "!", "A" * 1025, "", made(1, "postgres", "x" * 2000, None, "7")):
         with pytest.raises(ValueError, match="begin with the first page"):
             explorer.decode_cursor(text, "postgres", key)
+
+
+def test_risk_around_by_brute_force(spark):
+    rng = random.Random(4)
+    at = lambda: datetime(2024, 1, 1) + timedelta(hours=rng.randrange(200), seconds=rng.choice([0, 0, 1, 1799, 3599]))
+    events = [(i, rng.choice(["a", "b", "c", None]), at() if rng.random() < 0.97 else None) for i in range(300)]
+    risk = [(rng.choice(["a", "b", None]), 1000 + i, at(), float(rng.randrange(50))) for i in range(200)]
+    got = explorer.risk_around(spark.createDataFrame(events, "event_id long, agent_id string, ts timestamp_ntz"), spark.createDataFrame(risk, "agent_id string, risk_id long, created_at timestamp_ntz, risk_score double"))
+    want = []
+    for i, agent, ts in events:
+        near = [r for r in risk if agent is not None and ts is not None and r[0] == agent and abs(r[2] - ts) <= timedelta(days=2)]
+        want.append((i, agent, ts, len(near), max((r[3] for r in near), default=None), max(((r[2], r[1]) for r in near), default=(None, None))[1]))
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0]) == want
+    # a span's both ends count, and no event looks at the rows of a span one by one
+    assert "INTERVAL '2" not in got._jdf.queryExecution().executedPlan().toString()
