@@ -57,11 +57,16 @@ def windows(made: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFram
     return cut.select("identity", "start", *(F.slice(c, F.col("start") + 1, length).alias(c) for c in ("dwell", "flight")))
 
 
+def _share(n: Column, hundredths: int) -> Column:
+    """So many hundredths of a whole number, rounded down: in whole numbers, as 90,000 times 0.7 is less than 63,000 in doubles."""
+    return F.floor(n * hundredths / 100)
+
+
 def splits(identities: DataFrame) -> DataFrame:
     """``identities(identity)`` with label and split: 70, 15 and 15 hundredths in the order of names; a row an identity."""
     n = F.count("*").over(Window.partitionBy())
     label = F.row_number().over(Window.orderBy("identity")) - 1
-    train, val = F.greatest(F.lit(1), F.floor(n * 0.70)), F.greatest(F.lit(1), F.floor(n * 0.15))
+    train, val = F.greatest(F.lit(1), _share(n, 70)), F.greatest(F.lit(1), _share(n, 15))
     return identities.select("identity", label.cast("long").alias("label"), F.when(label < train, "train").when(label < train + val, "val").otherwise("test").alias("split"))
 
 
@@ -80,7 +85,7 @@ def verification(made: DataFrame, length: int = LENGTH, step: int = STEP, seed:
     by hash of seed, identity and number from the others' probes: the other by its place among the identities (a row an identity),
     the probe by its number, so a draw is a join on keys and the same wherever it runs.
     """
-    n, cut = F.size("dwell"), F.floor(F.size("dwell") * 0.60).cast("int")
+    n, cut = F.size("dwell"), _share(F.size("dwell"), 60).cast("int")
     part = lambda a, size: F.struct(*(F.slice(c, a, size).alias(c) for c in ("dwell", "flight")))
     whole = made.where(n >= 2 * length + 4 * step).select("identity", F.explode(F.array(
         F.struct(F.lit("enroll").alias("kind"), part(F.lit(1), cut).alias("s")), F.struct(F.lit("genuine").alias("kind"), part(cut + 1, n - cut).alias("s")))).alias("p"))
@@ -110,7 +115,7 @@ def protocol(made: DataFrame, least: int = 4, length: int = LENGTH, seed: int =
     """
     ranked = made.select("identity").withColumn("place", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), "identity"), "identity")))
     n = F.count("*").over(Window.partitionBy())
-    ranked = ranked.withColumn("n", n).withColumn("held", F.least(F.greatest(F.lit(2), F.floor(F.col("n") * 0.30)), F.col("n") - 2))
+    ranked = ranked.withColumn("n", n).withColumn("held", F.least(F.greatest(F.lit(2), _share(F.col("n"), 30)), F.col("n") - 2))
     rows = made.join(ranked, "identity")
     wide, half = F.col("n") >= least, F.floor(F.size("dwell") / 2).cast("int")
     side = F.when(F.col("place") > F.col("n") - F.col("held"), "bench").otherwise("train")

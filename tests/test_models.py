@@ -79,3 +79,8 @@ def test_what_teaches_a_baseline(spark):
     assert [tuple(r) for r in said] == [(True, True), (False, False), (True, False), (True, False)]
     chosen = B.selected(spark.createDataFrame([(1, "3", "x", float("nan"))], "id int, bytes_sent string, file_access_count string, daily_http_request_count double"), ["id"], B.USER_FEATURES)
     assert [tuple(r) for r in chosen.collect()] == [(1, "bytes_sent", 3.0)]
+
+
+def test_splits_are_whole_hundredths(spark):
+    got = K.splits(spark.range(90_000).select(F.format_string("u%06d", "id").alias("identity"))).groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 63_000, "val": 13_500, "test": 13_500}
