@@ -117,7 +117,7 @@ def stream_ingest(spark, sf_dir):
     """Snapshots written as files, each twice, some broken, and taken in by micro-batches: what was accepted, once each."""
     top, lines = _shared(spark), snapshot_bodies(spark, sf_dir, broken=False).select(F.col("body").alias("value"))
     lines.unionByName(lines).write.text(f"{top}/in")
-    S.ingest(S.read(spark, f"{top}/in"), f"{top}/out", f"{top}/state", availableNow=True).awaitTermination()
+    S.drain(S.read(spark, f"{top}/in"), f"{top}/out", f"{top}/state")
     return S.table(spark, f"{top}/out", "accepted").select("payload_id", "agent_id", F.size("collectors").cast("long").alias("collectors"))
 
 
@@ -130,7 +130,7 @@ def stream_dead_letters(spark, sf_dir):
     whole = F.expr("payload_id % 6 = 0 and payload_id % 59 != 0 and payload_id % 43 != 0 and payload_id % 53 != 0 and payload_id % 37 != 0 and payload_id % 41 != 0 and payload_id % 47 != 0")
     other = lines.where(whole).withColumn("body", F.regexp_replace("body", '"hostname":"HOST-', '"hostname":"COPY-'))
     lines.unionByName(other).select(F.col("body").alias("value")).write.text(f"{top}/in")
-    S.ingest(S.read(spark, f"{top}/in"), f"{top}/out", f"{top}/state", availableNow=True).awaitTermination()
+    S.drain(S.read(spark, f"{top}/in"), f"{top}/out", f"{top}/state")
     return S.table(spark, f"{top}/out", "dead").groupBy("reason").agg(F.count("*").alias("lines"))
 
 

@@ -106,3 +106,19 @@ def test_canonical_json_is_pythons(spark):
     got = [r[0] for r in spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i int, b string").orderBy("i").select(canonical_json("b")).collect()]
     want = [json.dumps(json.loads(b), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for b in bodies[:5]]
     assert got == [*want, None, None, None]
+
+
+def test_files_that_lie_there_together_are_not_late_for_one_another(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    put = lambda name, *lines: (tmp_path / "in" / name).write_text("".join(json.dumps(x) + "\n" for x in lines))
+    for n, day in enumerate(("2024-01-20", "2024-01-02", "2024-01-11")):
+        put(f"{n}.txt", line(n, day), line(9, "2024-01-10", host="ab"[n > 0]))
+    drain = lambda: S.drain(S.read(spark, str(tmp_path / "in"), size=1), str(tmp_path / "out"), str(tmp_path / "state"))
+    drain()
+    assert S.table(spark, str(tmp_path / "out"), "manifest").count() == 3
+    read = lambda name, c: sorted(r[0] for r in S.table(spark, str(tmp_path / "out"), name).select(c).collect())
+    assert read("accepted", "payload_id") == ["p0", "p1", "p2", "p9"] and len(read("dead", "reason")) in (1, 2) and set(read("dead", "reason")) == {"conflict"}
+    put("3.txt", line(4, "2024-01-12"), line(5, "2024-01-20"))
+    drain()
+    assert read("accepted", "payload_id") == ["p0", "p1", "p2", "p5", "p9"] and read("dead", "reason")[-1] == "late"
+    assert not (tmp_path / "out" / "draining").exists()
