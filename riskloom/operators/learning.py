@@ -15,11 +15,13 @@ States come in and go out as rows (kind, entity, state), so micro-batches contin
 
 from __future__ import annotations
 
+import heapq
 import json
 import math
 import uuid
 from collections.abc import Callable, Iterator
-from datetime import datetime, timezone
+from datetime import date, timedelta
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -30,7 +32,7 @@ from riskloom.sources.files import shared_folder
 
 #: Mean and deviation of a host's feature without a baseline of its own.
 HOST_PRIORS = {"unique_workstations_300s": (1.0, 0.5), "auth_rate_300s": (0.2, 0.5), "edr_auth_events_per_minute_window": (1.0, 2.0), "edr_auth_event_count_window": (1.0, 2.0), "off_hours_auth_count": (0.0, 0.5), "daily_unique_pc_count": (1.0, 0.5), "daily_device_connect_count": (0.0, 0.5)}
-HOUR, FORGOTTEN = 3_600_000_000, 48 * 3_600_000_000
+HOUR, DAY, FORGOTTEN = 3_600_000_000, 24 * 3_600_000_000, 48 * 3_600_000_000
 STATES = "kind string, entity string, state string"
 
 
@@ -39,38 +41,55 @@ def floor_of(feature: str, mean: float, least: float) -> float:
     return max(abs(mean) * 0.1, FLOOR_RATE if rate else least)
 
 
+@lru_cache(maxsize=1024)
+def _day(number: int) -> str:
+    return str(date(1970, 1, 1) + timedelta(number))
+
+
 class Baseline:
     """What one entity has taught so far; the same in a batch, in a stream and in a walk."""
 
+    #: What is no part of the state: it follows from the rest.
+    BESIDE = ("kind", "least", "known", "oldest")
+
     def __init__(self, kind: str, state: str | None = None):
-        self.kind, self.least = kind, FLOOR_HOST if kind == "host" else FLOOR_USER
+        self.kind, self.least, self.known = kind, FLOOR_HOST if kind == "host" else FLOOR_USER, {}
         self.mean, self.std, self.samples, self.missing, self.sums, self.counts, self.members, self.last, self.day, self.taken = {}, {}, {}, {}, {}, {}, {}, None, None, 0
         if state:
             self.__dict__ |= json.loads(state)
+        # the members' times, the oldest first: who is forgotten is found without a look at the others
+        self.oldest = [(t, m) for m, t in self.members.items()]
+        heapq.heapify(self.oldest)
 
     def state(self) -> str:
-        return json.dumps({k: v for k, v in self.__dict__.items() if k not in ("kind", "least")}, sort_keys=True)
+        return json.dumps({k: v for k, v in self.__dict__.items() if k not in self.BESIDE}, sort_keys=True)
 
     def seen(self, features: tuple[str, ...]) -> list[float | None]:
         """Mean and deviation of each feature that five days or more have been merged of."""
-        return [v for f in features for v in ((self.mean[f], self.std[f]) if self.samples.get(f, 0) >= MATURE else (None, None))]
+        if features not in self.known:
+            self.known[features] = [v for f in features for v in ((self.mean[f], self.std[f]) if self.samples.get(f, 0) >= MATURE else (None, None))]
+        return self.known[features]
 
     def take(self, at: int, values: dict[str, float], member: str | None = None) -> bool:
         """A calm row of time ``at`` (microseconds); whether it was taken."""
         before = self.members.get(member) if self.kind == "role" else self.last
         if before is not None and at - before < HOUR:
             return False
-        day = datetime.fromtimestamp(at // 1_000_000, timezone.utc).strftime("%Y-%m-%d")
+        day = _day(at // DAY)
         if self.day and self.day != day:
             self._merge()
         self.day, self.last, self.taken = day, at, self.taken + 1
         if self.kind == "role":
-            self.members = {m: t for m, t in {**self.members, member: at}.items() if at - t < FORGOTTEN}
-        for f in {*self.mean, *values}:
+            self.members[member] = at
+            heapq.heappush(self.oldest, (at, member))
+            while at - self.oldest[0][0] >= FORGOTTEN:
+                t, m = heapq.heappop(self.oldest)
+                if self.members.get(m) == t:  # else heard of since
+                    del self.members[m]
+        for f in self.mean:
             if f not in values:
                 self.missing[f] = self.missing.get(f, 0) + 1
-                continue
-            v = values[f]
+        for f, v in values.items():
             if self.kind == "host":
                 top = self.mean[f] + 3 * max(self.std[f], floor_of(f, self.mean[f], self.least)) if self.taken >= MATURE and f in self.mean else math.inf
                 v = max(0.0, min(v, top))
@@ -86,46 +105,53 @@ class Baseline:
             spread = (1 - rate) * self.std.get(f, floor_of(f, before, self.least)) + rate * abs(average - before)
             self.std[f] = max(spread, floor_of(f, self.mean[f], self.least))
             self.samples[f] = self.samples.get(f, 0) + 1
-        self.sums, self.counts = {}, {}
+        self.sums, self.counts, self.known = {}, {}, {}
 
 
-def fold(rows: DataFrame, kind: str, entity: str, calm: str, features: tuple[str, ...], states: DataFrame | None = None) -> DataFrame:
-    """(payload_id, seen) of every row, and (entity, state) after the last row of each entity.
+def fold(rows: DataFrame, kinds: dict[str, tuple[str, str, tuple[str, ...]]], states: DataFrame | None = None) -> DataFrame:
+    """(kind, payload_id, seen) of every row and kind, and (kind, entity, state) after the last row of each entity.
 
-    ``rows``: payload_id long, ts and arrived as microseconds, ``entity``, ``calm`` and the features; of a cohort also ``member``. An entity's state comes before its rows.
+    ``rows``: payload_id long, ts and arrived as microseconds, ``member`` and, for each of ``kinds``, its entity, calm and features. An entity's state
+    comes before its rows. All kinds are one shuffle, so that users and hosts are walked while the tasks of the few large cohorts run.
     """
-    member = F.col("member") if kind == "role" else F.lit(None).cast("string")
-    keyed = rows.where(F.coalesce(F.col(entity), F.lit("")) != "").select(F.col(entity).alias("entity"), F.col("arrived").alias("at"), "payload_id", "ts", F.col(calm).alias("calm"), member.alias("member"), F.array(*(F.col(f) for f in features)).alias("values"), F.lit(None).cast("string").alias("state"))
+    nothing = {"at": "long", "payload_id": "long", "ts": "long", "calm": "boolean", "member": "string", "values": "array<double>"}
+    parts = []
+    for kind, (entity, calm, features) in kinds.items():
+        member = F.col("member") if kind == "role" else F.lit(None).cast("string")
+        values = F.when(F.col(calm), F.array(*(F.col(f) for f in features)))  # only calm rows teach
+        parts.append(rows.where(F.coalesce(F.col(entity), F.lit("")) != "").select(F.lit(kind).alias("kind"), F.col(entity).alias("entity"), F.col("arrived").alias("at"), "payload_id", "ts", F.col(calm).alias("calm"), member.alias("member"), values.alias("values"), F.lit(None).cast("string").alias("state")))
     if states is not None:
-        nothing = {"at": "long", "payload_id": "long", "ts": "long", "calm": "boolean", "member": "string", "values": "array<double>"}
-        known = states.where(F.col("kind") == kind).select("entity", *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()), "state")
-        keyed = keyed.unionByName(known)
+        parts.append(states.where(F.col("kind").isin(*kinds)).select("kind", "entity", *(F.lit(None).cast(t).alias(n) for n, t in nothing.items()), "state"))
+    keyed = reduce(DataFrame.unionByName, parts)
+    named = {kind: features for kind, (_, _, features) in kinds.items()}
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, None
         for b in batches:
-            ids, seen, done, states_ = [], [], [], []
-
-            def close():
-                if held is not None:
-                    ids.append(None), seen.append(None), done.append(now), states_.append(held.state())
-
-            for e, i, ts, ok, who, values, state in zip(b["entity"], b["payload_id"], b["ts"], b["calm"], b["member"], b["values"], b["state"]):
-                if e != now:
-                    close()
-                    now, held = e, Baseline(kind, state)
+            out = []
+            for k, e, i, ts, ok, who, values, state in zip(*(b[c].tolist() for c in ("kind", "entity", "payload_id", "ts", "calm", "member", "values", "state"))):
+                if (k, e) != now:
+                    if held is not None:
+                        out.append((now[0], None, None, now[1], held.state()))
+                    now, held, features = (k, e), Baseline(k, state), named[k]
                     if state is not None:
                         continue
-                ids.append(int(i)), seen.append(held.seen(features)), done.append(None), states_.append(None)
-                there = {f: float(v) for f, v in zip(features, values) if v is not None and v == v}
-                if ok and there:
-                    held.take(int(ts), there, who)
-            yield pd.DataFrame({"payload_id": pd.array(ids, "Int64"), "seen": seen, "entity": done, "state": states_})
+                out.append((k, int(i), held.seen(features), None, None))
+                if ok:
+                    there = {f: v for f, v in zip(features, values.tolist()) if v is not None and v == v}
+                    if there:
+                        held.take(int(ts), there, who)
+            yield _told(out)
         if held is not None:
-            yield pd.DataFrame({"payload_id": pd.array([None], "Int64"), "seen": [None], "entity": [now], "state": [held.state()]})
+            yield _told([(now[0], None, None, now[1], held.state())])
+
+    ordered = keyed.repartition("kind", "entity").sortWithinPartitions("kind", "entity", F.col("at").asc_nulls_first(), "payload_id")
+    return ordered.mapInPandas(walk, "kind string, payload_id long, seen array<double>, entity string, state string")
+
 
-    ordered = keyed.repartition("entity").sortWithinPartitions("entity", F.col("at").asc_nulls_first(), "payload_id")
-    return ordered.mapInPandas(walk, "payload_id long, seen array<double>, entity string, state string")
+def _told(rows: list[tuple]) -> pd.DataFrame:
+    kind, ids, seen, entity, state = zip(*rows) if rows else ((),) * 5
+    return pd.DataFrame({"kind": pd.Series(kind, dtype=object), "payload_id": pd.array(ids, "Int64"), "seen": pd.Series(seen, dtype=object), "entity": pd.Series(entity, dtype=object), "state": pd.Series(state, dtype=object)})
 
 
 def _z(value: Column, mean: Column, std: Column, feature: str, least: float) -> Column:
@@ -157,16 +183,17 @@ def learn(rows: DataFrame, score: Callable[[DataFrame], DataFrame], users: tuple
     both = [f for f in dict.fromkeys((*users, *hosts)) if f in rows.columns]
     users, hosts = (tuple(f for f in names if f in both) for names in (users, hosts))
     person = F.nullif(F.trim("username"), F.lit(""))
-    base = write(rows.select(F.col("payload_id").cast("long"), person.alias("username"), F.lower(person).alias("member"), F.when(person.isNotNull(), F.col("role_name")).alias("role_name"), "agent_id", micros("ts"), micros("arrived"), *map(number, both)), "rows")
+    rows = write(rows, "rows")  # made once, each round reads it
+    base = write(rows.select(F.col("payload_id").cast("long"), person.alias("username"), F.lower(person).alias("member"), F.when(person.isNotNull(), F.col("role_name")).alias("role_name"), "agent_id", micros("ts"), micros("arrived"), *map(number, both)), "base")
     calm = base.select("payload_id", F.lit(True).alias("calm_user"), F.lit(True).alias("calm_host"))
+    kinds = {"user": ("username", "calm_user", users), "role": ("role_name", "calm_user", users), "host": ("agent_id", "calm_host", hosts)}
     rounds = 0
     while True:
-        marked = base.join(calm, "payload_id")
-        parts = [write(fold(marked, kind, entity, gate, names, states), f"{kind}-{rounds}") for kind, entity, gate, names in (("user", "username", "calm_user", users), ("role", "role_name", "calm_user", users), ("host", "agent_id", "calm_host", hosts))]
-        seen = [p.where("payload_id is not null").select("payload_id", F.col("seen").alias(f"__seen_{i}")) for i, p in enumerate(parts)]
+        folded = write(fold(base.join(calm.hint("merge"), "payload_id"), kinds, states), f"folded-{rounds}")
         met = rows
-        for s in seen:
-            met = met.join(s, "payload_id", "left")
+        for i, kind in enumerate(kinds):
+            # equal arrays make small files: never taken for a table that a task could hold
+            met = met.join(folded.where((F.col("kind") == kind) & F.col("payload_id").isNotNull()).select("payload_id", F.col("seen").alias(f"__seen_{i}")).hint("merge"), "payload_id", "left")
         told = {f"z_{f}": F.when(person.isNotNull(), deviation(f, number(f), [F.col("__seen_0"), F.col("__seen_1")], i, USER_PRIORS.get(f), FLOOR_USER)) for i, f in enumerate(users)}
         told |= {f"host_z_{f}": F.when(F.coalesce(F.col("agent_id"), F.lit("")) != "", deviation(f, number(f), [F.col("__seen_2")], i, HOST_PRIORS.get(f), FLOOR_HOST)) for i, f in enumerate(hosts)}
         scored = write(score(met.withColumns(told).drop(*(f"__seen_{i}" for i in range(3)))), f"scored-{rounds}")
@@ -177,8 +204,4 @@ def learn(rows: DataFrame, score: Callable[[DataFrame], DataFrame], users: tuple
         calm = after
         if not changed:
             break
-    kinds = ("user", "role", "host")
-    states = parts[0].where("false").select(F.lit("").alias("kind"), "entity", "state")
-    for kind, p in zip(kinds, parts):
-        states = states.unionByName(p.where("entity is not null").select(F.lit(kind).alias("kind"), "entity", "state"))
-    return scored, states, rounds
+    return scored, folded.where("entity is not null").select("kind", "entity", "state"), rounds

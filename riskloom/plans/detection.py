@@ -48,11 +48,15 @@ planned_z = planned(lambda df: S.zscore(df, _dev()))
 def _against(df):
     own = {c.removeprefix("z_"): F.col(c) for c in df.columns if c.startswith("z_")}
     host = {c.removeprefix("host_z_"): F.col(c) for c in df.columns if c.startswith("host_z_")}
-    return S.zscore(S.auth_burst(D.evaluate(df), host), own)
+    return S.zscore(S.auth_burst(df, host), own)
+
+
+#: What the rules say of features; the same whatever has been learnt.
+ruled = planned(D.evaluate)
 
 
 def scored_against(df):
-    """Features with deviations ``z_<feature>`` and ``host_z_<feature>`` as risk_score, risk_level, ``burst`` and ``sure``."""
+    """Features with what the rules say (``ruled``) and deviations ``z_<feature>`` and ``host_z_<feature>`` as risk_score, risk_level, ``burst`` and ``sure``."""
     seen = _against(df)
     fused = U.fuse(seen.withColumn("ml", F.lit(None).cast("struct<score:double,confidence:double,is_anomaly:boolean>")))
     sure = truthy(F.col("credential_dumping_suspected")) | truthy(F.col("threat_triggered"))

@@ -13,10 +13,10 @@ QUERIES, SQL = R.queries, R.sql
 
 
 def _arrivals(spark, sf_dir):
-    """Snapshots in the order in which they came: by their number, while an eighth of them was seen an hour or a day and a half before."""
+    """Snapshots in the order in which they came: by their number, while an eighth of them was seen an hour or a day and a half before. Rules look at a snapshot alone: they are told once, not in every round."""
     seen = baseline._seen(spark, sf_dir)
     back = F.expr("case payload_id % 16 when 3 then interval 1 hours when 11 then interval 36 hours else interval 0 hours end")
-    return seen.withColumns({"arrived": F.col("ts"), "ts": F.col("ts") - back})
+    return detection.ruled(seen.withColumns({"arrived": F.col("ts"), "ts": F.col("ts") - back}))
 
 
 @R.query("learned_risk")

@@ -1,6 +1,7 @@
 """Scores against baselines left by earlier snapshots: the fixed point equals a walk, in one batch and in several."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -110,6 +111,15 @@ def test_a_member_is_forgotten_after_two_days():
     assert b.take(99 * hour, {"odd": 1.0}, "ann")
 
 
+def test_a_large_cohort_is_walked_in_time_linear_in_its_rows():
+    b, start = L.Baseline("role"), time.perf_counter()
+    assert all(b.take(n * 1_000_000, {"odd": 1.0}, f"user-{n}") for n in range(30_000))
+    assert time.perf_counter() - start < 5 and len(b.members) == 30_000
+    assert b.take(30_000_000_000 + L.FORGOTTEN, {"odd": 1.0}, "ann") and set(b.members) == {"ann"}
+    again = L.Baseline("role", b.state())
+    assert again.state() == b.state() and again.take(30_000_000_000 + 2 * L.FORGOTTEN, {"odd": 1.0}, "bob") and set(again.members) == {"bob"}
+
+
 def test_a_stream_equals_the_walk_also_when_a_batch_runs_twice(spark, rows, tmp_path):
     from riskloom.streaming import scoring as C
 
