@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -52,33 +54,46 @@ def body_violations(body: Column) -> Column:
     """What is wrong with a snapshot's JSON, as an array of names in the order of the rules; empty where it is well formed.
 
     The rules of ``violations`` for JSON of any shape: fields' types are looked at too, a key with the value null is there.
-    What is no JSON object has ``unreadable`` alone. All within the JVM, by Variant.
+    What is no JSON object has ``unreadable`` alone. All within the JVM, by Variant: a body is parsed once and each field taken out once, as lambdas'
+    arguments; of objects and arrays only what they are is told, not the schema of all that lies in them.
     """
-    v = F.try_parse_json(body)
     get = lambda x, path, kind="variant": F.try_variant_get(x, path, kind)
-    # the kind of what lies at a path: null where nothing does
-    kind = lambda x, path: F.regexp_extract(F.when(get(x, path).isNotNull(), F.schema_of_variant(F.coalesce(get(x, path), F.parse_json(F.lit("null"))))), "^[A-Z]+", 0)
-    text = lambda x, path: (F.coalesce(kind(x, path), F.lit("")) == "STRING") & (F.coalesce(get(x, path, "string"), F.lit("")) != "")
-    object_ = F.coalesce(kind(v, "$"), F.lit("")) == "OBJECT"
-    c = F.coalesce(F.when(F.coalesce(kind(v, "$.collectors"), F.lit("")) == "ARRAY", get(v, "$.collectors", "array<variant>")), F.array().cast("array<variant>"))
-    status = lambda x: F.when(kind(x, "$.status") == "STRING", get(x, "$.status", "string"))
-    of = lambda *names: F.size(F.filter(c, lambda x: F.coalesce(status(x).isin(*names), F.lit(False))))
-    some = lambda bad: F.exists(c, bad)
-    number = lambda path: F.when(kind(v, path).isin("BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), get(v, path, "double"))
-    told = lambda path, n: ~F.coalesce(number(path) == n.cast("double"), F.lit(False))
-    tests = {k: ~text(v, f"$.{k}") if t == "STRING" else F.coalesce(kind(v, f"$.{k}"), F.lit("")) != t for k, t in REQUIRED.items()}
-    tests |= {
-        "unsupported_protocol": text(v, "$.protocol_version") & (get(v, "$.protocol_version", "string") != PROTOCOL), "unsupported_schema": text(v, "$.schema") & (get(v, "$.schema", "string") != SCHEMA),
-        "collector_limit": F.size(c) > MAX_COLLECTORS, "collector_object": some(lambda x: F.coalesce(kind(x, "$"), F.lit("")) != "OBJECT"),
-        "collector_field": some(lambda x: ~(text(x, "$.collector") & text(x, "$.collected_at") & text(x, "$.hostname") & text(x, "$.status"))),
-        "status": some(lambda x: text(x, "$.status") & ~F.coalesce(status(x).isin(*STATUSES), F.lit(False))),
-        "payload": some(lambda x: F.coalesce(status(x) == "success", F.lit(False)) & get(x, "$.payload").isNull()),
-        "error": some(lambda x: F.coalesce(status(x) == "failed", F.lit(False)) & (F.coalesce(kind(x, "$.error"), F.lit("")) != "OBJECT")),
-        "summary": F.coalesce(kind(v, "$.summary"), F.lit("")) != "OBJECT",
-        "collector_count": told("$.summary.collector_count", F.size(c)), "success_count": told("$.summary.success_count", of("success")), "failed_count": told("$.summary.failed_count", of("failed", "critical")),
-    }
-    found = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items())))
-    return F.when(object_, found).otherwise(F.array(F.lit("unreadable")))
+    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
+    is_object = lambda x, path: get(x, path, "map<string,variant>").isNotNull()
+    schema = lambda y: F.coalesce(F.when(y.isNotNull(), F.schema_of_variant(F.coalesce(y, F.parse_json(F.lit("null"))))), F.lit(""))
+    # a field's text: null where nothing or no text lies there
+    text = lambda x, path: let(get(x, path), lambda y: F.when(schema(y) == "STRING", get(y, "$", "string")))
+    number = lambda x, path: let(get(x, path), lambda y: F.when(F.regexp_extract(schema(y), "^[A-Z]+", 0).isin("BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), get(y, "$", "double")))
+    full = lambda t: F.coalesce(t != "", F.lit(False))
+
+    def of_collector(x):
+        status = text(x, "$.status")
+        fields = reduce(and_, (full(text(x, f"$.{name}")) for name in ("collector", "collected_at", "hostname")))
+        return F.struct(is_object(x, "$").alias("object"), fields.alias("fields"), status.alias("status"), get(x, "$.payload").isNull().alias("bare"), is_object(x, "$.error").alias("error"))
+
+    def found(b):
+        c, listed = b["c"], F.coalesce(b["c"], F.array().cast(b_type))
+        is_, some = (lambda x, *names: F.coalesce(x["status"].isin(*names), F.lit(False))), lambda bad: F.exists(listed, bad)
+        of = lambda *names: F.size(F.filter(listed, lambda x: is_(x, *names)))
+        told = lambda name, n: ~F.coalesce(b[name] == n.cast("double"), F.lit(False))
+        there = {"STRING": lambda k: full(b[k]), "OBJECT": lambda k: b[k], "ARRAY": lambda k: c.isNotNull()}
+        tests = {k: ~there[t](k) for k, t in REQUIRED.items()}
+        tests |= {
+            "unsupported_protocol": full(b["protocol_version"]) & (b["protocol_version"] != PROTOCOL), "unsupported_schema": full(b["schema"]) & (b["schema"] != SCHEMA),
+            "collector_limit": F.size(listed) > MAX_COLLECTORS, "collector_object": some(lambda x: ~x["object"]), "collector_field": some(lambda x: ~(x["fields"] & full(x["status"]))),
+            "status": some(lambda x: full(x["status"]) & ~is_(x, *STATUSES)), "payload": some(lambda x: is_(x, "success") & x["bare"]), "error": some(lambda x: is_(x, "failed") & ~x["error"]),
+            "summary": ~b["summary"], "collector_count": told("n", F.size(listed)), "success_count": told("good", of("success")), "failed_count": told("bad", of("failed", "critical")),
+        }
+        names = F.array_compact(F.array(*(F.when(F.coalesce(t, F.lit(True)), F.lit(n)) for n, t in tests.items())))
+        return F.when(b["object"], names).otherwise(F.array(F.lit("unreadable")))
+
+    b_type = "array<struct<object:boolean,fields:boolean,status:string,bare:boolean,error:boolean>>"
+    counts = {"n": "collector_count", "good": "success_count", "bad": "failed_count"}
+    facts = lambda v: F.struct(
+        is_object(v, "$").alias("object"), F.transform(get(v, "$.collectors", "array<variant>"), of_collector).alias("c"), *(text(v, f"$.{k}").alias(k) for k, t in REQUIRED.items() if t == "STRING"),
+        *(is_object(v, f"$.{k}").alias(k) for k in dict.fromkeys([*(k for k, t in REQUIRED.items() if t == "OBJECT"), "summary"])), *(number(v, f"$.summary.{k}").alias(n) for n, k in counts.items()),
+    )
+    return let(let(F.try_parse_json(body), facts), found)
 
 
 def in_age(ts: Column, as_of: Column, hours: int = 24, ahead_minutes: int = 5) -> Column:

@@ -122,3 +122,9 @@ def test_files_that_lie_there_together_are_not_late_for_one_another(spark, tmp_p
     drain()
     assert read("accepted", "payload_id") == ["p0", "p1", "p2", "p5", "p9"] and read("dead", "reason")[-1] == "late"
     assert not (tmp_path / "out" / "draining").exists()
+
+
+def test_a_body_is_parsed_once(spark):
+    rows = spark.createDataFrame([("{}",)], "body string").select(body_violations(F.col("body")))
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert plan.count("try_parse_json(body#") == 1
