@@ -40,14 +40,16 @@ def streams(rows: DataFrame, by: str, order: str, least: int = LENGTH) -> DataFr
 
     def stitch(group: pd.DataFrame) -> pd.DataFrame:
         stream: list[tuple[float, float]] = []
-        for pairs in group.sort_values(order)["pairs"]:
-            new = [(p["dwell"], p["flight"]) for p in pairs]
+        group = group.sort_values(order)
+        for dwell, flight in zip(group["dwell"], group["flight"]):
+            new = list(zip(dwell.tolist(), flight.tolist()))
             shared = next((k for k in range(min(len(stream), len(new)), 0, -1) if stream[-k:] == new[:k]), 0)
             stream += new[shared:]
         kept = stream if len(stream) >= least else []
         return pd.DataFrame({"identity": [group[by].iloc[0]] if kept else [], "dwell": [[d for d, _ in kept]] if kept else [], "flight": [[f for _, f in kept]] if kept else []})
 
-    return changed(rows, by, order).select(by, order, "pairs").groupBy(by).applyInPandas(stitch, "identity string, dwell array<double>, flight array<double>")
+    figures = (F.transform("pairs", lambda p: p[c]).alias(c) for c in ("dwell", "flight"))  # lists of numbers cross to Python whole, structs one by one
+    return changed(rows, by, order).select(by, order, *figures).groupBy(by).applyInPandas(stitch, "identity string, dwell array<double>, flight array<double>")
 
 
 def windows(made: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:

@@ -48,8 +48,11 @@ def keystroke_flat_columns(spark, sf_dir):
 
 
 def streams(spark, sf_dir):
+    """The identities' streams, stitched once: what reads them more than once reads what was written."""
     rows = snapshots_of_keys(spark, sf_dir).withColumn("pairs", K.timings(F.col("keystroke_timings"), []))
-    return K.streams(rows, "username", "event_id")
+    made, path = K.streams(rows, "username", "event_id"), f"{_shared(spark)}/keys"
+    made.write.parquet(path)
+    return spark.read.schema(made.schema).parquet(path)
 
 
 _STREAMS = _KS + ", st as (select * from (select username as identity, len(list_filter(range(0, (max(first) + 6)::bigint), lambda i: i % 11 <> 5)) as keys from ks group by 1) where keys >= 20) "
