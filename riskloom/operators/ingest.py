@@ -58,12 +58,11 @@ def body_violations(body: Column) -> Column:
     arguments; of objects and arrays only what they are is told, not the schema of all that lies in them.
     """
     get = lambda x, path, kind="variant": F.try_variant_get(x, path, kind)
-    let = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))
     is_object = lambda x, path: get(x, path, "map<string,variant>").isNotNull()
     schema = lambda y: F.coalesce(F.when(y.isNotNull(), F.schema_of_variant(F.coalesce(y, F.parse_json(F.lit("null"))))), F.lit(""))
     # a field's text: null where nothing or no text lies there
-    text = lambda x, path: let(get(x, path), lambda y: F.when(schema(y) == "STRING", get(y, "$", "string")))
-    number = lambda x, path: let(get(x, path), lambda y: F.when(F.regexp_extract(schema(y), "^[A-Z]+", 0).isin("BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), get(y, "$", "double")))
+    text = lambda x, path: C.let(get(x, path), lambda y: F.when(schema(y) == "STRING", get(y, "$", "string")))
+    number = lambda x, path: C.let(get(x, path), lambda y: F.when(F.regexp_extract(schema(y), "^[A-Z]+", 0).isin("BIGINT", "DECIMAL", "DOUBLE", "BOOLEAN"), get(y, "$", "double")))
     full = lambda t: F.coalesce(t != "", F.lit(False))
 
     def of_collector(x):
@@ -93,7 +92,7 @@ def body_violations(body: Column) -> Column:
         is_object(v, "$").alias("object"), F.transform(get(v, "$.collectors", "array<variant>"), of_collector).alias("c"), *(text(v, f"$.{k}").alias(k) for k, t in REQUIRED.items() if t == "STRING"),
         *(is_object(v, f"$.{k}").alias(k) for k in dict.fromkeys([*(k for k, t in REQUIRED.items() if t == "OBJECT"), "summary"])), *(number(v, f"$.summary.{k}").alias(n) for n, k in counts.items()),
     )
-    return let(let(F.try_parse_json(body), facts), found)
+    return C.let(C.let(F.try_parse_json(body), facts), found)
 
 
 def in_age(ts: Column, as_of: Column, hours: int = 24, ahead_minutes: int = 5) -> Column:
