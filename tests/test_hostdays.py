@@ -20,3 +20,17 @@ def test_replays_count_once_and_a_day_has_a_heartbeat_of_each_sensor(spark):
     assert beats.groupBy("agent_id", F.to_date("ts"), "kind").count().where("count > 1").count() == 0
     one, twice = (H.produce(r).drop("missing_sensors") for r in (rows, rows.unionByName(rows)))
     assert one.count() and one.exceptAll(twice).count() == twice.exceptAll(one).count() == 0
+
+
+def test_records_and_heartbeats_are_made_without_sorting_them(spark):
+    assert "SortAggregate" not in activity(spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_records_that_repeat_are_dealt_out_anew(spark, tmp_path):
+    rows = spark.createDataFrame([(e, k, f"{e}{k}") for e in (1, 2, None) for k in ("file", "http")], "event_id long, kind string, item string")
+    rows.write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert H.told_apart(rows, f"{tmp_path}/same").inputFiles() == rows.inputFiles()
+    more = rows.unionByName(rows.where("event_id = 2 or event_id is null")).unionByName(rows.where("event_id = 2 and kind = 'file'"))
+    got = H.told_apart(more, f"{tmp_path}/once")
+    assert got.count() == 6 and got.exceptAll(rows).count() == 0
