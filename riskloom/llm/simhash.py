@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from riskloom.llm.shared import map_arrays, materialize, new_folder, sheltered, slices, table, texts, write_arrays
+from riskloom.llm.shared import forget, map_arrays, materialize, new_folder, sheltered, slices, table, texts, write_arrays
 
 DISTANCE, WIDTHS = 3, (10, 9, 9, 9, 9, 9, 9)
 SHIFTS = tuple(int(x) for x in np.cumsum((0, *WIDTHS[:-1])))
@@ -166,14 +166,15 @@ def _whole(docs: DataFrame, found: DataFrame, asked: DataFrame, shingle: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([_node(h) for h in got], pa.int64()), pa.array([h.view(np.int64) for h in got], pa.list_(pa.int64()))], ["fp", "hashes"])
 
     made = chosen.mapInArrow(task, "fp long, hashes array<long>")
-    return made.join(bounded(ids.select("fp")), "fp", "left_semi").dropDuplicates(["fp"])  # a repeated doc_id has other texts too
+    whole = materialize(made.join(bounded(ids.select("fp")), "fp", "left_semi"), "candidate-sets")
+    return whole if whole.count() == ids.count() else whole.dropDuplicates(["fp"])  # a repeated doc_id has other texts too
 
 
 def confirmed(docs: DataFrame, found: DataFrame, pairs: DataFrame, shingle: int) -> DataFrame:
     """The pairs (a, b) of sets whose Jaccard similarity is 0.8 or more."""
     up, down = SIMILAR
     pairs = materialize(pairs, "candidates")
-    whole = materialize(_whole(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), shingle), "candidate-sets")
+    whole = _whole(docs, found, pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), shingle)
     x, y = (whole.select(F.col("fp").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
     both = F.size(F.array_intersect("ha", "hb"))  # i / (m + n - i) >= up / down, in whole numbers
     return pairs.join(x, "a").join(y, "b").where(both * (up + down) >= (F.size("ha") + F.size("hb")) * up).select("a", "b")
@@ -253,14 +254,24 @@ def _between(keyed: DataFrame, linked: DataFrame) -> DataFrame:
     return met.select(*_ordered("a.fp", "b.fp")).distinct()
 
 
-def similar(docs: DataFrame, found: DataFrame, shingle: int = 5) -> DataFrame:
-    """(a, b): pairs of sets of ``found`` (as of ``sets(docs)``) of similarity 0.8 or more, which reach whatever all such pairs reach."""
-    nodes = found.where("n > 0").select("fp", "sim", "n", "prefix").dropDuplicates(["fp"])
-    keyed = nodes.select("fp", "n", F.posexplode("prefix").alias("place", "key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    keyed = materialize(keyed.join(shared, "key"), "shared-keys")
-    keyed = materialize(keyed.join(keyed.groupBy("fp").agg(F.count("*").alias("c"), F.sum("members").alias("weight")), "fp").select("key", "fp", "n", "place", "c", "weight"), "weighed-keys")
-    proposed = _by_leaders(keyed).unionByName(_bit_links(nodes.select("fp", "sim"))).distinct()
+def weighed_keys(found: DataFrame) -> DataFrame:
+    """(key, fp, n, place, c, weight): the prefix keys that several sets have; c is how many of them the set has, weight their members in all."""
+    keyed = found.where("n > 0").select("fp", "n", "prefix").dropDuplicates(["fp"]).select("fp", "n", F.posexplode("prefix").alias("place", "key"))
+    # counted where the rows lie: a join with the counts would hold prefixes and keys on disk a second time
+    key, own = Window.partitionBy("key"), Window.partitionBy("fp")
+    shared = keyed.withColumn("members", F.count("*").over(key)).where("members > 1")
+    weighed = shared.withColumns({"c": F.count("*").over(own), "weight": F.sum("members").over(own)})
+    return materialize(weighed.select("key", "fp", "n", "place", "c", "weight"), "weighed-keys")
+
+
+def similar(docs: DataFrame, found: DataFrame, shingle: int = 5, keyed: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs of sets of ``found`` (as of ``sets(docs)``) of similarity 0.8 or more, which reach whatever all such pairs reach.
+
+    With ``keyed``, its ``weighed_keys``, ``found`` needs no prefixes.
+    """
+    keyed = weighed_keys(found) if keyed is None else keyed
+    nodes = found.where("n > 0").select("fp", "sim").distinct()
+    proposed = _by_leaders(keyed).unionByName(_bit_links(nodes)).distinct()
     near = materialize(confirmed(docs, found, proposed, shingle), "near")
     linked = materialize(components(near), "near-components")
     return near.unionByName(confirmed(docs, found, _between(keyed, linked), shingle))
@@ -343,9 +354,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 def similar_groups(docs: DataFrame, shingle: int = 5) -> DataFrame:
     """doc_id, fp, root, component_id (the smallest doc_id reachable by links of similarity 0.8 or more)."""
-    found = materialize(sets(docs, shingle), "sets")
+    whole = materialize(sets(docs, shingle), "sets")
+    keyed, found = weighed_keys(whole), materialize(whole.drop("prefix"), "set-names")
+    forget(whole)  # a third of what the texts take
     marked = found.select("doc_id", "fp")
-    return _classes(marked, marked.groupBy("fp").agg(F.min("doc_id").alias("first")), similar(docs, found, shingle), "root")
+    return _classes(marked, marked.groupBy("fp").agg(F.min("doc_id").alias("first")), similar(docs, found, shingle, keyed), "root")
 
 
 def _classes(marked: DataFrame, nodes: DataFrame, edges: DataFrame, *more: str) -> DataFrame:

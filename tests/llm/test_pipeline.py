@@ -186,3 +186,12 @@ def test_many_false_ibans_are_quick():
     began = time.process_time()
     assert not [x for x in pii.spans("AB12 " * 200_000) if x[0] == "iban"]
     assert time.process_time() - began < 15
+
+
+def test_near_dedup_counts_shared_keys_in_place_and_leaves_no_prefixes(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(40 * (i // 3), 40 * (i // 3) + 30 + i % 3))) for i in range(9)], "doc_id long, text string")
+    monkeypatch.setattr("riskloom.llm.shared.shared_dir", lambda spark: str(tmp_path))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert got == {i: i - i % 3 for i in range(9)}
+    left = {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()}
+    assert "weighed-keys" in left and not left & {"sets", "shared-keys"}
