@@ -146,3 +146,13 @@ def test_without_normal_days_every_day_is_scored_and_nothing_is_said_of_anomalie
     made, names = T.inputs(T.placed(marked, marked, 5))
     heads, _ = T.heads(made, names, {"seen": "lsass_handle_request_count > 11"}, F.col("hostname") < "host-3", SPEC, ["hostname", "review_date"])
     assert heads.where("probability is not null").count() == marked.count()
+
+
+def test_the_chosen_cut_off_is_swept_once(spark, monkeypatch):
+    from riskloom.plans import training as plan
+
+    calls, sweep = [], T.sweep
+    monkeypatch.setattr(T, "sweep", lambda *a: calls.append(a) or sweep(*a))
+    got = plan.cutoff_choice(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1 and len(got) == 1
+    assert got[0].cut == T.cut_off(*calls[0])
