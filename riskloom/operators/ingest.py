@@ -7,6 +7,7 @@ status, payload, error), and ``summary`` (collector_count, success_count, failed
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import and_
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 
 from riskloom.functions import content as C
 from riskloom.functions.identity import observation_id, uuid5
+from riskloom.sources.files import shared_folder
 
 STATUSES, MAX_COLLECTORS = ("success", "failed", "critical", "unsupported"), 100
 #: Names of features that stand in for others.
@@ -317,12 +319,19 @@ def discovered(rows: DataFrame, values: str, most: int = COLUMNS) -> dict[str, b
     return {r.key: r.numeric for r in sorted(found, key=lambda r: r.key)}
 
 
+def made_once(rows: DataFrame) -> DataFrame:
+    """``rows``, written: bodies are taken apart in Python once, not for the names of the columns and for the columns again."""
+    path = f"{shared_folder(rows.sparkSession)}/leaves-{uuid.uuid4().hex[:12]}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def dataset(rows: DataFrame, keep: list[str], body: str = "body", most: int = COLUMNS) -> DataFrame:
     """``keep`` and a column of text for every leaf that any body has, named by its path, '' where a body lacks it; columns in order of their names.
 
     A leaf named like a column of ``keep`` (in any case) comes with ``feature_`` before its name.
     """
-    flat = rows.select(*keep, C.flatten(body).alias("__flat"))
+    flat = made_once(rows.select(*keep, C.flatten(body).alias("__flat")))
     taken = {k.lower() for k in keep}
     named = {k: k if k.lower() not in taken else f"feature_{k}" for k in discovered(flat, "__flat", most)}
     return flat.select(*keep, *(F.coalesce(F.element_at("__flat", F.lit(k)), F.lit("")).alias(n) for k, n in named.items()))
@@ -330,6 +339,7 @@ def dataset(rows: DataFrame, keep: list[str], body: str = "body", most: int = CO
 
 def matrix(rows: DataFrame, keep: list[str], parameters: str = "parameters", most: int = COLUMNS) -> DataFrame:
     """``keep`` and a column for every key of a map of text: numbers where all its values are (missing: 0.0), else text (missing: '0.0', a number as it prints)."""
+    rows = made_once(rows.select(*keep, parameters))
     taken = {k.lower() for k in keep}
     out = []
     for k, numeric in discovered(rows, parameters, most).items():
