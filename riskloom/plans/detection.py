@@ -55,6 +55,11 @@ def _against(df):
 ruled = planned(D.evaluate)
 
 
+#: From which deviation on ``scored_against`` feels a user's and a host's, and from which on no more: z-scores begin at 2 and end at 8, the confidence in
+#: them at 10; of a host's only "below 2" is asked.
+FELT = {"user": (S.EXPECTED, 10.0), "host": (S.EXPECTED, S.EXPECTED)}
+
+
 def scored_against(df):
     """Features with what the rules say (``ruled``) and deviations ``z_<feature>`` and ``host_z_<feature>`` as risk_score, risk_level, ``burst`` and ``sure``."""
     seen = _against(df)

@@ -135,3 +135,14 @@ def test_a_stream_equals_the_walk_also_when_a_batch_runs_twice(spark, rows, tmp_
     assert got == pytest.approx(want, abs=1e-9)
     held = {(r.kind, r.entity): L.Baseline(r.kind, r.state).taken for r in C.states(spark, f"{tmp_path}/out").collect()}
     assert {k: held[k] for k in last} == {k: L.Baseline(k[0], s).taken for k, s in last.items()}
+
+
+def test_later_rounds_score_only_what_has_moved(spark, rows):
+    scored = []
+
+    def counted(df):
+        scored.append(df.count())
+        return score(df)
+
+    L.learn(frame(spark, rows), counted, USERS, HOSTS)
+    assert scored[0] == scored[-1] == len(rows) and min(scored) < len(rows) / 4
