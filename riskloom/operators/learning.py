@@ -313,13 +313,13 @@ def _approach(base: DataFrame, rows: DataFrame, score: Callable[[DataFrame], Dat
             return now.select("payload_id", "calm_user", "calm_host"), n + 1
 
 
-def learn(rows: DataFrame, score: Callable[[DataFrame], DataFrame], users: tuple[str, ...] = USER_FEATURES, hosts: tuple[str, ...] = HOST_FEATURES, states: DataFrame | None = None, felt: dict[str, tuple[float, float]] | None = None) -> tuple[DataFrame, DataFrame, int]:
+def learn(rows: DataFrame, score: Callable[[DataFrame], DataFrame], users: tuple[str, ...] = USER_FEATURES, hosts: tuple[str, ...] = HOST_FEATURES, states: DataFrame | None = None, felt: dict[str, tuple[float, float]] | None = None, whole: bool = True) -> tuple[DataFrame, DataFrame, int]:
     """(scored rows, states afterwards, rounds).
 
     ``rows``: payload_id, username, role_name, agent_id, ts, arrived and features. ``score`` gets them with ``z_<feature>`` (of the user) and
     ``host_z_<feature>`` and adds ``risk_score`` and the booleans ``burst`` and ``sure`` (a sign that by itself keeps a host from learning).
     ``felt``: for user and host, below which deviation the score is the same as at 0, and from which on as at this one. It spares scoring, it does not
-    change the end: the last round scores all rows by what they are.
+    change the end: the last round scores all rows by what they are. Without ``whole`` scored rows have payload_id, risk_score, burst and sure alone.
     """
     spark, folder = rows.sparkSession, f"{shared_folder(rows.sparkSession)}/learning-{uuid.uuid4().hex[:12]}"
 
@@ -352,7 +352,8 @@ def learn(rows: DataFrame, score: Callable[[DataFrame], DataFrame], users: tuple
             met = met.join(folded.where((F.col("kind") == kind) & F.col("payload_id").isNotNull()).select("payload_id", F.col("seen").alias(f"__seen_{i}")).hint("merge"), "payload_id", "left")
         told = {f"z_{f}": F.when(person.isNotNull(), deviation(f, number(f), [F.col("__seen_0"), F.col("__seen_1")], i, USER_PRIORS.get(f), FLOOR_USER)) for i, f in enumerate(users)}
         told |= {f"host_z_{f}": F.when(F.coalesce(F.col("agent_id"), F.lit("")) != "", deviation(f, number(f), [F.col("__seen_2")], i, HOST_PRIORS.get(f), FLOOR_HOST)) for i, f in enumerate(hosts)}
-        scored = write(score(met.withColumns(told).drop(*(f"__seen_{i}" for i in range(3)))), f"scored-{rounds}")
+        scored = score(met.withColumns(told).drop(*(f"__seen_{i}" for i in range(3))))
+        scored = write(scored if whole else scored.select("payload_id", "risk_score", "burst", "sure"), f"scored-{rounds}")
         risk = F.col("risk_score")
         after = write(scored.select("payload_id", teaches_user(risk).alias("calm_user"), teaches_host(risk, F.col("burst"), [F.col("sure")]).alias("calm_host")), f"calm-{rounds}")
         rounds += 1

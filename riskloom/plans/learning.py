@@ -29,7 +29,7 @@ def learned_risk(spark, sf_dir):
 @R.query("learned_baselines")
 def learned_baselines(spark, sf_dir):
     """What users, cohorts and hosts have learnt after all snapshots: mean, deviation and merged days of each feature."""
-    _, states, _ = L.learn(_arrivals(spark, sf_dir), detection.scored_against, felt=detection.FELT)
+    _, states, _ = L.learn(_arrivals(spark, sf_dir), detection.scored_against, felt=detection.FELT, whole=False)
     held = F.from_json("state", "mean map<string,double>, std map<string,double>, samples map<string,long>, taken long")
     rows = states.select("kind", "entity", held.alias("s")).select("kind", "entity", F.col("s.taken").alias("taken"), F.explode("s.mean").alias("feature", "mean"), "s.std", "s.samples")
     return rows.select("kind", "entity", "feature", F.round("mean", 6).alias("mean"), F.round(F.col("std")[F.col("feature")], 6).alias("std"), F.col("samples")[F.col("feature")].alias("samples"), "taken")

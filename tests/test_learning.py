@@ -146,3 +146,11 @@ def test_later_rounds_score_only_what_has_moved(spark, rows):
 
     L.learn(frame(spark, rows), counted, USERS, HOSTS)
     assert scored[0] == scored[-1] == len(rows) and min(scored) < len(rows) / 4
+
+
+def test_states_alone_are_learnt_without_whole_rows(spark, rows):
+    scored, states, _ = L.learn(frame(spark, rows[:300]), score, USERS, HOSTS, whole=False)
+    assert scored.columns == ["payload_id", "risk_score", "burst", "sure"] and scored.count() == 300
+    _, after = walk(rows[:300])
+    held = {(r.kind, r.entity): L.Baseline(r.kind, r.state).taken for r in states.collect()}
+    assert {k: held[k] for k in after} == {k: L.Baseline(k[0], s).taken for k, s in after.items()}
